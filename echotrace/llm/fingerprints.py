@@ -56,7 +56,8 @@ def _dense(least: Column) -> Column:
             place = F.array_min(F.transform(has, lambda j: (F.get(_ints(INVERSES), b) * (j - F.get(_ints(STARTS), b))).bitwiseAND(BINS - 1) * BINS + j))
             nearest = F.get(least, place.bitwiseAND(BINS - 1))
             probed = F.when(F.size(has) > 32, F.coalesce(*(probe(t) for t in range(PROBES))))
-            return F.when(x.bitwiseAND(LOW) != LOW, x).otherwise(F.coalesce(probed, nearest))
+            # Hashed with the bin, so that what is borrowed often agrees by chance no more often than the rest.
+            return F.when(x.bitwiseAND(LOW) != LOW, x).otherwise(F.xxhash64(F.coalesce(probed, nearest), b))
 
         return F.when(F.size(has) == BINS, least).otherwise(F.transform(least, one))
 
