@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality_rules, sharding
+from . import fingerprints, mixing, packing, pii, quality_rules, sharding
 from .common import documents
 
 #: Production parameters.
@@ -27,6 +27,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
 
@@ -35,5 +39,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_quality_rules, op6_sharding, op8_fingerprints, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op5_quality_rules, op6_sharding, op7_pii, op8_fingerprints, op10_packing)}
 ORACLES: dict[str, str] = {}
