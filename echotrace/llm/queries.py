@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, pii, quality_rules, sharding
+from . import fingerprints, mixing, packing, pii, quality_rules, secrets_crf, sharding
 from .common import documents
 
 #: Production parameters.
@@ -35,9 +35,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_crf.find(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_quality_rules, op6_sharding, op7_pii, op8_fingerprints, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op5_quality_rules, op6_sharding, op7_pii, op8_fingerprints, op9_secrets, op10_packing)}
 ORACLES: dict[str, str] = {}
