@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, pii, quality_rules, secrets_crf, sharding
+from . import fingerprints, jaccard_join, mixing, packing, pii, quality_rules, secrets_crf, sharding
 from .common import documents
 
 #: Production parameters.
 SHARDS = 40
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.stream(documents(spark, sf_dir))
 
@@ -43,5 +47,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_quality_rules, op6_sharding, op7_pii, op8_fingerprints, op9_secrets, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op5_quality_rules, op6_sharding, op7_pii, op8_fingerprints, op9_secrets, op10_packing)}
 ORACLES: dict[str, str] = {}
