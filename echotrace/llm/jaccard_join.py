@@ -145,7 +145,7 @@ def _subsets(bound: int, percent: int):
                     if m > bound:
                         continue
                     need = required(n, m, percent)
-                    gone = np.array(list(combinations(range(n), n - need)), dtype=np.int64).reshape(-1, n - need)
+                    gone = np.array(list(combinations(range(n), n - need)), dtype=np.int64).reshape(comb(n, need), n - need)
                     pair = np.uint64(min(n, m) * 64 + max(n, m))
                     keys.append(mixed(s.sum(dtype=np.uint64) - s[gone].sum(axis=1, dtype=np.uint64) + pair))
                     again.append(mixed(salted.sum(dtype=np.uint64) - salted[gone].sum(axis=1, dtype=np.uint64) + pair))
@@ -329,8 +329,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per
         pairs = listed.select(*columns).repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_scan(mode, bound, percent, round_), "u bigint, v bigint")
         pairs = written(pairs.distinct())
         if pairs.isEmpty():
-            if round_:
-                break
             continue
         a, b = (whole.select(F.col("id").alias(x), F.col("members").alias(f"m{x}")) for x in "uv")
         good = pairs.join(a, "u").join(b, "v").select("u", "v", "mu", "mv").mapInArrow(_verified(percent), "u bigint, v bigint")
