@@ -1,0 +1,208 @@
+"""What the two substring operators share: a filter of anchors that occur again, and the texts' last pass.
+
+Both look for windows that also start earlier. The text itself decides where its anchors lie, so equal windows hold equal
+anchors, and an anchor that occurs once rules out every window that holds it. Values move in blocks, a few large binary
+rows for each task, dealt out by ranges of the value; what a task has several times over it sums up first.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .hashing import mixed, runs
+
+#: Values that a task holds before it sends them.
+HELD = 1 << 21
+#: Bits of the filter of repeated anchors: 16 MB, whatever the corpus. A wrong hit only keeps a window for comparison.
+FILTER = 1 << 27
+
+
+def part_of(values: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` equal ranges of the 64-bit values each one lies in."""
+    return ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def dealt(values: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, which of the values lie in it) for each part that has any."""
+    part = part_of(values, parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+    for k in range(parts):
+        if cuts[k] < cuts[k + 1]:
+            yield k, order[cuts[k] : cuts[k + 1]]
+
+
+def _sent(anchors: Callable, parts: int):
+    """Each task's distinct anchors, with the repeated ones twice."""
+
+    def blocks(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        values = np.repeat(values, np.minimum(counts, 2))
+        rows = [(k, values[at].tobytes()) for k, at in dealt(values, parts)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int32()), pa.array([r[1] for r in rows], type=pa.binary())], names=["part", "block"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, _, data, bounds in runs(batch.column(0)):
+                held.append(anchors(data, bounds))
+                size += len(held[-1])
+                if size > HELD:
+                    yield blocks(held)
+                    held, size = [], 0
+        if size:
+            yield blocks(held)
+
+    return of
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of one part after the other, of a partition sorted by its first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        begin = 0
+        for cut in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]:
+            if held and held[0].column(0)[0].as_py() != part[begin]:
+                yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            if cut > begin:
+                held.append(batch.slice(begin, cut - begin))
+            begin = cut
+    if held:
+        yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+
+
+def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+def _places(values: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    again = mixed(values)
+    for k in (0, 21, 42):
+        yield ((again >> np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64) if bits <= 1 << 21 else (mixed(again + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _filtered(parts: int):
+    """Each part's slice of the filter, from the values that it has twice or more."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, table in by_part(batches):
+            values = np.sort(joined(table["block"], np.uint64))
+            again = values[1:][values[1:] == values[:-1]]
+            bits = np.zeros(FILTER // parts, dtype=bool)
+            for at in _places(again, len(bits)):
+                bits[at] = True
+            yield pa.RecordBatch.from_arrays([pa.array([part], type=pa.int32()), pa.array([np.packbits(bits).tobytes()], type=pa.binary())], names=["part", "block"])
+
+    return of
+
+
+class Filter:
+    """Whether an anchor may occur twice or more in the corpus."""
+
+    def __init__(self, slices: dict[int, bytes], parts: int) -> None:
+        self.parts, self.size = parts, FILTER // parts
+        self.bits = np.zeros((parts, self.size // 8), dtype=np.uint8)
+        for k, data in slices.items():
+            self.bits[k] = np.frombuffer(data, dtype=np.uint8)
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.ones(len(values), dtype=bool)
+        part = part_of(values, self.parts).astype(np.int64)
+        for at in _places(values, self.size):
+            out &= ((self.bits[part, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+        return out
+
+
+def anchor_filter(texts: DataFrame, anchors: Callable, parts: int) -> Filter:
+    """Gather the anchors of all texts (the first column) and note those that occur again."""
+    sent = texts.mapInArrow(_sent(anchors, parts), "part int, block binary")
+    rows = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_filtered(parts), "part int, block binary").collect()
+    return Filter({r["part"]: r["block"] for r in rows}, parts)
+
+
+def ruled_out(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` places lie in any of the ranges low <= place < high."""
+    ok = low < high
+    change = np.bincount(low[ok], minlength=n + 1) - np.bincount(high[ok], minlength=n + 1)
+    return np.cumsum(change)[:n] > 0
+
+
+def by_document(docs: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(id, its starts) for each document."""
+    order = np.argsort(docs, kind="stable")
+    docs, starts = docs[order], starts[order]
+    cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]])) if len(docs) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(docs[a]), starts[a:b].astype(np.int32).tobytes()
+
+
+def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << 23, dtype=bool)
+    for batch in batches:
+        bits[(mixed(batch.column(0).to_numpy().view(np.uint64)) & np.uint64((1 << 23) - 1)).astype(np.int64)] = True
+    yield pa.RecordBatch.from_arrays([pa.array([0], type=pa.int32()), pa.array([np.packbits(bits).tobytes()], type=pa.binary())], names=["part", "block"])
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << 20, dtype=np.uint8)
+    for batch in batches:
+        for block in batch.column(1).to_pylist():
+            total |= np.frombuffer(block, dtype=np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([0], type=pa.int32()), pa.array([total.tobytes()], type=pa.binary())], names=["part", "block"])
+
+
+def cut_texts(texts: DataFrame, removed: DataFrame, units: Callable, width: int, kept: Callable) -> DataFrame:
+    """``id``, ``n_units``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of each text.
+
+    ``removed`` has (id, block): int32 starts of windows of ``width`` units to be removed. ``units(data, bounds)``
+    tells where each text's units begin (an array with one more entry than texts), ``kept(data, k, keep)`` the bytes
+    that remain of text k. Only texts that may lose something are shuffled, told by a filter of fixed size.
+    """
+    bits = removed.select("id").distinct().mapInArrow(_ids, "part int, block binary").repartition(8).mapInArrow(_either, "part int, block binary").collect()
+    hit = np.bitwise_or.reduce([np.frombuffer(r["block"], dtype=np.uint8) for r in bits]) if bits else np.zeros(1 << 20, dtype=np.uint8)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            at = (mixed(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64((1 << 23) - 1)).astype(np.int64)
+            maybe = ((hit[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
+            counts, shas = [], []
+            for i, j, data, bounds in runs(batch.column(1)):
+                at_units = units(data, bounds)
+                first = at_units.first
+                for k in range(j - i):
+                    n = int(first[k + 1] - first[k])
+                    counts.append(n)
+                    shas.append(hashlib.sha256(kept(data, at_units, k, None)).hexdigest())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, type=pa.int64()), pa.array(shas), pa.array([t if m else None for t, m in zip(batch.column(1).to_pylist(), maybe, strict=True)], type=pa.string())], names=["id", "n_units", "sha", "text"])
+
+    def less(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone, spans, shas = [], [], []
+            blocks = batch.column(4).to_pylist()
+            texts_ = batch.column(3)
+            for k, n in enumerate(batch.column(1).to_pylist()):
+                if not blocks[k]:
+                    gone.append(0), spans.append(0), shas.append(batch.column(2)[k].as_py())
+                    continue
+                starts = np.frombuffer(b"".join(blocks[k]), dtype=np.int32).astype(np.int64)
+                lost = ruled_out(starts, np.minimum(starts + width, n), n)
+                data = np.frombuffer((texts_[k].as_py() or "").encode(), dtype=np.uint8)
+                at_units = units(data, np.array([0, len(data)]))
+                gone.append(int(lost.sum()))
+                spans.append(int((np.diff(lost.astype(np.int8), prepend=0) == 1).sum()))
+                shas.append(hashlib.sha256(kept(data, at_units, 0, ~lost)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, type=pa.int64()), pa.array(spans, type=pa.int64()), pa.array(shas)], names=["id", "n_units", "n_removed", "n_spans", "kept_sha256"])
+
+    rows = texts.mapInArrow(whole, "id bigint, n_units bigint, sha string, text string")
+    blocks = removed.groupBy("id").agg(F.collect_list("block").alias("blocks"))
+    both = rows.join(blocks, "id", "left").select("id", "n_units", "sha", "text", "blocks")
+    return both.mapInArrow(less, "id bigint, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
