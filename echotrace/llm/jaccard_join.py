@@ -238,7 +238,7 @@ def _scan(mode: str, bound: int, percent: int, round_: int):
             whole = pa.Table.from_batches(held).combine_chunks()
             token = whole["token"].to_numpy()
             # The last list may go on in the next batch.
-            end = len(token) if last else int(np.searchsorted(token, token[-1])) if (np.diff(token) >= 0).all() else len(token)
+            end = len(token) if last else int(np.searchsorted(token, token[-1]))
             now, rest = whole.slice(0, end), whole.slice(end)
             held, size = rest.to_batches(), len(rest)
             if len(now):

@@ -135,13 +135,19 @@ def ruled_out(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def by_document(docs: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(id, its starts) for each document."""
-    order = np.argsort(docs, kind="stable")
-    docs, starts = docs[order], starts[order]
-    cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]])) if len(docs) else []
+def by_document(docs: np.ndarray, starts: np.ndarray, width: int) -> Iterator[tuple[int, bytes]]:
+    """(id, int32 pairs: first unit and unit after the last of each run of windows) for each document."""
+    if not len(docs):
+        return
+    order = np.lexsort((starts, docs))
+    docs, starts = docs[order], starts[order].astype(np.int64)
+    new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (np.diff(starts) > 1)])
+    head = np.flatnonzero(new)
+    pairs = np.stack([starts[head], starts[np.append(head[1:], len(docs)) - 1] + width], axis=1).astype(np.int32)
+    docs = docs[head]
+    cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]]))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(docs[a]), starts[a:b].astype(np.int32).tobytes()
+        yield int(docs[a]), pairs[a:b].tobytes()
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,12 +165,11 @@ def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([0], type=pa.int32()), pa.array([total.tobytes()], type=pa.binary())], names=["part", "block"])
 
 
-def cut_texts(texts: DataFrame, removed: DataFrame, units: Callable, width: int, kept: Callable) -> DataFrame:
+def cut_texts(texts: DataFrame, removed: DataFrame, units: Callable, kept: Callable) -> DataFrame:
     """``id``, ``n_units``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of each text.
 
-    ``removed`` has (id, block): int32 starts of windows of ``width`` units to be removed. ``units(data, bounds)``
-    tells where each text's units begin (an array with one more entry than texts), ``kept(data, k, keep)`` the bytes
-    that remain of text k. Only texts that may lose something are shuffled, told by a filter of fixed size.
+    ``removed`` has (id, block): int32 pairs of the ends of what is removed. ``units(data, bounds)`` tells by its
+    ``first`` where each text's units begin, ``kept(data, units, k, keep)`` the bytes that remain of text k. Only texts that may lose something are shuffled, told by a filter of fixed size.
     """
     bits = removed.select("id").distinct().mapInArrow(_ids, "part int, block binary").repartition(8).mapInArrow(_either, "part int, block binary").collect()
     hit = np.bitwise_or.reduce([np.frombuffer(r["block"], dtype=np.uint8) for r in bits]) if bits else np.zeros(1 << 20, dtype=np.uint8)
@@ -193,8 +198,8 @@ def cut_texts(texts: DataFrame, removed: DataFrame, units: Callable, width: int,
                 if not blocks[k]:
                     gone.append(0), spans.append(0), shas.append(batch.column(2)[k].as_py())
                     continue
-                starts = np.frombuffer(b"".join(blocks[k]), dtype=np.int32).astype(np.int64)
-                lost = ruled_out(starts, np.minimum(starts + width, n), n)
+                ends = np.frombuffer(b"".join(blocks[k]), dtype=np.int32).astype(np.int64).reshape(-1, 2)
+                lost = ruled_out(ends[:, 0], np.minimum(ends[:, 1], n), n)
                 data = np.frombuffer((texts_[k].as_py() or "").encode(), dtype=np.uint8)
                 at_units = units(data, np.array([0, len(data)]))
                 gone.append(int(lost.sum()))

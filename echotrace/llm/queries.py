@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, mixing, packing, pii, quality_rules, recompression, secrets_crf, sharding
+from . import fingerprints, jaccard_join, mixing, packing, pii, quality_rules, recompression, secrets_crf, sharding, suffix_dedup
 from .common import documents
 
 #: Production parameters.
@@ -20,6 +20,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.stream(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedupe(documents(spark, sf_dir))
+
+
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.dedupe(documents(spark, sf_dir))
 
@@ -51,5 +55,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op4_recompression, op5_quality_rules, op6_sharding, op7_pii, op8_fingerprints, op9_secrets, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_suffix_dedup, op4_recompression, op5_quality_rules, op6_sharding, op7_pii, op8_fingerprints, op9_secrets, op10_packing)}
 ORACLES: dict[str, str] = {}

@@ -104,7 +104,7 @@ def _open(known: Filter, rounds: int, window: int, parts: int):
         head = np.maximum.accumulate(np.where(fresh, np.arange(len(value)), 0))
         later = ~((doc == doc[head]) & (start == start[head]))
         rows = [(k, value[fresh][at].tobytes(), doc[fresh][at].tobytes(), start[fresh][at].tobytes()) for k, at in dealt(value[fresh], parts)]
-        rows += [(-1, b"", np.int64(d).tobytes(), s) for d, s in by_document(doc[later], start[later])]
+        rows += [(-1, b"", np.int64(d).tobytes(), s) for d, s in by_document(doc[later], start[later], window)]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "value", "doc", "start"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,16 +134,24 @@ def _open(known: Filter, rounds: int, window: int, parts: int):
     return of
 
 
-def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, starts) of all windows of a part but the earliest of each value."""
-    for _, table in by_part(batches):
-        value, doc, start = joined(table["value"], np.uint64), joined(table["doc"], np.int64), joined(table["start"], np.int32)
-        order = np.lexsort((start, doc, value))
-        value, doc, start = value[order], doc[order], start[order]
-        head = np.maximum.accumulate(np.where(np.concatenate([[True], value[1:] != value[:-1]]), np.arange(len(value)), 0))
-        later = ~((doc == doc[head]) & (start == start[head]))
-        rows = list(by_document(doc[later], start[later]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int64()), pa.array([r[1] for r in rows], type=pa.binary())], names=["id", "block"])
+def _earliest(window: int):
+    """(id, ends) of all windows of a part but the earliest of each value."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in by_part(batches):
+            yield later_windows(table, window)
+
+    return of
+
+
+def later_windows(table: pa.Table, window: int) -> pa.RecordBatch:
+    value, doc, start = joined(table["value"], np.uint64), joined(table["doc"], np.int64), joined(table["start"], np.int32)
+    order = np.lexsort((start, doc, value))
+    value, doc, start = value[order], doc[order], start[order]
+    head = np.maximum.accumulate(np.where(np.concatenate([[True], value[1:] != value[:-1]]), np.arange(len(value)), 0))
+    later = ~((doc == doc[head]) & (start == start[head]))
+    rows = list(by_document(doc[later], start[later], window))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int64()), pa.array([r[1] for r in rows], type=pa.binary())], names=["id", "block"])
 
 
 def _kept(data: np.ndarray, words: Words, k: int, keep: np.ndarray | None) -> bytes:
@@ -171,10 +179,10 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, w
     named = texts.where(F.col("id").isNotNull())
     known = anchor_filter(named.select("text"), _anchors(rounds, window), parts)
     left = written(named.mapInArrow(_open(known, rounds, window, parts), "part int, value binary, doc binary, start binary"))
-    compared = left.where(F.col("part") >= 0).repartition("part").sortWithinPartitions("part").mapInArrow(_earliest, "id bigint, block binary")
+    compared = left.where(F.col("part") >= 0).repartition("part").sortWithinPartitions("part").mapInArrow(_earliest(window), "id bigint, block binary")
     at_once = left.where(F.col("part") < 0).mapInArrow(_plain, "id bigint, block binary")
     removed = written(compared.unionByName(at_once))
-    out = cut_texts(texts, removed, Words, window, _kept)
+    out = cut_texts(texts, removed, Words, _kept)
     return out.select(F.col("id").alias(id_col), F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
 
 
