@@ -32,6 +32,15 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns under names that no operator uses; ``restored`` gives them back."""
+    return docs.toDF(*(f"_own{k}" for k in range(len(docs.columns))))
+
+
+def restored(names: Sequence[str]) -> list[Column]:
+    return [F.col(f"_own{k}").alias(c) for k, c in enumerate(names)]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; below a temporary one if that is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -95,45 +95,42 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``text`` (never null), ``packed`` and ``fingerprint`` of each row."""
-    df = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    df = once(df, "_words", words(F.lower("text")))
-    df = once(df.select(id_col, "text", packed(F.col("_words")).alias("_packed")), "packed", F.col("_packed")).drop("_packed")
-    return df.withColumn("fingerprint", digits(F.col("packed")))
+    return _printed(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
 
 
-def with_next(docs: DataFrame, id_col: str, carry: list[str], prefix: str, *, run: int = 1500, most_runs: int = 1024) -> DataFrame:
-    """Add ``carry`` of the next row by falling id as ``prefix`` + name; after the last row comes the first.
+def _printed(docs: DataFrame) -> DataFrame:
+    df = once(docs, "_words", words(F.lower("text"))).withColumn("_packed", packed(F.col("_words"))).drop("_words")
+    return once(df, "packed", F.col("_packed")).drop("_packed").withColumn("fingerprint", digits(F.col("packed")))
 
-    Ids are cut into runs at quantiles, and a window works inside a run. The row with a run's largest id is also sent,
-    as a guest, to the run above it, whose last row it follows. The driver sees one id for each run.
+
+def in_runs(docs: DataFrame, id_col: str, *, run: int = 1500, most_runs: int = 1024) -> tuple[DataFrame, Window]:
+    """``docs`` (id, text) cut into runs of ids, and the window in which a row's successor by falling id follows it.
+
+    Ids are cut at quantiles. The row with a run's largest id is also sent, as a guest (``_guest`` = 1), to the run above
+    it, whose last row it follows; the topmost one follows the lowest run. The driver sees one id for each run.
     """
     n = docs.count()
     runs = max(1, min(most_runs, n // run))
     cuts = sorted({x for x in (docs.agg(F.percentile_approx(id_col, [k / runs for k in range(1, runs)], 10000)).first()[0] or [])}) if runs > 1 else []
     number = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in cuts)), lambda x: x <= F.col(id_col))) if cuts else F.lit(0)
-    key = F.xxhash64("text")
-    rows = docs.withColumn("_run", number).withColumn("_key", key)
+    rows = docs.withColumn("_run", number).withColumn("_key", F.xxhash64("text"))
     heads = sorted((r["_run"], r["head"]["i"], r["head"]["k"]) for r in rows.groupBy("_run").agg(F.max(F.struct(F.col(id_col).alias("i"), F.col("_key").alias("k"))).alias("head")).collect()) if n else []
-    # The head of each run follows the run above it; the topmost head follows the lowest run.
-    follows = {heads[k][0]: heads[(k + 1) % len(heads)][0] for k in range(len(heads))}
-    guests = rows.where(F.col("_run").isin([]))
+    guests = rows.where(F.lit(False))
     if heads:
-        at = F.create_map(*(F.lit(x) for pair in follows.items() for x in pair))
+        follows = F.create_map(*(F.lit(x) for k in range(len(heads)) for x in (heads[k][0], heads[(k + 1) % len(heads)][0])))
         ids = [h[1] for h in heads if h[1] is not None]
-        mine = F.col(id_col).isin(ids) if ids else F.lit(False)
-        if any(h[1] is None for h in heads):
-            mine = F.coalesce(mine, F.lit(True))
+        mine = F.col(id_col).isin(ids) if len(ids) == len(heads) else F.lit(True)
         same = F.array_contains(F.array(*(F.struct(F.lit(h[0]).alias("r"), F.lit(h[2]).alias("k")) for h in heads)), F.struct(F.col("_run").alias("r"), F.col("_key").alias("k")))
-        guests = rows.where(mine & same).dropDuplicates(["_run"]).withColumn("_run", F.element_at(at, F.col("_run")))
+        guests = rows.where(mine & same).dropDuplicates(["_run"]).withColumn("_run", F.element_at(follows, F.col("_run")))
     both = rows.withColumn("_guest", F.lit(0)).unionByName(guests.withColumn("_guest", F.lit(1)))
-    order = Window.partitionBy("_run").orderBy("_guest", F.col(id_col).desc_nulls_last(), F.col("_key").desc())
-    both = both.select("*", *(F.lead(c).over(order).alias(f"{prefix}{c}") for c in carry))
-    return both.where(F.col("_guest") == 0).drop("_guest", "_run", "_key")
+    return both, Window.partitionBy("_run").orderBy("_guest", F.col(id_col).desc_nulls_last(), F.col("_key").desc())
 
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edit, whose last third comes from the next text, and their likenesses."""
-    rows = with_next(fingerprints(docs, id_col, text_col), id_col, ["text", "packed"], "next_")
+    rows, order = in_runs(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")), id_col)
+    rows = _printed(rows).select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "packed")))
+    rows = rows.where(F.col("_guest") == 0).drop("_guest", "_run", "_key")
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))

@@ -1,6 +1,6 @@
 """N-gram Jaccard join by size-aware heavy and light sets; its links' components.
 
-A text's set holds its distinct three-word shingles, in lower case. Equal sets are one class, and one set stands for it.
+A text's set holds its distinct shingles of a few words, in lower case. Equal sets are one class, and one set stands for it.
 Small sets are joined by the subsets that a link needs: two sets of n and m shingles link exactly if they share a
 subset of the required overlap, so each set lists its subsets of that size for each partner size and equal subsets
 meet. Larger sets are joined by scanning inverted lists: each set is listed under the rarest of its shingles, as many as
@@ -31,7 +31,6 @@ from .common import written
 from .components import components
 from .hashing import Words, lowered, mixed, runs, windows
 
-SHINGLE = 3
 #: Counters of the shingles' frequencies: 4 MB, whatever the corpus. They only order shingles; any order is exact.
 COUNTERS = 1 << 20
 #: Bits that tell which sets are verified: 1 MB. A wrong hit only writes a set that nobody asks for.
@@ -47,16 +46,16 @@ def required(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a run."""
     data = lowered(data)
     words = Words(data, bounds)
     hashes = words.hashes()
-    whole = windows(hashes, SHINGLE)
+    whole = windows(hashes, width)
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            out.append(np.unique(whole[a : b - SHINGLE + 1]))
+        if b - a >= width:
+            out.append(np.unique(whole[a : b - width + 1]))
         elif b > a:
             # The whole sequence is the one shingle, told apart from one of full length.
             out.append(mixed(windows(hashes[a:b], b - a)[:1] + np.uint64(b - a)))
@@ -65,13 +64,18 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, dtype=np.int32)
-    for batch in batches:
-        for _, _, data, bounds in runs(batch.column(0)):
-            for s in shingle_sets(data, bounds):
-                counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1  # a set's shingles rarely share a counter
-    yield _segments(counts)
+def _counted(width: int):
+    """The task's counters of shingles, each counted once for a text."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int32)
+        for batch in batches:
+            for _, _, data, bounds in runs(batch.column(0)):
+                for s in shingle_sets(data, bounds, width):
+                    counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1  # a set's shingles rarely share a counter
+        yield _segments(counts)
+
+    return of
 
 
 def _segments(values: np.ndarray, parts: int = 16) -> pa.RecordBatch:
@@ -92,14 +96,14 @@ def _merged(df: DataFrame, kind: type, merge: Callable) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["data"], dtype=kind) for r in sorted(rows, key=lambda r: r["segment"])]) if rows else np.zeros(0, dtype=kind)
 
 
-def _sketched(counts: np.ndarray, percent: int):
+def _sketched(counts: np.ndarray, percent: int, width: int):
     """Id, size, a 128-bit key of the set, its parity sketch, its rarest shingles, and all of them if it may be small."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for _, _, data, bounds in runs(batch.column(1)):
-                for s in shingle_sets(data, bounds):
+                for s in shingle_sets(data, bounds, width):
                     n = len(s)
                     again = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
                     key = (int(s.sum(dtype=np.uint64)), int(again.sum(dtype=np.uint64)))
@@ -269,13 +273,13 @@ def _bloom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _segments(np.packbits(bits))
 
 
-def _whole_sets(bloom: np.ndarray):
+def _whole_sets(bloom: np.ndarray, width: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = (mixed(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(BLOOM - 1)).astype(np.int64)
             batch = batch.filter(pa.array((bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
             if batch.num_rows:
-                sets = [s.tobytes() for _, _, data, bounds in runs(batch.column(1)) for s in shingle_sets(data, bounds)]
+                sets = [s.tobytes() for _, _, data, bounds in runs(batch.column(1)) for s in shingle_sets(data, bounds, width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.binary())], names=["id", "members"])
 
     return of
@@ -294,11 +298,11 @@ def _verified(percent: int):
     return of
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 90) -> DataFrame:
-    """Id, ``n_shingles`` and ``component_id`` of each row; sets link from a similarity of ``percent`` / 100."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 90, shingle: int = 3) -> DataFrame:
+    """Id, ``n_shingles`` and ``component_id`` of each row; sets of ``shingle`` words link from a similarity of ``percent`` / 100."""
     mine = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    counts = _merged(mine.select("text").mapInArrow(_counted, "segment int, data binary"), np.int32, np.add)
-    sets = written(mine.mapInArrow(_sketched(counts, percent), "id bigint, n bigint, k1 bigint, k2 bigint, parity binary, rare array<bigint>, small array<bigint>"))
+    counts = _merged(mine.select("text").mapInArrow(_counted(shingle), "segment int, data binary"), np.int32, np.add)
+    sets = written(mine.mapInArrow(_sketched(counts, percent, shingle), "id bigint, n bigint, k1 bigint, k2 bigint, parity binary, rare array<bigint>, small array<bigint>"))
     classes = written(sets.where(F.col("n") > 0).groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")))
     alone = written(sets.where(F.col("n") > 0).join(classes.where(F.col("rep").isNotNull()), ["k1", "k2", "n"]).where(F.col("id") == F.col("rep")).dropDuplicates(["id"]).select("id", "n", "parity", "rare", "small"))
     # Lists of one entry tell nothing.
@@ -315,7 +319,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per
     parts = [F.expr(f"cast(conv(hex(substring(parity, {8 * k + 1}, 8)), 16, -10) as bigint)").alias(f"p{k}") for k in range(4)]
     wanted = written(shared.where(F.col("n") >= least).drop("c").join(alone.select("id", *parts), "id"))
     bloom = _merged(wanted.select("id").distinct().mapInArrow(_bloom, "segment int, data binary"), np.uint8, np.bitwise_or)
-    whole = written(mine.where(F.col("id").isNotNull()).mapInArrow(_whole_sets(bloom), "id bigint, members binary").dropDuplicates(["id"])) if len(bloom) else None
+    whole = written(mine.where(F.col("id").isNotNull()).mapInArrow(_whole_sets(bloom, shingle), "id bigint, members binary").dropDuplicates(["id"])) if len(bloom) else None
     for mode, round_ in (("all", 0), *(("leaders", k) for k in range(1, LEADER_ROUNDS)), ("rest", LEADER_ROUNDS)):
         if whole is None:
             break
@@ -337,3 +341,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per
     named = classes.join(labels, F.col("rep") == F.col("id"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` without those whose component has a smaller id. Rows of one id are one document; rows with a null id stay."""
+    groups = join(docs, id_col, text_col, percent=percent, shingle=shingle)
+    later = groups.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    return docs.join(later, id_col, "left_anti").select(*docs.columns)

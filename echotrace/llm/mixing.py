@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, words, written
+from .common import aside, restored, spread, words, written
 
 #: Sources up to which the plan of the sources is broadcast: some 100 bytes each.
 MOST_BROADCAST = 50_000
@@ -122,6 +122,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The rows of ``docs``, each as often as the mix has it. No text is shuffled."""
     rows = written(_rows(docs, id_col, text_col, source_col))
     of = plan(rows, target, max_epochs).select(F.col("_source").alias("_s"), "whole", "cut")
-    boxed = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_id"), F.col(source_col).alias("_source"))
-    seen = boxed.join(_small(of, of.count()), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_next", _draw(F.col("_id"), F.col("whole")))
-    return seen.select("_row", _copies()).select("_row.*")
+    own = {c: F.col(f"_own{k}") for k, c in enumerate(docs.columns)}
+    mine = aside(docs).select("*", F.xxhash64(own[id_col], own[text_col]).alias("_id"), own[source_col].alias("_source"))
+    seen = mine.join(_small(of, of.count()), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_next", _draw(F.col("_id"), F.col("whole")))
+    return seen.select("*", _copies()).select(*restored(docs.columns))

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, written
+from .common import aside, once, restored, written
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Leftmost, non-overlapping. A local part starts where its run of characters does, or where the match before ended:
@@ -214,8 +214,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     One pass trains on all candidates, a second finds and replaces; no text is shuffled.
     """
     weights = train(written(candidates(docs.select(F.col(text_col).alias("_t")), "_t").select("_loose")))
-    boxed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_t"))
-    df = candidates(boxed, "_t")
+    at = docs.columns.index(text_col)
+    df = candidates(aside(docs).withColumn("_t", F.col(f"_own{at}")), "_t")
     simple = lambda xs: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     df = once(df, "_cut", F.array_sort(F.concat(simple(F.col("_base")), simple(accepted(weights)))))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -227,5 +227,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     done = F.aggregate("_cut", begin, step)
     text = F.when(F.size("_cut") == 0, F.col("_t")).otherwise(F.concat(done["out"], F.substring(F.col("_t"), done["at"] + 1, F.length("_t"))))
-    names = docs.columns
-    return df.withColumn("_new", text).select(*((F.col("_new") if c == text_col else F.col("_row")[c]).alias(c) for c in names))
+    return df.withColumn(f"_own{at}", text).select(*restored(docs.columns))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, once, words, written
+from .common import aside, let, once, restored, words, written
 
 #: What ``features`` adds.
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -209,5 +209,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     mine = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     measured = features(mine.join(truth, "_id"), "_t").drop("_t")
     rules = learn(written(measured), "_bad", "_id", **learning)
-    boxed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_t"))
-    return features(boxed, "_t").where(~base_failed() & (verdict(rules) == 0)).select("_row.*")
+    mine = aside(docs).withColumn("_t", F.col(f"_own{docs.columns.index(text_col)}"))
+    return features(mine, "_t").where(~base_failed() & (verdict(rules) == 0)).select(*restored(docs.columns))
