@@ -330,7 +330,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per
             going = listed.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("a"), F.max("component").alias("b")).where((F.col("c") > SHORT) & (F.col("a") != F.col("b"))).select("token")
             listed = listed.join(going, "token", "left_semi")
         columns = [c.split()[0] for c in POSTING.split(", ")]
-        pairs = listed.select(*columns).repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_scan(mode, bound, percent, round_), "u bigint, v bigint")
+        # By a hash of the token: after a join by token itself Spark would leave this shuffle out, and a skewed join's
+        # split would cut a list in two.
+        pairs = listed.select(*columns).repartition(F.xxhash64("token")).sortWithinPartitions("token", "n", "id").mapInArrow(_scan(mode, bound, percent, round_), "u bigint, v bigint")
         pairs = written(pairs.distinct())
         if pairs.isEmpty():
             continue
