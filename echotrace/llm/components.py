@@ -29,4 +29,6 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    # Every vertex points at its component's centre now, and the centre at itself.
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), "v"), F.struct(F.col("v").alias("id"), "v"))).alias("e"))
+    return ends.groupBy("e.id").agg(F.min("e.v").alias("component"))

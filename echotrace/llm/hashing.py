@@ -26,7 +26,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def runs(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows with about ``most`` bytes of text: first row, row after the last, bytes, bounds of the texts."""
     if not pa.types.is_string(column.type):
         column = column.cast(pa.string())

@@ -31,8 +31,10 @@ from .common import written
 from .components import components
 from .hashing import Words, lowered, mixed, runs, windows
 
-#: Counters of the shingles' frequencies: 4 MB, whatever the corpus. They only order shingles; any order is exact.
-COUNTERS = 1 << 20
+#: Counters of the shingles' frequencies: 8 MB, whatever the corpus. They only order shingles; any order is exact.
+COUNTERS = 1 << 22
+#: Pairs up to which they are broadcast to the sets: 16 bytes each.
+MOST_BROADCAST = 200_000
 #: Bits that tell which sets are verified: 1 MB. A wrong hit only writes a set that nobody asks for.
 BLOOM = 1 << 23
 #: Longest list of which all pairs are scanned in the first round, and rounds of leaders for longer ones.
@@ -68,11 +70,13 @@ def _counted(width: int):
     """The task's counters of shingles, each counted once for a text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.int32)
+        # A task's counters stop at 255.
+        counts = np.zeros(COUNTERS, dtype=np.uint8)
         for batch in batches:
             for _, _, data, bounds in runs(batch.column(0)):
                 for s in shingle_sets(data, bounds, width):
-                    counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1  # a set's shingles rarely share a counter
+                    at = (s & np.uint64(COUNTERS - 1)).astype(np.int64)  # a set's shingles rarely share a counter
+                    counts[at] += counts[at] < 255
         yield _segments(counts)
 
     return of
@@ -82,18 +86,24 @@ def _segments(values: np.ndarray, parts: int = 16) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(parts), type=pa.int32()), pa.array([x.tobytes() for x in np.split(values, parts)], type=pa.binary())], names=["segment", "data"])
 
 
-def _merged(df: DataFrame, kind: type, merge: Callable) -> np.ndarray:
-    """Merge the tasks' arrays segment by segment; the driver gets one array of fixed size."""
+def _merged(df: DataFrame, kind: type, wide: type, merge: Callable) -> np.ndarray:
+    """Merge the tasks' arrays of ``kind`` segment by segment, as ``wide``; the driver gets one array of fixed size."""
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = np.frombuffer(data, dtype=kind)
-                total[k] = merge(total[k], x) if k in total else x.copy()
+                total[k] = merge(total[k], x) if k in total else x.astype(wide)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int32()), pa.array([x.tobytes() for x in total.values()], type=pa.binary())], names=["segment", "data"])
 
     rows = df.repartition(16, "segment").mapInArrow(join, "segment int, data binary").collect()
-    return np.concatenate([np.frombuffer(r["data"], dtype=kind) for r in sorted(rows, key=lambda r: r["segment"])]) if rows else np.zeros(0, dtype=kind)
+    return np.concatenate([np.frombuffer(r["data"], dtype=wide) for r in sorted(rows, key=lambda r: r["segment"])]) if rows else np.zeros(0, dtype=wide)
+
+
+def set_key(s: np.ndarray) -> tuple[np.ndarray, tuple[int, int]]:
+    """The members hashed again, and two 64-bit sums that tell the set from others."""
+    again = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
+    return again, tuple(x.sum(dtype=np.uint64).astype(np.int64).item() for x in (s, again))
 
 
 def _sketched(counts: np.ndarray, percent: int, width: int):
@@ -105,11 +115,10 @@ def _sketched(counts: np.ndarray, percent: int, width: int):
             for _, _, data, bounds in runs(batch.column(1)):
                 for s in shingle_sets(data, bounds, width):
                     n = len(s)
-                    again = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
-                    key = (int(s.sum(dtype=np.uint64)), int(again.sum(dtype=np.uint64)))
+                    again, key = set_key(s)
                     parity = np.packbits((np.bincount((again & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).tobytes() if n else bytes(32)
                     rare = s[np.lexsort((s, counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))][: n - -(-percent * n // 100) + 1] if n else s
-                    rows.append((n, *(np.uint64(k).astype(np.int64).item() for k in key), parity, rare.view(np.int64), s.view(np.int64) if n <= MOST_SMALL else s[:0].view(np.int64)))
+                    rows.append((n, *key, parity, rare.view(np.int64), s.view(np.int64) if n <= MOST_SMALL else s[:0].view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds))], names=["id", "n", "k1", "k2", "parity", "rare", "small"])
 
@@ -279,8 +288,8 @@ def _whole_sets(bloom: np.ndarray, width: int):
             at = (mixed(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(BLOOM - 1)).astype(np.int64)
             batch = batch.filter(pa.array((bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
             if batch.num_rows:
-                sets = [s.tobytes() for _, _, data, bounds in runs(batch.column(1)) for s in shingle_sets(data, bounds, width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.binary())], names=["id", "members"])
+                sets = [(*set_key(s)[1], s.tobytes()) for _, _, data, bounds in runs(batch.column(1)) for s in shingle_sets(data, bounds, width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in sets], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["rep", "k1", "k2", "members"])
 
     return of
 
@@ -301,47 +310,59 @@ def _verified(percent: int):
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 90, shingle: int = 3) -> DataFrame:
     """Id, ``n_shingles`` and ``component_id`` of each row; sets of ``shingle`` words link from a similarity of ``percent`` / 100."""
     mine = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    counts = _merged(mine.select("text").mapInArrow(_counted(shingle), "segment int, data binary"), np.int32, np.add)
-    sets = written(mine.mapInArrow(_sketched(counts, percent, shingle), "id bigint, n bigint, k1 bigint, k2 bigint, parity binary, rare array<bigint>, small array<bigint>"))
-    classes = written(sets.where(F.col("n") > 0).groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")))
-    alone = written(sets.where(F.col("n") > 0).join(classes.where(F.col("rep").isNotNull()), ["k1", "k2", "n"]).where(F.col("id") == F.col("rep")).dropDuplicates(["id"]).select("id", "n", "parity", "rare", "small"))
+    counts = _merged(mine.select("text").mapInArrow(_counted(shingle), "segment int, data binary"), np.uint8, np.int64, np.add)
+    sets = written(mine.mapInArrow(_sketched(np.minimum(counts, 65535).astype(np.uint16), percent, shingle), "id bigint, n bigint, k1 bigint, k2 bigint, parity binary, rare array<bigint>, small array<bigint>"))
+    key = ["k1", "k2", "n"]
+    # Numbered as they are written, so a number stays with its class.
+    grouped = sets.where(F.col("n") > 0).groupBy(*key).agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("parity", "rare", "small")))
+    classes = written(grouped.where(F.col("rep").isNotNull()).withColumn("id", F.monotonically_increasing_id()))
     # Lists of one entry tell nothing.
-    entries = alone.select("id", "n", F.explode("rare").alias("token"))
+    entries = classes.select("id", "n", F.explode("rare").alias("token"))
     lists = entries.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > 1)
     shared = written(entries.join(lists, "token"))
     lengths = {r["n"]: r["mean"] for r in shared.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.avg("c").alias("mean")).collect()}
-    histogram = {r["n"]: (r["count"], lengths.get(r["n"], 1.0)) for r in alone.where(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
+    histogram = {r["n"]: (r["count"], lengths.get(r["n"], 1.0)) for r in classes.where(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
     bound = small_bound(histogram, percent)
-    links = _small_links(alone, bound, percent)
-    found = written(links)
+    found = written(_small_links(classes, bound, percent))
     # Small sets stay in the lists as far as larger ones may link with them.
     least = -(-percent * (bound + 1) // 100)
     parts = [F.expr(f"cast(conv(hex(substring(parity, {8 * k + 1}, 8)), 16, -10) as bigint)").alias(f"p{k}") for k in range(4)]
-    wanted = written(shared.where(F.col("n") >= least).drop("c").join(alone.select("id", *parts), "id"))
-    bloom = _merged(wanted.select("id").distinct().mapInArrow(_bloom, "segment int, data binary"), np.uint8, np.bitwise_or)
-    whole = written(mine.where(F.col("id").isNotNull()).mapInArrow(_whole_sets(bloom, shingle), "id bigint, members binary").dropDuplicates(["id"])) if len(bloom) else None
+    wanted = written(shared.where(F.col("n") >= least).join(classes.select("id", *parts), "id"))
+
+    def scanned(listed: DataFrame, mode: str, round_: int) -> DataFrame:
+        # By a hash of the token: after a join by token itself Spark would leave this shuffle out, and a skewed join's
+        # split would cut a list in two.
+        rows = listed.select(*(c.split()[0] for c in POSTING.split(", "))).repartition(F.xxhash64("token")).sortWithinPartitions("token", "n", "id")
+        return written(rows.mapInArrow(_scan(mode, bound, percent, round_), "u bigint, v bigint").distinct())
+
+    pairs = scanned(wanted.withColumn("component", F.col("id")), "all", 0)
+    # Whole sets of all that may have to be verified: those in a pair now, and those in long lists.
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(wanted.where(F.col("c") > SHORT).select("id")).distinct().join(classes, "id").select("id", "rep", "k1", "k2")
+    asked = written(asked)
+    bloom = _merged(asked.select("rep").mapInArrow(_bloom, "segment int, data binary"), np.uint8, np.uint8, np.bitwise_or)
+    whole = None
+    if len(bloom):
+        members = mine.where(F.col("id").isNotNull()).mapInArrow(_whole_sets(bloom, shingle), "rep bigint, k1 bigint, k2 bigint, members binary")
+        whole = written(members.join(asked, ["rep", "k1", "k2"]).select("id", "members"))
     for mode, round_ in (("all", 0), *(("leaders", k) for k in range(1, LEADER_ROUNDS)), ("rest", LEADER_ROUNDS)):
         if whole is None:
             break
-        known = components(found) if round_ else None
-        listed = wanted.withColumn("component", F.col("id")) if known is None else wanted.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
         if round_:
+            listed = wanted.where(F.col("c") > SHORT).join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
             # Only long lists that still hold more than one component.
-            going = listed.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("a"), F.max("component").alias("b")).where((F.col("c") > SHORT) & (F.col("a") != F.col("b"))).select("token")
-            listed = listed.join(going, "token", "left_semi")
-        columns = [c.split()[0] for c in POSTING.split(", ")]
-        # By a hash of the token: after a join by token itself Spark would leave this shuffle out, and a skewed join's
-        # split would cut a list in two.
-        pairs = listed.select(*columns).repartition(F.xxhash64("token")).sortWithinPartitions("token", "n", "id").mapInArrow(_scan(mode, bound, percent, round_), "u bigint, v bigint")
-        pairs = written(pairs.distinct())
-        if pairs.isEmpty():
-            continue
-        a, b = (whole.select(F.col("id").alias(x), F.col("members").alias(f"m{x}")) for x in "uv")
-        good = pairs.join(a, "u").join(b, "v").select("u", "v", "mu", "mv").mapInArrow(_verified(percent), "u bigint, v bigint")
-        found = written(found.unionByName(good))
+            going = listed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b")).select("token")
+            pairs = scanned(listed.join(going, "token", "left_semi"), mode, round_)
+        n = pairs.count()
+        if n:
+            few = F.broadcast(pairs) if n <= MOST_BROADCAST else pairs
+            a, b = (whole.select(F.col("id").alias(x), F.col("members").alias(f"m{x}")).join(few, x) for x in "uv")
+            good = a.join(b, ["u", "v"]).select("u", "v", "mu", "mv").mapInArrow(_verified(percent), "u bigint, v bigint")
+            found = written(found.unionByName(good))
     labels = components(found)
-    named = classes.join(labels, F.col("rep") == F.col("id"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
+    named = classes.join(labels, "id", "left").select(*key, "rep", F.coalesce("component", "id").alias("component"))
+    least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least_id, "component").select(*key, "component_id")
+    out = sets.select("id", *key).join(named, key, "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .hashing import mixed, runs
 
 #: Values that a task holds before it sends them.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Bits of the filter of repeated anchors: 16 MB, whatever the corpus. A wrong hit only keeps a window for comparison.
 FILTER = 1 << 27
 

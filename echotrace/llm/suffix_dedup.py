@@ -33,7 +33,7 @@ COVER_MODULUS, COVER = 31, [1, 5, 11, 24, 25, 27]
 #: Bytes by which suffixes are sorted before ties are resolved; more than any distance to a common cover position.
 PREFIX = 32
 #: Bytes of pieces that a task holds before it sends them.
-HELD_BYTES = 24 << 20
+HELD_BYTES = 8 << 20
 
 
 def _distances() -> np.ndarray:
