@@ -20,10 +20,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(max(1, n), dtype=np.uint64)
-    out[1:] = np.uint64(base)
-    return np.cumprod(out, dtype=np.uint64)
+    """The first ``n`` powers modulo 2 ** 64; a worker keeps those it has worked out."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(max(1 << 16, n), base, dtype=np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS[base][:n]
 
 
 def runs(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

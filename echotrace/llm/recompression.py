@@ -93,7 +93,7 @@ def _anchors(rounds: int, window: int):
 
 
 def _open(known: Filter, rounds: int, window: int, parts: int):
-    """Windows that no symbol rules out: of equal ones the task's earliest (``part`` >= 0), the others as removed (-1)."""
+    """Windows that no symbol rules out: of equal ones the task's earliest (``part`` >= 0), the others as removed (``part`` < 0)."""
 
     def blocks(held: list[tuple]) -> pa.RecordBatch:
         value, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -104,7 +104,7 @@ def _open(known: Filter, rounds: int, window: int, parts: int):
         head = np.maximum.accumulate(np.where(fresh, np.arange(len(value)), 0))
         later = ~((doc == doc[head]) & (start == start[head]))
         rows = [(k, value[fresh][at].tobytes(), doc[fresh][at].tobytes(), start[fresh][at].tobytes()) for k, at in dealt(value[fresh], parts)]
-        rows += [(-1, b"", np.int64(d).tobytes(), s) for d, s in by_document(doc[later], start[later], window)]
+        rows += [(-1 - k % parts, b"", np.int64(d).tobytes(), s) for k, (d, s) in enumerate(by_document(doc[later], start[later], window))]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "value", "doc", "start"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +138,11 @@ def _earliest(window: int):
     """(id, ends) of all windows of a part but the earliest of each value."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in by_part(batches):
-            yield later_windows(table, window)
+        for part, table in by_part(batches):
+            if part < 0:
+                yield pa.RecordBatch.from_arrays([pa.array(joined(table["doc"], np.int64)), table["start"].combine_chunks()], names=["id", "block"])
+            else:
+                yield later_windows(table, window)
 
     return of
 
@@ -178,20 +181,12 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, w
         parts = size_in_parts(texts)
     named = texts.where(F.col("id").isNotNull())
     known = anchor_filter(named.select("text"), _anchors(rounds, window), parts)
-    left = written(named.mapInArrow(_open(known, rounds, window, parts), "part int, value binary, doc binary, start binary"))
-    compared = left.where(F.col("part") >= 0).repartition("part").sortWithinPartitions("part").mapInArrow(_earliest(window), "id bigint, block binary")
-    at_once = left.where(F.col("part") < 0).mapInArrow(_plain, "id bigint, block binary")
-    removed = written(compared.unionByName(at_once))
+    left = named.mapInArrow(_open(known, rounds, window, parts), "part int, value binary, doc binary, start binary")
+    removed = written(left.repartition("part").sortWithinPartitions("part").mapInArrow(_earliest(window), "id bigint, block binary"))
     out = cut_texts(texts, removed, Words, _kept)
     return out.select(F.col("id").alias(id_col), F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
 
 
-def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = joined(pa.chunked_array([batch.column(2)], type=pa.binary()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(3)], names=["id", "block"])
-
-
 def size_in_parts(texts: DataFrame, each: int = 16 << 20, least: int = 64, most: int = 4096) -> int:
     """A power of two, so that the filter divides evenly."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .hashing import BYTES, mixed, runs
+from .hashing import BYTES, mixed, runs, windows
 from .marks import Filter, anchor_filter, by_document, by_part, cut_texts, dealt, joined
 from .recompression import size_in_parts
 
@@ -63,15 +63,11 @@ def window_anchors(data: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarr
     out = np.zeros(len(data), dtype=np.uint64)
     if len(data) < width:
         return out
-    gram, reach = BYTES[data], 1
-    while reach < GRAM:  # doubling: a gram's hash from its halves
-        gram = mixed(gram[:-reach] * np.uint64(0x9E3779B97F4A7C15 + 2 * reach) + gram[reach:])
-        reach *= 2
-    least = _spans(gram | np.uint64(1), width - GRAM + 1, np.minimum)
+    least = _spans(windows(BYTES[data], GRAM) | np.uint64(1), width - GRAM + 1, np.minimum)
     out[: len(least)] = least
-    # Windows that would cross the end of their text.
-    ends = np.repeat(bounds[1:], np.diff(bounds))
-    out[np.arange(len(data)) + width > ends] = 0
+    # No window crosses the end of its text.
+    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        out[max(begin, end - width + 1) : end] = 0
     return out
 
 
@@ -87,11 +83,20 @@ def _anchors(width: int):
     return of
 
 
+def squeezed(data: bytes) -> bytes:
+    """Compressed, with its length before it."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _pieces(known: Filter, width: int, parts: int):
     """Pieces of text whose windows share an anchor that may occur again, by the range of the anchor.
 
     Of equal pieces of several documents in a task the least document's goes on (``part`` >= 0); the others are removed
-    at once (-1).
+    at once (``part`` < 0).
     """
 
     def blocks(data: list[bytes], anchor: list[np.ndarray], doc: list[np.ndarray], start: list[np.ndarray], size: list[np.ndarray]) -> pa.RecordBatch:
@@ -108,13 +113,13 @@ def _pieces(known: Filter, width: int, parts: int):
         stay = np.flatnonzero(~lost)
         for part, which in dealt(mixed(anchors[stay]), parts):
             of_part = stay[which]
-            rows.append((part, b"".join(raw[at[k] : at[k + 1]] for k in of_part.tolist()), docs[of_part].tobytes(), starts[of_part].tobytes(), sizes[of_part].tobytes()))
+            rows.append((part, squeezed(b"".join(raw[at[k] : at[k + 1]] for k in of_part.tolist())), docs[of_part].tobytes(), starts[of_part].tobytes(), sizes[of_part].tobytes()))
         gone = np.flatnonzero(lost)
         order = gone[np.argsort(docs[gone], kind="stable")]
         cuts = np.flatnonzero(np.concatenate([[True], docs[order][1:] != docs[order][:-1], [True]])) if len(order) else []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             k = order[a:b]
-            rows.append((-1, b"", docs[k[:1]].tobytes(), np.stack([starts[k], starts[k] + sizes[k]], axis=1).astype(np.int32).tobytes(), b""))
+            rows.append((-1 - a % parts, b"", docs[k[:1]].tobytes(), np.stack([starts[k], starts[k] + sizes[k]], axis=1).astype(np.int32).tobytes(), b""))
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "text", "doc", "start", "size"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,78 +179,88 @@ def prefix_ranks(text: np.ndarray, suffixes: np.ndarray, width: int) -> np.ndarr
     if not len(unresolved):
         return rank
     # Cover positions that a tie may ask for, ranked by their own first bytes.
-    asked = np.zeros(len(text) + 1, dtype=np.int32)
-    np.add.at(asked, suffixes[unresolved], 1)
-    np.add.at(asked, suffixes[unresolved] + COVER_MODULUS, -1)
-    near = np.flatnonzero(np.cumsum(asked)[:-1] > 0)
+    n = len(text)
+    asked = np.bincount(suffixes[unresolved], minlength=n + COVER_MODULUS) - np.bincount(suffixes[unresolved] + COVER_MODULUS, minlength=n + COVER_MODULUS)
+    near = np.flatnonzero(np.cumsum(asked)[:n] > 0)
     sample = near[np.isin(near % COVER_MODULUS, COVER)]
     words = _words(text, sample, width)
     order = np.lexsort(words[::-1])
-    place = np.zeros(len(text), dtype=np.int32)
+    place = np.zeros(n, dtype=np.int32)
     place[sample[order]] = np.arange(len(sample))
-    common = np.full(len(sample), width, dtype=np.int64)  # bytes shared with the sample suffix ranked before
-    for k in range(len(words) - 1, -1, -1):
-        x = words[k][order]
-        apart = np.concatenate([[np.uint64(0)], x[1:] ^ x[:-1]])
-        byte = np.zeros(len(x), dtype=np.int64)
-        for b in range(8):
-            byte += (apart < np.uint64(1 << (56 - 8 * b))).astype(np.int64) if b < 7 else (apart == 0).astype(np.int64)
-        common = np.where(apart != 0, 8 * k + np.minimum(byte, 7), common)
-    common[0] = 0
+    common = _shared_with_previous([w[order] for w in words], width)
     classes: dict[int, np.ndarray] = {}
-    open_, label = unresolved, rank[unresolved] * 1
-    done = np.zeros(len(suffixes), dtype=bool)
-    fine = rank.astype(np.int64)  # refined from round to round, in order
-    while len(open_):
-        order = np.argsort(label, kind="stable")
-        open_, label = open_[order], label[order]
-        head = np.concatenate([[True], label[1:] != label[:-1]])
-        # A pivot from the middle of each group, against which all of the group are compared.
-        begin = np.flatnonzero(head)
-        length = np.diff(np.append(begin, len(label)))
+    # Ternary quicksort over all groups at once. A suffix's way through the pivots is written as digits 0, 1, 2 of a
+    # number, the first digit first, so that the numbers order a group in the end.
+    way = np.zeros(len(suffixes), dtype=np.int64)
+    open_ = unresolved[np.argsort(rank[unresolved], kind="stable")]
+    group = rank[open_]
+    for depth in range(38, -1, -1):
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
+        length = np.diff(np.append(begin, len(group)))
+        if depth == 0 or not len(group):
+            break
         pivot = np.repeat(suffixes[open_[begin + length // 2]], length)
         mine = suffixes[open_]
         far = DISTANCES[mine % COVER_MODULUS, pivot % COVER_MODULUS]
         a, b = place[mine + far], place[pivot + far]
-        less = np.where(a < b, 0, 2)
-        for d in np.unique(far).tolist():
+        digit = np.where(a < b, 0, 2)
+        for d in np.flatnonzero(np.bincount(far)).tolist():
             if d not in classes:
-                classes[d] = np.cumsum(common < width - d)
-            at = far == d
-            less[at] = np.where(classes[d][a[at]] == classes[d][b[at]], 1, less[at])
-        label = label * 3 + less
-        done[open_[less == 1]] = True
-        # Dense labels again, still in order, so that they don't overflow.
-        dense = np.unique(np.concatenate([label]), return_inverse=True)[1]
-        merged = np.lexsort((np.zeros(len(open_)), label))
-        fine = _refined(fine, open_[merged], dense[merged])
-        keep = less != 1
-        open_, label = open_[keep], dense[keep]
-        # A group of one has nothing left to be told from.
-        if len(open_):
-            count = np.bincount(label)
-            keep = count[label] > 1
-            open_, label = open_[keep], label[keep]
-    return fine
-
-
-def _refined(rank: np.ndarray, which: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """``rank`` with ``which`` told apart by ``label`` inside their rank."""
-    inner = np.zeros(len(rank), dtype=np.int64)
-    inner[which] = label + 1
-    order = np.lexsort((inner, rank))
-    new = np.concatenate([[True], (rank[order][1:] != rank[order][:-1]) | (inner[order][1:] != inner[order][:-1])])
+                classes[d] = np.cumsum(common < width - d, dtype=np.int32)
+            at = np.flatnonzero(far == d)
+            digit[at] = np.where(classes[d][a[at]] == classes[d][b[at]], 1, digit[at])
+        way[open_] += digit * 3**depth
+        keep = digit != 1
+        open_, group = open_[keep], np.repeat(np.arange(len(begin)), length)[keep] * 3 + digit[keep]
+        order = np.argsort(group, kind="stable")
+        open_, group = open_[order], group[order]
+        # A suffix that is alone in its group has nothing left to be told from.
+        if len(group):
+            first = np.concatenate([[True], group[1:] != group[:-1]])
+            alone = first & np.concatenate([first[1:], [True]])
+            open_, group = open_[~alone], group[~alone]
+    order = np.lexsort((way, rank))
+    new = np.concatenate([[True], (rank[order][1:] != rank[order][:-1]) | (way[order][1:] != way[order][:-1])])
     out = np.empty(len(rank), dtype=np.int64)
     out[order] = np.cumsum(new) - 1
-    return out
+    if not len(open_):
+        return out
+    # Deeper than the digits reach: the same again for what is left, by whole strings.
+    keys = np.lexsort([*_words(text, suffixes[open_], width)[::-1], out[open_]])
+    left = open_[keys]
+    words = [out[left], *_words(text, suffixes[left], width)]
+    inner = np.zeros(len(rank), dtype=np.int64)
+    inner[left] = np.cumsum(np.concatenate([[True], np.any([w[1:] != w[:-1] for w in words], axis=0)]))
+    order = np.lexsort((inner, out))
+    new = np.concatenate([[True], (out[order][1:] != out[order][:-1]) | (inner[order][1:] != inner[order][:-1])])
+    final = np.empty(len(rank), dtype=np.int64)
+    final[order] = np.cumsum(new) - 1
+    return final
+
+
+def _shared_with_previous(words: list[np.ndarray], width: int) -> np.ndarray:
+    """How many of the first ``width`` bytes each sorted string shares with the one before it."""
+    common = np.full(len(words[0]), width, dtype=np.int64)
+    for k in range(len(words) - 1, -1, -1):
+        apart = np.flatnonzero(words[k][1:] != words[k][:-1]) + 1
+        x = words[k][apart] ^ words[k][apart - 1]
+        byte = np.full(len(apart), 7, dtype=np.int64)
+        for b in range(6, -1, -1):
+            byte[x >= np.uint64(1 << (56 - 8 * b))] = b
+        common[apart] = 8 * k + byte
+    common[:1] = 0
+    return common
 
 
 def _sorted_bucket(width: int):
     """(id, ends) of the windows of a bucket that a smaller document holds too."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in by_part(batches):
-            text = np.frombuffer(b"".join(table["text"].to_pylist()) + bytes(width + 48), dtype=np.uint8)
+        for part, table in by_part(batches):
+            if part < 0:
+                yield pa.RecordBatch.from_arrays([pa.array(joined(table["doc"], np.int64)), table["start"].combine_chunks()], names=["id", "block"])
+                continue
+            text = np.frombuffer(b"".join(map(unsqueezed, table["text"].to_pylist())) + bytes(width + 48), dtype=np.uint8)
             doc, start, size = joined(table["doc"], np.int64), joined(table["start"], np.int32), joined(table["size"], np.int32).astype(np.int64)
             at = np.concatenate([[0], np.cumsum(size)])[:-1]
             count = size - width + 1
@@ -274,25 +289,17 @@ def _kept(data: np.ndarray, units: Bytes, k: int, keep: np.ndarray | None) -> by
     return (text if keep is None else text[keep]).tobytes()
 
 
-def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = joined(pa.chunked_array([batch.column(0)], type=pa.binary()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(1)], names=["id", "block"])
-
-
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, parts: int | None = None) -> DataFrame:
     """Id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of each row.
 
-    ``parts`` is the number of buckets, by default one for 8 MB of text and 64 at least.
+    ``parts`` is the number of buckets, by default one for 4 MB of text and 64 at least.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     if parts is None:
-        parts = size_in_parts(texts, each=8 << 20)
+        parts = size_in_parts(texts, each=4 << 20)
     named = texts.where(F.col("id").isNotNull())
     known = anchor_filter(named.select("text"), _anchors(width), parts)
-    pieces = written(named.mapInArrow(_pieces(known, width, parts), "part int, text binary, doc binary, start binary, size binary"))
-    compared = pieces.where(F.col("part") >= 0).repartition("part").sortWithinPartitions("part").mapInArrow(_sorted_bucket(width), "id bigint, block binary")
-    at_once = pieces.where(F.col("part") < 0).select("doc", "start").mapInArrow(_plain, "id bigint, block binary")
-    removed = written(compared.unionByName(at_once))
+    pieces = named.mapInArrow(_pieces(known, width, parts), "part int, text binary, doc binary, start binary, size binary")
+    removed = written(pieces.repartition("part").sortWithinPartitions("part").mapInArrow(_sorted_bucket(width), "id bigint, block binary"))
     out = cut_texts(texts, removed, Bytes, _kept)
     return out.select(F.col("id").alias(id_col), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
