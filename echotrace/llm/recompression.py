@@ -27,7 +27,7 @@ from .common import written
 from .hashing import Words, mixed, runs, windows
 from .marks import HELD, Filter, anchor_filter, by_document, by_part, cut_texts, dealt, joined, ruled_out
 
-WINDOW, ROUNDS = 20, 4
+WINDOW, ROUNDS = 20, 3
 
 
 class Symbols:
