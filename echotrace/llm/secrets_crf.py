@@ -52,6 +52,7 @@ CLASS = _classes()
 SIZES = {"kind": 5, "length": 8, "digits": 5, "capitals": 4, "changes": 4, "length_changes": 32, "hexadecimal": 2, "foreign": 2, "announced": 2, "before": 6, "before_2": 6, "after": 6, "near_announced": 2, "file": 3, "length_digits": 40}
 OFFSETS = dict(zip(SIZES, np.cumsum([0, *SIZES.values()])[:-1].tolist(), strict=True))
 N_WEIGHTS = sum(SIZES.values())
+CHANGES, LENGTH = list(SIZES).index("changes"), list(SIZES).index("length")
 
 
 class Tokens:
@@ -282,6 +283,11 @@ def _windows(length: int, each: int):
                     low = max(0, m - length // 2)
                     pick = np.arange(low, min(len(tags), low + length))
                     pick = pick[tokens.text[pick] == tokens.text[m]]
+                    # A token that looks drawn at random though no pattern covers it is no proof of an outside one.
+                    shape = tokens.features[pick]
+                    unknown = (tags[pick] == 0) & (shape[:, CHANGES] >= OFFSETS["changes"] + 2) & (shape[:, LENGTH] >= OFFSETS["length"] + 2)
+                    if unknown.any():
+                        continue
                     rows.append((tokens.features[pick].tobytes(), tags[pick].tobytes(), hit))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], names=["features", "tags", "hit"])
 
