@@ -1,9 +1,9 @@
 """Named queries over the driver's tables, with their SQL."""
 
-from . import duplicates, policy, stats, text
+from . import duplicates, moderation, policy, stats, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (duplicates, stats, text, policy):
+for _module in (duplicates, stats, text, policy, moderation):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
