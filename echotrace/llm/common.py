@@ -54,7 +54,17 @@ def written(df: DataFrame) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: the lineage ends there, and no executor's loss undoes it."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing will read any more: all that came from them is written itself."""
+    for df in tables:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def spread(df: DataFrame, groups: Sequence[str], order: Sequence[Column], add: dict[str, Column], parts: int = 256) -> DataFrame:

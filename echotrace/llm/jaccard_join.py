@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .components import components
 from .hashing import Words, lowered, mixed, runs, windows
 
@@ -38,7 +38,9 @@ MOST_BROADCAST = 200_000
 #: Bits that tell which sets are verified: 1 MB. A wrong hit only writes a set that nobody asks for.
 BLOOM = 1 << 23
 #: Longest list of which all pairs are scanned in the first round, and rounds of leaders for longer ones.
-SHORT, LEADER_ROUNDS = 32, 4
+SHORT, LEADER_ROUNDS = 32, 3
+#: Bits of a set's parity sketch, in words of 64.
+PARITY = 8
 #: Sets up to this size may be small.
 MOST_SMALL = 24
 
@@ -82,6 +84,10 @@ def _counted(width: int):
     return of
 
 
+def _saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a.astype(np.uint32) + b, 65535).astype(np.uint16)
+
+
 def _segments(values: np.ndarray, parts: int = 16) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(parts), type=pa.int32()), pa.array([x.tobytes() for x in np.split(values, parts)], type=pa.binary())], names=["segment", "data"])
 
@@ -116,7 +122,7 @@ def _sketched(counts: np.ndarray, percent: int, width: int):
                 for s in shingle_sets(data, bounds, width):
                     n = len(s)
                     again, key = set_key(s)
-                    parity = np.packbits((np.bincount((again & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).tobytes() if n else bytes(32)
+                    parity = np.packbits((np.bincount((again & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)).tobytes()
                     rare = s[np.lexsort((s, counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))][: n - -(-percent * n // 100) + 1] if n else s
                     rows.append((n, *key, parity, rare.view(np.int64), s.view(np.int64) if n <= MOST_SMALL else s[:0].view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -182,7 +188,7 @@ def _small_links(sets: DataFrame, bound: int, percent: int) -> DataFrame:
 
 
 #: How a posting's columns are laid out.
-POSTING = "token bigint, id bigint, n bigint, component bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint"
+POSTING = ["token", "id", "n", "component", *(f"p{k}" for k in range(PARITY))]
 BITS = np.array([bin(x).count("1") for x in range(1 << 16)], dtype=np.uint8)
 
 
@@ -256,7 +262,7 @@ def _scan(mode: str, bound: int, percent: int, round_: int):
             held, size = rest.to_batches(), len(rest)
             if len(now):
                 t = {c: now[c].to_numpy() for c in ("token", "id", "n", "component")}
-                t["p"] = np.stack([now[f"p{k}"].to_numpy() for k in range(4)], axis=1).view(np.uint64)
+                t["p"] = np.stack([now[f"p{k}"].to_numpy() for k in range(PARITY)], axis=1).view(np.uint64)
                 for i, j in pairs_of(t):
                     u, v = np.minimum(t["id"][i], t["id"][j]), np.maximum(t["id"][i], t["id"][j])
                     if len(u):
@@ -310,8 +316,8 @@ def _verified(percent: int):
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 90, shingle: int = 3) -> DataFrame:
     """Id, ``n_shingles`` and ``component_id`` of each row; sets of ``shingle`` words link from a similarity of ``percent`` / 100."""
     mine = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    counts = _merged(mine.select("text").mapInArrow(_counted(shingle), "segment int, data binary"), np.uint8, np.int64, np.add)
-    sets = written(mine.mapInArrow(_sketched(np.minimum(counts, 65535).astype(np.uint16), percent, shingle), "id bigint, n bigint, k1 bigint, k2 bigint, parity binary, rare array<bigint>, small array<bigint>"))
+    counts = _merged(mine.select("text").mapInArrow(_counted(shingle), "segment int, data binary"), np.uint8, np.uint16, _saturating)
+    sets = written(mine.mapInArrow(_sketched(counts, percent, shingle), "id bigint, n bigint, k1 bigint, k2 bigint, parity binary, rare array<bigint>, small array<bigint>"))
     key = ["k1", "k2", "n"]
     # Numbered as they are written, so a number stays with its class.
     grouped = sets.where(F.col("n") > 0).groupBy(*key).agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("parity", "rare", "small")))
@@ -326,13 +332,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per
     found = written(_small_links(classes, bound, percent))
     # Small sets stay in the lists as far as larger ones may link with them.
     least = -(-percent * (bound + 1) // 100)
-    parts = [F.expr(f"cast(conv(hex(substring(parity, {8 * k + 1}, 8)), 16, -10) as bigint)").alias(f"p{k}") for k in range(4)]
+    parts = [F.expr(f"cast(conv(hex(substring(parity, {8 * k + 1}, 8)), 16, -10) as bigint)").alias(f"p{k}") for k in range(PARITY)]
     wanted = written(shared.where(F.col("n") >= least).join(classes.select("id", *parts), "id"))
 
     def scanned(listed: DataFrame, mode: str, round_: int) -> DataFrame:
         # By a hash of the token: after a join by token itself Spark would leave this shuffle out, and a skewed join's
         # split would cut a list in two.
-        rows = listed.select(*(c.split()[0] for c in POSTING.split(", "))).repartition(F.xxhash64("token")).sortWithinPartitions("token", "n", "id")
+        rows = listed.select(*POSTING).repartition(F.xxhash64("token")).sortWithinPartitions("token", "n", "id")
         return written(rows.mapInArrow(_scan(mode, bound, percent, round_), "u bigint, v bigint").distinct())
 
     pairs = scanned(wanted.withColumn("component", F.col("id")), "all", 0)
@@ -344,6 +350,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per
     if len(bloom):
         members = mine.where(F.col("id").isNotNull()).mapInArrow(_whole_sets(bloom, shingle), "rep bigint, k1 bigint, k2 bigint, members binary")
         whole = written(members.join(asked, ["rep", "k1", "k2"]).select("id", "members"))
+    discard(shared, asked)
     for mode, round_ in (("all", 0), *(("leaders", k) for k in range(1, LEADER_ROUNDS)), ("rest", LEADER_ROUNDS)):
         if whole is None:
             break
@@ -357,7 +364,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per
             few = F.broadcast(pairs) if n <= MOST_BROADCAST else pairs
             a, b = (whole.select(F.col("id").alias(x), F.col("members").alias(f"m{x}")).join(few, x) for x in "uv")
             good = a.join(b, ["u", "v"]).select("u", "v", "mu", "mv").mapInArrow(_verified(percent), "u bigint, v bigint")
-            found = written(found.unionByName(good))
+            last, found = found, written(found.unionByName(good))
+            discard(last)
+        discard(pairs)
+    discard(wanted, whole)
     labels = components(found)
     named = classes.join(labels, "id", "left").select(*key, "rep", F.coalesce("component", "id").alias("component"))
     least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import aside, let, once, restored, words, written
 
+#: Labelled rows that rules are learned from, at most.
+MOST_LABELLED = 50_000
 #: What ``features`` adds.
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: What the rules look at, each a ratio, so that they don't depend on a text's length.
@@ -98,7 +100,7 @@ def _all(conditions: list[Condition]) -> Column:
     return out
 
 
-def learn(labelled: DataFrame, label: str, id_col: str, *, max_rules: int = 8, max_conditions: int = 3, cuts: int = 48, min_cover: int = 10, precision: float = 0.97, max_rows: int = 50_000) -> list[list[Condition]]:
+def learn(labelled: DataFrame, label: str, id_col: str, *, max_rules: int = 8, max_conditions: int = 3, cuts: int = 48, min_cover: int = 10, precision: float = 0.97, max_rows: int = MOST_LABELLED) -> list[list[Condition]]:
     """Rules that reject, in order, from rows with RATIOS and a label (1: to be rejected, 0: to be kept).
 
     ``max_rows`` bounds the labelled rows that are fitted on: beyond it, the rows with the lowest hash of the id are
@@ -109,21 +111,23 @@ def learn(labelled: DataFrame, label: str, id_col: str, *, max_rules: int = 8, m
     n = df.count()
     if n > max_rows:
         df = df.where(F.col("draw") < int((1 << 20) * max_rows / n))
-    df = written(df.withColumn("held", F.col("draw") % 3 == 0))
+    df = written(df)
     # Cuts come from both classes, so that the rare one has its own.
     quantiles = [k / cuts for k in range(1, cuts)]
     points: dict[str, set[float]] = {r: set() for r in RATIOS}
     for row in df.groupBy("bad").agg(*(F.percentile_approx(r, quantiles, 2000).alias(r) for r in RATIOS)).collect():
         for r in RATIOS:
             points[r].update(float(x) for x in row[r] or () if x is not None)
-    thresholds = {r: sorted(x) for r, x in points.items()}
+    thresholds = {r: sorted(x) for r, x in points.items() if x}
+    # From here on a ratio is the number of cuts below it: rounds then ask for small numbers only.
+    df = written(df.select("bad", (F.col("draw") % 3 == 0).alias("held"), *(_cell(r, t).alias(r) for r, t in thresholds.items())))
     rules: list[list[Condition]] = []
     left = F.lit(True)
     for _ in range(max_rules):
         grown: list[Condition] = []
         grow = df.where(left & ~F.col("held"))
         for _ in range(max_conditions):
-            found = _best(grow.where(_all(grown)), thresholds, min_cover)
+            found = _best(grow.where(_all(grown)), {r: len(t) for r, t in thresholds.items()}, min_cover)
             if found is None:
                 break
             grown.append(found[0])
@@ -141,17 +145,17 @@ def learn(labelled: DataFrame, label: str, id_col: str, *, max_rules: int = 8, m
             break
         rules.append(grown[:size])
         left = left & ~_all(grown[:size])
-    return rules
+    # A ratio is above cut k if more than k cuts are below it.
+    return [[Condition(c.feature, c.above, thresholds[c.feature][int(c.threshold)]) for c in rule] for rule in rules]
 
 
-def _best(df: DataFrame, thresholds: dict[str, list[float]], min_cover: int) -> tuple[Condition, float] | None:
-    """The condition of the largest gain over ``df``, and its precision; None if none gains."""
+def _cell(ratio: str, cuts: list[float]) -> Column:
+    return F.size(F.filter(F.array(*(F.lit(x) for x in cuts)), lambda x: x < F.col(ratio)))
 
-    def cell(ratio: str, cuts: list[float]) -> Column:
-        below = F.filter(F.array(*(F.lit(x) for x in cuts)), lambda x: x < F.col(ratio))
-        return F.struct(F.lit(ratio).alias("r"), F.size(below).alias("bin"))
 
-    cells = [cell(r, t) for r, t in thresholds.items() if t]
+def _best(df: DataFrame, cuts: dict[str, int], min_cover: int) -> tuple[Condition, float] | None:
+    """The condition (on numbers of cuts) of the largest gain over ``df``, and its precision; None if none gains."""
+    cells = [F.struct(F.lit(r).alias("r"), F.col(r).alias("bin")) for r in cuts]
     if not cells:
         return None
     counts: dict[str, dict[int, list[int]]] = {}
@@ -165,14 +169,14 @@ def _best(df: DataFrame, thresholds: dict[str, list[float]], min_cover: int) ->
             return None
         before = math.log2(all_bad / (all_bad + all_good))
         good = bad = 0
-        for k, t in enumerate(thresholds[r]):
-            # Rows in bins up to k are at or below threshold k.
+        for k in range(cuts[r]):
+            # Rows in bins up to k are at or below cut k.
             good, bad = good + bins.get(k, [0, 0])[0], bad + bins.get(k, [0, 0])[1]
             for above, g, b in ((False, good, bad), (True, all_good - good, all_bad - bad)):
                 if b >= min_cover and g + b < all_good + all_bad:
                     gain = b * (math.log2((b + 0.5) / (b + g + 1)) - before)
                     if gain > 1e-9 and (best is None or gain > best[0]):
-                        best = gain, Condition(r, above, t), b / (b + g)
+                        best = gain, Condition(r, above, k), b / (b + g)
     return best and best[1:]
 
 
@@ -203,11 +207,15 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their own columns only.
 
-    The rules are learned from the labelled rows alone; then one pass reads, measures and filters, and moves no text.
+    Only the labelled rows that the rules are learned from are measured beforehand: at most ``max_rows``, so their ids
+    are broadcast. Then one pass reads, measures and filters. No text is shuffled.
     """
     truth = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), (1 - F.col("quality")).alias("_bad"))
+    most, n = learning.get("max_rows", MOST_LABELLED), truth.count()
+    if n > most:
+        truth = truth.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * 0.97 * most / n))
     mine = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    measured = features(mine.join(truth, "_id"), "_t").drop("_t")
+    measured = features(mine.join(F.broadcast(truth), "_id"), "_t").drop("_t")
     rules = learn(written(measured), "_bad", "_id", **learning)
     mine = aside(docs).withColumn("_t", F.col(f"_own{docs.columns.index(text_col)}"))
     return features(mine, "_t").where(~base_failed() & (verdict(rules) == 0)).select(*restored(docs.columns))
