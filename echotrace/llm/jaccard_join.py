@@ -4,7 +4,7 @@ A text's set holds its distinct shingles of a few words, in lower case. Equal se
 Small sets are joined by the subsets that a link needs: two sets of n and m shingles link exactly if they share a
 subset of the required overlap, so each set lists its subsets of that size for each partner size and equal subsets
 meet. Larger sets are joined by scanning inverted lists: each set is listed under the rarest of its shingles, as many as
-make sure that linked sets meet; list by list, sizes and parity sketches rule pairs out, and what is left is verified
+make sure that linked sets meet; list by list, sizes and counting sketches rule pairs out, and what is left is verified
 on the whole sets. The boundary between small and large is the size up to which listing subsets costs less.
 
 Long lists come from groups of near copies. They are first scanned against leaders, a few for each list and band of
@@ -39,8 +39,10 @@ MOST_BROADCAST = 200_000
 BLOOM = 1 << 23
 #: Longest list of which all pairs are scanned in the first round, and rounds of leaders for longer ones.
 SHORT, LEADER_ROUNDS = 32, 3
-#: Bits of a set's parity sketch, in words of 64.
-PARITY = 8
+#: Leaders of a list and band in the later rounds.
+LEADERS = 2
+#: A set's sketch: how many members fall into each of 8 buckets a word, one byte each, up to 255.
+SKETCH = 16
 #: Sets up to this size may be small.
 MOST_SMALL = 24
 
@@ -113,7 +115,7 @@ def set_key(s: np.ndarray) -> tuple[np.ndarray, tuple[int, int]]:
 
 
 def _sketched(counts: np.ndarray, percent: int, width: int):
-    """Id, size, a 128-bit key of the set, its parity sketch, its rarest shingles, and all of them if it may be small."""
+    """Id, size, a 128-bit key of the set, its sketch, its rarest shingles, and all of them if it may be small."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,11 +124,11 @@ def _sketched(counts: np.ndarray, percent: int, width: int):
                 for s in shingle_sets(data, bounds, width):
                     n = len(s)
                     again, key = set_key(s)
-                    parity = np.packbits((np.bincount((again & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)).tobytes()
+                    sketch = np.minimum(np.bincount((again & np.uint64(8 * SKETCH - 1)).astype(np.int64), minlength=8 * SKETCH), 255).astype(np.uint8).tobytes()
                     rare = s[np.lexsort((s, counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))][: n - -(-percent * n // 100) + 1] if n else s
-                    rows.append((n, *key, parity, rare.view(np.int64), s.view(np.int64) if n <= MOST_SMALL else s[:0].view(np.int64)))
+                    rows.append((n, *key, sketch, rare.view(np.int64), s.view(np.int64) if n <= MOST_SMALL else s[:0].view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds))], names=["id", "n", "k1", "k2", "parity", "rare", "small"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds))], names=["id", "n", "k1", "k2", "sketch", "rare", "small"])
 
     return of
 
@@ -188,17 +190,15 @@ def _small_links(sets: DataFrame, bound: int, percent: int) -> DataFrame:
 
 
 #: How a posting's columns are laid out.
-POSTING = ["token", "id", "n", "component", *(f"p{k}" for k in range(PARITY))]
-BITS = np.array([bin(x).count("1") for x in range(1 << 16)], dtype=np.uint8)
+POSTING = ["token", "id", "n", "component", *(f"p{k}" for k in range(SKETCH))]
 
 
 def _near(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of n <= m with parities p, q may link: by size, and as the parities differ no more than the sets may."""
-    size = 100 * n >= percent * m
+    """Whether sets of n <= m with sketches p, q may link: by size, and as bucket by bucket the sets differ by at least
+    the difference of their counts."""
     need = -(-percent * (n + m) // (100 + percent))
-    x = p ^ q
-    apart = sum(BITS[((x >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)].sum(axis=1, dtype=np.int64) for k in range(4))
-    return size & (apart <= n + m - 2 * need)
+    apart = np.abs(p.view(np.uint8).astype(np.int16) - q.view(np.uint8)).sum(axis=1, dtype=np.int64)
+    return (100 * n >= percent * m) & (apart <= n + m - 2 * need)
 
 
 def _scan(mode: str, bound: int, percent: int, round_: int):
@@ -222,6 +222,13 @@ def _scan(mode: str, bound: int, percent: int, round_: int):
             ok = _near(a, b, t["p"][i], t["p"][j], percent)
             return np.stack([i[ok], j[ok]])
 
+        def against(where: dict, at: np.ndarray, band: np.ndarray) -> Iterator[np.ndarray]:
+            for by in (-2, -1, 0, 1, 2):
+                other = np.array([where.get((int(a), int(b) + by), -1) for a, b in zip(token[at], band, strict=True)], dtype=np.int64)
+                ok = (other >= 0) & (other != at)
+                if ok.any():
+                    yield near(at[ok], other[ok])
+
         if mode != "leaders":
             at = np.flatnonzero(long_ if mode == "rest" else ~long_)
             for k in range(1, int(length.max())):
@@ -229,24 +236,18 @@ def _scan(mode: str, bound: int, percent: int, round_: int):
                 at = at[100 * n[at] >= percent * n[at + k]]  # sizes rise, so no later one fits either
                 if not len(at):
                     break
-                for part in np.array_split(at, len(at) // 500_000 + 1):
+                for part in np.array_split(at, len(at) // 50_000 + 1):
                     yield near(part, part + k)
         if mode != "rest" and long_.any():
             at = np.flatnonzero(long_)
             band = np.floor(np.log(np.maximum(n[at], 1)) / -np.log(percent / 100) * 2).astype(np.int64)
-            draw = mixed(t["id"][at].view(np.uint64) + np.uint64(round_))
-            if round_:
-                # A later leader comes from outside the component that a list's first leader led to.
-                common = t["component"][at] == np.repeat(t["component"][new[length > SHORT]], length[length > SHORT])
-                draw = np.where(common, np.uint64(2**64 - 1), draw)
-            order = np.lexsort((draw, band, token[at]))
-            lead = order[np.concatenate([[True], (token[at][order][1:] != token[at][order][:-1]) | (band[order][1:] != band[order][:-1])])]
-            where = {(int(a), int(b)): int(at[x]) for a, b, x in zip(token[at][lead], band[lead], lead, strict=True)}
-            for by in (-2, -1, 0, 1, 2):
-                other = np.array([where.get((int(a), int(b) + by), -1) for a, b in zip(token[at], band, strict=True)], dtype=np.int64)
-                ok = (other >= 0) & (other != at)
-                if ok.any():
-                    yield near(at[ok], other[ok])
+            # The same posts lead wherever they are listed, others in each round.
+            order = np.lexsort((mixed(t["id"][at].view(np.uint64) + np.uint64(round_)), band, token[at]))
+            first = np.flatnonzero(np.concatenate([[True], (token[at][order][1:] != token[at][order][:-1]) | (band[order][1:] != band[order][:-1])]))
+            within = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            for nth in range(LEADERS if round_ else 1):
+                lead = order[within == nth]
+                yield from against({(int(a), int(b)): int(at[x]) for a, b, x in zip(token[at][lead], band[lead], lead, strict=True)}, at, band)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -262,7 +263,7 @@ def _scan(mode: str, bound: int, percent: int, round_: int):
             held, size = rest.to_batches(), len(rest)
             if len(now):
                 t = {c: now[c].to_numpy() for c in ("token", "id", "n", "component")}
-                t["p"] = np.stack([now[f"p{k}"].to_numpy() for k in range(PARITY)], axis=1).view(np.uint64)
+                t["p"] = np.stack([now[f"p{k}"].to_numpy() for k in range(SKETCH)], axis=1).view(np.uint64)
                 for i, j in pairs_of(t):
                     u, v = np.minimum(t["id"][i], t["id"][j]), np.maximum(t["id"][i], t["id"][j])
                     if len(u):
@@ -317,10 +318,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per
     """Id, ``n_shingles`` and ``component_id`` of each row; sets of ``shingle`` words link from a similarity of ``percent`` / 100."""
     mine = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     counts = _merged(mine.select("text").mapInArrow(_counted(shingle), "segment int, data binary"), np.uint8, np.uint16, _saturating)
-    sets = written(mine.mapInArrow(_sketched(counts, percent, shingle), "id bigint, n bigint, k1 bigint, k2 bigint, parity binary, rare array<bigint>, small array<bigint>"))
+    sets = written(mine.mapInArrow(_sketched(counts, percent, shingle), "id bigint, n bigint, k1 bigint, k2 bigint, sketch binary, rare array<bigint>, small array<bigint>"))
     key = ["k1", "k2", "n"]
     # Numbered as they are written, so a number stays with its class.
-    grouped = sets.where(F.col("n") > 0).groupBy(*key).agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("parity", "rare", "small")))
+    grouped = sets.where(F.col("n") > 0).groupBy(*key).agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("sketch", "rare", "small")))
     classes = written(grouped.where(F.col("rep").isNotNull()).withColumn("id", F.monotonically_increasing_id()))
     # Lists of one entry tell nothing.
     entries = classes.select("id", "n", F.explode("rare").alias("token"))
@@ -332,7 +333,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per
     found = written(_small_links(classes, bound, percent))
     # Small sets stay in the lists as far as larger ones may link with them.
     least = -(-percent * (bound + 1) // 100)
-    parts = [F.expr(f"cast(conv(hex(substring(parity, {8 * k + 1}, 8)), 16, -10) as bigint)").alias(f"p{k}") for k in range(PARITY)]
+    parts = [F.expr(f"cast(conv(hex(substring(sketch, {8 * k + 1}, 8)), 16, -10) as bigint)").alias(f"p{k}") for k in range(SKETCH)]
     wanted = written(shared.where(F.col("n") >= least).join(classes.select("id", *parts), "id"))
 
     def scanned(listed: DataFrame, mode: str, round_: int) -> DataFrame:
@@ -351,8 +352,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per
         members = mine.where(F.col("id").isNotNull()).mapInArrow(_whole_sets(bloom, shingle), "rep bigint, k1 bigint, k2 bigint, members binary")
         whole = written(members.join(asked, ["rep", "k1", "k2"]).select("id", "members"))
     discard(shared, asked)
+    long_lists = whole is not None and not wanted.where(F.col("c") > SHORT).isEmpty()
     for mode, round_ in (("all", 0), *(("leaders", k) for k in range(1, LEADER_ROUNDS)), ("rest", LEADER_ROUNDS)):
-        if whole is None:
+        if whole is None or round_ and not long_lists:
             break
         if round_:
             listed = wanted.where(F.col("c") > SHORT).join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
