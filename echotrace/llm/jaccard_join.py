@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, small_batches, written
 from .components import components
 from .hashing import Words, lowered, mixed, runs, windows
 
@@ -316,7 +316,11 @@ def _verified(percent: int):
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 90, shingle: int = 3) -> DataFrame:
     """Id, ``n_shingles`` and ``component_id`` of each row; sets of ``shingle`` words link from a similarity of ``percent`` / 100."""
-    mine = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        return _join(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), percent, shingle).withColumnRenamed("id", id_col)
+
+
+def _join(mine: DataFrame, percent: int, shingle: int) -> DataFrame:
     counts = _merged(mine.select("text").mapInArrow(_counted(shingle), "segment int, data binary"), np.uint8, np.uint16, _saturating)
     sets = written(mine.mapInArrow(_sketched(counts, percent, shingle), "id bigint, n bigint, k1 bigint, k2 bigint, sketch binary, rare array<bigint>, small array<bigint>"))
     key = ["k1", "k2", "n"]
@@ -375,7 +379,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per
     least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least_id, "component").select(*key, "component_id")
     out = sets.select("id", *key).join(named, key, "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, shingle: int = 5) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .hashing import Words, mixed, runs, windows
 from .marks import HELD, Filter, anchor_filter, by_document, by_part, cut_texts, dealt, joined, ruled_out
 
@@ -176,15 +176,16 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, w
 
     ``parts`` is how many ranges the values are dealt into, by default one for 16 MB of text and 64 at least.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    if parts is None:
-        parts = size_in_parts(texts)
-    named = texts.where(F.col("id").isNotNull())
-    known = anchor_filter(named.select("text"), _anchors(rounds, window), parts)
-    left = named.mapInArrow(_open(known, rounds, window, parts), "part int, value binary, doc binary, start binary")
-    removed = written(left.repartition("part").sortWithinPartitions("part").mapInArrow(_earliest(window), "id bigint, block binary"))
-    out = cut_texts(texts, removed, Words, _kept)
-    return out.select(F.col("id").alias(id_col), F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+    with small_batches(docs.sparkSession):
+        texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        if parts is None:
+            parts = size_in_parts(texts)
+        named = texts.where(F.col("id").isNotNull())
+        known = anchor_filter(named.select("text"), _anchors(rounds, window), parts)
+        left = named.mapInArrow(_open(known, rounds, window, parts), "part int, value binary, doc binary, start binary")
+        removed = written(left.repartition("part").sortWithinPartitions("part").mapInArrow(_earliest(window), "id bigint, block binary"))
+        out = cut_texts(texts, removed, Words, _kept)
+        return written(out.select(F.col("id").alias(id_col), F.col("n_units").alias("n_words"), "n_removed", "kept_sha256"))
 
 
 def size_in_parts(texts: DataFrame, each: int = 16 << 20, least: int = 64, most: int = 4096) -> int:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .hashing import BYTES, mixed, runs, windows
 from .marks import Filter, anchor_filter, by_document, by_part, cut_texts, dealt, joined
 from .recompression import size_in_parts
@@ -294,12 +294,13 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, w
 
     ``parts`` is the number of buckets, by default one for 4 MB of text and 64 at least.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    if parts is None:
-        parts = size_in_parts(texts, each=4 << 20)
-    named = texts.where(F.col("id").isNotNull())
-    known = anchor_filter(named.select("text"), _anchors(width), parts)
-    pieces = named.mapInArrow(_pieces(known, width, parts), "part int, text binary, doc binary, start binary, size binary")
-    removed = written(pieces.repartition("part").sortWithinPartitions("part").mapInArrow(_sorted_bucket(width), "id bigint, block binary"))
-    out = cut_texts(texts, removed, Bytes, _kept)
-    return out.select(F.col("id").alias(id_col), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+    with small_batches(docs.sparkSession):
+        texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        if parts is None:
+            parts = size_in_parts(texts, each=4 << 20)
+        named = texts.where(F.col("id").isNotNull())
+        known = anchor_filter(named.select("text"), _anchors(width), parts)
+        pieces = named.mapInArrow(_pieces(known, width, parts), "part int, text binary, doc binary, start binary, size binary")
+        removed = written(pieces.repartition("part").sortWithinPartitions("part").mapInArrow(_sorted_bucket(width), "id bigint, block binary"))
+        out = cut_texts(texts, removed, Bytes, _kept)
+        return written(out.select(F.col("id").alias(id_col), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256"))
