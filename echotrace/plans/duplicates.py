@@ -11,7 +11,7 @@ from .registry import registry
 
 QUERIES, ORACLES, query = registry()
 
-POSTS = "posts AS (SELECT doc_id AS id, source AS author, lang AS subreddit, doc_id AS minute, md5(text) AS url_hash, n_chars FROM documents)"
+POSTS = "posts AS (SELECT doc_id AS id, source AS author, lang AS community, doc_id AS minute, md5(text) AS url_hash, n_chars FROM documents)"
 HASHES = "hashes AS (SELECT vec_id AS id, label, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS hash FROM embeddings)"
 PAIRS = f"{HASHES}, pairs AS (SELECT a.id AS id_a, b.id AS id_b, CAST(hamming(a.hash, b.hash) AS INT) AS distance FROM hashes a JOIN hashes b ON a.id < b.id AND hamming(a.hash, b.hash) <= 16)"
 
@@ -28,10 +28,10 @@ def copy_groups(spark, sf_dir):
     return search.copy_groups(views.posts(spark, sf_dir))
 
 
-@query(f"WITH {POSTS} SELECT subreddit, count(*) AS posts, count(DISTINCT url_hash) AS contents, count(*) - count(DISTINCT url_hash) AS copies FROM posts GROUP BY subreddit")
-def copies_by_subreddit(spark, sf_dir):
-    g = views.posts(spark, sf_dir).groupBy("subreddit", "url_hash").agg(F.count("*").alias("c")).groupBy("subreddit").agg(F.sum("c").alias("posts"), F.count("*").alias("contents"))
-    return g.select("subreddit", "posts", "contents", (F.col("posts") - F.col("contents")).alias("copies"))
+@query(f"WITH {POSTS} SELECT community, count(*) AS posts, count(DISTINCT url_hash) AS contents, count(*) - count(DISTINCT url_hash) AS copies FROM posts GROUP BY community")
+def copies_by_community(spark, sf_dir):
+    g = views.posts(spark, sf_dir).groupBy("community", "url_hash").agg(F.count("*").alias("c")).groupBy("community").agg(F.sum("c").alias("posts"), F.count("*").alias("contents"))
+    return g.select("community", "posts", "contents", (F.col("posts") - F.col("contents")).alias("copies"))
 
 
 @query(f"WITH {PAIRS} SELECT id_a, id_b, distance, round_even((100.0 - distance / 64.0 * 100)::DOUBLE, 2) AS percent FROM pairs")
@@ -60,18 +60,18 @@ def nearest_vector_in_label(spark, sf_dir):
     return search.nearest_in_block(views.hashes(spark, sf_dir), "label")
 
 
-@query(f"""WITH {POSTS}, firsts AS (SELECT url_hash, arg_min(id, minute) AS first_id, arg_min(author, minute) AS first_author, arg_min(subreddit, minute) AS first_sub, min(minute) AS first_minute FROM posts GROUP BY url_hash)
-SELECT p.id, f.first_id AS match_id FROM posts p JOIN firsts f USING (url_hash) WHERE p.id <> f.first_id AND p.author <> f.first_author AND f.first_minute < p.minute AND p.subreddit = f.first_sub
+@query(f"""WITH {POSTS}, firsts AS (SELECT url_hash, arg_min(id, minute) AS first_id, arg_min(author, minute) AS first_author, arg_min(community, minute) AS first_sub, min(minute) AS first_minute FROM posts GROUP BY url_hash)
+SELECT p.id, f.first_id AS match_id FROM posts p JOIN firsts f USING (url_hash) WHERE p.id <> f.first_id AND p.author <> f.first_author AND f.first_minute < p.minute AND p.community = f.first_sub
 AND floor((44640 - f.first_minute) / 1440.0) <= 30""")
 def filtered_first_copy(spark, sf_dir):
     """The whole chain of filters on each post's oldest copy."""
     p = views.posts(spark, sf_dir)
     start = F.lit(views.START).cast("timestamp_ntz")
     at = lambda c: F.timestamp_micros(F.unix_micros(start.cast("timestamp")) + c.cast("bigint") * 60_000_000)
-    first = p.groupBy("url_hash").agg(F.min_by(F.struct("id", "author", "subreddit", "minute"), F.struct("minute", "id")).alias("m"))
+    first = p.groupBy("url_hash").agg(F.min_by(F.struct("id", "author", "community", "minute"), F.struct("minute", "id")).alias("m"))
     # The clock stands at 31 days after the first post.
     settings = filters.Settings(same_sub=True, max_days_old=30)
-    keep = filters.chain(settings, at(F.lit(44_640)), crosspost=F.lit(None).cast("boolean"), author=(F.col("m.author"), F.col("author")), created=(at(F.col("m.minute")), at(F.col("minute"))), sub=(F.col("m.subreddit"), F.col("subreddit")), ids=(F.col("m.id"), F.col("id")))
+    keep = filters.chain(settings, at(F.lit(44_640)), crosspost=F.lit(None).cast("boolean"), author=(F.col("m.author"), F.col("author")), created=(at(F.col("m.minute")), at(F.col("minute"))), sub=(F.col("m.community"), F.col("community")), ids=(F.col("m.id"), F.col("id")))
     return p.join(first, "url_hash").where(keep).select("id", F.col("m.id").alias("match_id"))
 
 

@@ -32,11 +32,11 @@ def after_delete(spark, sf_dir):
     return writes.without(t(spark, sf_dir, "documents").select("doc_id", "source"), t(spark, sf_dir, "labels").where(F.col("toxic") == 1), "doc_id")
 
 
-STATUS = "status AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'removed' WHEN quality = 0 THEN 'reddit' ELSE 'ok' END AS status FROM labels)"
+STATUS = "status AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'removed' WHEN quality = 0 THEN 'moderator' ELSE 'ok' END AS status FROM labels)"
 
 
 def statuses(spark, sf_dir):
-    return t(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "removed").when(F.col("quality") == 0, "reddit").otherwise("ok").alias("status"))
+    return t(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "removed").when(F.col("quality") == 0, "moderator").otherwise("ok").alias("status"))
 
 
 @query(f"WITH {STATUS} SELECT d.doc_id FROM documents d LEFT JOIN status s USING (doc_id) WHERE coalesce(status NOT IN ('removed'), true)")
@@ -45,10 +45,10 @@ def dead_links_filtered(spark, sf_dir):
     return writes.kept_by_status(t(spark, sf_dir, "documents").select("doc_id"), statuses(spark, sf_dir), "doc_id", ["removed"], True)
 
 
-@query(f"WITH {STATUS} SELECT d.doc_id FROM documents d JOIN status s USING (doc_id) WHERE status NOT IN ('removed', 'reddit')")
+@query(f"WITH {STATUS} SELECT d.doc_id FROM documents d JOIN status s USING (doc_id) WHERE status NOT IN ('removed', 'moderator')")
 def removed_posts_filtered(spark, sf_dir):
     """What the status table doesn't know is dropped."""
-    return writes.kept_by_status(t(spark, sf_dir, "documents").select("doc_id"), statuses(spark, sf_dir), "doc_id", ["removed", "reddit"], False)
+    return writes.kept_by_status(t(spark, sf_dir, "documents").select("doc_id"), statuses(spark, sf_dir), "doc_id", ["removed", "moderator"], False)
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE role = 'user' AND length(text) > 0 AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'assistant' AND turn = 0)")
@@ -82,7 +82,7 @@ def repost_history(spark, sf_dir):
 
 
 @query("""SELECT s.s_suppkey, coalesce(n.n_name, 'none') AS name, s.s_acctbal > 5000 OR s.s_acctbal IS NULL AS refresh FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey AND n.n_nationkey < 10""")
-def enriched_subreddits(spark, sf_dir):
+def enriched_communities(spark, sf_dir):
     n = t(spark, sf_dir, "nation").where(F.col("n_nationkey") < 10)
     s = t(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return s.select("s_suppkey", F.coalesce("n_name", F.lit("none")).alias("name"), ((F.col("s_acctbal") > 5000) | F.col("s_acctbal").isNull()).alias("refresh"))

@@ -24,7 +24,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as text posts, one a minute; the content hash is the md5 of the text."""
     d = table(spark, sf_dir, "documents")
     return d.select(
-        F.col("doc_id").alias("id"), expr.base36(F.col("doc_id")).alias("post_id"), F.col("source").alias("author"), F.col("lang").alias("subreddit"),
+        F.col("doc_id").alias("id"), expr.base36(F.col("doc_id")).alias("post_id"), F.col("source").alias("author"), F.col("lang").alias("community"),
         F.col("doc_id").alias("minute"), F.md5(F.col("text").cast("binary")).alias("url_hash"), F.col("n_chars"),
     )
 
