@@ -27,7 +27,7 @@ from .hashing import BYTES, mixed, runs, windows
 from .marks import Filter, anchor_filter, by_document, by_part, cut_texts, dealt, joined
 from .recompression import size_in_parts
 
-WIDTH, GRAM = 50, 16
+WIDTH, GRAM = 50, 24
 #: A perfect difference set modulo 31: every difference is one of two members'.
 COVER_MODULUS, COVER = 31, [1, 5, 11, 24, 25, 27]
 #: Bytes by which suffixes are sorted before ties are resolved; more than any distance to a common cover position.
@@ -292,12 +292,12 @@ def _kept(data: np.ndarray, units: Bytes, k: int, keep: np.ndarray | None) -> by
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, parts: int | None = None) -> DataFrame:
     """Id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of each row.
 
-    ``parts`` is the number of buckets, by default one for 4 MB of text and 64 at least.
+    ``parts`` is the number of buckets, by default one for 2 MB of text and 64 at least.
     """
     with small_batches(docs.sparkSession):
         texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
         if parts is None:
-            parts = size_in_parts(texts, each=4 << 20)
+            parts = size_in_parts(texts, each=2 << 20)
         named = texts.where(F.col("id").isNotNull())
         known = anchor_filter(named.select("text"), _anchors(width), parts)
         pieces = named.mapInArrow(_pieces(known, width, parts), "part int, text binary, doc binary, start binary, size binary")
