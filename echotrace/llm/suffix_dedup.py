@@ -1,6 +1,6 @@
 """Removal of byte strings that an earlier document holds, by blockwise suffix sorting with a difference cover.
 
-Suffixes matter by their first 50 bytes. The least 16-byte hash in them is their anchor; equal strings have equal
+Suffixes matter by their first 50 bytes. The least hash of 24 bytes in them is their anchor; equal strings have equal
 anchors, so anchors that no second document holds rule most suffixes out, and a bucket of suffixes is what has anchors
 in one range. A bucket arrives as the pieces of text around its anchors and is sorted on its own, one bucket at a time:
 suffixes at the positions of a difference cover are ranked first, then all suffixes are sorted by 32 bytes, and longer
