@@ -4,8 +4,8 @@ A text's set holds its distinct shingles of a few words, in lower case. Equal se
 Small sets are joined by the subsets that a link needs: two sets of n and m shingles link exactly if they share a
 subset of the required overlap, so each set lists its subsets of that size for each partner size and equal subsets
 meet. Larger sets are joined by scanning inverted lists: each set is listed under the rarest of its shingles, as many as
-make sure that linked sets meet; list by list, sizes and counting sketches rule pairs out, and what is left is verified
-on the whole sets. The boundary between small and large is the size up to which listing subsets costs less.
+make sure that linked sets meet; list by list, sizes, counting sketches and the places of the shared shingle rule pairs
+out, and what is left is verified on the whole sets. The boundary between small and large is the size up to which listing subsets costs less.
 
 Long lists come from groups of near copies. They are first scanned against leaders, a few for each list and band of
 sizes, and linked sets need no further comparison with each other; only pairs across components are then scanned.
@@ -190,7 +190,7 @@ def _small_links(sets: DataFrame, bound: int, percent: int) -> DataFrame:
 
 
 #: How a posting's columns are laid out.
-POSTING = ["token", "id", "n", "component", *(f"p{k}" for k in range(SKETCH))]
+POSTING = ["token", "id", "n", "at", "component", *(f"p{k}" for k in range(SKETCH))]
 
 
 def _near(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
@@ -205,7 +205,9 @@ def _scan(mode: str, bound: int, percent: int, round_: int):
     """Pairs of a partition's lists that may link. The partition is sorted by token, size, id.
 
     ``all``: every pair of lists up to SHORT entries, and pairs with leaders of longer ones; ``leaders``: only the
-    latter; ``rest``: every pair of longer lists. Pairs of one component are passed over.
+    latter; ``rest``: every pair of longer lists. Pairs of one component are passed over. Where all pairs are scanned, a
+    pair comes only from lists whose token may be the first that both sets hold, in the order of rarity: no more is
+    shared than what follows it in either set.
     """
 
     def pairs_of(t: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -215,9 +217,11 @@ def _scan(mode: str, bound: int, percent: int, round_: int):
         long_ = np.repeat(length > SHORT, length)
         reach = np.repeat(new + length, length) - np.arange(len(token))  # entries from here to the list's end
 
-        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        def near(i: np.ndarray, j: np.ndarray, first_shared: bool) -> np.ndarray:
             a, b = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             ok = (t["component"][i] != t["component"][j]) & ((b > bound) | (b == 0))
+            if first_shared:
+                ok &= np.minimum(n[i] - t["at"][i], n[j] - t["at"][j]) >= -(-percent * (a + b) // (100 + percent))
             i, j, a, b = i[ok], j[ok], a[ok], b[ok]
             ok = _near(a, b, t["p"][i], t["p"][j], percent)
             return np.stack([i[ok], j[ok]])
@@ -227,7 +231,7 @@ def _scan(mode: str, bound: int, percent: int, round_: int):
                 other = np.array([where.get((int(a), int(b) + by), -1) for a, b in zip(token[at], band, strict=True)], dtype=np.int64)
                 ok = (other >= 0) & (other != at)
                 if ok.any():
-                    yield near(at[ok], other[ok])
+                    yield near(at[ok], other[ok], False)
 
         if mode != "leaders":
             at = np.flatnonzero(long_ if mode == "rest" else ~long_)
@@ -237,7 +241,7 @@ def _scan(mode: str, bound: int, percent: int, round_: int):
                 if not len(at):
                     break
                 for part in np.array_split(at, len(at) // 50_000 + 1):
-                    yield near(part, part + k)
+                    yield near(part, part + k, True)
         if mode != "rest" and long_.any():
             at = np.flatnonzero(long_)
             band = np.floor(np.log(np.maximum(n[at], 1)) / -np.log(percent / 100) * 2).astype(np.int64)
@@ -262,7 +266,7 @@ def _scan(mode: str, bound: int, percent: int, round_: int):
             now, rest = whole.slice(0, end), whole.slice(end)
             held, size = rest.to_batches(), len(rest)
             if len(now):
-                t = {c: now[c].to_numpy() for c in ("token", "id", "n", "component")}
+                t = {c: now[c].to_numpy() for c in ("token", "id", "n", "at", "component")}
                 t["p"] = np.stack([now[f"p{k}"].to_numpy() for k in range(SKETCH)], axis=1).view(np.uint64)
                 for i, j in pairs_of(t):
                     u, v = np.minimum(t["id"][i], t["id"][j]), np.maximum(t["id"][i], t["id"][j])
@@ -328,7 +332,7 @@ def _join(mine: DataFrame, percent: int, shingle: int) -> DataFrame:
     grouped = sets.where(F.col("n") > 0).groupBy(*key).agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("sketch", "rare", "small")))
     classes = written(grouped.where(F.col("rep").isNotNull()).withColumn("id", F.monotonically_increasing_id()))
     # Lists of one entry tell nothing.
-    entries = classes.select("id", "n", F.explode("rare").alias("token"))
+    entries = classes.select("id", "n", F.posexplode("rare").alias("at", "token"))
     lists = entries.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > 1)
     shared = written(entries.join(lists, "token"))
     lengths = {r["n"]: r["mean"] for r in shared.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.avg("c").alias("mean")).collect()}
