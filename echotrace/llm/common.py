@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -42,12 +43,15 @@ def restored(names: Sequence[str]) -> list[Column]:
     return [F.col(f"_own{k}").alias(c) for k, c in enumerate(names)]
 
 
+@functools.cache
+def _own_folder() -> str:
+    """Made once: the setting is the cluster's, and a running session can't take it."""
+    return f"file://{tempfile.mkdtemp(prefix='echotrace-')}"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; below a temporary one if that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='echotrace-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
+    top = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
