@@ -248,8 +248,12 @@ def _runs(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.
 def _has_hex(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Which texts hold a run of hex digits as long as a base span must be."""
     hexa = ((data >= ord("0")) & (data <= ord("9"))) | ((data >= ord("a")) & (data <= ord("f")))
-    edge = np.diff(np.concatenate([[0], hexa.view(np.int8), [0]]))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    first = np.zeros(len(data) + 1, dtype=bool)
+    first[bounds] = True  # a run never goes on into the next text
+    begins, stops = hexa.copy(), hexa.copy()
+    begins[1:] &= ~hexa[:-1] | first[1:-1]
+    stops[:-1] &= ~hexa[1:] | first[1:-1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     out = np.zeros(len(bounds) - 1, dtype=bool)
     out[np.searchsorted(bounds, start[end - start >= LEAST["hex"]], side="right") - 1] = True
     return out

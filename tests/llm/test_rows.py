@@ -206,6 +206,20 @@ def test_secret_base_spans(spark, rows):
         assert got[d]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest(), (d, text[:80], line)
 
 
+def test_hex_runs_do_not_cross_texts(spark):
+    key = "0123456789abcdef" * 2 + "01234567"
+    texts = ["ends in a", key, "", key, "1" * 20, "2" * 20, key]
+    table = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in secrets_crf.find(spark.createDataFrame(table, SCHEMA).coalesce(1)).collect()}
+    for k, t in enumerate(texts):
+        line = f"hex:0:{len(t)}" if t == key else ""
+        assert (got[k]["n_hex"], got[k]["base_sha256"]) == (int(t == key), hashlib.sha256(line.encode()).hexdigest()), k
+    data = "".join(texts).encode()
+    bounds = np.cumsum([0, *map(len, texts)])
+    assert secrets_crf._has_hex(np.frombuffer(data, dtype=np.uint8), bounds).tolist() == [t == key for t in texts]
+    assert secrets_crf._has_hex(np.zeros(0, dtype=np.uint8), np.zeros(3, dtype=np.int64)).tolist() == [False, False]
+
+
 def test_crf_finds_held_out_secrets_by_form(spark):
     draw = random.Random(6)
     vocabulary = ["".join(draw.choices("abcdefghiklmnoprstu", k=draw.randint(2, 9))) for _ in range(500)]
