@@ -75,6 +75,16 @@ def filtered_first_copy(spark, sf_dir):
     return p.join(first, "url_hash").where(keep).select("id", F.col("m.id").alias("match_id"))
 
 
+@query(f"""WITH {POSTS}, pairs AS (SELECT p.id, m.id AS match_id, row_number() OVER (PARTITION BY p.id ORDER BY m.minute, m.id) AS rn FROM posts p JOIN posts m
+ON p.url_hash = m.url_hash AND m.id <> p.id AND m.author IS DISTINCT FROM p.author AND m.minute < p.minute AND m.community = p.community AND floor((44640 - m.minute) / 1440.0) <= 30)
+SELECT id, match_id FROM pairs WHERE rn = 1""")
+def oldest_filtered_copy(spark, sf_dir):
+    """The whole chain of filters on all copies of each post, of which the oldest that passes is taken."""
+    at = lambda c: F.timestamp_micros(F.unix_micros(F.lit(views.START).cast("timestamp_ntz").cast("timestamp")) + c.cast("bigint") * 60_000_000)
+    # The clock stands at 31 days after the first post.
+    return search.oldest_passing(views.posts(spark, sf_dir), filters.Settings(same_sub=True, max_days_old=30), at(F.lit(44_640)), at)
+
+
 @query(f"WITH {POSTS} SELECT author, count(*) AS copies FROM (SELECT author, row_number() OVER (PARTITION BY url_hash ORDER BY minute, id) AS rn FROM posts) WHERE rn > 1 GROUP BY author")
 def copies_by_author(spark, sf_dir):
     p = views.posts(spark, sf_dir)
