@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """``id`` and ``component`` (the least id reachable) of every id in ``links`` (columns ``u``, ``v``).
 
     Alternates large-star and small-star steps, each a grouped minimum and a join, until no link changes; the rounds
     grow with the logarithm of the longest path. No vertex's links meet in one task: minima are summed up before the
-    shuffle and the join can split a hot key.
+    shuffle and the join can split a hot key. Where ``most_rounds`` is given, links that change still are an error.
     """
     edges = written(links.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct())
     before = None
-    for _ in range(most_rounds):
+    for done in itertools.count():
+        if done == most_rounds:
+            raise RuntimeError(f"the links have not settled after {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

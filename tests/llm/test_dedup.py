@@ -1,6 +1,7 @@
 """Joins and substring operators against plain versions."""
 
 import hashlib
+import inspect
 import string
 
 import numpy as np
@@ -95,6 +96,14 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100, 103: 100}
 
 
+def test_components_settle_or_fail(spark):
+    links = spark.createDataFrame([(k + 1, k) for k in range(40)], "u bigint, v bigint")
+    with pytest.raises(RuntimeError):
+        components(links, most_rounds=2)
+    assert inspect.signature(components).parameters["most_rounds"].default is None
+    assert {r["component"] for r in components(links).collect()} == {0}
+
+
 def plain_windows(rows, window):
     seen, out = set(), {}
     for d, t, *_ in sorted(rows):
