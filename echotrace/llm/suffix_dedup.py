@@ -1,20 +1,28 @@
 """Removal of byte strings that an earlier document holds, by blockwise suffix sorting with a difference cover.
 
-Suffixes matter by their first 50 bytes. The least hash of 24 bytes in them is their anchor; equal strings have equal
-anchors, so anchors that no second document holds rule most suffixes out, and a bucket of suffixes is what has anchors
-in one range. A bucket arrives as the pieces of text around its anchors and is sorted on its own, one bucket at a time:
-suffixes at the positions of a difference cover are ranked first, then all suffixes are sorted by 32 bytes, and longer
-ties are resolved by the ranks of the cover positions that lie at one distance from both, which a cover modulo 31 always
-has within 31 bytes. Suffixes that agree in 50 bytes end up under one rank, of which the least document is the owner.
-Memory is that of one bucket, and buckets are as many as the input asks for.
-
-Strings are compared byte by byte; only the anchors are hashes, and a collision of theirs costs time alone. Nulls: a
-null text is an empty one; a null id is set apart and takes no part. Rows with equal ids count as one document. Texts of
-fewer bytes lose nothing. An empty table gives an empty result. Extra columns don't matter.
+Whole stretches come first: every text is cut where its own bytes say so, and a stretch (with the 49 bytes after it) that
+a smaller document holds too goes without further comparison.
+
+Of what is left suffixes matter by their first 50 bytes. The least hash of 24 bytes in them is their anchor; equal strings
+have equal anchors. Spark gathers all anchors and tells every group of texts which of its anchors another document holds;
+the others rule their suffixes out. A bucket of suffixes is what has anchors in one range. It arrives as the pieces of
+text around its anchors. Equal pieces are one, an anchor with one piece needs no comparison, and the suffixes of the rest
+are sorted, one bucket at a time: suffixes at the positions of a difference cover are ranked first, then all suffixes are
+sorted by 32 bytes, and longer ties are resolved by the ranks of the cover positions that lie at one distance from both,
+which a cover modulo 31 always has within 31 bytes. Suffixes that agree in 50 bytes end up under one rank, of which the
+least document is the owner. The suffixes of an anchor that very many groups hold are dealt by their own hash instead, so
+they spread over all buckets. Memory is that of one bucket or one group of texts, and both are as many as the input asks for.
+
+Strings are compared byte by byte; anchors are hashes, whose collisions cost time alone, and stretches are compared by
+128-bit digests. Nulls: a null text is an empty one; a null id is set apart and takes no part. Rows with equal ids count as
+one document. Texts of fewer bytes lose nothing; a very long one is a group of its own and needs some hundred bytes of
+memory for each of its bytes. Ties: of equal strings the least id's stays, at all its places. An empty table gives an
+empty result. Extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import discard, written
+from .groups import Store, by_group, covered, cut_texts, in_order, packed_spans, whole
 from .hashing import BYTES, mixed, runs, windows
-from .marks import Filter, anchor_filter, by_document, by_part, cut_texts, dealt, joined
-from .recompression import size_in_parts
+from .marks import by_part, dealt
 
 WIDTH, GRAM = 50, 24
 #: A perfect difference set modulo 31: every difference is one of two members'.
 COVER_MODULUS, COVER = 31, [1, 5, 11, 24, 25, 27]
 #: Bytes by which suffixes are sorted before ties are resolved; more than any distance to a common cover position.
 PREFIX = 32
-#: Bytes of pieces that a task holds before it sends them.
-HELD_BYTES = 8 << 20
+#: Stretches: one cut in so many bytes on average, by hashes of so many bytes, at least so far from the last candidate.
+CUT_EVERY, CUT_GRAM, CUT_APART = 512, 16, 64
+#: Groups above which an anchor is hot: its suffixes are dealt by their own hash.
+HOT = 256
+#: Bytes of text, and anchors, for each of the parts that they are dealt into.
+PART_BYTES, PART_ANCHORS = 4 << 20, 1 << 23
 
 
 def _distances() -> np.ndarray:
@@ -71,14 +83,133 @@ def window_anchors(data: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarr
     return out
 
 
-def _anchors(width: int):
-    def of(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The anchors of a run's texts, once for each text."""
-        least = window_anchors(data, bounds, width)
-        at = np.flatnonzero((least != 0) & np.concatenate([[True], least[1:] != least[:-1]]))
-        text = np.searchsorted(bounds, at, side="right").astype(np.uint64)
-        _, first = np.unique(least[at] ^ mixed(text), return_index=True)
-        return least[at][first]
+def stretches(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of the stretches of a run, each with the ``width`` - 1 bytes after it where its text has them.
+
+    Every string of ``width`` bytes that starts in a stretch lies in it. A cut depends on the bytes around it alone.
+    """
+    cut = np.flatnonzero(windows(BYTES[data], CUT_GRAM) % np.uint64(CUT_EVERY) == 0)
+    cut = cut[np.concatenate([[True], np.diff(cut) > CUT_APART])] if len(cut) else cut
+    start = np.unique(np.concatenate([bounds[:-1], cut]))
+    text = np.searchsorted(bounds, start, side="right") - 1
+    end = np.minimum(np.append(start[1:], len(data)) + width - 1, bounds[text + 1])
+    ok = end - start >= width
+    return start[ok], end[ok], text[ok]
+
+
+def _digests(width: int):
+    """A row for each stretch: digest, id, place (group and row) and span (start and end)."""
+
+    def of(rows: pa.Table) -> pa.Table:
+        ids, column = in_order(rows)
+        digests, ident, place, span = [], [], [], []
+        b = rows["b"][0].as_py()
+        for i, _, data, bounds in runs(column):
+            start, end, text = stretches(data, bounds, width)
+            raw = data.tobytes()
+            digests += [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+            ident.append(ids[i:][text])
+            place.append((i + text) | (b << 32))
+            span.append((start - bounds[text]) | ((end - bounds[text]) << 32))
+        keys = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+        columns = [keys[:, 0], keys[:, 1], *(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (ident, place, span))]
+        return pa.table([pa.array(np.ascontiguousarray(x), type=pa.int64()) for x in columns], names=["k1", "k2", "id", "place", "span"])
+
+    return of
+
+
+def repeated_stretches(store: Store, width: int) -> DataFrame:
+    """(b, spans): stretches that a document with a smaller id holds too."""
+    rows = written(store.each(_digests(width), "k1 bigint, k2 bigint, id bigint, place bigint, span bigint"))
+    owners = rows.groupBy("k1", "k2").agg(F.min("id").alias("owner"), F.max("id").alias("_last")).where(F.col("owner") < F.col("_last")).drop("_last")
+    later = rows.join(owners, ["k1", "k2"]).where(F.col("id") > F.col("owner"))
+    parts = later.select(F.shiftright("place", 32).cast("int").alias("b"), *(F.expr(e).cast("int").alias(n) for n, e in (("row", "place & 4294967295"), ("start", "span & 4294967295"), ("end", "shiftright(span, 32)"))))
+    out = written(parts)
+    discard(rows)
+    return out
+
+
+def _resolved(sent: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches sent to a group, sorted by row."""
+    rows = sent.filter(sent["row"].is_valid())
+    row, start, end = (rows[c].to_numpy().astype(np.int64) for c in ("row", "start", "end"))
+    order = np.argsort(row, kind="stable")
+    return row[order], start[order], end[order]
+
+
+class Anchors:
+    """The anchors of a group's suffixes that no stretch resolves: their values' upper 56 bits, rows, starts, and how many suffixes each has."""
+
+    def __init__(self, rows: pa.Table, sent: pa.Table, width: int) -> None:
+        self.ids, self.column = in_order(rows)
+        row, start, end = _resolved(sent)
+        found: list[tuple] = []
+        for i, j, data, bounds in runs(self.column):
+            least = window_anchors(data, bounds, width)
+            a, b = np.searchsorted(row, [i, j])
+            at = bounds[row[a:b] - i]
+            least[covered(at + start[a:b], at + end[a:b] - width + 1, len(data))] = 0
+            head = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]])) if len(least) else np.zeros(0, dtype=np.int64)
+            count = np.diff(np.append(head, len(least)))
+            ok = least[head] != 0
+            head, count = head[ok], count[ok]
+            text = np.searchsorted(bounds, head, side="right") - 1
+            found.append((least[head] >> np.uint64(8), (i + text).astype(np.int64), head - bounds[text], count))
+        kinds = (np.uint64, np.int64, np.int64, np.int64)
+        self.value, self.row, self.start, self.count = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=t) for k, t in enumerate(kinds))
+        #: Distinct values, and where each occurrence's is among them.
+        self.values, self.which = np.unique(self.value, return_inverse=True)
+
+    def shared(self) -> np.ndarray:
+        """Which values two documents of the group hold."""
+        ident = self.ids[self.row]
+        low, high = np.full(len(self.values), np.iinfo(np.int64).max), np.full(len(self.values), np.iinfo(np.int64).min)
+        np.minimum.at(low, self.which, ident)
+        np.maximum.at(high, self.which, ident)
+        return low < high
+
+    def parts(self, parts: int) -> Iterator[tuple[int, int, int]]:
+        """(part, first value, value after the last)."""
+        cuts = np.searchsorted(self.values, np.arange(parts + 1, dtype=np.uint64) << np.uint64(56 - parts.bit_length() + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            yield k, int(cuts[k]), int(cuts[k + 1])
+
+
+def _asked(width: int, parts: int):
+    """Each group's distinct anchors by range, 6 bytes each (the part tells the rest), and which are shared inside."""
+
+    def of(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        found = Anchors(rows, sent, width)
+        shared, low = found.shared(), found.values.view(np.uint8).reshape(-1, 8)[:, :6]
+        out = [(k, low[a:b].tobytes(), np.packbits(shared[a:b]).tobytes()) for k, a, b in found.parts(parts)]
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        part, *blocks = (pa.array([x[k] for x in out], type=t) for k, t in enumerate(kinds))
+        return pa.table([part, pa.array([rows["b"][0].as_py()] * len(out), type=pa.int32()), *blocks], names=["part", "b", "anchors", "shared"])
+
+    return of
+
+
+def _answered(hot_groups: int):
+    """For each group's anchors of a part: a bit for those that another document holds, and one for the hot ones."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, table in by_part(batches):
+            blocks = table["anchors"].to_pylist()
+            sizes = np.array([len(x) // 6 for x in blocks])
+            value = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
+            value[:, :6] = np.frombuffer(b"".join(blocks), dtype=np.uint8).reshape(-1, 6)
+            value = value.view(np.uint64).ravel()
+            inside = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n) for x, n in zip(table["shared"].to_pylist(), sizes.tolist(), strict=True)]).astype(bool)
+            order = np.argsort(value, kind="stable")
+            new = np.concatenate([[True], np.diff(value[order]) != 0])
+            head = np.flatnonzero(new)
+            groups = np.diff(np.append(head, len(order)))
+            again = (groups > 1) | np.logical_or.reduceat(inside[order], head)
+            repeated, hot = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
+            repeated[order], hot[order] = np.repeat(again, groups), np.repeat(groups > hot_groups, groups)
+            cuts = np.concatenate([[0], np.cumsum(sizes)])
+            bits = [np.packbits(np.stack([repeated[a:b], hot[a:b]]), axis=1).tobytes() if repeated[a:b].any() else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([table["b"].combine_chunks(), pa.array([part] * len(bits), type=pa.int32()), pa.array(bits, type=pa.binary())], names=["b", "part", "bits"])
 
     return of
 
@@ -92,63 +223,81 @@ def unsqueezed(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _pieces(known: Filter, width: int, parts: int):
-    """Pieces of text whose windows share an anchor that may occur again, by the range of the anchor.
-
-    Of equal pieces of several documents in a task the least document's goes on (``part`` >= 0); the others are removed
-    at once (``part`` < 0).
-    """
+#: A piece's id, row, start, length and some bits of its anchor.
+FIELDS = (np.int64, np.int32, np.int32, np.int32, np.uint32)
+
+
+def packed_pieces(fields: list[np.ndarray], text: bytes) -> bytes:
+    return squeezed(len(fields[0]).to_bytes(8, "little") + b"".join(x.astype(t).tobytes() for x, t in zip(fields, FIELDS, strict=True)) + text)
+
+
+def unpacked_pieces(block: bytes) -> tuple[list[np.ndarray], bytes]:
+    data = unsqueezed(block)
+    n, at, out = int.from_bytes(data[:8], "little"), 8, []
+    for t in FIELDS:
+        out.append(np.frombuffer(data, dtype=t, count=n, offset=at))
+        at += n * np.dtype(t).itemsize
+    return out, data[at:]
+
+
+def _single(data: np.ndarray, at: np.ndarray, count: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the suffixes of hot anchors: which occurrence each is of and its place, and which only repeat a smaller or equal
+    document's of the group (that one stands for them)."""
+    of = np.repeat(np.arange(len(at)), count)
+    place = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    raw = data.tobytes()
+    first: dict[bytes, int] = {}
+    order = np.argsort(ids[of], kind="stable")
+    least = np.empty(len(of), dtype=np.int64)
+    for k in order.tolist():
+        least[k] = first.setdefault(raw[place[k] : place[k] + width], k)
+    return of, place, ids[of] > ids[of][least]
+
+
+def _pieces(width: int, asked: int, parts: int):
+    """Pieces of text whose suffixes share an anchor that another document holds, by the range of the anchor (``part`` >= 0); what is known to go already (``part`` < 0)."""
+
+    def of(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        found = Anchors(rows, sent, width)
+        b = rows["b"][0].as_py()
+        known, hot = np.zeros(len(found.values), dtype=bool), np.zeros(len(found.values), dtype=bool)
+        answers = sent.filter(sent["bits"].is_valid())
+        bits = dict(zip(answers["part"].to_pylist(), answers["bits"].to_pylist(), strict=True))
+        for k, x, y in found.parts(asked):
+            if k in bits:
+                known[x:y], hot[x:y] = np.unpackbits(np.frombuffer(bits[k], dtype=np.uint8).reshape(2, -1), axis=1, count=y - x).astype(bool)
+        data, bounds = whole(found.column)
+        out: list[tuple[int, bytes, bytes]] = []
+        pick = np.flatnonzero(known[found.which] & ~hot[found.which])
+        at, size, row, value = bounds[found.row[pick]] + found.start[pick], found.count[pick] + width - 1, found.row[pick], found.value[pick]
+        spread = np.flatnonzero(hot[found.which])
+        if len(spread):
+            mine = bounds[found.row[spread]] + found.start[spread]
+            which, place, gone = _single(data, mine, found.count[spread], found.ids[found.row[spread]], width)
+            lost = found.row[spread][which]
+            out.append((-1 - b % parts, b"", packed_spans(lost[gone], place[gone] - bounds[lost[gone]], place[gone] - bounds[lost[gone]] + width)))
+            which, place = which[~gone], place[~gone]
+            hashes = _at(data, place, width)
+            at, size = np.concatenate([at, place]), np.concatenate([size, np.full(len(place), width)])
+            row, value = np.concatenate([row, found.row[spread][which]]), np.concatenate([value, hashes >> np.uint64(8)])
+        ids, raw = found.ids[row], data.tobytes()
+        for part, k in dealt(mixed(value), parts):
+            k = k[np.argsort(value[k], kind="stable")]
+            text = b"".join(raw[x : x + n] for x, n in zip(at[k].tolist(), size[k].tolist(), strict=True))
+            out.append((part, packed_pieces([ids[k], row[k], at[k] - bounds[row[k]], size[k], value[k] & np.uint64(0xFFFFFFFF)], text), b""))
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        part, *blocks = (pa.array([x[k] for x in out], type=t) for k, t in enumerate(kinds))
+        return pa.table([part, pa.array([b] * len(out), type=pa.int32()), *blocks], names=["part", "b", "pieces", "spans"])
 
-    def blocks(data: list[bytes], anchor: list[np.ndarray], doc: list[np.ndarray], start: list[np.ndarray], size: list[np.ndarray]) -> pa.RecordBatch:
-        text = np.frombuffer(b"".join(data), dtype=np.uint8)
-        anchors, docs, starts, sizes = (np.concatenate(x) for x in (anchor, doc, start, size))
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        raw = text.tobytes()
-        first: dict[bytes, int] = {}
-        for k in np.lexsort((starts, docs)).tolist():
-            first.setdefault(raw[at[k] : at[k + 1]], k)
-        owner = np.array([first[raw[at[k] : at[k + 1]]] for k in range(len(sizes))], dtype=np.int64)
-        lost = docs > docs[owner]
-        rows = []
-        stay = np.flatnonzero(~lost)
-        for part, which in dealt(mixed(anchors[stay]), parts):
-            of_part = stay[which]
-            rows.append((part, squeezed(b"".join(raw[at[k] : at[k + 1]] for k in of_part.tolist())), docs[of_part].tobytes(), starts[of_part].tobytes(), sizes[of_part].tobytes()))
-        gone = np.flatnonzero(lost)
-        order = gone[np.argsort(docs[gone], kind="stable")]
-        cuts = np.flatnonzero(np.concatenate([[True], docs[order][1:] != docs[order][:-1], [True]])) if len(order) else []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            k = order[a:b]
-            rows.append((-1 - a % parts, b"", docs[k[:1]].tobytes(), np.stack([starts[k], starts[k] + sizes[k]], axis=1).astype(np.int32).tobytes(), b""))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "text", "doc", "start", "size"])
+    return of
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, ...] = ([], [], [], [], [])
-        size = 0
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for i, _, data, bounds in runs(batch.column(1)):
-                least = window_anchors(data, bounds, width)
-                head = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]])) if len(least) else np.zeros(0, dtype=np.int64)
-                count = np.diff(np.append(head, len(least)))
-                ok = least[head] != 0
-                head, count = head[ok], count[ok]
-                ok = known(least[head])
-                head, count = head[ok], count[ok]
-                if len(head):
-                    text = np.searchsorted(bounds, head, side="right") - 1
-                    raw, length = data.tobytes(), count + width - 1
-                    held[0].append(b"".join(raw[a : a + n] for a, n in zip(head.tolist(), length.tolist(), strict=True)))
-                    for k, x in enumerate((least[head], ids[i:][text], (head - bounds[text]).astype(np.int32), length.astype(np.int32)), 1):
-                        held[k].append(x)
-                    size += len(held[0][-1])
-                if size > HELD_BYTES:
-                    yield blocks(*held)
-                    held, size = ([], [], [], [], []), 0
-        if size:
-            yield blocks(*held)
 
-    return of
+def _at(data: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` bytes from each place."""
+    out = np.zeros(len(place), dtype=np.uint64)
+    for k in range(width):
+        out = mixed(out ^ BYTES[data[place + k]])
+    return out
 
 
 def _words(text: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -253,30 +402,62 @@ def _shared_with_previous(words: list[np.ndarray], width: int) -> np.ndarray:
 
 
 def _sorted_bucket(width: int):
-    """(id, ends) of the windows of a bucket that a smaller document holds too."""
+    """(b, spans) of what the suffixes of a bucket say goes."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, table in by_part(batches):
             if part < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(joined(table["doc"], np.int64)), table["start"].combine_chunks()], names=["id", "block"])
+                yield pa.RecordBatch.from_arrays([table["b"].combine_chunks(), table["spans"].combine_chunks()], names=["b", "spans"])
                 continue
-            text = np.frombuffer(b"".join(map(unsqueezed, table["text"].to_pylist())) + bytes(width + 48), dtype=np.uint8)
-            doc, start, size = joined(table["doc"], np.int64), joined(table["start"], np.int32), joined(table["size"], np.int32).astype(np.int64)
-            at = np.concatenate([[0], np.cumsum(size)])[:-1]
-            count = size - width + 1
-            piece = np.repeat(np.arange(len(size)), count)
-            offset = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-            rank = prefix_ranks(text, at[piece] + offset, width)
-            docs = doc[piece]
-            least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max) if len(rank) else np.zeros(0, dtype=np.int64)
-            np.minimum.at(least, rank, docs)
-            lost = docs > least[rank]
-            rows = list(by_document(docs[lost], (start[piece] + offset)[lost], width))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int64()), pa.array([r[1] for r in rows], type=pa.binary())], names=["id", "block"])
+            blocks = [unpacked_pieces(x) for x in table["pieces"].to_pylist()]
+            group = np.repeat(table["b"].to_numpy(), [len(f[0]) for f, _ in blocks])
+            raw = b"".join(text for _, text in blocks)
+            ids, row, start, size, anchor = (np.concatenate([f[k] for f, _ in blocks]).astype(np.int64) for k in range(len(FIELDS)))
+            piece, low, high = lost_suffixes(raw, ids, size, anchor, width)
+            out = list(by_group(group[piece], row[piece], start[piece] + low, start[piece] + high))
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], type=pa.int32()), pa.array([m for _, m in out], type=pa.binary())], names=["b", "spans"])
 
     return of
 
 
+def lost_suffixes(raw: bytes, ids: np.ndarray, size: np.ndarray, anchor: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pieces of a bucket, one after the other in ``raw``: (piece, first byte, byte after the last) of what goes."""
+    n = len(ids)
+    at = np.cumsum(size) - size
+    first: dict[bytes, int] = {}
+    like = np.array([first.setdefault(raw[x : x + y], k) for k, (x, y) in enumerate(zip(at.tolist(), size.tolist(), strict=True))], dtype=np.int64)
+    owner = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(owner, like, ids)
+    # A piece that a smaller document holds goes as a whole.
+    gone = np.flatnonzero(ids > owner[like])
+    # Different pieces of one anchor may share suffixes.
+    heads = np.flatnonzero(like == np.arange(n))
+    _, which, times = np.unique(anchor[heads], return_inverse=True, return_counts=True)
+    heads = heads[times[which] > 1]
+    if not len(heads):
+        return gone, np.zeros(len(gone), dtype=np.int64), size[gone]
+    text = np.frombuffer(b"".join(raw[x : x + y] for x, y in zip(at[heads].tolist(), size[heads].tolist(), strict=True)) + bytes(width + 48), dtype=np.uint8)
+    begin, count = np.cumsum(size[heads]) - size[heads], size[heads] - width + 1
+    piece = np.repeat(np.arange(len(heads)), count)
+    offset = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+    rank = prefix_ranks(text, begin[piece] + offset, width)
+    held = owner[heads][piece]
+    least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, rank, held)
+    lost = np.flatnonzero(held > least[rank])
+    # Runs of suffixes that go, of each head, for every one of its owner's pieces.
+    new = np.concatenate([[True], (np.diff(piece[lost]) != 0) | (np.diff(offset[lost]) > 1)]) if len(lost) else np.zeros(0, dtype=bool)
+    a = np.flatnonzero(new)
+    z = np.append(a[1:], len(lost)) - 1 if len(a) else a
+    of, low, high = heads[piece[lost[a]]], offset[lost[a]], offset[lost[z]] + width
+    mine = np.flatnonzero(ids == owner[like])
+    mine = mine[np.argsort(like[mine], kind="stable")]
+    x, y = np.searchsorted(like[mine], of, side="left"), np.searchsorted(like[mine], of, side="right")
+    run = np.repeat(np.arange(len(of)), y - x)
+    copy = mine[np.arange(len(run)) - np.repeat(np.cumsum(y - x) - (y - x), y - x) + x[run]] if len(run) else mine[:0]
+    return np.concatenate([gone, copy]), np.concatenate([np.zeros(len(gone), dtype=np.int64), low[run]]), np.concatenate([size[gone], high[run]])
+
+
 class Bytes:
     """A text's units are its bytes."""
 
@@ -289,18 +470,30 @@ def _kept(data: np.ndarray, units: Bytes, k: int, keep: np.ndarray | None) -> by
     return (text if keep is None else text[keep]).tobytes()
 
 
-def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, parts: int | None = None) -> DataFrame:
+def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, parts: int | None = None, hot: int = HOT) -> DataFrame:
     """Id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of each row.
 
-    ``parts`` is the number of buckets, by default one for 2 MB of text and 64 at least.
+    ``parts`` is the number of buckets, by default one for PART_BYTES of text and 64 at least; an anchor in more than
+    ``hot`` groups is hot.
     """
-    with small_batches(docs.sparkSession):
-        texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-        if parts is None:
-            parts = size_in_parts(texts, each=2 << 20)
-        named = texts.where(F.col("id").isNotNull())
-        known = anchor_filter(named.select("text"), _anchors(width), parts)
-        pieces = named.mapInArrow(_pieces(known, width, parts), "part int, text binary, doc binary, start binary, size binary")
-        removed = written(pieces.repartition("part").sortWithinPartitions("part").mapInArrow(_sorted_bucket(width), "id bigint, block binary"))
-        out = cut_texts(texts, removed, Bytes, _kept)
-        return written(out.select(F.col("id").alias(id_col), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    store = Store(texts)
+    parts = parts or power_of_two(64, store.bytes // PART_BYTES)
+    asked = power_of_two(256, store.bytes // (width - GRAM) * 2 // PART_ANCHORS)
+    stretched = repeated_stretches(store, width)
+    anchors = store.with_sent(stretched, _asked(width, asked), "part int, b int, anchors binary, shared binary")
+    answers = written(anchors.repartition("part").sortWithinPartitions("part").mapInArrow(_answered(hot), "b int, part int, bits binary"))
+    both = stretched.unionByName(answers.where(F.col("bits").isNotNull()), allowMissingColumns=True)
+    pieces = store.with_sent(both, _pieces(width, asked, parts), "part int, b int, pieces binary, spans binary")
+    removed = written(pieces.repartition("part").sortWithinPartitions("part").mapInArrow(_sorted_bucket(width), "b int, spans binary"))
+    out = cut_texts(texts, store, removed.unionByName(stretched, allowMissingColumns=True), Bytes, _kept)
+    out = written(out.select(F.col("id").alias(id_col), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256"))
+    discard(stretched, answers, removed)
+    store.drop()
+    return out
+
+
+def power_of_two(least: int, wanted: int) -> int:
+    while least < wanted:
+        least *= 2
+    return least

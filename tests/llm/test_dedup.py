@@ -173,6 +173,24 @@ def test_suffix_dedup(spark, seed):
     assert got == plain_bytes(rows, 50)
 
 
+def test_hot_anchors_spread(spark):
+    rows = corpus(100, 6)
+    passage = "a passage that stands in each of these documents, with other words around it each time, " * 2
+    rows = [(d, f"{(t or '')[:200]} {d} {passage}{d % 7}" if d % 2 else t, *rest) for d, t, *rest in rows]
+    # Held by more than one group is hot here: suffixes are dealt one by one.
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.dedupe(spark.createDataFrame(rows, SCHEMA), parts=8, hot=1).collect()}
+    assert got == plain_bytes(rows, 50)
+
+
+def test_rows_of_one_id_keep_their_own_places(spark):
+    # Two rows of one id are one document, and each loses what the smaller id holds where it stands in that row.
+    shared = "".join(chr(97 + (k * k + k // 3) % 26) for k in range(80))
+    rows = [(1, shared), (5, "x" * 30 + shared), (5, shared + "y" * 10), (5, None)]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedupe(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == sorted([(1, 80, 0, 0, sha(shared)), (5, 110, 80, 1, sha("x" * 30)), (5, 90, 80, 1, sha("y" * 10)), (5, 0, 0, 0, sha(""))])
+
+
 def test_suffix_dedup_odd_input(spark):
     rows = corpus(60)
     out = suffix_dedup.dedupe(awkward(spark, rows), parts=4).collect()
