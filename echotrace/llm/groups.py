@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, shared_folder
+from .common import discard, shared_folder, written
 from .hashing import runs
 
 #: Bytes of text in a bucket, and groups in one. A group is at hand as a whole.
@@ -109,6 +109,136 @@ def covered(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
+def part_of(values: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` equal ranges of the 64-bit values each one lies in."""
+    return ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def dealt(values: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, which of the values lie in it) for each part that has any."""
+    part = part_of(values, parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+    for k in range(parts):
+        if cuts[k] < cuts[k + 1]:
+            yield k, order[cuts[k] : cuts[k + 1]]
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of one part after the other, of a partition sorted by its first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        begin = 0
+        for cut in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]:
+            if held and held[0].column(0)[0].as_py() != part[begin]:
+                yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            if cut > begin:
+                held.append(batch.slice(begin, cut - begin))
+            begin = cut
+    if held:
+        yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+
+
+def squeezed(data: bytes) -> bytes:
+    """Compressed, with its length before it."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def power_of_two(least: int, wanted: int) -> int:
+    while least < wanted:
+        least *= 2
+    return least
+
+
+#: Columns of what ``digests`` of ``repeated_stretches`` gives: digest, id, place (row, and group above bit 32), span (start, and end above bit 32).
+STRETCH = "k1 bigint, k2 bigint, id bigint, place bigint, span bigint"
+
+
+def repeated_stretches(store: Store, digests: Callable[[pa.Table], pa.Table], order: list[str]) -> DataFrame:
+    """(b, row, start, end) of stretches that occur earlier: with less in the ``order`` of id or of id and start."""
+    rows = written(store.each(digests, STRETCH).withColumn("start", F.expr("cast(span & 4294967295 as int)")))
+    at = F.struct(*order)
+    owners = rows.groupBy("k1", "k2").agg(F.min(at).alias("owner"), F.max(at).alias("_last")).where(F.col("owner") < F.col("_last")).drop("_last")
+    later = rows.join(owners, ["k1", "k2"]).where(at > F.col("owner"))
+    out = written(later.select(F.shiftright("place", 32).cast("int").alias("b"), F.expr("cast(place & 4294967295 as int)").alias("row"), "start", F.shiftright("span", 32).cast("int").alias("end")))
+    discard(rows)
+    return out
+
+
+def single_spans(sent: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans among what was sent that are rows of their own: row, start, end, sorted by row."""
+    rows = sent.filter(sent["row"].is_valid())
+    row, start, end = (rows[c].to_numpy().astype(np.int64) for c in ("row", "start", "end"))
+    order = np.argsort(row, kind="stable")
+    return row[order], start[order], end[order]
+
+
+#: A group asks by (part, group, its distinct anchors' lower 48 bits, which of them it holds twice).
+QUESTION = "part int, b int, anchors binary, shared binary"
+#: Anchors for each of the parts that they are dealt into.
+PART_ANCHORS = 1 << 23
+
+
+def _ranges(values: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, first value, value after the last) of sorted 56-bit values; there are 256 parts or more, so a part tells the upper 8 bits."""
+    cuts = np.searchsorted(values, np.arange(parts + 1, dtype=np.uint64) << np.uint64(56 - parts.bit_length() + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        yield k, int(cuts[k]), int(cuts[k + 1])
+
+
+def question(b: int, values: np.ndarray, shared: np.ndarray, parts: int) -> pa.Table:
+    """What a group asks about its distinct anchors."""
+    low = values.view(np.uint8).reshape(-1, 8)[:, :6]
+    out = [(k, low[x:y].tobytes(), np.packbits(shared[x:y]).tobytes()) for k, x, y in _ranges(values, parts)]
+    part, *blocks = (pa.array([x[k] for x in out], type=t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary())))
+    return pa.table([part, pa.array([b] * len(out), type=pa.int32()), *blocks], names=["part", "b", "anchors", "shared"])
+
+
+def _answers(hot_groups: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, table in by_part(batches):
+            blocks = table["anchors"].to_pylist()
+            sizes = np.array([len(x) // 6 for x in blocks])
+            value = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
+            value[:, :6] = np.frombuffer(b"".join(blocks), dtype=np.uint8).reshape(-1, 6)
+            value = value.view(np.uint64).ravel()
+            inside = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n) for x, n in zip(table["shared"].to_pylist(), sizes.tolist(), strict=True)]).astype(bool)
+            order = np.argsort(value, kind="stable")
+            head = np.flatnonzero(np.concatenate([[True], np.diff(value[order]) != 0]))
+            groups = np.diff(np.append(head, len(order)))
+            again = (groups > 1) | np.logical_or.reduceat(inside[order], head)
+            repeated, hot = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
+            repeated[order], hot[order] = np.repeat(again, groups), np.repeat(groups > hot_groups, groups)
+            cuts = np.concatenate([[0], np.cumsum(sizes)])
+            bits = [np.packbits(np.stack([repeated[x:y], hot[x:y]]), axis=1).tobytes() if repeated[x:y].any() else None for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([table["b"].combine_chunks(), pa.array([part] * len(bits), type=pa.int32()), pa.array(bits, type=pa.binary())], names=["b", "part", "bits"])
+
+    return of
+
+
+def answered(questions: DataFrame, hot_groups: int) -> DataFrame:
+    """(b, part, bits): for each anchor a bit if it occurs again, and one if more than ``hot_groups`` groups hold it."""
+    rows = questions.repartition("part").sortWithinPartitions("part").mapInArrow(_answers(hot_groups), "b int, part int, bits binary")
+    return written(rows.where(F.col("bits").isNotNull()))
+
+
+def answer(sent: pa.Table, values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a group's distinct anchors occur again, and which are hot."""
+    known, hot = np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=bool)
+    rows = sent.filter(sent["bits"].is_valid())
+    bits = dict(zip(rows["part"].to_pylist(), rows["bits"].to_pylist(), strict=True))
+    for k, x, y in _ranges(values, parts):
+        if k in bits:
+            known[x:y], hot[x:y] = np.unpackbits(np.frombuffer(bits[k], dtype=np.uint8).reshape(2, -1), axis=1, count=y - x).astype(bool)
+    return known, hot
+
+
 RESULT = "id bigint, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 BYTES = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: For a second hash of the same bytes.
+OTHER_BYTES = np.random.Generator(np.random.PCG64(12)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -63,14 +65,32 @@ class Words:
         #: Words of text k are first[k] to first[k + 1].
         self.first = np.searchsorted(self.start, bounds)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, table: np.ndarray = BYTES) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(BYTES[self.data] * powers(MULTIPLIER, len(self.data)), out=sums[1:])
+        np.cumsum(table[self.data] * powers(MULTIPLIER, len(self.data)), out=sums[1:])
         back = powers(INVERSE, len(self.data) + 1)
         return mixed((sums[self.end] - sums[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
 
 
+    def spaced(self) -> bytes:
+        """All words, a space after each."""
+        size = self.end - self.start
+        at = self.place(np.arange(len(size) + 1))
+        out = np.full(int(at[-1]), 0x20, dtype=np.uint8)
+        inside = np.ones(len(out), dtype=bool)
+        inside[at[1:] - 1] = False
+        word = np.zeros(len(self.data) + 1, dtype=np.int8)
+        word[self.start] += 1
+        np.add.at(word, self.end, -1)
+        out[inside] = self.data[np.cumsum(word)[:-1] > 0]
+        return out.tobytes()
+
+    def place(self, k: np.ndarray) -> np.ndarray:
+        """Where words numbered ``k`` begin in ``spaced``."""
+        return np.concatenate([[0], np.cumsum(self.end - self.start + 1)])[k]
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z in lower case, all else as it is."""
     return np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)

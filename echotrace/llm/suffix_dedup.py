@@ -31,9 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
-from .groups import Store, by_group, covered, cut_texts, in_order, packed_spans, whole
+from .groups import PART_ANCHORS, QUESTION, Store, answer, answered, by_group, by_part, covered, cut_texts, dealt, in_order, packed_spans, power_of_two, question, repeated_stretches, single_spans, squeezed, unsqueezed, whole
 from .hashing import BYTES, mixed, runs, windows
-from .marks import by_part, dealt
 
 WIDTH, GRAM = 50, 24
 #: A perfect difference set modulo 31: every difference is one of two members'.
@@ -44,8 +43,8 @@ PREFIX = 32
 CUT_EVERY, CUT_GRAM, CUT_APART = 512, 16, 64
 #: Groups above which an anchor is hot: its suffixes are dealt by their own hash.
 HOT = 256
-#: Bytes of text, and anchors, for each of the parts that they are dealt into.
-PART_BYTES, PART_ANCHORS = 4 << 20, 1 << 23
+#: Bytes of text for each bucket.
+PART_BYTES = 4 << 20
 
 
 def _distances() -> np.ndarray:
@@ -118,31 +117,12 @@ def _digests(width: int):
     return of
 
 
-def repeated_stretches(store: Store, width: int) -> DataFrame:
-    """(b, spans): stretches that a document with a smaller id holds too."""
-    rows = written(store.each(_digests(width), "k1 bigint, k2 bigint, id bigint, place bigint, span bigint"))
-    owners = rows.groupBy("k1", "k2").agg(F.min("id").alias("owner"), F.max("id").alias("_last")).where(F.col("owner") < F.col("_last")).drop("_last")
-    later = rows.join(owners, ["k1", "k2"]).where(F.col("id") > F.col("owner"))
-    parts = later.select(F.shiftright("place", 32).cast("int").alias("b"), *(F.expr(e).cast("int").alias(n) for n, e in (("row", "place & 4294967295"), ("start", "span & 4294967295"), ("end", "shiftright(span, 32)"))))
-    out = written(parts)
-    discard(rows)
-    return out
-
-
-def _resolved(sent: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The stretches sent to a group, sorted by row."""
-    rows = sent.filter(sent["row"].is_valid())
-    row, start, end = (rows[c].to_numpy().astype(np.int64) for c in ("row", "start", "end"))
-    order = np.argsort(row, kind="stable")
-    return row[order], start[order], end[order]
-
-
 class Anchors:
     """The anchors of a group's suffixes that no stretch resolves: their values' upper 56 bits, rows, starts, and how many suffixes each has."""
 
     def __init__(self, rows: pa.Table, sent: pa.Table, width: int) -> None:
         self.ids, self.column = in_order(rows)
-        row, start, end = _resolved(sent)
+        row, start, end = single_spans(sent)
         found: list[tuple] = []
         for i, j, data, bounds in runs(self.column):
             least = window_anchors(data, bounds, width)
@@ -168,61 +148,15 @@ class Anchors:
         np.maximum.at(high, self.which, ident)
         return low < high
 
-    def parts(self, parts: int) -> Iterator[tuple[int, int, int]]:
-        """(part, first value, value after the last)."""
-        cuts = np.searchsorted(self.values, np.arange(parts + 1, dtype=np.uint64) << np.uint64(56 - parts.bit_length() + 1))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            yield k, int(cuts[k]), int(cuts[k + 1])
-
 
 def _asked(width: int, parts: int):
-    """Each group's distinct anchors by range, 6 bytes each (the part tells the rest), and which are shared inside."""
-
     def of(rows: pa.Table, sent: pa.Table) -> pa.Table:
         found = Anchors(rows, sent, width)
-        shared, low = found.shared(), found.values.view(np.uint8).reshape(-1, 8)[:, :6]
-        out = [(k, low[a:b].tobytes(), np.packbits(shared[a:b]).tobytes()) for k, a, b in found.parts(parts)]
-        kinds = (pa.int32(), pa.binary(), pa.binary())
-        part, *blocks = (pa.array([x[k] for x in out], type=t) for k, t in enumerate(kinds))
-        return pa.table([part, pa.array([rows["b"][0].as_py()] * len(out), type=pa.int32()), *blocks], names=["part", "b", "anchors", "shared"])
-
-    return of
-
-
-def _answered(hot_groups: int):
-    """For each group's anchors of a part: a bit for those that another document holds, and one for the hot ones."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, table in by_part(batches):
-            blocks = table["anchors"].to_pylist()
-            sizes = np.array([len(x) // 6 for x in blocks])
-            value = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
-            value[:, :6] = np.frombuffer(b"".join(blocks), dtype=np.uint8).reshape(-1, 6)
-            value = value.view(np.uint64).ravel()
-            inside = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n) for x, n in zip(table["shared"].to_pylist(), sizes.tolist(), strict=True)]).astype(bool)
-            order = np.argsort(value, kind="stable")
-            new = np.concatenate([[True], np.diff(value[order]) != 0])
-            head = np.flatnonzero(new)
-            groups = np.diff(np.append(head, len(order)))
-            again = (groups > 1) | np.logical_or.reduceat(inside[order], head)
-            repeated, hot = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
-            repeated[order], hot[order] = np.repeat(again, groups), np.repeat(groups > hot_groups, groups)
-            cuts = np.concatenate([[0], np.cumsum(sizes)])
-            bits = [np.packbits(np.stack([repeated[a:b], hot[a:b]]), axis=1).tobytes() if repeated[a:b].any() else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([table["b"].combine_chunks(), pa.array([part] * len(bits), type=pa.int32()), pa.array(bits, type=pa.binary())], names=["b", "part", "bits"])
+        return question(rows["b"][0].as_py(), found.values, found.shared(), parts)
 
     return of
 
 
-def squeezed(data: bytes) -> bytes:
-    """Compressed, with its length before it."""
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def unsqueezed(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-
-
 #: A piece's id, row, start, length and some bits of its anchor.
 FIELDS = (np.int64, np.int32, np.int32, np.int32, np.uint32)
 
@@ -260,12 +194,7 @@ def _pieces(width: int, asked: int, parts: int):
     def of(rows: pa.Table, sent: pa.Table) -> pa.Table:
         found = Anchors(rows, sent, width)
         b = rows["b"][0].as_py()
-        known, hot = np.zeros(len(found.values), dtype=bool), np.zeros(len(found.values), dtype=bool)
-        answers = sent.filter(sent["bits"].is_valid())
-        bits = dict(zip(answers["part"].to_pylist(), answers["bits"].to_pylist(), strict=True))
-        for k, x, y in found.parts(asked):
-            if k in bits:
-                known[x:y], hot[x:y] = np.unpackbits(np.frombuffer(bits[k], dtype=np.uint8).reshape(2, -1), axis=1, count=y - x).astype(bool)
+        known, hot = answer(sent, found.values, asked)
         data, bounds = whole(found.column)
         out: list[tuple[int, bytes, bytes]] = []
         pick = np.flatnonzero(known[found.which] & ~hot[found.which])
@@ -479,11 +408,10 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, w
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     store = Store(texts)
     parts = parts or power_of_two(64, store.bytes // PART_BYTES)
-    asked = power_of_two(256, store.bytes // (width - GRAM) * 2 // PART_ANCHORS)
-    stretched = repeated_stretches(store, width)
-    anchors = store.with_sent(stretched, _asked(width, asked), "part int, b int, anchors binary, shared binary")
-    answers = written(anchors.repartition("part").sortWithinPartitions("part").mapInArrow(_answered(hot), "b int, part int, bits binary"))
-    both = stretched.unionByName(answers.where(F.col("bits").isNotNull()), allowMissingColumns=True)
+    asked = power_of_two(256, 2 * store.bytes // (width - GRAM) // PART_ANCHORS)
+    stretched = repeated_stretches(store, _digests(width), ["id"])
+    answers = answered(store.with_sent(stretched, _asked(width, asked), QUESTION), hot)
+    both = stretched.unionByName(answers, allowMissingColumns=True)
     pieces = store.with_sent(both, _pieces(width, asked, parts), "part int, b int, pieces binary, spans binary")
     removed = written(pieces.repartition("part").sortWithinPartitions("part").mapInArrow(_sorted_bucket(width), "b int, spans binary"))
     out = cut_texts(texts, store, removed.unionByName(stretched, allowMissingColumns=True), Bytes, _kept)
@@ -491,9 +419,3 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, w
     discard(stretched, answers, removed)
     store.drop()
     return out
-
-
-def power_of_two(least: int, wanted: int) -> int:
-    while least < wanted:
-        least *= 2
-    return least
