@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import math
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: What separates words: space, and tab to carriage return.
 SEPARATORS = r"[\x20\x09-\x0D]+"
+#: Rows of a slice of ``spread``.
+SLICE_ROWS = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +55,17 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; below a temporary one if that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new folder below spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, it lies below a temporary one of this machine; a cluster's executors wouldn't share that, so
+    there it is an error.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        top = _own_folder()
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -64,16 +78,37 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+_batches_lock, _batches_before = threading.Lock(), []
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Texts are large rows: fewer of them go to a Python worker at a time, for what runs inside the block."""
+    """Texts are large rows: fewer of them go to a Python worker at a time, for what runs inside the block.
+
+    The setting is the session's: of blocks that overlap the first one sets it and the last one puts it back.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    with _batches_lock:
+        _batches_before.append(_batches_before[-1] if _batches_before else spark.conf.get(name))
+        spark.conf.set(name, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        with _batches_lock:
+            before = _batches_before.pop()
+            if not _batches_before:
+                spark.conf.set(name, before)
+
+
+def drawn(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """All rows, or the ``most`` with the lowest hash of ``key`` if there are more; the hash has 62 bits, so a share of any size can be drawn."""
+    n = df.count()
+    if n <= most:
+        return df
+    draw = F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 2)
+    # Somewhat more than are wanted pass the first test, so that few are sorted.
+    share = (most + 6 * math.isqrt(most)) / n
+    return df.where(draw < int(min(1.0, share) * 2**62)).orderBy(draw, key).limit(most)
 
 
 def discard(*tables: DataFrame | None) -> None:
@@ -84,14 +119,15 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def spread(df: DataFrame, groups: Sequence[str], order: Sequence[Column], add: dict[str, Column], parts: int = 256) -> DataFrame:
+def spread(df: DataFrame, groups: Sequence[str], order: Sequence[Column], add: dict[str, Column], rows: int) -> DataFrame:
     """Running sums before each row, within ``groups`` in ``order``, with no group in one task.
 
-    The first of ``order`` must be a bigint that spreads evenly (a hash). Each group is cut into ``parts`` slices of
-    its range; sums of the slices give each slice its start, and a window runs inside a slice. ``add`` maps a new
-    column's name to what it sums. Slices are ``parts`` per group, so that side is small whatever the rows are.
+    The first of ``order`` must be a bigint that spreads evenly (a hash). Each group is cut into slices of its range;
+    sums of the slices give each slice its start, and a window runs inside a slice. ``add`` maps a new column's name to
+    what it sums. There are as many slices as keep each below some SLICE_ROWS of all ``rows``, and 256 at least.
     """
-    cut = F.shiftrightunsigned(order[0].bitwiseXOR(F.lit(-(2**63))), 48) * parts / F.lit(1 << 16)
+    parts = min(1 << 24, max(256, rows // SLICE_ROWS))
+    cut = F.shiftrightunsigned(order[0].bitwiseXOR(F.lit(-(2**63))), 32) * parts / F.lit(1 << 32)
     df = df.withColumn("_slice", cut.cast("int"))
     keys = [*groups, "_slice"]
     sums = df.groupBy(*keys).agg(*(F.sum(v).alias(f"_sum_{k}") for k, v in add.items()))

@@ -13,6 +13,8 @@ from .common import discard, written
 def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """``id`` and ``component`` (the least id reachable) of every id in ``links`` (columns ``u``, ``v``).
 
+    Links with a null end or from an id to itself are none; repeated links count once; no links give no rows.
+
     Alternates large-star and small-star steps, each a grouped minimum and a join, until no link changes; the rounds
     grow with the logarithm of the longest path. No vertex's links meet in one task: minima are summed up before the
     shuffle and the join can split a hot key. Where ``most_rounds`` is given, links that change still are an error.
@@ -36,4 +38,6 @@ def components(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
         before = now
     # Every vertex points at its component's centre now, and the centre at itself.
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), "v"), F.struct(F.col("v").alias("id"), "v"))).alias("e"))
-    return ends.groupBy("e.id").agg(F.min("e.v").alias("component"))
+    out = written(ends.groupBy("e.id").agg(F.min("e.v").alias("component")))
+    discard(edges)
+    return out

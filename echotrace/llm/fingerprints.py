@@ -7,12 +7,14 @@ by chance once in 16 times, which ``likeness`` corrects.
 
 Nulls: a null text is an empty one. A text of fewer than five words is one shingle; one without words has the empty
 fingerprint, which is like another empty one (1) and unlike all else (0). Equal texts have equal fingerprints. Repeated
-rows each get a row; equal ids are ordered by their texts' hash, a null id comes last. A table of one row is its own
+rows each get a row; equal ids are ordered by their texts' hash, a null id comes last. Ties of id and text are equal rows.
+A very long text is hashed whole. A table of one row is its own
 next document, an empty table gives an empty result. Extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,25 +105,36 @@ def _printed(docs: DataFrame) -> DataFrame:
     return once(df, "packed", F.col("_packed")).drop("_packed").withColumn("fingerprint", digits(F.col("packed")))
 
 
-def in_runs(docs: DataFrame, id_col: str, *, run: int = 1500, most_runs: int = 1024) -> tuple[DataFrame, Window]:
+def _longs(values: list[int]) -> str:
+    return f"array({', '.join(f'{x}L' for x in values)})"
+
+
+def in_runs(docs: DataFrame, id_col: str, *, run: int = 1500, most_runs: int = 1 << 15) -> tuple[DataFrame, Window]:
     """``docs`` (id, text) cut into runs of ids, and the window in which a row's successor by falling id follows it.
 
-    Ids are cut at quantiles. The row with a run's largest id is also sent, as a guest (``_guest`` = 1), to the run above
-    it, whose last row it follows; the topmost one follows the lowest run. The driver sees one id for each run.
+    Ids are cut at quantiles, of which the driver sees one for each run; a run holds about ``run`` rows, or more where
+    that would make over ``most_runs``. The row with a run's largest id is also sent, as a guest (``_guest`` = 1), to the
+    run above it, whose last row it follows; the topmost one follows the lowest run.
     """
     n = docs.count()
     runs = max(1, min(most_runs, n // run))
-    cuts = sorted({x for x in (docs.agg(F.percentile_approx(id_col, [k / runs for k in range(1, runs)], 10000)).first()[0] or [])}) if runs > 1 else []
-    number = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in cuts)), lambda x: x <= F.col(id_col))) if cuts else F.lit(0)
+    cuts = sorted({x for x in (docs.agg(F.percentile_approx(id_col, [k / runs for k in range(1, runs)], max(10_000, 4 * runs))).first()[0] or [])}) if runs > 1 else []
+    number = F.lit(0)
+    if cuts:
+        # How many cuts are at or below the id: first whole stretches of them, then those of one stretch.
+        each = max(1, math.isqrt(len(cuts)))
+        stretches = [cuts[k : k + each] for k in range(0, len(cuts), each)]
+        below = lambda array: F.size(F.filter(array, lambda x: x <= F.col(id_col)))
+        whole = below(F.expr(_longs([s[-1] for s in stretches])))
+        number = let(whole, lambda k: k * each + F.coalesce(below(F.get(F.expr(f"array({', '.join(map(_longs, stretches))})"), k)), F.lit(0)))
+        number = F.when(F.col(id_col).isNull(), 0).otherwise(number)
     rows = docs.withColumn("_run", number).withColumn("_key", F.xxhash64("text"))
-    heads = sorted((r["_run"], r["head"]["i"], r["head"]["k"]) for r in rows.groupBy("_run").agg(F.max(F.struct(F.col(id_col).alias("i"), F.col("_key").alias("k"))).alias("head")).collect()) if n else []
-    guests = rows.where(F.lit(False))
-    if heads:
-        follows = F.create_map(*(F.lit(x) for k in range(len(heads)) for x in (heads[k][0], heads[(k + 1) % len(heads)][0])))
-        ids = [h[1] for h in heads if h[1] is not None]
-        mine = F.col(id_col).isin(ids) if len(ids) == len(heads) else F.lit(True)
-        same = F.array_contains(F.array(*(F.struct(F.lit(h[0]).alias("r"), F.lit(h[2]).alias("k")) for h in heads)), F.struct(F.col("_run").alias("r"), F.col("_key").alias("k")))
-        guests = rows.where(mine & same).dropDuplicates(["_run"]).withColumn("_run", F.element_at(follows, F.col("_run")))
+    # A row for each run: few enough for one task and to be broadcast.
+    heads = rows.groupBy("_run").agg(F.max(F.struct(F.col(id_col).alias("i"), F.col("_key").alias("k"))).alias("_head"))
+    up = Window.partitionBy(F.lit(0)).orderBy("_run")
+    heads = heads.select(F.col("_run").alias("_of"), "_head", F.coalesce(F.lead("_run").over(up), F.min("_run").over(Window.partitionBy(F.lit(0)))).alias("_to"))
+    guests = rows.join(F.broadcast(heads), (F.col("_run") == F.col("_of")) & F.col(id_col).eqNullSafe(F.col("_head.i")) & (F.col("_key") == F.col("_head.k")))
+    guests = guests.dropDuplicates(["_of"]).withColumn("_run", F.col("_to")).select(*rows.columns)
     both = rows.withColumn("_guest", F.lit(0)).unionByName(guests.withColumn("_guest", F.lit(1)))
     return both, Window.partitionBy("_run").orderBy("_guest", F.col(id_col).desc_nulls_last(), F.col("_key").desc())
 

@@ -8,11 +8,14 @@ make sure that linked sets meet; list by list, sizes, counting sketches and the
 out, and what is left is verified on the whole sets. The boundary between small and large is the size up to which listing subsets costs less.
 
 Long lists come from groups of near copies. They are first scanned against leaders, a few for each list and band of
-sizes, and linked sets need no further comparison with each other; only pairs across components are then scanned.
+sizes, and linked sets need no further comparison with each other; only pairs across components are then scanned. No
+list is in one task as a whole: a very long one is cut into blocks by a hash of the set, with leaders of their own, other
+blocks in each round, and in the last scan each two blocks meet as a list of their own.
 
 Shingles stand as 64-bit hashes, so two sets could wrongly share a shingle with a chance of some 1e-14 for each pair
 that is compared. Nulls: a null text is an empty one; empty sets link with nothing and are their own component. A
-null id takes no part in choosing a component's least id. Repeated rows and ids share their set's component. An empty
+null id takes no part in choosing a component's least id. Repeated rows and ids share their set's component; shingles of equal
+rarity are ordered by hash, which changes no link. Very long texts are sets like others, of as many shingles. An empty
 table gives an empty result. Extra columns don't matter.
 """
 
@@ -31,8 +34,9 @@ from .common import discard, small_batches, written
 from .components import components
 from .hashing import Words, lowered, mixed, runs, windows
 
-#: Counters of the shingles' frequencies: 8 MB, whatever the corpus. They only order shingles; any order is exact.
-COUNTERS = 1 << 22
+#: Counters of the shingles' frequencies, one for so many bytes of text: 8 MB at least and 64 MB at most. They only order
+#: shingles; any order is exact, but beyond some 4 GB of text it becomes less good and lists longer.
+COUNTER_BYTES, LEAST_COUNTERS, MOST_COUNTERS = 128, 1 << 22, 1 << 25
 #: Pairs up to which they are broadcast to the sets: 16 bytes each.
 MOST_BROADCAST = 200_000
 #: Bits that tell which sets are verified: 1 MB. A wrong hit only writes a set that nobody asks for.
@@ -41,6 +45,8 @@ BLOOM = 1 << 23
 SHORT, LEADER_ROUNDS = 32, 3
 #: Leaders of a list and band in the later rounds.
 LEADERS = 2
+#: Entries of a list in one block.
+BLOCK = 16_384
 #: A set's sketch: how many members fall into each of 8 buckets a word, one byte each, up to 255.
 SKETCH = 16
 #: Sets up to this size may be small.
@@ -70,16 +76,16 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> list[np.nd
     return out
 
 
-def _counted(width: int):
+def _counted(width: int, counters: int):
     """The task's counters of shingles, each counted once for a text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A task's counters stop at 255.
-        counts = np.zeros(COUNTERS, dtype=np.uint8)
+        counts = np.zeros(counters, dtype=np.uint8)
         for batch in batches:
             for _, _, data, bounds in runs(batch.column(0)):
                 for s in shingle_sets(data, bounds, width):
-                    at = (s & np.uint64(COUNTERS - 1)).astype(np.int64)  # a set's shingles rarely share a counter
+                    at = (s & np.uint64(counters - 1)).astype(np.int64)  # a set's shingles rarely share a counter
                     counts[at] += counts[at] < 255
         yield _segments(counts)
 
@@ -125,7 +131,7 @@ def _sketched(counts: np.ndarray, percent: int, width: int):
                     n = len(s)
                     again, key = set_key(s)
                     sketch = np.minimum(np.bincount((again & np.uint64(8 * SKETCH - 1)).astype(np.int64), minlength=8 * SKETCH), 255).astype(np.uint8).tobytes()
-                    rare = s[np.lexsort((s, counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))][: n - -(-percent * n // 100) + 1] if n else s
+                    rare = s[np.lexsort((s, counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]))][: n - -(-percent * n // 100) + 1] if n else s
                     rows.append((n, *key, sketch, rare.view(np.int64), s.view(np.int64) if n <= MOST_SMALL else s[:0].view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds))], names=["id", "n", "k1", "k2", "sketch", "rare", "small"])
@@ -190,7 +196,7 @@ def _small_links(sets: DataFrame, bound: int, percent: int) -> DataFrame:
 
 
 #: How a posting's columns are laid out.
-POSTING = ["token", "id", "n", "at", "component", *(f"p{k}" for k in range(SKETCH))]
+POSTING = ["token", "id", "n", "at", "component", "c", "side", *(f"p{k}" for k in range(SKETCH))]
 
 
 def _near(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
@@ -201,11 +207,12 @@ def _near(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, percent: i
     return (100 * n >= percent * m) & (apart <= n + m - 2 * need)
 
 
-def _scan(mode: str, bound: int, percent: int, round_: int):
+def _scan(mode: str, bound: int, percent: int, round_: int, short: int):
     """Pairs of a partition's lists that may link. The partition is sorted by token, size, id.
 
-    ``all``: every pair of lists up to SHORT entries, and pairs with leaders of longer ones; ``leaders``: only the
-    latter; ``rest``: every pair of longer lists. Pairs of one component are passed over. Where all pairs are scanned, a
+    ``all``: every pair of lists up to ``short`` entries (``c``), and pairs with leaders of longer ones; ``leaders``: only
+    the latter; ``rest``: every pair of what is given, but of two blocks (``side`` 0 and 1) only those across; ``side`` is
+    2 elsewhere. Pairs of one component are passed over. Where all pairs are scanned, a
     pair comes only from lists whose token may be the first that both sets hold, in the order of rarity: no more is
     shared than what follows it in either set.
     """
@@ -214,12 +221,12 @@ def _scan(mode: str, bound: int, percent: int, round_: int):
         token, n = t["token"], t["n"]
         new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.append(new, len(token)))
-        long_ = np.repeat(length > SHORT, length)
+        long_ = t["c"] > short
         reach = np.repeat(new + length, length) - np.arange(len(token))  # entries from here to the list's end
 
         def near(i: np.ndarray, j: np.ndarray, first_shared: bool) -> np.ndarray:
             a, b = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (t["component"][i] != t["component"][j]) & ((b > bound) | (b == 0))
+            ok = (t["component"][i] != t["component"][j]) & ((b > bound) | (b == 0)) & ((t["side"][i] != t["side"][j]) | (t["side"][i] == 2))
             if first_shared:
                 ok &= np.minimum(n[i] - t["at"][i], n[j] - t["at"][j]) >= -(-percent * (a + b) // (100 + percent))
             i, j, a, b = i[ok], j[ok], a[ok], b[ok]
@@ -234,7 +241,7 @@ def _scan(mode: str, bound: int, percent: int, round_: int):
                     yield near(at[ok], other[ok], False)
 
         if mode != "leaders":
-            at = np.flatnonzero(long_ if mode == "rest" else ~long_)
+            at = np.arange(len(token)) if mode == "rest" else np.flatnonzero(~long_)
             for k in range(1, int(length.max())):
                 at = at[reach[at] > k]
                 at = at[100 * n[at] >= percent * n[at + k]]  # sizes rise, so no later one fits either
@@ -266,7 +273,7 @@ def _scan(mode: str, bound: int, percent: int, round_: int):
             now, rest = whole.slice(0, end), whole.slice(end)
             held, size = rest.to_batches(), len(rest)
             if len(now):
-                t = {c: now[c].to_numpy() for c in ("token", "id", "n", "at", "component")}
+                t = {c: now[c].to_numpy() for c in ("token", "id", "n", "at", "component", "c", "side")}
                 t["p"] = np.stack([now[f"p{k}"].to_numpy() for k in range(SKETCH)], axis=1).view(np.uint64)
                 for i, j in pairs_of(t):
                     u, v = np.minimum(t["id"][i], t["id"][j]), np.maximum(t["id"][i], t["id"][j])
@@ -321,11 +328,16 @@ def _verified(percent: int):
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 90, shingle: int = 3) -> DataFrame:
     """Id, ``n_shingles`` and ``component_id`` of each row; sets of ``shingle`` words link from a similarity of ``percent`` / 100."""
     with small_batches(docs.sparkSession):
-        return _join(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), percent, shingle).withColumnRenamed("id", id_col)
+        # Written, as what runs later would run outside the block.
+        return written(_join(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), percent, shingle).withColumnRenamed("id", id_col))
 
 
 def _join(mine: DataFrame, percent: int, shingle: int) -> DataFrame:
-    counts = _merged(mine.select("text").mapInArrow(_counted(shingle), "segment int, data binary"), np.uint8, np.uint16, _saturating)
+    size = mine.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
+    counters = LEAST_COUNTERS
+    while counters < MOST_COUNTERS and counters * COUNTER_BYTES < size:
+        counters *= 2
+    counts = _merged(mine.select("text").mapInArrow(_counted(shingle, counters), "segment int, data binary"), np.uint8, np.uint16, _saturating)
     sets = written(mine.mapInArrow(_sketched(counts, percent, shingle), "id bigint, n bigint, k1 bigint, k2 bigint, sketch binary, rare array<bigint>, small array<bigint>"))
     key = ["k1", "k2", "n"]
     # Numbered as they are written, so a number stays with its class.
@@ -345,10 +357,19 @@ def _join(mine: DataFrame, percent: int, shingle: int) -> DataFrame:
     wanted = written(shared.where(F.col("n") >= least).join(classes.select("id", *parts), "id"))
 
     def scanned(listed: DataFrame, mode: str, round_: int) -> DataFrame:
-        # By a hash of the token: after a join by token itself Spark would leave this shuffle out, and a skewed join's
-        # split would cut a list in two.
-        rows = listed.select(*POSTING).repartition(F.xxhash64("token")).sortWithinPartitions("token", "n", "id")
-        return written(rows.mapInArrow(_scan(mode, bound, percent, round_), "u bigint, v bigint").distinct())
+        # A hash of the token stands for it: after a join by token itself Spark would leave this shuffle out, and a skewed
+        # join's split would cut a list in two.
+        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+        mine = F.pmod(F.xxhash64("id", F.lit(round_)), blocks).cast("int")
+        if mode == "rest":
+            # A block with itself, and with each other one: as the first or the second of the two.
+            with_ = lambda x: F.struct(F.least(F.col("_mine"), x).alias("a"), F.greatest(F.col("_mine"), x).alias("b"), F.when(x == F.col("_mine"), 2).otherwise((x < F.col("_mine")).cast("int")).alias("side"))
+            listed = listed.withColumn("_mine", mine).withColumn("_pair", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), with_)))
+            rows = listed.withColumn("token", F.xxhash64("token", "_pair.a", "_pair.b")).withColumn("side", F.col("_pair.side"))
+        else:
+            rows = listed.withColumn("token", F.xxhash64("token", mine)).withColumn("side", F.lit(2))
+        rows = rows.select(*POSTING).repartition("token").sortWithinPartitions("token", "n", "id")
+        return written(rows.mapInArrow(_scan(mode, bound, percent, round_, SHORT), "u bigint, v bigint").distinct())
 
     pairs = scanned(wanted.withColumn("component", F.col("id")), "all", 0)
     # Whole sets of all that may have to be verified: those in a pair now, and those in long lists.
@@ -365,10 +386,12 @@ def _join(mine: DataFrame, percent: int, shingle: int) -> DataFrame:
         if whole is None or round_ and not long_lists:
             break
         if round_:
-            listed = wanted.where(F.col("c") > SHORT).join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
+            labels = components(found)
+            listed = wanted.where(F.col("c") > SHORT).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
             # Only long lists that still hold more than one component.
             going = listed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b")).select("token")
             pairs = scanned(listed.join(going, "token", "left_semi"), mode, round_)
+            discard(labels)
         n = pairs.count()
         if n:
             few = F.broadcast(pairs) if n <= MOST_BROADCAST else pairs
@@ -379,6 +402,7 @@ def _join(mine: DataFrame, percent: int, shingle: int) -> DataFrame:
         discard(pairs)
     discard(wanted, whole)
     labels = components(found)
+    discard(found)
     named = classes.join(labels, "id", "left").select(*key, "rep", F.coalesce("component", "id").alias("component"))
     least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least_id, "component").select(*key, "component_id")

@@ -7,7 +7,8 @@ one that is cut where the source's token budget ends; tokens are dealt into bloc
 interleaved so that every stretch of the stream holds the weights.
 
 Nulls: a null source is a source of its own, a null text has no tokens. A source without tokens is kept once, at weight
-0. Repeated rows are rows like others. An empty table gives an empty result. Extra columns are carried along by
+0. Repeated rows are rows like others; rows of one id and text, and texts whose hashes tie,
+follow each other in an order that does not matter. A very long text counts with all its tokens. An empty table gives an empty result. Extra columns are carried along by
 ``repeated`` and ignored by ``stream``.
 """
 
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, restored, spread, words, written
+from .common import aside, discard, restored, spread, words, written
 
 #: Sources up to which the plan of the sources is broadcast: some 100 bytes each.
 MOST_BROADCAST = 50_000
@@ -66,7 +67,7 @@ def plan(rows: DataFrame, target: float, max_epochs: float) -> DataFrame:
     ``rows`` has ``_id``, ``_source`` and ``_tokens``. The budget is such that the source with the least weight for its
     size is seen once, so no document is lost.
     """
-    shares = written(rows.groupBy("_source").agg(F.sum("_tokens").alias("tokens")))
+    shares = first = written(rows.groupBy("_source").agg(F.sum("_tokens").alias("tokens")))
     full = shares.where(F.col("tokens") > 0)
     power = exponent(full, target, max_epochs)
     most = full.agg(F.max("tokens")).first()[0] or 1
@@ -78,9 +79,11 @@ def plan(rows: DataFrame, target: float, max_epochs: float) -> DataFrame:
     # Where the extra budget ends in the order of the next epoch's draw.
     sources = shares.select(F.col("_source").alias("_s"), "whole", "extra")
     drawn = rows.join(_small(sources, shares.count()), F.col("_source").eqNullSafe(F.col("_s"))).where(F.col("extra") > 0).select("_source", "extra", "_tokens", _draw(F.col("_id"), F.col("whole")).alias("_draw"))
-    reached = spread(drawn, ["_source"], [F.col("_draw")], {"_before": F.col("_tokens")})
+    reached = spread(drawn, ["_source"], [F.col("_draw")], {"_before": F.col("_tokens")}, rows.count())
     cuts = reached.where(F.col("_before") + F.col("_tokens") <= F.col("extra")).groupBy(F.col("_source").alias("_s")).agg(F.max("_draw").alias("cut"))
-    return written(shares.join(cuts, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s", "extra"))
+    out = written(shares.join(cuts, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s", "extra"))
+    discard(first)
+    return out
 
 
 def _small(sources: DataFrame, n: int) -> DataFrame:
@@ -109,19 +112,22 @@ def stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     of = sources.select(F.col("_source").alias("_s"), "tokens", "weight", "epochs", "whole", "cut")
     seen = rows.join(_small(of, of.count()), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_next", _draw(F.col("_id"), F.col("whole")))
     seen = seen.select("_doc", "_id", "_source", "_tokens", "tokens", "weight", "epochs", _copies()).withColumn("_draw", _draw(F.col("_id"), F.col("_epoch")))
-    seen = spread(seen, ["_source", "_epoch"], [F.col("_draw")], {"_before": F.col("_tokens")})
+    seen = spread(seen, ["_source", "_epoch"], [F.col("_draw")], {"_before": F.col("_tokens")}, rows.count())
     block = F.floor((F.col("_epoch") * F.col("tokens") + F.col("_before")) / F.lit(block_tokens))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") * F.col("epochs") / F.lit(block_tokens)))
     jitter = F.pmod(F.xxhash64("_source", "block"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     seen = seen.withColumn("block", block.cast("long"))
     at = F.least(F.lit(1 - 1e-12), (F.col("block") + jitter) / blocks)
-    return seen.select(F.col("_doc").alias(id_col), F.col("_source").alias(source_col), F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), "block", at.alias("stream_at"), "weight")
+    out = written(seen.select(F.col("_doc").alias(id_col), F.col("_source").alias(source_col), F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), "block", at.alias("stream_at"), "weight"))
+    discard(rows, sources)
+    return out
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, target: float = 0.98, max_epochs: float = 4.0) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix has it. No text is shuffled."""
+    """The rows of ``docs``, each as often as the mix has it. No text is shuffled; the plan of the sources stays in the shared folder, as the result reads it."""
     rows = written(_rows(docs, id_col, text_col, source_col))
     of = plan(rows, target, max_epochs).select(F.col("_source").alias("_s"), "whole", "cut")
+    discard(rows)
     own = {c: F.col(f"_own{k}") for k, c in enumerate(docs.columns)}
     mine = aside(docs).select("*", F.xxhash64(own[id_col], own[text_col]).alias("_id"), own[source_col].alias("_source"))
     seen = mine.join(_small(of, of.count()), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_next", _draw(F.col("_id"), F.col("whole")))

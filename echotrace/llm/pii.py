@@ -5,7 +5,8 @@ around) vote on each, for, against or not at all. Candidates are counted by thei
 size; on it expectation-maximisation estimates how reliable each labeler is, without any label, and the posteriors
 train a logistic span classifier over votes and shape, which decides about the candidates outside base spans.
 
-Nulls: a null text is an empty one. Repeated rows are judged row by row; all rows with equal texts get equal spans. An
+Nulls: a null text is an empty one. Repeated rows are judged row by row; all rows with equal texts get equal spans. Very long
+texts are searched whole. An
 empty table gives an empty result, and without candidates nothing is added. Extra columns are ignored by ``find`` and
 carried along by ``redact``. Starts and ends count code points.
 """
@@ -17,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, once, restored, written
+from .common import aside, discard, once, restored, written
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Leftmost, non-overlapping. A local part starts where its run of characters does, or where the match before ended:
@@ -46,6 +47,7 @@ DATE = r"^(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{2}|[0-9]{4})|[0-9]{4}[./-][0
 LABELERS = ["pattern", "digits", "not_date", "gazetteer", "context", "counter_context"]
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+SPAN_ENDS = "array<struct<kind:string,start:int,end:int>>"
 
 
 def _luhn(value: Column) -> Column:
@@ -78,10 +80,9 @@ def spans(text: Column, kind: str, pattern: str, hint: str, valid=lambda v: F.li
         start = state["at"] + x["gap"]
         end = start + F.length(x["value"])
         found = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["value"] != "", F.concat(state["out"], F.array(found))).otherwise(state["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when((x["value"] != "") & valid(x["value"]), F.concat(state["out"], F.array(found))).otherwise(state["out"]).alias("out"))
 
-    found = F.filter(F.aggregate(seen, begin, step)["out"], lambda s: valid(s["value"]))
-    return F.when(text.rlike(hint), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(hint), F.aggregate(seen, begin, step)["out"]).otherwise(F.array().cast(SPAN))
 
 
 def _votes(text: Column, s: Column) -> Column:
@@ -179,7 +180,7 @@ def train(found: DataFrame) -> dict:
 
 
 def accepted(weights: dict, threshold: float = 0.8) -> Column:
-    """The candidates of ``_loose`` that the classifier takes, as kind, start, end; overlapping ones give way to earlier ones."""
+    """The candidates of ``_loose`` that the classifier takes, as kind, start, end; an overlapping one gives way to the one that starts earlier, or is longer."""
     def score(c: Column) -> Column:
         out = F.lit(weights["bias", 0])
         for (name, value), w in sorted(weights.items(), key=str):
@@ -187,7 +188,15 @@ def accepted(weights: dict, threshold: float = 0.8) -> Column:
                 out = out + F.when(c[name] == F.lit(value), F.lit(w)).otherwise(0.0)
         return out
 
-    return F.filter("_loose", lambda c: (score(c) > math.log(threshold / (1 - threshold))) & F.exists(F.array(*(c[n] for n in LABELERS)), lambda v: v > 0))
+    good = F.filter("_loose", lambda c: (score(c) > math.log(threshold / (1 - threshold))) & F.exists(F.array(*(c[n] for n in LABELERS)), lambda v: v > 0))
+    spans_ = F.array_sort(F.transform(good, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"))))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN_ENDS).alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        kept = F.concat(state["out"], F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["back"]).alias("end"))))
+        return F.when(s["start"] >= state["at"], F.struct((-s["back"]).alias("at"), kept.alias("out"))).otherwise(state)
+
+    return F.aggregate(spans_, begin, step, lambda state: state["out"])
 
 
 def _listed(array: Column) -> Column:
@@ -201,7 +210,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     plain = lambda xs: F.transform(xs, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     order = F.array_sort(plain(added))
     base = plain(F.col("_base"))
-    return found.select(id_col, *(_count(k) for k in KINDS), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.concat(base, order)).alias("spans"))
+    out = written(found.select(id_col, *(_count(k) for k in KINDS), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.concat(base, order)).alias("spans")))
+    discard(found)
+    return out
 
 
 def _count(kind: str) -> Column:
@@ -213,7 +224,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     One pass trains on all candidates, a second finds and replaces; no text is shuffled.
     """
-    weights = train(written(candidates(docs.select(F.col(text_col).alias("_t")), "_t").select("_loose")))
+    found = written(candidates(docs.select(F.col(text_col).alias("_t")), "_t").select("_loose"))
+    weights = train(found)
+    discard(found)
     at = docs.columns.index(text_col)
     df = candidates(aside(docs).withColumn("_t", F.col(f"_own{at}")), "_t")
     simple = lambda xs: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))

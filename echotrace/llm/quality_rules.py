@@ -5,7 +5,8 @@ threshold conditions by gain, prunes it on held-out rows, keeps it if it is prec
 covers away and begins again. ``verdict`` turns the list into one ordered ``CASE WHEN``.
 
 Nulls: a null text counts as an empty one, a null label as no label. An empty table gives an empty result, and no
-labels give an empty list of rules, which keeps every row. Repeated rows and repeated ids are judged row by row. Extra
+labels give an empty list of rules, which keeps every row. Repeated rows and repeated ids are judged row by row. Ties: of two
+conditions of equal gain the first ratio and the lower cut win. A very long text is measured whole. Extra
 columns are carried along; a column of the input named like a feature is replaced in the result.
 """
 
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, let, once, restored, words, written
+from .common import aside, discard, drawn, let, once, restored, words, written
 
 #: Labelled rows that rules are learned from, at most.
 MOST_LABELLED = 50_000
@@ -107,11 +108,8 @@ def learn(labelled: DataFrame, label: str, id_col: str, *, max_rules: int = 8, m
     taken. Of them a third is held out for pruning. All counts are aggregates; the driver sees ``cuts`` x 2 counts for
     each ratio.
     """
-    df = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("bad"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)).alias("draw"), *RATIOS)
-    n = df.count()
-    if n > max_rows:
-        df = df.where(F.col("draw") < int((1 << 20) * max_rows / n))
-    df = written(df)
+    mine = labelled.where(F.col(label).isNotNull())
+    df = written(drawn(mine, F.col(id_col), max_rows).select(F.col(label).cast("int").alias("bad"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)).alias("draw"), *RATIOS))
     # Cuts come from both classes, so that the rare one has its own.
     quantiles = [k / cuts for k in range(1, cuts)]
     points: dict[str, set[float]] = {r: set() for r in RATIOS}
@@ -120,7 +118,7 @@ def learn(labelled: DataFrame, label: str, id_col: str, *, max_rules: int = 8, m
             points[r].update(float(x) for x in row[r] or () if x is not None)
     thresholds = {r: sorted(x) for r, x in points.items() if x}
     # From here on a ratio is the number of cuts below it: rounds then ask for small numbers only.
-    df = written(df.select("bad", (F.col("draw") % 3 == 0).alias("held"), *(_cell(r, t).alias(r) for r, t in thresholds.items())))
+    plain, df = df, written(df.select("bad", (F.col("draw") % 3 == 0).alias("held"), *(_cell(r, t).alias(r) for r, t in thresholds.items())))
     rules: list[list[Condition]] = []
     left = F.lit(True)
     for _ in range(max_rules):
@@ -145,6 +143,7 @@ def learn(labelled: DataFrame, label: str, id_col: str, *, max_rules: int = 8, m
             break
         rules.append(grown[:size])
         left = left & ~_all(grown[:size])
+    discard(plain, df)
     # A ratio is above cut k if more than k cuts are below it.
     return [[Condition(c.feature, c.above, thresholds[c.feature][int(c.threshold)]) for c in rule] for rule in rules]
 
@@ -192,16 +191,24 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def _truth(labels: DataFrame, most: int) -> DataFrame:
+    """The labels that rules are learned from, ``most`` at most: the same rows whoever asks."""
+    truth = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), (1 - F.col("quality")).alias("_bad"))
+    return drawn(truth, F.col("_id"), most)
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
     """All features of every row, ``base_failed``, ``rule`` (0: none) and ``kept``.
 
     The texts are read once: features are written, then rules are learned from those with a label and applied to all.
     """
     measured = written(features(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_t").drop("_t"))
-    truth = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), (1 - F.col("quality")).alias("bad"))
-    rules = learn(measured.join(truth, "_id"), "bad", "_id", **learning)
+    truth = _truth(labels, learning.get("max_rows", MOST_LABELLED))
+    rules = learn(measured.join(F.broadcast(truth), "_id"), "_bad", "_id", **learning)
     out = measured.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).withColumnRenamed("_id", id_col)
+    out = written(out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).withColumnRenamed("_id", id_col))
+    discard(measured)
+    return out
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
@@ -210,12 +217,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     Only the labelled rows that the rules are learned from are measured beforehand: at most ``max_rows``, so their ids
     are broadcast. Then one pass reads, measures and filters. No text is shuffled.
     """
-    truth = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), (1 - F.col("quality")).alias("_bad"))
-    most, n = learning.get("max_rows", MOST_LABELLED), truth.count()
-    if n > most:
-        truth = truth.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * 0.97 * most / n))
+    truth = _truth(labels, learning.get("max_rows", MOST_LABELLED))
     mine = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    measured = features(mine.join(F.broadcast(truth), "_id"), "_t").drop("_t")
-    rules = learn(written(measured), "_bad", "_id", **learning)
+    measured = written(features(mine.join(F.broadcast(truth), "_id"), "_t").drop("_t"))
+    rules = learn(measured, "_bad", "_id", **learning)
+    discard(measured)
     mine = aside(docs).withColumn("_t", F.col(f"_own{docs.columns.index(text_col)}"))
     return features(mine, "_t").where(~base_failed() & (verdict(rules) == 0)).select(*restored(docs.columns))

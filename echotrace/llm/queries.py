@@ -56,4 +56,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_suffix_dedup, op4_recompression, op5_quality_rules, op6_sharding, op7_pii, op8_fingerprints, op9_secrets, op10_packing)}
-ORACLES: dict[str, str] = {}
+
+#: For DuckDB, where SQL can say what a row must be; the other operators draw by hashes or learn.
+ORACLES: dict[str, str] = {
+    "op1_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 2], ' ') END AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * o >= 90 * (x.n + y.n - o)),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM w UNION SELECT l.v, reach.r FROM reach JOIN links l ON l.u = reach.id WHERE reach.r < l.v)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id FROM w LEFT JOIN sizes s ON s.doc_id = w.doc_id JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY id) c ON c.id = w.doc_id""",
+    "op3_suffix_dedup": r"""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS v FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM h)),
+later AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY v) AS owner FROM strings) WHERE owner < doc_id),
+spans AS (SELECT doc_id, min(i) AS low, max(i) + 50 AS high FROM (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM later) GROUP BY doc_id, run),
+ends AS (SELECT h.doc_id, h.h, low, high, coalesce(lag(high) OVER (PARTITION BY s.doc_id ORDER BY low), 0) AS from_, coalesce(lead(low) OVER (PARTITION BY s.doc_id ORDER BY low), len(h.h) // 2) AS next_, lead(low) OVER (PARTITION BY s.doc_id ORDER BY low) IS NULL AS last_ FROM h JOIN spans s ON h.doc_id = s.doc_id),
+kept AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * from_ + 1, 2 * (low - from_)) || CASE WHEN last_ THEN substr(h, 2 * high + 1) ELSE '' END, '' ORDER BY low) AS rest FROM ends GROUP BY doc_id)
+SELECT h.doc_id, CAST(len(h.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h.h))) AS kept_sha256 FROM h LEFT JOIN kept k ON h.doc_id = k.doc_id""",
+    "op4_recompression": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY v ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(0, 20)) AS k FROM later)),
+each AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+kept AS (SELECT e.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN e.word END, ' ' ORDER BY e.i) AS text FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id""",
+}

@@ -9,7 +9,8 @@ Texts are tokenised, scored and decoded by the batch on arrays of bytes, in the
 shuffled. A token whose own score for "outside" beats any gain that its neighbours could give is outside in the best
 path, so decoding runs exactly and only between such tokens.
 
-Nulls: a null text is an empty one and has no spans. Repeated rows each get a row; equal texts get equal spans. An
+Nulls: a null text is an empty one and has no spans. Repeated rows each get a row; equal texts get equal spans. Of paths that tie the
+one with the lower tag is taken. A very long text is tagged whole; it needs some hundred bytes of memory for each of its bytes. An
 empty table gives an empty result. Extra columns don't matter. Starts and ends count code points.
 """
 
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, written
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
@@ -299,13 +302,15 @@ def _windows(length: int, each: int):
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, *, sample: int = 20_000, windows: int = 600, length: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Fit the field on at most ``sample`` texts (those with the lowest hash of the id), of which at most ``windows``
+    """Fit the field on about ``sample`` texts (those with the lowest hash of the id), of which at most ``windows``
     windows with a base span and as many without reach the driver, each of ``length`` tokens."""
     n = docs.count()
     if n > sample:
-        docs = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int((1 << 20) * sample / n))
-    seen = docs.select(F.col(text_col)).mapInArrow(_windows(length, 1), "features binary, tags binary, hit boolean")
+        # Some more or fewer than ``sample`` by chance; a null id is drawn by its text.
+        docs = docs.where(F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), 2) < int(2**62 * (sample / n)))
+    seen = written(docs.select(F.col(text_col)).mapInArrow(_windows(length, 1), "features binary, tags binary, hit boolean"))
     got = [r for hit in (True, False) for r in seen.where(F.col("hit") == hit).orderBy(F.xxhash64("features"), "features").limit(windows).collect()]
+    discard(seen)
     if not got:
         return np.zeros((N_WEIGHTS, 3), dtype=np.float32) - np.array([0, 20, 20], dtype=np.float32), np.zeros((3, 3), dtype=np.float32)
     features, tags, mask = np.zeros((len(got), length, len(SIZES)), dtype=np.int16), np.zeros((len(got), length), dtype=np.int64), np.zeros((len(got), length), dtype=bool)

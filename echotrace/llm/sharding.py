@@ -5,7 +5,8 @@ drawn with a chance in proportion to size, quantiles of the draw become splitter
 cut again by a draw of their own, and exact byte sums of the ranges place each record: a shard is a run of the order,
 cut at equal steps of the total bytes, so two shards differ by less than two records.
 
-Nulls: a null text has 0 bytes, a null id stands first among equal texts. Repeated rows each get a slot. An empty table
+Nulls: a null text has 0 bytes, a null id stands first among equal texts. Repeated rows each get a slot; rows that tie in all of the order may
+swap slots. A very long text is one record and makes its shard larger by what it exceeds. An empty table
 gives an empty result. Extra columns don't matter: only id and text are read.
 """
 
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Bytes that a record takes besides its text.
 OVERHEAD = 16
@@ -90,4 +91,6 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     slots = counts.select(F.col("_range").alias("_r"), F.col("shard").alias("_s"), F.coalesce(F.sum("count").over(prior), F.lit(0)).alias("_slot"))
     here = Window.partitionBy("_range", "shard").orderBy("_key", "_id", "size")
     out = out.withColumn("_n", F.row_number().over(here)).join(F.broadcast(slots), (F.col("_range") == F.col("_r")) & (F.col("shard") == F.col("_s")))
-    return out.select(id_col, "size", "text_crc32", "shard", (F.col("_slot") + F.col("_n") - 1).cast("long").alias("slot"))
+    out = written(out.select(id_col, "size", "text_crc32", "shard", (F.col("_slot") + F.col("_n") - 1).cast("long").alias("slot")))
+    discard(df)
+    return out

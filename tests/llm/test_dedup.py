@@ -66,8 +66,11 @@ def test_subsets_alone_find_all_links(spark, monkeypatch):
     assert got == plain_components(rows, 80, 1)
 
 
-def test_long_lists_use_leaders(spark, monkeypatch):
+@pytest.mark.parametrize("block", [6, 1000])
+def test_long_lists_use_leaders(spark, monkeypatch, block):
+    # Both are read on the driver. Lists of 50 are cut into up to ten blocks, or none.
     monkeypatch.setattr(jaccard_join, "SHORT", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rows = corpus(160, 8)
     base = rows[40][1].split(" ")
     for k in range(60, 110):
@@ -96,6 +99,13 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100, 103: 100}
 
 
+def test_components_odd_input(spark):
+    links = [(1, 2), (1, 2), (2, 1), (None, 3), (4, None), (5, 5)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    assert got == {1: 1, 2: 1}
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
 def test_components_settle_or_fail(spark):
     links = spark.createDataFrame([(k + 1, k) for k in range(40)], "u bigint, v bigint")
     with pytest.raises(RuntimeError):

@@ -2,13 +2,14 @@
 
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 import corpus_pipeline
 from echotrace.llm import quality_rules
 from echotrace.llm.queries import ORACLES, QUERIES
 
-from .cases import SCHEMA, WORD, corpus
+from .cases import SCHEMA, WORD, awkward, corpus, empty
 from .test_dedup import plain_components
 
 
@@ -75,6 +76,26 @@ def test_run(spark, folder, steps):
     assert corpus_pipeline.run(spark, folder).count() == steps[5].count()
 
 
+@pytest.mark.parametrize("table", ["awkward", "empty"])
+def test_run_on_odd_input(spark, tmp_path, table):
+    rows = corpus(40)
+    docs = awkward(spark, rows) if table == "awkward" else empty(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)][: len(rows) if table == "awkward" else 0], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert ids == set() if table == "empty" else ids and ids <= {d for d, *_ in rows} | {None}
+
+
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
-    assert not ORACLES
+    assert sorted(ORACLES) == ["op1_jaccard_join", "op3_suffix_dedup", "op4_recompression"]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.columns == want.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())

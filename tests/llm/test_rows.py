@@ -10,7 +10,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from echotrace.llm import fingerprints, mixing, packing, pii, quality_rules, secrets_crf, sharding
+from echotrace.llm import fingerprints, jaccard_join, mixing, packing, pii, quality_rules, recompression, secrets_crf, sharding, suffix_dedup
+from echotrace.llm.common import drawn
 
 from .cases import SCHEMA, WORD, awkward, corpus, empty
 
@@ -89,6 +90,24 @@ def test_shards_of_one_key(spark):
     assert set(count) == set(range(8)) and max(count.values()) - min(count.values()) <= 2
 
 
+def test_very_long_texts(spark):
+    """A text of 200,000 characters, twice, through every operator."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    long_ = " ".join(letters[k % 26] + letters[k // 26 % 26] + letters[k // 7 % 26] + letters[k // 676 % 26] for k in range(40_000))
+    df = spark.createDataFrame([(1, long_, "en", "a", 0), (2, "short one", "en", "b", 0), (3, long_, "en", "a", 0)], SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    n = len(long_)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join(df).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.dedupe(df).collect()}[3] == n
+    assert {r["doc_id"]: r["n_removed"] for r in recompression.dedupe(df).collect()}[3] == 40_000
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.judge(df, labels).collect()}[1] == 40_000
+    assert {r["doc_id"]: r["size"] for r in sharding.shard(df, 2).collect()} == {1: n + 16, 2: 25, 3: n + 16}
+    assert {r["doc_id"]: r["n_chars"] for r in fingerprints.compare(df).collect()} == {1: n, 2: 9, 3: n}
+    assert pii.find(df).count() == secrets_crf.find(df).count() == 3
+    assert sum(r["n_tokens"] for r in packing.pack(df).collect()) == 80_002
+    assert {r["doc_id"] for r in mixing.stream(df).collect()} == {1, 2, 3}
+
+
 def test_shards_odd_input(spark, rows):
     out = sharding.shard(awkward(spark, rows), 5).collect()
     assert len(out) == 122
@@ -133,6 +152,16 @@ def test_pii_adds_what_labelers_agree_on(spark):
     assert all(("number" in got[k]) == (k % 3 != 1) for k in got)
 
 
+def test_pii_overlaps_give_way(spark):
+    # Candidates of two kinds over one place: the one that starts first stays.
+    loose = [(k, a, b, 1, 0, 0, 0, 1, 0, 1, 1) for k, a, b in [("number", 12, 30), ("mail", 0, 20), ("name", 30, 40), ("name", 30, 36)]]
+    names = ["kind", "start", "end", *pii.LABELERS, "size", "separators"]
+    kinds = "array<struct<" + ",".join(f"{n}:{'string' if n == 'kind' else 'int'}" for n in names) + ">>"
+    df = spark.createDataFrame([(loose,), ([],)], f"_loose {kinds}")
+    got = [[tuple(s) for s in r["x"]] for r in df.select(pii.accepted({("bias", 0): 5.0}).alias("x")).collect()]
+    assert got == [[("mail", 0, 20), ("name", 30, 40)], []]
+
+
 def test_expectation_maximisation_finds_reliabilities():
     draw = np.random.default_rng(0)
     truth = draw.random(20_000) < 0.3
@@ -318,3 +347,21 @@ def test_packing(docs, rows):
 def test_packing_odd_input(spark, rows):
     assert {r["doc_id"] for r in packing.pack(awkward(spark, rows)).collect()} == {*range(120), None}
     assert packing.pack(empty(spark)).count() == 0
+
+
+def test_drawn_at_any_share(spark):
+    df = spark.range(5000).selectExpr("IF(id % 3 = 0, NULL, id) AS id")
+    from pyspark.sql import functions as F
+
+    got = [r["id"] for r in drawn(df, F.col("id"), 40).collect()]
+    assert len(got) == 40 and got == [r["id"] for r in drawn(df.repartition(3), F.col("id"), 40).collect()]
+    assert drawn(df, F.col("id"), 5000).count() == 5000
+
+
+def test_copies_of_a_row_stand_apart(spark):
+    rows = [(k, " ".join(f"w{k}" for _ in range(20 + k % 5)), "en", "s", 0) for k in range(50) for _ in range(4)]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA), buckets=1, batch_tokens=24 * 8).collect()
+    batches = defaultdict(list)
+    for r in got:
+        batches[r["batch"]].append(r["doc_id"])
+    assert len(got) == 200 and all(len(set(x)) == len(x) for x in batches.values())
