@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echotrace.llm import jaccard_join, mixing, packing, pii, quality_rules
-from echotrace.llm.common import documents, shared_folder
+from echotrace.llm.common import discard, documents, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages over the documents; a stage's table is deleted once the next one is written.
+
+    Null ids stay, each as a document of its own; rows of one id are one document to the near copies and are packed one
+    by one. An empty table gives an empty result. Further columns are carried along up to packing.
+    """
+    docs, last = documents(spark, sf_dir), None
     for _, stage in STAGES:
-        path = shared_folder(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir))
+        discard(last)
+        last = docs
     return docs
