@@ -91,13 +91,16 @@ def is_image_url(url: Column) -> Column:
     return F.lower(url).rlike(r"^.*\.(jpg|jpeg|gif|png)")
 
 
-def post_type(is_self: Column, url: Column, hint: Column | None = None) -> Column:
-    """text for self posts, else the hint, else by extension, gallery path or link."""
+def post_type(is_self: Column, url: Column, hint: Column | None = None, *, is_video: Column | None = None, is_gallery: Column | None = None) -> Column:
+    """text for self posts, else the hint, else image by the extension as it is written, video or gallery by their flags; null if nothing tells."""
     given = hint if hint is not None else F.lit(None).cast("string")
-    return (
-        F.when(is_self, "text").when(given.isNotNull(), given)
-        .when(url.rlike(r"\.(jpg|jpeg|png|gif)"), "image").when(F.contains(url, F.lit("/gallery/")), "gallery").otherwise("link")
-    )
+    flag = lambda c: F.lit(False) if c is None else F.coalesce(c, F.lit(False))
+    return F.when(is_self, "text").when(given != "", given).when(url.rlike(r"\.(jpg|jpeg|png|gif)"), "image").when(flag(is_video), "video").when(flag(is_gallery), "gallery")
+
+
+def post_type_of_url(url: Column) -> Column:
+    """image if the url holds one of the extensions in either case, else null."""
+    return F.when(F.lower(url).rlike(r"\.(jpg|jpeg|png|gif)"), "image")
 
 
 def post_type_id(name: Column) -> Column:
@@ -128,6 +131,19 @@ def hex_color(color: Column) -> Column:
     return F.when(full.rlike("^[0-9a-fA-F]{6}$"), F.conv(full, 16, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
+def signature(text: Column) -> Column:
+    """16 hexadecimal digits that texts of mostly the same words share for the most part.
+
+    The md5 sums of the distinct words fall into 16 bins by their first digit; of each bin's least sum the last digit is taken, 0 if it is empty.
+    """
+    sums = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))), lambda w: F.md5(w.cast("binary")))
+    # The sums are worked out once, whatever the number of bins.
+    def digit(all_: Column, d: str) -> Column:
+        return F.coalesce(F.right(F.array_min(F.filter(all_, lambda h: F.startswith(h, F.lit(d)))), F.lit(1)), F.lit("0"))
+
+    return F.element_at(F.transform(F.array(sums), lambda all_: F.array_join(F.array(*(digit(all_, d) for d in "0123456789abcdef")), "")), 1)
+
+
 def bit_hash(vector: Column) -> Column:
     """A string of 0 and 1, one for each sign of the vector."""
     return F.array_join(F.transform(vector, lambda x: F.when(x > 0, "1").otherwise("0")), "")

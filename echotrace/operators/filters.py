@@ -46,6 +46,38 @@ def within_distance(distance: Column, target: Column | float) -> Column:
     return distance <= target
 
 
+def text_alike(similarity: Column, threshold: Column | float) -> Column:
+    return similarity >= threshold
+
+
+def below(distance: Column, target: Column | float) -> Column:
+    """An index's raw hits: the target itself is too far."""
+    return distance < target
+
+
+def has_hash(value: Column) -> Column:
+    return value.isNotNull()
+
+
+def alive(status: Column) -> Column:
+    """Only what answered with 200; no answer counts as dead."""
+    return F.coalesce(status == 200, F.lit(False))
+
+
+def not_removed(removed: Column, matches: Column, most: int = 100) -> Column:
+    """Removed matches go, unless a search has more than ``most``, which is not looked into."""
+    return (matches > most) | ~F.coalesce(removed, F.lit(False))
+
+
+def should_check(kind: Column, flags: dict[str, Column], *, ignored: Column, crosspost: Column, title: Column | None = None, keywords: Column | None = None) -> Column:
+    """Whether a post is checked: its author is not ignored, its type has a flag that is on, it is no crosspost and its title holds no keyword."""
+    on = F.lit(False)
+    for name, flag in flags.items():
+        on = F.when(kind == name, F.coalesce(flag, F.lit(False))).otherwise(on)
+    keep = ~F.coalesce(ignored, F.lit(False)) & on & not_crosspost(crosspost)
+    return keep if title is None else keep & (keywords.isNull() | (keywords == "") | no_keyword(title, keywords))
+
+
 def alike_titles(similarity: Column, threshold: int | None) -> Column:
     return F.lit(True) if not threshold else similarity > threshold
 

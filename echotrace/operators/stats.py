@@ -21,8 +21,12 @@ def leaderboard(log: DataFrame, now: Column, at: str, key: str, least: int, limi
     """Counts by key, kind and range above ``least``, the highest ``limit`` of each; exclusions come after the limit."""
     counts = by_range(log.where(F.col(key).isNotNull()), now, at).groupBy(key, "post_type", "day_range").agg(F.count("*").alias("repost_count"))
     counts = counts.where(F.col("repost_count") > least)
-    rank = F.row_number().over(Window.partitionBy("post_type", "day_range").orderBy(F.col("repost_count").desc(), key))
-    top = counts.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+    # First within lots of keys, so that the last ranking sees ``limit`` rows of each lot at most.
+    order = [F.col("repost_count").desc(), F.col(key)]
+    top = counts.withColumn("_lot", F.pmod(F.xxhash64(key), F.lit(64)))
+    for of in (["post_type", "day_range", "_lot"], ["post_type", "day_range"]):
+        top = top.withColumn("_rank", F.row_number().over(Window.partitionBy(*of).orderBy(*order))).where(F.col("_rank") <= limit)
+    top = top.drop("_rank", "_lot")
     return top.where(~F.col(key).cast("string").isin(excluded)) if excluded else top
 
 
@@ -36,9 +40,12 @@ def bucket_means(log: DataFrame, at: str, value: str, seconds: int) -> DataFrame
 
 def trailing_count(log: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     """For each row how many of its key's rows lie in the ``seconds`` before it, itself included, the far end excluded."""
+    # A key's time is cut into slices of that length; a row also stands, as a guest, in the slice after its own.
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return log.withColumn("trailing", F.count("*").over(w))
+    slice_ = F.floor(micros / (seconds * 1_000_000))
+    rows = log.select("*", micros.alias("_micros"), F.posexplode(F.array(slice_, slice_ + 1)).alias("_guest", "_slice"))
+    w = Window.partitionBy(key, "_slice").orderBy("_micros").rangeBetween(-seconds * 1_000_000 + 1, 0)
+    return rows.withColumn("trailing", F.count("*").over(w)).where(F.col("_guest") == 0).drop("_micros", "_guest", "_slice")
 
 
 def gaps(df: DataFrame, ident: str, run: int = 1 << 20) -> DataFrame:

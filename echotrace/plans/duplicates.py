@@ -13,7 +13,11 @@ QUERIES, ORACLES, query = registry()
 
 POSTS = "posts AS (SELECT doc_id AS id, source AS author, lang AS community, doc_id AS minute, md5(text) AS url_hash, n_chars FROM documents)"
 HASHES = "hashes AS (SELECT vec_id AS id, label, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS hash FROM embeddings)"
-PAIRS = f"{HASHES}, pairs AS (SELECT a.id AS id_a, b.id AS id_b, CAST(hamming(a.hash, b.hash) AS INT) AS distance FROM hashes a JOIN hashes b ON a.id < b.id AND hamming(a.hash, b.hash) <= 16)"
+#: Documents by the signature of their words, and pairs of different signatures that match by 90 %.
+SIGNED = """words AS (SELECT doc_id, source, lang, list_transform(list_distinct(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), lambda w: md5(w)) AS sums FROM documents WHERE text IS NOT NULL),
+signed AS (SELECT doc_id AS id, source AS author, lang AS community, doc_id AS minute, array_to_string(list_transform(['0', '1', '2', '3', '4', '5', '6', '7', '8', '9', 'a', 'b', 'c', 'd', 'e', 'f'], lambda d: coalesce(right(list_min(list_filter(sums, lambda h: starts_with(h, d))), 1), '0')), '') AS hash FROM words)"""
+PAIRS = f"""{SIGNED}, classes AS (SELECT hash, min(id) AS id FROM signed GROUP BY hash),
+pairs AS (SELECT a.id AS id_a, b.id AS id_b, CAST(hamming(a.hash, b.hash) AS INT) AS distance FROM classes a JOIN classes b ON a.id < b.id AND hamming(a.hash, b.hash) <= 1)"""
 
 
 @query(f"""WITH {POSTS}, pairs AS (SELECT p.id, p.author, m.id AS repost_of_id, m.author AS of_author, row_number() OVER (PARTITION BY p.id ORDER BY m.minute, m.id) AS rn
@@ -34,27 +38,59 @@ def copies_by_community(spark, sf_dir):
     return g.select("community", "posts", "contents", (F.col("posts") - F.col("contents")).alias("copies"))
 
 
-@query(f"WITH {PAIRS} SELECT id_a, id_b, distance, round_even((100.0 - distance / 64.0 * 100)::DOUBLE, 2) AS percent FROM pairs")
+@query(f"WITH {PAIRS} SELECT id_a, id_b, distance, round_even((100.0 - distance / 16.0 * 100)::DOUBLE, 2) AS percent FROM pairs")
 def near_image_hashes(spark, sf_dir):
-    return search.near_hashes(views.hashes(spark, sf_dir).select("id", "hash"), 64, 75)
+    return search.near_hashes(views.signatures(spark, sf_dir).select("id", "hash"), 16, 90)
 
 
-@query(f"""WITH {PAIRS}, both_ AS (SELECT id_a AS id, id_b AS match_id, round_even((100.0 - distance / 64.0 * 100)::DOUBLE, 2) AS percent FROM pairs
-UNION ALL SELECT id_b, id_a, round_even((100.0 - distance / 64.0 * 100)::DOUBLE, 2) FROM pairs)
-SELECT id, match_id, percent FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY percent DESC, match_id) AS rn FROM both_) WHERE rn = 1 AND percent > 40""")
+@query(f"""WITH {PAIRS}, both_ AS (SELECT id_a AS of_, id_b AS m, distance FROM pairs UNION ALL SELECT id_b, id_a, distance FROM pairs),
+scored AS (SELECT s.id, b.m AS match_id, b.distance FROM signed s JOIN classes c USING (hash) JOIN both_ b ON b.of_ = c.id UNION ALL SELECT a.id, b.id, 0 FROM signed a JOIN signed b ON a.hash = b.hash AND a.id <> b.id)
+SELECT id, match_id, round_even((100.0 - distance / 16.0 * 100)::DOUBLE, 2) AS percent FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, match_id) AS rn FROM scored) WHERE rn = 1""")
 def closest_image_match(spark, sf_dir):
-    return search.closest(search.near_hashes(views.hashes(spark, sf_dir).select("id", "hash"), 64, 75), 40)
+    return search.closest(views.signatures(spark, sf_dir).select("id", "hash"), 16, 90, 40)
 
 
-@query(f"""WITH {HASHES}, t AS (SELECT id AS template_id, hash AS th FROM hashes WHERE id < 50), d AS (SELECT h.id, t.template_id, CAST(hamming(h.hash, t.th) AS INT) AS distance FROM hashes h, t)
+#: Hits of two indexes whose entries' ids overlap: what starts with the same two digits.
+HITS = """queries AS (SELECT * FROM signed WHERE id % 100 = 0), hits AS (SELECT q.id, m.id AS match_id, hamming(q.hash, m.hash) / 16.0 AS annoy_distance FROM queries q JOIN signed m ON substring(q.hash, 1, 2) = substring(m.hash, 1, 2))"""
+IMAGE_SEARCH = f"""WITH {SIGNED}, {HITS}, kept AS (SELECT q.id, m.id AS match_id, CAST(hamming(q.hash, m.hash) AS INT) AS distance, m.minute FROM hits h JOIN queries q ON q.id = h.id JOIN signed m ON m.id = h.match_id
+WHERE hamming(q.hash, m.hash) <= 12 AND annoy_distance <= 0.75 AND m.id <> q.id AND m.author IS DISTINCT FROM q.author AND m.minute < q.minute)"""
+
+
+def _image_search(spark, sf_dir, sort_by):
+    s = views.signatures(spark, sf_dir)
+    queries = s.where(F.col("id") % 100 == 0)
+    # Entries are numbered anew in each index.
+    index_map = s.select(F.when(F.col("community") == "en", "historical").otherwise("current").alias("index_name"), F.floor(F.col("id") / 2).alias("index_id"), F.col("id").alias("post_id"), "hash")
+    index_map = index_map.withColumn("index_name", F.concat("index_name", (F.col("post_id") - 2 * F.col("index_id")).cast("string")))
+    near = F.substring("hash", 1, 2)
+    hits = queries.select("id", F.col("hash").alias("q"), near.alias("k")).join(index_map.withColumn("k", near), "k").select("id", "index_id", "index_name", (expr.hamming(F.col("q"), F.col("hash")) / 16.0).alias("annoy_distance"))
+    at = lambda c: F.timestamp_seconds(c * 60)
+    settings = filters.Settings(max_matches=5, max_days_old=None, target_match_percent=25.0, target_distance=0.75)
+    return search.image_search(queries, hits, index_map.drop("hash"), s, settings, at(F.lit(10**9)), at, size=16, sort_by=sort_by)
+
+
+@query(f"""{IMAGE_SEARCH} SELECT id, match_id, distance, round_even((100.0 - distance / 16.0 * 100)::DOUBLE, 2) AS percent, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY minute, match_id) AS rank FROM kept) WHERE rank <= 5""")
+def image_search_by_time(spark, sf_dir):
+    """Every hundredth post against all: index hits, both distances, the filters, the five oldest."""
+    return _image_search(spark, sf_dir, "created")
+
+
+@query(f"""{IMAGE_SEARCH} SELECT id, match_id, distance, round_even((100.0 - distance / 16.0 * 100)::DOUBLE, 2) AS percent, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, match_id) AS rank FROM kept) WHERE rank <= 5""")
+def image_search_by_percent(spark, sf_dir):
+    return _image_search(spark, sf_dir, "percent")
+
+
+@query(f"""WITH {HASHES}, t AS (SELECT min(id) AS template_id, arg_min(hash, id) AS th FROM hashes GROUP BY label), d AS (SELECT h.id, t.template_id, CAST(hamming(h.hash, t.th) AS INT) AS distance FROM hashes h, t)
 SELECT id, template_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, template_id) AS rn FROM d) WHERE rn = 1 AND distance <= 22.4""")
 def meme_template_of(spark, sf_dir):
-    h = views.hashes(spark, sf_dir).select("id", "hash")
-    return search.nearest_template(h, h.where(F.col("id") < 50), 64, 65)
+    """The first picture of each label is its template."""
+    h = views.hashes(spark, sf_dir).select("id", "label", "hash")
+    templates = h.groupBy("label").agg(F.min("id").alias("id"), F.min_by("hash", "id").alias("hash")).select("id", "hash")
+    return search.nearest_template(h.select("id", "hash"), templates, 64, 65)
 
 
 @query("""WITH s AS (SELECT a.vec_id AS id, b.vec_id AS match_id, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS similarity
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
 SELECT id, match_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, match_id) AS rn FROM s) WHERE rn = 1""")
 def nearest_vector_in_label(spark, sf_dir):
     return search.nearest_in_block(views.hashes(spark, sf_dir), "label")

@@ -15,11 +15,12 @@ def t(spark, sf_dir, name):
     return views.table(spark, sf_dir, name)
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0")
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, lang FROM documents WHERE lang IS DISTINCT FROM 'en' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def ingest_absent(spark, sf_dir):
-    """Even ids come in where a table already holds those that three doesn't divide."""
+    """Good documents come in where a table already holds the English ones."""
     d = t(spark, sf_dir, "documents").select("doc_id", "lang")
-    return writes.insert_absent(d.where(F.col("doc_id") % 3 != 0), d.where(F.col("doc_id") % 2 == 0), "doc_id")
+    good = t(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
+    return writes.insert_absent(d.where(F.col("lang") == "en"), d.join(good, "doc_id", "left_semi"), "doc_id")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -72,12 +73,12 @@ def order_chunks(spark, sf_dir):
     return ids.select("o_custkey", F.size(writes.chunks(F.col("ids"), 3)).alias("n_chunks"), F.size(F.flatten(writes.chunks(F.col("ids"), 3))).alias("n"))
 
 
-@query("""SELECT r.event_id, p.doc_id AS post_id, o.doc_id AS original_id FROM events r JOIN documents p ON p.doc_id = r.event_id % 1000 JOIN documents o ON o.doc_id = CAST(json_extract(r.props, '$.k') AS BIGINT) WHERE p.source <> o.source""")
+@query("""SELECT r.event_id, p.doc_id AS post_id, o.doc_id AS original_id FROM events r JOIN documents p ON p.doc_id = r.user_id JOIN documents o ON o.doc_id = CAST(json_extract(r.props, '$.k') AS BIGINT) WHERE p.source <> o.source""")
 def repost_history(spark, sf_dir):
     """The log joined with posts twice."""
     log, d = views.reposts(spark, sf_dir), t(spark, sf_dir, "documents").select("doc_id", "source")
     p, o = (d.select(F.col("doc_id").alias(f"{x}_id"), F.col("source").alias(f"{x}_source")) for x in ("post", "original"))
-    both = log.join(p, F.col("post_id") == F.col("event_id") % 1000).join(o, F.col("original_id") == F.col("repost_of_id"))
+    both = log.join(p, F.col("post_id") == F.col("author")).join(o, F.col("original_id") == F.col("repost_of_id"))
     return both.where(F.col("post_source") != F.col("original_source")).select("event_id", "post_id", "original_id")
 
 
@@ -96,19 +97,19 @@ def promoter_links(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", hit.alias("found_in"))
 
 
-@query("""SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND d.source NOT IN ('src0', 'src1') AND d.doc_id % 7 <> 0""")
+@query("""SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND d.source NOT IN ('src0', 'src1') AND d.n_chars >= 100""")
 def front_page_gates(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select("doc_id", "source")
+    d = t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     commented = t(spark, sf_dir, "labels").where(F.col("quality") == 0).select("doc_id")
     banned = spark.createDataFrame([("src0",), ("src1",)], "source string")
-    return d.where(F.col("doc_id") % 7 != 0).join(commented, "doc_id", "left_anti").join(F.broadcast(banned), "source", "left_anti").select("doc_id")
+    return d.where(F.col("n_chars") >= 100).join(commented, "doc_id", "left_anti").join(F.broadcast(banned), "source", "left_anti").select("doc_id")
 
 
-@query("""SELECT doc_id, 'text' AS search FROM documents WHERE lang = 'en' UNION ALL SELECT page_id, 'link' FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT vec_id, 'image' FROM embeddings WHERE label <> 0""")
+@query("""SELECT doc_id, 'text' AS search FROM documents WHERE lang = 'en' UNION ALL SELECT page_id, 'link' FROM pages WHERE contains(url, 'example.com') UNION ALL SELECT vec_id, 'image' FROM embeddings WHERE label <> 0""")
 def search_router(spark, sf_dir):
     """One branch for each kind of post, with its own gate."""
     branch = lambda name, key, gate, kind: t(spark, sf_dir, name).where(gate).select(F.col(key).alias("doc_id"), F.lit(kind).alias("search"))
-    return branch("documents", "doc_id", F.col("lang") == "en", "text").unionByName(branch("pages", "page_id", F.col("page_id") % 2 == 0, "link")).unionByName(branch("embeddings", "vec_id", F.col("label") != 0, "image"))
+    return branch("documents", "doc_id", F.col("lang") == "en", "text").unionByName(branch("pages", "page_id", F.contains("url", F.lit("example.com")), "link")).unionByName(branch("embeddings", "vec_id", F.col("label") != 0, "image"))
 
 
 @query("""SELECT p_partkey, substring(sha1(p_name || '|' || p_brand || '|' || p_size), 1, 20) AS fingerprint FROM part""")

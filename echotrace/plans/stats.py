@@ -93,17 +93,17 @@ def keyset_page(spark, sf_dir):
     return views.table(spark, sf_dir, "orders").where(F.col("o_orderkey") > 100).select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(50)
 
 
-@query("""WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders)
+@query("""WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 200000)
 SELECT k, 'a' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'b' FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def ids_on_one_side(spark, sf_dir):
     a = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    b = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    b = views.table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 200_000).select(F.col("o_custkey").alias("k"))
     return stats.symmetric_difference(a, b, "k")
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
 def watches_without_post(spark, sf_dir):
-    return views.table(spark, sf_dir, "customer").join(views.table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return views.table(spark, sf_dir, "customer").join(views.table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 200_000), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query(f"WITH {LOG} SELECT post_type, author, count(*) AS n FROM log GROUP BY ROLLUP (post_type, author)")

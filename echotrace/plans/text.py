@@ -45,10 +45,10 @@ def pages_by_host(spark, sf_dir):
     return views.links(spark, sf_dir).groupBy("host").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(url, '\\.(jpg|jpeg|png|gif)') THEN 'image' WHEN contains(url, '/gallery/') THEN 'gallery' ELSE 'link' END AS post_type, regexp_matches(lower(url), '\\.(jpg|jpeg|gif|png)') AS is_image FROM pages")
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '\\.(jpg|jpeg|png|gif)') THEN 'image' WHEN contains(html, '<video') THEN 'video' WHEN contains(html, '<img') THEN 'gallery' END AS post_type, CASE WHEN regexp_matches(lower(url), '\\.(jpg|jpeg|png|gif)') THEN 'image' END AS by_url, regexp_matches(lower(url), '\\.(jpg|jpeg|gif|png)') AS is_image FROM pages")
 def post_types(spark, sf_dir):
     p = views.links(spark, sf_dir)
-    return p.select("page_id", expr.post_type(F.lit(False), F.col("url")).alias("post_type"), expr.is_image_url(F.col("url")).alias("is_image"))
+    return p.select("page_id", expr.post_type(F.lit(False), F.col("url"), is_video=F.contains("html", F.lit("<video")), is_gallery=F.contains("html", F.lit("<img"))).alias("post_type"), expr.post_type_of_url(F.col("url")).alias("by_url"), expr.is_image_url(F.col("url")).alias("is_image"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN w IN ('repost', 'watch', 'unwatch') THEN w ELSE 'repost' END AS command FROM (SELECT conv_id, turn, lower(regexp_extract(trim(text), '^(\\S*)', 1)) AS w FROM conversations WHERE role = 'user')""")

@@ -97,7 +97,9 @@ def test_near_hashes_finds_all_pairs(spark):
         for _ in range(draw.randrange(9)):
             h[draw.randrange(64)] = draw.choice("0123456789abcdef")
         hashes.append((k, "".join(h)))
-    want = {(a, b) for a, x in hashes for b, y in hashes if a < b and sum(p != q for p, q in zip(x, y, strict=True)) <= 5}
+    # A hash stands for all that have it, by the least id.
+    classes = sorted({h: k for k, h in reversed(hashes)}.items(), key=lambda x: x[1])
+    want = {(a, b) for x, a in classes for y, b in classes if a < b and sum(p != q for p, q in zip(x, y, strict=True)) <= 5}
     got = search.near_hashes(spark.createDataFrame(hashes, "id bigint, hash string"), 64, 92)
     assert {(r["id_a"], r["id_b"]) for r in got.collect()} == want
     assert got.count() == len(want) > 20
@@ -132,3 +134,36 @@ def test_templates_are_checked_to_be_few(spark):
     h = spark.createDataFrame([(k, "ab") for k in range(5)], "id bigint, hash string")
     with pytest.raises(ValueError, match="templates"):
         search.nearest_template(h, h, 2, 90, most=3)
+
+
+def test_messages(spark):
+    from echotrace.functions import messages as m
+
+    rows = [("loose", '{"a": 1}', "/i/pic.v2.jpg"), ("tight", "see {\"a\": 2} and }", "noext"), ("x", "none", "/a/.hidden"), (None, None, None)]
+    df = spark.createDataFrame(rows, "w string, b string, p string")
+    got = [tuple(r) for r in df.select(m.strictness_distance(F.col("w"), 12, 3, 7), m.body_json(F.col("b")), m.file_stem(F.col("p"))).collect()]
+    assert got == [(12, '{"a": 1}', "pic.v2"), (3, '{"a": 2}', "noext"), (7, None, "/a/.hidden"), (None, None, None)]
+    urls = ["https://h/r/s/comments/abc/t/", "https://s.it/xyz", "https://s.it/xyz/comments/abc/", "https://h/", None]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(m.post_id_of_url(F.col("u"))).collect()]
+    assert got == ["abc", "xyz", "xyz", None, None]
+    assert spark.range(1).select(m.searched_line(F.lit("image"), F.lit(1234567))).first()[0] == "**Searched Images:** 1,234,567"
+
+
+@pytest.mark.parametrize(("status", "kind", "want"), [("valid", "image/png", ["https://i.redd.it/k.png"]), ("failed", "image/png", []), ("unprocessed", "image/png", None), ("valid", "video/mp4", None)])
+def test_gallery_links(spark, status, kind, want):
+    from echotrace.functions import messages as m
+
+    df = spark.createDataFrame([([("k", status, kind)],)], "media array<struct<key:string,status:string,m:string>>").select(m.gallery_links(F.col("media")).alias("x"))
+    if want is None:
+        with pytest.raises(Exception):  # noqa: B017
+            df.collect()
+    else:
+        assert df.first()["x"] == want
+
+
+def test_match_filters(spark):
+    from echotrace.operators import filters
+
+    df = spark.createDataFrame([(200, True, 5), (404, False, 101), (None, None, 1), (200, True, 101)], "status int, removed boolean, n int")
+    got = [tuple(r) for r in df.select(filters.alive(F.col("status")), filters.not_removed(F.col("removed"), F.col("n"))).collect()]
+    assert got == [(True, False), (False, True), (False, True), (True, True)]

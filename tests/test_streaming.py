@@ -60,3 +60,31 @@ def test_watched(spark):
 def test_hourly_requests(spark, posts):
     got = ingest.hourly_requests(posts.withColumn("user", F.lit("u")), "user", "created_at", 5)
     assert max(r["requests"] for r in drained(spark, got, "t_hourly", "complete")) == 12
+
+
+def test_append_new_across_batches_and_replays(spark, tmp_path):
+    target = str(tmp_path / "posts")
+    batch = lambda *ids: spark.createDataFrame([(i,) for i in ids], "post_id string")
+    ingest.append_new(batch("a", "b", "a"), 0, target, "post_id")
+    ingest.append_new(batch("b", "c"), 1, target, "post_id")
+    ingest.append_new(batch("b", "c"), 1, target, "post_id")
+    ingest.append_new(batch("a", "b", "a"), 0, target, "post_id")
+    assert sorted(r["post_id"] for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]
+
+
+def test_fan_out_is_safe_to_replay(spark, tmp_path):
+    batch = spark.createDataFrame([("a", "image"), ("b", "link")], "post_id string, kind string")
+    sinks = {k: str(tmp_path / k) for k in ("image", "link")}
+    for batch_id in (0, 0, 1):
+        ingest.fan_out(batch, "kind", sinks, batch_id)
+    assert spark.read.parquet(sinks["image"]).count() == 2
+
+
+def test_watches_expire_and_remember(spark):
+    matches = spark.createDataFrame([(1, 7, START), (2, 7, START + timedelta(days=3)), (3, 9, START)], "id bigint, repost_of_id bigint, created_at timestamp")
+    rows = [(7, "u", True, START + timedelta(days=1), None), (9, "v", True, None, START + timedelta(days=5)), (8, "w", True, None, None)]
+    watches = spark.createDataFrame(rows, "post_id bigint, user string, enabled boolean, expires_at timestamp, last_detection timestamp")
+    told = ingest.watched(matches, watches, "created_at")
+    assert sorted((r["id"], r["user"]) for r in told.collect()) == [(1, "u"), (3, "v")]
+    after = {r["user"]: r["last_detection"] for r in ingest.with_last_detection(watches, told, "created_at").collect()}
+    assert after == {"u": START, "v": START + timedelta(days=5), "w": None}
