@@ -1,9 +1,9 @@
 """Named queries over the driver's tables, with their SQL."""
 
-from . import duplicates, ingest, moderation, policy, stats, text
+from . import duplicates, gates, ingest, moderation, policy, stats, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (duplicates, stats, text, policy, moderation, ingest):
+for _module in (duplicates, stats, text, policy, moderation, ingest, gates):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
