@@ -123,7 +123,7 @@ def checked_posts(spark, sf_dir):
     return writes.insert_absent(log, d.withColumn("search", F.lit("text")), "doc_id")
 
 
-@query("""SELECT event_id, json_object('event_id', event_id, 'post', json_object('id', user_id, 'type', event_type)) AS result FROM events""")
+@query("""SELECT event_id, CAST(json_object('event_id', event_id, 'post', json_object('id', user_id, 'type', event_type)) AS VARCHAR) AS result FROM events""")
 def results_as_json(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     return e.select("event_id", F.to_json(F.struct("event_id", F.struct(F.col("user_id").alias("id"), F.col("event_type").alias("type")).alias("post"))).alias("result"))
