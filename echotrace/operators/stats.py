@@ -17,9 +17,9 @@ def by_range(log: DataFrame, now: Column, at: str, ranges: list[int | None] = RA
     return log.withColumn("_r", F.explode(F.filter(inside, lambda x: x["ok"]))).withColumn("day_range", F.col("_r.day_range")).drop("_r")
 
 
-def leaderboard(log: DataFrame, now: Column, at: str, key: str, least: int, limit: int = 100_000, excluded: list | None = None) -> DataFrame:
+def leaderboard(log: DataFrame, now: Column, at: str, key: str, least: int, limit: int = 100_000, excluded: list | None = None, ranges: list[int | None] = RANGES) -> DataFrame:
     """Counts by key, kind and range above ``least``, the highest ``limit`` of each; exclusions come after the limit."""
-    counts = by_range(log.where(F.col(key).isNotNull()), now, at).groupBy(key, "post_type", "day_range").agg(F.count("*").alias("repost_count"))
+    counts = by_range(log.where(F.col(key).isNotNull()), now, at, ranges).groupBy(key, "post_type", "day_range").agg(F.count("*").alias("repost_count"))
     counts = counts.where(F.col("repost_count") > least)
     # First within lots of keys, so that the last ranking sees ``limit`` rows of each lot at most.
     order = [F.col("repost_count").desc(), F.col(key)]
