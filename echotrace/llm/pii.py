@@ -5,6 +5,9 @@ around) vote on each, for, against or not at all. Candidates are counted by thei
 size; on it expectation-maximisation estimates how reliable each labeler is, without any label, and the posteriors
 train a logistic span classifier over votes and shape, which decides about the candidates outside base spans.
 
+Candidates are written mail addresses, addresses of other alphabets or without a dot, names after titles and greetings,
+numbers in groups, and long whole numbers, such as those of cards that fail the check digit.
+
 Nulls: a null text is an empty one. Repeated rows are judged row by row; all rows with equal texts get equal spans. Very long
 texts are searched whole. An
 empty table gives an empty result, and without candidates nothing is added. Extra columns are ignored by ``find`` and
@@ -34,17 +37,23 @@ HINTS = {"email": r"@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x
 #: Looser patterns, for what the base ones don't cover.
 LOOSE = {
     "mail": r"[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT|@)[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(](?:dot|DOT|\.)[\])]\x20?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++",
-    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20\p{Lu}\p{L}++(?:\x20\p{Lu}\p{L}++)?+",
+    "address": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)*+",
+    "name": r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20\p{Lu}\p{L}++(?:\x20\p{Lu}\p{L}++)?+|(?<=\b(?:name is|[Cc]ontact|[Dd]ear|[Rr]egards,|[Ss]igned by)\x20)\p{Lu}\p{L}++\x20\p{Lu}\p{L}++)",
     "number": r"\(?[0-9]++(?:[\x20()./-]{1,2}[0-9]++)++",
+    "account": r"(?<![\p{L}0-9])[0-9]{12,19}+(?![\p{L}0-9])",
 }
-LOOSE_HINTS = {"mail": r"[\[(](?:at|AT|@)[\])]", "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\b", "number": r"[0-9][\x20()./-]{1,2}[0-9]"}
+LOOSE_HINTS = {"mail": r"[\[(](?:at|AT|@)[\])]", "address": r"[\p{L}0-9._%+-]@[\p{L}0-9-]", "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra|name is|[Cc]ontact|[Dd]ear|[Rr]egards,|[Ss]igned by)\b", "number": r"[0-9][\x20()./-]{1,2}[0-9]", "account": r"[0-9]{12}"}
 #: Given names, and words that stand before personal data or before other numbers.
 NAMES = ["Anna", "Anne", "Ben", "Carlos", "Carmen", "Claire", "David", "Elena", "Emma", "Eva", "Hans", "James", "Jean", "John", "Jorge", "Jose", "Juan", "Julia", "Karl", "Laura", "Lucia", "Luis", "Maria", "Marie", "Mark", "Mary", "Michael", "Nina", "Paul", "Peter", "Pierre", "Robert", "Sarah", "Sofia", "Thomas", "William"]
 CUES = ["address", "call", "card", "contact", "correo", "dial", "email", "e-mail", "fax", "mail", "mobile", "nombre", "nummer", "phone", "reach", "ssn", "tel", "telefon", "telefono", "text me", "whatsapp", "write to"]
 COUNTER_CUES = ["article", "chapter", "edition", "equation", "figure", "isbn", "page", "pages", "price", "section", "table", "total", "version", "vol"]
 #: Digits before and after the separators, by which a number looks like a date, a time or a decimal.
 DATE = r"^(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{2}|[0-9]{4})|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]+[.][0-9]+)$"
-LABELERS = ["pattern", "digits", "not_date", "gazetteer", "context", "counter_context"]
+#: Whole numbers that count milliseconds, microseconds or nanoseconds from 1970 to the years from 2014 to 2033.
+CLOCK = r"^1[4-9][0-9]{11}(?:[0-9]{3}){0,2}$"
+#: First digits and lengths by which payment cards are issued.
+ISSUED = r"^(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|6[05][0-9]{14})$"
+LABELERS = ["pattern", "digits", "not_date", "gazetteer", "context", "counter_context", "alone", "variety"]
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 SPAN_ENDS = "array<struct<kind:string,start:int,end:int>>"
@@ -90,28 +99,38 @@ def _votes(text: Column, s: Column) -> Column:
     v = s["value"]
     before = F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"])))
     n = _digits(v)
-    number = s["kind"] == "number"
-    strict = F.when(s["kind"] == "mail", True).when(s["kind"] == "name", v.rlike(r"\x20\p{Lu}\p{L}+\x20\p{Lu}\p{L}+$")).otherwise(v.rlike(r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4})$"))
+    number, account = s["kind"] == "number", s["kind"] == "account"
+    around = lambda at: F.substring(text, at, F.lit(1)).rlike(r"^[\s\p{P}]?$") & ~F.substring(text, at, F.lit(1)).rlike(r"^[-_/\\#%&@:]$")
+    lone = F.when(s["start"] == 0, True).otherwise(around(s["start"])) & around(s["end"] + 1)
+    kinds_of_digit = F.size(F.array_distinct(F.split(F.regexp_replace(v, "[^0-9]", ""), "")))
+    strict = F.when(s["kind"] == "mail", True).when(s["kind"] == "address", v.rlike(r"@[^.]+\..*\p{L}{2,}$")).when(s["kind"] == "name", v.rlike(r"\x20\p{Lu}\p{L}+\x20\p{Lu}\p{L}+$")).when(account, v.rlike(ISSUED)).otherwise(v.rlike(r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4})$"))
     vote = lambda yes, no=F.lit(False): F.when(yes, 1).when(no, -1).otherwise(0)
     return F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         vote(strict).alias("pattern"),
-        vote(number & n.between(9, 15), number & (n < 7)).alias("digits"),
-        vote(F.lit(False), number & v.rlike(DATE)).alias("not_date"),
+        vote((number & n.between(9, 15)) | (account & n.between(13, 19)), number & (n < 7)).alias("digits"),
+        vote(F.lit(False), (number & v.rlike(DATE)) | (account & v.rlike(CLOCK))).alias("not_date"),
         vote(v.rlike(rf"\b(?:{'|'.join(NAMES)})\b")).alias("gazetteer"),
         vote(before.rlike(rf"(?:{'|'.join(CUES)})\W*$")).alias("context"),
         vote(F.lit(False), before.rlike(rf"(?:{'|'.join(COUNTER_CUES)}|[$€£#])\W*$")).alias("counter_context"),
+        vote(account & lone, (account | number) & ~lone).alias("alone"),
+        vote(account & (kinds_of_digit > 5), (account | number) & (kinds_of_digit < 3)).alias("variety"),
         F.least(F.lit(3), F.floor(n / 4)).cast("int").alias("size"),
         F.least(F.lit(2), F.length(v) - n - F.length(F.regexp_replace(v, r"[^\p{L}]", ""))).cast("int").alias("separators"),
     )
 
 
-def candidates(docs: DataFrame, text_col: str) -> DataFrame:
-    """Add ``_base`` (spans) and ``_loose`` (candidates outside base spans, with votes)."""
+def candidates(docs: DataFrame, text_col: str, hide: Column | None = None) -> DataFrame:
+    """Add ``_base`` (spans) and ``_loose`` (candidates outside base spans, with votes).
+
+    Rows for which ``hide`` holds are searched as if there were no base patterns; what those find stands in ``_hidden``.
+    """
     df = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     text = F.col("_text")
     base = F.concat(*(spans(text, k, PATTERNS[k], HINTS[k], VALID[k]) for k in KINDS))
     df = once(df, "_base", base)
+    if hide is not None:
+        df = df.withColumn("_hidden", F.when(hide, F.col("_base")).otherwise(F.array().cast(SPAN))).withColumn("_base", F.when(hide, F.array().cast(SPAN)).otherwise(F.col("_base")))
     found = F.concat(*(spans(text, k, p, LOOSE_HINTS[k]) for k, p in LOOSE.items()))
     free = F.filter(found, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return once(df, "_loose", F.transform(free, lambda s: _votes(text, s))).drop("_text")
@@ -215,6 +234,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out
 
 
+def found_again(docs: DataFrame, hide: Column, text_col: str = "text") -> DataFrame:
+    """How much the method finds without the base patterns, in rows for which ``hide`` holds.
+
+    One row for each base kind with spans there: ``n`` and ``again`` (a span of the method overlaps it); and one of kind
+    null: rows without any base span, and those of them that the method marks.
+    """
+    found = written(candidates(docs.select(F.col(text_col).alias("_t"), hide.alias("_hide")), "_t", F.col("_hide")).drop("_t"))
+    marked = found.where("_hide").withColumn("_new", accepted(train(found)))
+    each = marked.select(F.explode("_hidden").alias("s"), "_new").select(F.col("s.kind").alias("kind"), F.exists("_new", lambda x: (x["start"] < F.col("s.end")) & (F.col("s.start") < x["end"])).alias("hit"))
+    clean = marked.where(F.size("_hidden") == 0).select(F.lit(None).cast("string").alias("kind"), (F.size("_new") > 0).alias("hit"))
+    out = written(each.unionByName(clean).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("hit").alias("again")))
+    discard(found)
+    return out
+
+
 def _count(kind: str) -> Column:
     return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 

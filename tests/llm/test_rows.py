@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from echotrace.llm import fingerprints, jaccard_join, mixing, packing, pii, quality_rules, recompression, secrets_crf, sharding, suffix_dedup
 from echotrace.llm.common import drawn
@@ -154,7 +155,7 @@ def test_pii_adds_what_labelers_agree_on(spark):
 
 def test_pii_overlaps_give_way(spark):
     # Candidates of two kinds over one place: the one that starts first stays.
-    loose = [(k, a, b, 1, 0, 0, 0, 1, 0, 1, 1) for k, a, b in [("number", 12, 30), ("mail", 0, 20), ("name", 30, 40), ("name", 30, 36)]]
+    loose = [(k, a, b, 1, 0, 0, 0, 1, 0, 0, 0, 1, 1) for k, a, b in [("number", 12, 30), ("mail", 0, 20), ("name", 30, 40), ("name", 30, 36)]]
     names = ["kind", "start", "end", *pii.LABELERS, "size", "separators"]
     kinds = "array<struct<" + ",".join(f"{n}:{'string' if n == 'kind' else 'int'}" for n in names) + ">>"
     df = spark.createDataFrame([(loose,), ([],)], f"_loose {kinds}")
@@ -365,3 +366,22 @@ def test_copies_of_a_row_stand_apart(spark):
     for r in got:
         batches[r["batch"]].append(r["doc_id"])
     assert len(got) == 200 and all(len(set(x)) == len(x) for x in batches.values())
+
+
+def test_pii_finds_spans_again_without_base_patterns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["kind"]: (r["n"], r["again"]) for r in pii.found_again(docs, F.lit(True)).collect()}
+    # Addresses and card numbers have looser forms of their own; clean texts stay clean.
+    for kind in ("email", "card"):
+        assert got[kind][1] >= 0.9 * got[kind][0] > 0
+    clean = docs.where(~F.col("text").rlike("[0-9]{12}|@"))
+    none = {r["kind"]: (r["n"], r["again"]) for r in pii.found_again(clean, F.lit(True)).collect()}
+    assert none[None][0] > 500 and none[None][1] == 0
+
+
+def test_pii_long_numbers(spark):
+    rows = [(k, f"Wer {7000000000000000 + 987654321987 * k} hat", None, None, 0) for k in range(1, 30)]
+    rows += [(100, "a1234567890123456", None, None, 0), (101, "Fall 12345678901 hat", None, None, 0), (102, "12345678901234567890123 zu", None, None, 0)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[k].startswith(("account:4:20", "card:4:20")) for k in range(1, 30))
+    assert got[100] == got[101] == got[102] == ""
