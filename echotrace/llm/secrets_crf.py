@@ -318,7 +318,22 @@ def train(docs: DataFrame, id_col: str, text_col: str, *, sample: int = 20_000,
         t = np.frombuffer(r["tags"], dtype=np.int8)
         features[k, : len(t)] = np.frombuffer(r["features"], dtype=np.int16).reshape(len(t), -1)
         tags[k, : len(t)], mask[k, : len(t)] = t, True
-    return fit(features, tags, mask)
+    hits = np.array([r["hit"] for r in got])
+    return fit(np.concatenate([features, _unannounced(features[hits], tags[hits])]), np.concatenate([tags, tags[hits]]), np.concatenate([mask, mask[hits]]))
+
+
+def _unannounced(features: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """The windows as if no word announced their secrets and nothing led up to them, and with values in the other case."""
+    out = features.copy()
+    at = {name: list(SIZES).index(name) for name in SIZES}
+    for name in ("announced", "near_announced"):
+        out[..., at[name]] = OFFSETS[name]
+    first = tags == BEGIN
+    for name in ("before", "before_2", "after"):
+        out[..., at[name]] = np.where(first, OFFSETS[name], out[..., at[name]])
+    capitals = out[..., at["capitals"]] - OFFSETS["capitals"]
+    out[..., at["capitals"]] = np.where(first, OFFSETS["capitals"] + np.where(capitals == 0, 2, 0), out[..., at["capitals"]])
+    return out
 
 
 def _tagger(weights: np.ndarray, moves: np.ndarray, sure: float):

@@ -385,3 +385,14 @@ def test_pii_long_numbers(spark):
     got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[k].startswith(("account:4:20", "card:4:20")) for k in range(1, 30))
     assert got[100] == got[101] == got[102] == ""
+
+
+def test_secrets_found_without_an_announcement(spark):
+    draw = random.Random(9)
+    value = lambda: "".join(draw.choice("0123456789abcdef") for _ in range(40))
+    words = lambda n: " ".join("".join(draw.choice("aeinorst") for _ in range(draw.randrange(2, 9))) for _ in range(n))
+    rows = [(k, f'{words(20)} token = "{value()}" {words(20)}' if k % 2 else words(40), None, None, 0) for k in range(300)]
+    rows += [(1000 + k, f"{words(20)} note {value().upper()} {words(20)}", None, None, 0) for k in range(40)]
+    got = {r["doc_id"]: r["spans"] for r in secrets_crf.find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum("secret:" in got[1000 + k] for k in range(40)) >= 36
+    assert not any("secret:" in got[k] for k in range(300))
