@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, mixing, packing, pii, quality_rules, recompression, secrets_crf, sharding, suffix_dedup
+from . import fingerprints, group_alignment, jaccard_join, mixing, packing, pii, quality_rules, recompression, secrets_crf, sharding, suffix_dedup
 from .common import documents
 
 #: Production parameters.
@@ -55,7 +55,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_suffix_dedup, op4_recompression, op5_quality_rules, op6_sharding, op7_pii, op8_fingerprints, op9_secrets, op10_packing)}
+def op12_group_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_alignment.align(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_suffix_dedup, op4_recompression, op5_quality_rules, op6_sharding, op7_pii, op8_fingerprints, op9_secrets, op10_packing, op12_group_alignment)}
 
 #: For DuckDB, where SQL can say what a row must be; the other operators draw by hashes or learn.
 ORACLES: dict[str, str] = {
