@@ -13,9 +13,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .groups import whole
+from .hashing import WORD, Words, lowered
+
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 
@@ -55,14 +58,26 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def looked_up(chunks: DataFrame, values: DataFrame, work: Callable[[dict, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``work(chunk's row, values)`` for every chunk: the values of its ``keys`` in the keys' order, null where there are none.
+def interned(texts: pa.ChunkedArray, lower: bool, inside: np.ndarray = WORD) -> tuple[Words, np.ndarray, pa.Array]:
+    """Where the words of all texts are, a code for each and the distinct words by code; a word's bytes are those marked in ``inside``."""
+    column = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    data, bounds = whole(column)
+    data = lowered(data) if lower else data
+    words = Words(data, bounds, inside)
+    offsets = cut(words.end - words.start).astype(np.int32)
+    array = pa.Array.from_buffers(pa.binary(), len(words.start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside[data]])]).dictionary_encode()
+    return words, array.indices.to_numpy(), array.dictionary.cast(pa.string())
+
+
+def looked_up(chunks: DataFrame, values: DataFrame, work: Callable[[dict, pa.Table], pa.Table], schema: str, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """``work(chunk's row, values)`` for every chunk: the values of its ``keys`` in the keys' order.
 
-    ``values`` has one row for each ``key``.
+    ``values`` has one row for each ``key``; where there is none, ``defaults``, which may read ``key``, else null.
     """
     names = [c for c in values.columns if c != "key"]
     asked = chunks.select("chunk", F.posexplode("keys").alias("code", "key"))
-    answers = asked.join(values, "key", "left").select("chunk", "code", *names)
+    answers = asked.join(values, "key", "left")
+    answers = answers.select("chunk", "code", *(F.coalesce(c, (defaults or {})[c]).alias(c) if c in (defaults or {}) else c for c in names))
 
     def both(rows: pa.Table, found: pa.Table) -> pa.Table:
         found = found.take(pa.array(np.argsort(found["code"].to_numpy(), kind="stable")))

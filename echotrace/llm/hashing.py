@@ -48,13 +48,16 @@ def runs(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.n
         i = j
 
 
+#: The bytes of words: all but space and tab to carriage return.
+WORD = np.ones(256, dtype=bool)
+WORD[[0x20, *range(0x09, 0x0E)]] = False
+
+
 class Words:
     """Where the words of a run of texts start and end, and the first word of each text."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray) -> None:
-        solid = np.ones(256, dtype=bool)
-        solid[[0x20, *range(0x09, 0x0E)]] = False
-        word = solid[data]
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, inside: np.ndarray = WORD) -> None:
+        word = inside[data]
         n = len(data)
         joined = np.zeros(n + 1, dtype=bool)
         joined[1:n] = word[1:] & word[:-1]

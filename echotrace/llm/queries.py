@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, group_alignment, jaccard_join, mixing, packing, pii, quality_rules, recompression, secrets_crf, sharding, suffix_dedup
+from . import block_max_wand, fingerprints, group_alignment, jaccard_join, log_bilinear, mixing, packing, pii, quality_rules, recompression, secrets_crf, sharding, suffix_dedup
 from .common import documents
 
 #: Production parameters.
@@ -55,11 +55,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = block_max_wand.Index.of(documents(spark, sf_dir))
+    return index.search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_group_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_alignment.align(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_suffix_dedup, op4_recompression, op5_quality_rules, op6_sharding, op7_pii, op8_fingerprints, op9_secrets, op10_packing, op12_group_alignment)}
+def op13_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.score(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_suffix_dedup, op4_recompression, op5_quality_rules, op6_sharding, op7_pii, op8_fingerprints, op9_secrets, op10_packing, op11_block_max_wand, op12_group_alignment, op13_log_bilinear)}
 
 #: For DuckDB, where SQL can say what a row must be; the other operators draw by hashes or learn.
 ORACLES: dict[str, str] = {
@@ -84,4 +93,12 @@ gone AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range
 each AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
 kept AS (SELECT e.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN e.word END, ' ' ORDER BY e.i) AS text FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id""",
+    "op11_block_max_wand": r"""WITH terms AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+total AS (SELECT count(*) AS n_docs, CAST(coalesce(sum(len(ts)), 0) AS BIGINT) AS n_terms FROM terms WHERE len(ts) > 0),
+norms AS (SELECT doc_id, ts, 100 - 25 + ((25 * len(ts) * n_docs) // n_terms) AS m FROM terms, total WHERE len(ts) > 0),
+held AS (SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(ts) AS term FROM norms) GROUP BY doc_id, m, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, total GROUP BY term, n_docs),
+items AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM items JOIN weights USING (term) JOIN held USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 20""",
 }
