@@ -118,10 +118,9 @@ def dealt(values: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, which of the values lie in it) for each part that has any."""
     part = part_of(values, parts)
     order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-    for k in range(parts):
-        if cuts[k] < cuts[k + 1]:
-            yield k, order[cuts[k] : cuts[k + 1]]
+    held, first = np.unique(part[order], return_index=True)
+    for k, own in zip(held.tolist(), np.split(order, first[1:]), strict=False):
+        yield k, own
 
 
 def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:

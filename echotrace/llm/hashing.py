@@ -11,8 +11,6 @@ import pyarrow as pa
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 BYTES = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: For a second hash of the same bytes.
-OTHER_BYTES = np.random.Generator(np.random.PCG64(12)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,13 +66,24 @@ class Words:
         #: Words of text k are first[k] to first[k + 1].
         self.first = np.searchsorted(self.start, bounds)
 
-    def hashes(self, table: np.ndarray = BYTES) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(table[self.data] * powers(MULTIPLIER, len(self.data)), out=sums[1:])
-        back = powers(INVERSE, len(self.data) + 1)
-        return mixed((sums[self.end] - sums[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word's bytes: eight at a time, each mixed with its place before they are added.
 
+        A sum of bytes times powers would be linear, and words of some regular orders of two letters would be equal.
+        """
+        size = self.end - self.start
+        lanes = (size + 7) // 8
+        first = np.concatenate([[0], np.cumsum(lanes)])
+        if not first[-1]:
+            return np.zeros(0, dtype=np.uint64)
+        each = np.arange(first[-1]) - np.repeat(first[:-1], lanes)
+        padded = np.concatenate([self.data, np.zeros(8, dtype=np.uint8)])
+        eight = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        value = eight[np.repeat(self.start, lanes) + 8 * each]
+        # Of the last eight only the word's own bytes.
+        missing = 8 * np.maximum(0, 8 * (each + 1) - np.repeat(size, lanes)).astype(np.uint64)
+        value = value << missing
+        return mixed(np.add.reduceat(mixed(value + mixed(each.astype(np.uint64) + np.uint64(MULTIPLIER))), first[:-1]) + size.astype(np.uint64))
 
     def spaced(self) -> bytes:
         """All words, a space after each."""
@@ -99,8 +108,26 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
 
 
+def sequences(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` hashes that begins at a position, from hashes of its halves; for what has to tell runs apart."""
+    if len(hashes) < width:
+        return np.zeros(0, dtype=np.uint64)
+    out, done, power, reach = None, 0, hashes, 1
+    while True:
+        if width & reach:
+            # ``out`` stands for the first ``done`` values, ``power`` for each ``reach`` of them.
+            out = power if out is None else mixed(mixed(out[: len(power) - done]) * np.uint64(3) + power[done:] + np.uint64(done))
+            done += reach
+        if done == width:
+            return out
+        power, reach = mixed(mixed(power[:-reach]) * np.uint64(3) + power[reach:] + np.uint64(reach)), reach * 2
+
+
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` values that begins at a position; those across the end are left out."""
+    """A hash of each run of ``width`` values that begins at a position; those across the end are left out.
+
+    It is linear in the values, so it serves to choose places; ``sequences`` is for telling runs apart.
+    """
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)

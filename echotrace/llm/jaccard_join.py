@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, small_batches, written
 from .components import components
-from .hashing import Words, lowered, mixed, runs, windows
+from .hashing import Words, lowered, mixed, runs, sequences
 
 #: Counters of the shingles' frequencies, one for so many bytes of text: 8 MB at least and 64 MB at most. They only order
 #: shingles; any order is exact, but beyond some 4 GB of text it becomes less good and lists longer.
@@ -63,14 +63,14 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> list[np.nd
     data = lowered(data)
     words = Words(data, bounds)
     hashes = words.hashes()
-    whole = windows(hashes, width)
+    whole = sequences(hashes, width)
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if b - a >= width:
             out.append(np.unique(whole[a : b - width + 1]))
         elif b > a:
             # The whole sequence is the one shingle, told apart from one of full length.
-            out.append(mixed(windows(hashes[a:b], b - a)[:1] + np.uint64(b - a)))
+            out.append(mixed(sequences(hashes[a:b], b - a)[:1] + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out

@@ -11,9 +11,9 @@ depends on; one that occurs once rules out every window that holds all of these.
 digest of their words, and of equal ones all but the earliest are removed. A window without any interior symbol is never
 ruled out, so nothing is missed.
 
-What decides is 128 bits long: a digest of a stretch's words, two hashes of a window's. Two different ones among n are
-taken for equal with a chance of n * n / 2 ** 129: below 1e-13 for the 3e12 windows of 100 TB. Names are 64-bit hashes,
-whose collisions cost time alone.
+What decides is a cryptographic digest (BLAKE2b, 128 bits) of the words themselves, of a stretch's or of a window's. Two
+different ones among n are taken for equal with a chance of n * n / 2 ** 129, whatever the words look like: below 1e-13 for
+the 3e12 windows of 100 TB. Names are 64-bit hashes, whose collisions cost time alone.
 
 Nulls: a null text has no words; a null id is set apart and takes no part in the comparison. Rows with equal ids count
 as one document: an equal window at an equal start is not earlier. Texts of fewer words than a window lose nothing; a very
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, written
 from .groups import PART_ANCHORS, QUESTION, Store, answer, answered, by_group, by_part, covered, cut_texts, dealt, in_order, power_of_two, question, repeated_stretches, single_spans, squeezed, unsqueezed
-from .hashing import OTHER_BYTES, Words, mixed, runs, windows
+from .hashing import Words, mixed, runs
 
 #: Rounds after which symbols are low (their parse fits a window) and high (some hundred words).
 WINDOW, ROUNDS, HIGH_ROUNDS = 20, 3, 16
@@ -132,7 +132,7 @@ class Low:
     def __init__(self, rows: pa.Table, sent: pa.Table, window: int, rounds: int) -> None:
         self.ids, self.column = in_order(rows)
         row, start, end = single_spans(sent)
-        #: Of each run: first row, words, hashes, which windows may go, symbols' low and high.
+        #: Of each run: first row, words, how many, which windows may go, symbols' low and high.
         self.runs: list[tuple] = []
         names = []
         for i, j, data, bounds in runs(self.column):
@@ -148,7 +148,7 @@ class Low:
             x, y = np.maximum(0, s.high - window), np.minimum(n, s.low + 1)
             useful = (s.high - s.low <= window) & (before[np.maximum(x, y)] > before[x])
             names.append(s.name[useful] >> np.uint64(8))
-            self.runs.append((i, words, hashes, text, left, x[useful], y[useful]))
+            self.runs.append((i, words, n, text, left, x[useful], y[useful]))
         every = np.concatenate(names) if names else np.zeros(0, dtype=np.uint64)
         self.values, which, times = np.unique(every, return_inverse=True, return_counts=True)
         self.which = np.split(which, np.cumsum([len(x) for x in names])[:-1]) if names else []
@@ -163,7 +163,7 @@ def _asked(window: int, rounds: int, parts: int):
     return of
 
 
-#: A window's two hashes, id, row and start.
+#: A window's digest in two parts, id, row and start.
 FIELDS = (np.uint64, np.uint64, np.int64, np.int32, np.int32)
 
 
@@ -207,12 +207,14 @@ def _open(window: int, rounds: int, asked: int, parts: int):
         b = rows["b"][0].as_py()
         known, _ = answer(sent, found.values, asked)
         held: list[tuple] = []
-        for (i, words, hashes, text, left, low, high), which in zip(found.runs, found.which, strict=True):
+        for (i, words, n, text, left, low, high), which in zip(found.runs, found.which, strict=True):
             once = ~known[which]
-            at = np.flatnonzero(left & ~covered(low[once], high[once], len(hashes)))
+            at = np.flatnonzero(left & ~covered(low[once], high[once], n))
             if len(at):
-                again = windows(words.hashes(OTHER_BYTES), window)
-                held.append((windows(hashes, window)[at], again[at], found.ids[i:][text[at]], i + text[at], at - words.first[text[at]]))
+                raw, place = words.spaced(), words.place(np.arange(n + 1))
+                digests = b"".join(hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(place[at].tolist(), (place[at + window] - 1).tolist(), strict=True))
+                keys = np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2)
+                held.append((keys[:, 0], keys[:, 1], found.ids[i:][text[at]], i + text[at], at - words.first[text[at]]))
         k1, k2, ident, row, start = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, dtype=t) for k, t in enumerate(FIELDS))
         order, later = later_windows(k1, k2, ident, start)
         gone, go = order[later], order[~later]
