@@ -131,15 +131,15 @@ def hex_color(color: Column) -> Column:
     return F.when(full.rlike("^[0-9a-fA-F]{6}$"), F.conv(full, 16, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
-def signature(text: Column) -> Column:
-    """16 hexadecimal digits that texts of mostly the same words share for the most part.
+def signature(text: Column, digits: int = 1) -> Column:
+    """16 times ``digits`` hexadecimal digits that texts of mostly the same words share for the most part.
 
-    The md5 sums of the distinct words fall into 16 bins by their first digit; of each bin's least sum the last digit is taken, 0 if it is empty.
+    The md5 sums of the distinct words fall into 16 bins by their first digit; of each bin's least sum the last digits are taken, zeros if it is empty.
     """
     sums = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))), lambda w: F.md5(w.cast("binary")))
     # The sums are worked out once, whatever the number of bins.
     def digit(all_: Column, d: str) -> Column:
-        return F.coalesce(F.right(F.array_min(F.filter(all_, lambda h: F.startswith(h, F.lit(d)))), F.lit(1)), F.lit("0"))
+        return F.coalesce(F.right(F.array_min(F.filter(all_, lambda h: F.startswith(h, F.lit(d)))), F.lit(digits)), F.lit("0" * digits))
 
     return F.element_at(F.transform(F.array(sums), lambda all_: F.array_join(F.array(*(digit(all_, d) for d in "0123456789abcdef")), "")), 1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import filters, search
+from ..operators import filters, near, search
 from ..sources import views
 from .registry import registry
 
@@ -13,11 +13,16 @@ QUERIES, ORACLES, query = registry()
 
 POSTS = "posts AS (SELECT doc_id AS id, source AS author, lang AS community, doc_id AS minute, md5(text) AS url_hash, n_chars FROM documents)"
 HASHES = "hashes AS (SELECT vec_id AS id, label, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS hash FROM embeddings)"
-#: Documents by the signature of their words, and pairs of different signatures that match by 90 %.
-SIGNED = """words AS (SELECT doc_id, source, lang, list_transform(list_distinct(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), lambda w: md5(w)) AS sums FROM documents WHERE text IS NOT NULL),
-signed AS (SELECT doc_id AS id, source AS author, lang AS community, doc_id AS minute, array_to_string(list_transform(['0', '1', '2', '3', '4', '5', '6', '7', '8', '9', 'a', 'b', 'c', 'd', 'e', 'f'], lambda d: coalesce(right(list_min(list_filter(sums, lambda h: starts_with(h, d))), 1), '0')), '') AS hash FROM words)"""
-PAIRS = f"""{SIGNED}, classes AS (SELECT hash, min(id) AS id FROM signed GROUP BY hash),
-pairs AS (SELECT a.id AS id_a, b.id AS id_b, CAST(hamming(a.hash, b.hash) AS INT) AS distance FROM classes a JOIN classes b ON a.id < b.id AND hamming(a.hash, b.hash) <= 1)"""
+
+
+def _signed(digits):
+    """Documents by the signature of their words, of 16 times as many digits."""
+    return f"""words AS (SELECT doc_id, source, lang, list_transform(list_distinct(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), lambda w: md5(w)) AS sums FROM documents WHERE text IS NOT NULL),
+signed AS (SELECT doc_id AS id, source AS author, lang AS community, doc_id AS minute, array_to_string(list_transform(['0', '1', '2', '3', '4', '5', '6', '7', '8', '9', 'a', 'b', 'c', 'd', 'e', 'f'], lambda d: coalesce(right(list_min(list_filter(sums, lambda h: starts_with(h, d))), {digits}), '{"0" * digits}')), '') AS hash FROM words)"""
+
+
+SIGNED = _signed(1)
+CLASSES = f"{_signed(4)}, classes AS (SELECT hash, min(id) AS id FROM signed GROUP BY hash)"
 
 
 @query(f"""WITH {POSTS}, pairs AS (SELECT p.id, p.author, m.id AS repost_of_id, m.author AS of_author, row_number() OVER (PARTITION BY p.id ORDER BY m.minute, m.id) AS rn
@@ -38,16 +43,18 @@ def copies_by_community(spark, sf_dir):
     return g.select("community", "posts", "contents", (F.col("posts") - F.col("contents")).alias("copies"))
 
 
-@query(f"WITH {PAIRS} SELECT id_a, id_b, distance, round_even((100.0 - distance / 16.0 * 100)::DOUBLE, 2) AS percent FROM pairs")
+@query(f"""WITH {CLASSES} SELECT a.id AS id_a, b.id AS id_b, CAST(hamming(a.hash, b.hash) AS INT) AS distance, round_even((100.0 - hamming(a.hash, b.hash) / 64.0 * 100)::DOUBLE, 2) AS percent FROM classes a JOIN classes b ON a.id < b.id AND hamming(a.hash, b.hash) <= 16""")
 def near_image_hashes(spark, sf_dir):
-    return search.near_hashes(views.signatures(spark, sf_dir).select("id", "hash"), 16, 90)
+    """Hashes of 64 digits that match by 75 %."""
+    return near.near_hashes(views.signatures(spark, sf_dir, 4).select("id", "hash"), 64, 75)
 
 
-@query(f"""WITH {PAIRS}, both_ AS (SELECT id_a AS of_, id_b AS m, distance FROM pairs UNION ALL SELECT id_b, id_a, distance FROM pairs),
-scored AS (SELECT s.id, b.m AS match_id, b.distance FROM signed s JOIN classes c USING (hash) JOIN both_ b ON b.of_ = c.id UNION ALL SELECT a.id, b.id, 0 FROM signed a JOIN signed b ON a.hash = b.hash AND a.id <> b.id)
-SELECT id, match_id, round_even((100.0 - distance / 16.0 * 100)::DOUBLE, 2) AS percent FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, match_id) AS rn FROM scored) WHERE rn = 1""")
+@query(f"""WITH {CLASSES}, scored AS (SELECT s.id, m.id AS match_id, hamming(s.hash, m.hash) AS distance FROM signed s JOIN signed m ON s.id <> m.id),
+best AS (SELECT id, match_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, match_id) AS rn FROM scored) WHERE rn = 1)
+SELECT id, match_id, round_even((100.0 - distance / 64.0 * 100)::DOUBLE, 2) AS percent FROM best WHERE 100.0 - distance / 64.0 * 100 > 40""")
 def closest_image_match(spark, sf_dir):
-    return search.closest(views.signatures(spark, sf_dir).select("id", "hash"), 16, 90, 40)
+    """Each picture's closest one of all, if they match by more than 40 %."""
+    return near.closest(views.signatures(spark, sf_dir, 4).select("id", "hash"), 64, 40)
 
 
 #: Hits of two indexes whose entries' ids overlap: what starts with the same two digits.
@@ -96,21 +103,6 @@ def nearest_vector_in_label(spark, sf_dir):
     return search.nearest_in_block(views.hashes(spark, sf_dir), "label")
 
 
-@query(f"""WITH {POSTS}, firsts AS (SELECT url_hash, arg_min(id, minute) AS first_id, arg_min(author, minute) AS first_author, arg_min(community, minute) AS first_sub, min(minute) AS first_minute FROM posts GROUP BY url_hash)
-SELECT p.id, f.first_id AS match_id FROM posts p JOIN firsts f USING (url_hash) WHERE p.id <> f.first_id AND p.author <> f.first_author AND f.first_minute < p.minute AND p.community = f.first_sub
-AND floor((44640 - f.first_minute) / 1440.0) <= 30""")
-def filtered_first_copy(spark, sf_dir):
-    """The whole chain of filters on each post's oldest copy."""
-    p = views.posts(spark, sf_dir)
-    start = F.lit(views.START).cast("timestamp_ntz")
-    at = lambda c: F.timestamp_micros(F.unix_micros(start.cast("timestamp")) + c.cast("bigint") * 60_000_000)
-    first = p.groupBy("url_hash").agg(F.min_by(F.struct("id", "author", "community", "minute"), F.struct("minute", "id")).alias("m"))
-    # The clock stands at 31 days after the first post.
-    settings = filters.Settings(same_sub=True, max_days_old=30)
-    keep = filters.chain(settings, at(F.lit(44_640)), crosspost=F.lit(None).cast("boolean"), author=(F.col("m.author"), F.col("author")), created=(at(F.col("m.minute")), at(F.col("minute"))), sub=(F.col("m.community"), F.col("community")), ids=(F.col("m.id"), F.col("id")))
-    return p.join(first, "url_hash").where(keep).select("id", F.col("m.id").alias("match_id"))
-
-
 @query(f"""WITH {POSTS}, pairs AS (SELECT p.id, m.id AS match_id, row_number() OVER (PARTITION BY p.id ORDER BY m.minute, m.id) AS rn FROM posts p JOIN posts m
 ON p.url_hash = m.url_hash AND m.id <> p.id AND m.author IS DISTINCT FROM p.author AND m.minute < p.minute AND m.community = p.community AND floor((44640 - m.minute) / 1440.0) <= 30)
 SELECT id, match_id FROM pairs WHERE rn = 1""")

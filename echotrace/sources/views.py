@@ -39,10 +39,10 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), "label", expr.bit_hash(F.col("embedding")).alias("hash"), "embedding")
 
 
-def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pictures: their hash is the signature of their words."""
+def signatures(spark: SparkSession, sf_dir: str, digits: int = 1) -> DataFrame:
+    """Documents as pictures: their hash is the signature of their words, of 16 times ``digits`` digits."""
     d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    return d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("minute"), F.col("source").alias("author"), F.col("lang").alias("community"), expr.signature(F.col("text")).alias("hash"))
+    return d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("minute"), F.col("source").alias("author"), F.col("lang").alias("community"), expr.signature(F.col("text"), digits).alias("hash"))
 
 
 def reposts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,25 +86,6 @@ def test_oldest_earlier_copy(spark):
     assert got == {3: 1, 4: 3, 7: 5}
 
 
-def test_near_hashes_finds_all_pairs(spark):
-    import random
-
-    draw = random.Random(1)
-    base = ["".join(draw.choices("0123456789abcdef", k=64)) for _ in range(20)]
-    hashes = []
-    for k in range(80):
-        h = list(base[k % 20])
-        for _ in range(draw.randrange(9)):
-            h[draw.randrange(64)] = draw.choice("0123456789abcdef")
-        hashes.append((k, "".join(h)))
-    # A hash stands for all that have it, by the least id.
-    classes = sorted({h: k for k, h in reversed(hashes)}.items(), key=lambda x: x[1])
-    want = {(a, b) for x, a in classes for y, b in classes if a < b and sum(p != q for p, q in zip(x, y, strict=True)) <= 5}
-    got = search.near_hashes(spark.createDataFrame(hashes, "id bigint, hash string"), 64, 92)
-    assert {(r["id_a"], r["id_b"]) for r in got.collect()} == want
-    assert got.count() == len(want) > 20
-
-
 def test_trailing_count_leaves_the_far_end_out(spark):
     at = [datetime(2024, 1, 1) + timedelta(seconds=s) for s in (0, 1800, 3600, 3601)]
     log = spark.createDataFrame([("u", t) for t in at], "k string, t timestamp")

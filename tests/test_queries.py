@@ -50,5 +50,3 @@ def test_filters_come_before_the_pick(spark, tmp_path):
     want = {2: 1, 3: 2, 5: 4, 6: 2, 7: 1, 8: 1}
     assert dict(con.sql(ORACLES["oldest_filtered_copy"]).fetchall()) == want
     assert {r["id"]: r["match_id"] for r in QUERIES["oldest_filtered_copy"](spark, str(tmp_path)).collect()} == want
-    # The query before it tries the oldest copy alone.
-    assert {r["id"] for r in QUERIES["filtered_first_copy"](spark, str(tmp_path)).collect()} < set(want)
