@@ -3,7 +3,9 @@
 A hash is cut into bands. Two hashes that differ in at most d digits differ in at most d // bands digits of some band, so
 they agree in one choice of that band's other digits. Each hash is listed under all such choices of every band; hashes
 under one key are compared. Fewer and longer bands make keys more telling and more of them: ``plan`` weighs the keys that
-a hash writes against the hashes that it is expected to meet by chance, so the choice follows the number of hashes.
+a hash writes against the hashes that it meets under them, so the choice follows the number of hashes. How many it meets
+is counted on the pairs of SAMPLE hashes, since digits of pictures aren't drawn by chance; that only chooses the cut, and
+any cut finds all. A band's digits lie far from each other, as neighbours often agree for one reason.
 
 A key that many hashes share is cut into blocks, and each two blocks meet as a key of their own: no task compares more
 than ``BLOCK`` hashes with as many others. Equal hashes are one class and are never compared.
@@ -16,8 +18,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb, inf
+from math import comb
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,45 +31,53 @@ from ..sources.tables import discard, written
 BLOCK = 4096
 #: What a key costs against a comparison: it is written, shuffled and sorted.
 KEY_COST = 10.0
+#: A cut under which more than this share of all pairs meets is taken only if there is no other.
+MANY = 0.05
 #: Most keys of a hash.
 MOST_KEYS = 3000
+#: Hashes whose pairs are looked at to choose a cut.
+SAMPLE = 400
 #: Digits in one number.
 LANE = 15
 
 
 @dataclass(frozen=True)
 class Plan:
-    """The choices of digits under which a hash is listed, what a hash is expected to meet by chance, and what that costs."""
+    """The choices of digits under which a hash is listed, and how many others a hash is expected to meet under them."""
 
     choices: tuple[tuple[int, ...], ...]
     met: float
-    cost: float
 
 
 def bands(size: int, n: int) -> list[range]:
-    return [range(size * k // n, size * (k + 1) // n) for k in range(n)]
+    return [range(k, size, n) for k in range(n)]
 
 
-def plan(size: int, distance: int, hashes: int, letters: int = 16) -> Plan:
-    """The cheapest cut for hashes of ``size`` digits of which at most ``distance`` differ.
-
-    ``letters`` is how many digits occur: 2 for hashes of zeros and ones.
-    """
-    best = None
+def plan(size: int, distance: int, hashes: int, sample: Sequence[str]) -> Plan:
+    """The cheapest cut of those that keep most pairs apart, for ``hashes`` hashes of ``size`` digits of which at most ``distance`` differ, judged by a sample of them."""
+    digits = np.array([[ord(c) for c in h] for h in sample], dtype=np.uint8).reshape(-1, size)
+    same = (digits[:, None, :] == digits[None, :, :]).reshape(len(sample), len(sample), size)
+    pairs = max(1, len(sample) * (len(sample) - 1))
+    # Without any digits to tell hashes apart all meet.
+    best = (True, float(hashes)), Plan(((),), float(hashes))
     for n in range(1, min(size, distance + 1) + 1):
-        wrong = distance // n
-        lengths = [len(b) for b in bands(size, n)]
-        if min(lengths) <= wrong or (keys := sum(comb(x, wrong) for x in lengths)) > MOST_KEYS:
+        wrong, cut = distance // n, bands(size, n)
+        if min(map(len, cut)) <= wrong or (keys := sum(comb(len(b), wrong) for b in cut)) > MOST_KEYS:
             continue
-        met = hashes * sum(comb(x, wrong) / letters ** (x - wrong) for x in lengths)
-        cost = keys * KEY_COST + met
-        if cost < (best or (inf,))[0]:
-            best = cost, n, wrong, met
-    if best is None:
-        # Nothing is told by a few digits: all hashes meet.
-        return Plan(((),), float(hashes), float(hashes))
-    cost, n, wrong, met = best
-    return Plan(tuple(c for b in bands(size, n) for c in combinations(b, len(b) - wrong)), met, cost)
+        # A pair meets under every choice among the digits of a band that it shares.
+        under = np.array([[comb(m, len(b) - wrong) for m in range(size + 1)] for b in cut], dtype=np.float64)
+        shared = sum(under[k][same[:, :, b.start :: n].sum(axis=2)] for k, b in enumerate(cut))
+        met = hashes * float(shared.sum() - np.trace(shared)) / pairs
+        many = (np.count_nonzero(shared) - len(sample)) / pairs > MANY
+        if (many, keys * KEY_COST + met) < best[0]:
+            best = (many, keys * KEY_COST + met), Plan(tuple(c for b in cut for c in combinations(b, len(b) - wrong)), met)
+    return best[1]
+
+
+def sampled(rows: DataFrame) -> list[str]:
+    """SAMPLE hashes, those with the least hash of their own."""
+    draw = F.xxhash64("hash", F.lit(5))
+    return [r["hash"] for r in rows.orderBy(draw, "hash").select("hash").limit(SAMPLE).collect()]
 
 
 def packed(digits: Column, size: int) -> list[Column]:
@@ -132,18 +143,18 @@ def most_apart(size: int, percent: float) -> int:
     return int(size - percent / 100 * size + 1e-9)
 
 
-def near_hashes(hashes: DataFrame, size: int, percent: float, letters: int = 16) -> DataFrame:
+def near_hashes(hashes: DataFrame, size: int, percent: float) -> DataFrame:
     """All pairs of different hashes that match by ``percent``, each hash by its least id: id_a, id_b, distance, percent."""
     d = most_apart(size, percent)
     own = written(hashes.where(F.length("hash") == size).groupBy("hash").agg(F.min("id").alias("id")))
-    met = candidates(own, own, plan(size, d, own.count(), letters), size)
+    met = candidates(own, own, plan(size, d, own.count(), sampled(own)), size)
     pairs = met.where((F.col("id") < F.col("other")) & (F.col("distance") <= d)).distinct()
     out = written(pairs.select(F.col("id").alias("id_a"), F.col("other").alias("id_b"), "distance", expr.match_percent(F.col("distance"), F.lit(float(size))).alias("percent")))
     discard(own)
     return out
 
 
-def closest(hashes: DataFrame, size: int, floor: float, letters: int = 16) -> DataFrame:
+def closest(hashes: DataFrame, size: int, floor: float) -> DataFrame:
     """For each id its best match by percent, the least id on a tie, if that is above ``floor``: id, match_id, percent.
 
     A copy is the closest of all. Hashes without one are asked for within growing distances: a tenth of the digits, a
@@ -151,12 +162,12 @@ def closest(hashes: DataFrame, size: int, floor: float, letters: int = 16) -> Da
     of all, and only what found nothing goes on to the next.
     """
     own = written(classes(hashes, size))
-    n = own.count()
+    n, sample = own.count(), sampled(own)
     widest = max(d for d in range(size) if round(100 - d / size * 100, 2) > floor or d == 0)
     answers = [own.where(F.col("second").isNotNull()).select("id", F.lit(None).cast("bigint").alias("match"), F.lit(0).alias("distance"))]
     left, spent = own.where(F.col("second").isNull()).select("id", "hash"), [own]
     for d in sorted({min(size // 10, widest), min(size // 4, widest), widest} - {0}):
-        met = candidates(left, own, plan(size, d, n, letters), size).where(F.col("distance") <= d)
+        met = candidates(left, own, plan(size, d, n, sample), size).where(F.col("distance") <= d)
         best = written(met.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("best")).select("id", F.col("best.other").alias("match"), F.col("best.distance").alias("distance")))
         answers.append(best)
         left = written(left.join(best.select("id"), "id", "left_anti"))

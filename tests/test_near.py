@@ -58,7 +58,7 @@ def test_all_near_pairs_of_many_hashes(spark):
     for k in random.Random(2).sample(own.tolist(), 400):
         near_ones = own[(a[own] != a[k]).sum(axis=1) <= 16]
         assert all((min(k, m), max(k, m)) in pairs for m in near_ones.tolist() if m != k)
-    how = near.plan(64, 16, len(own))
+    how = near.plan(64, 16, len(own), [hashes[k] for k in own[:400]])
     assert how.met < 0.01 * len(own)
 
 
@@ -80,7 +80,7 @@ def test_hot_keys_meet_in_blocks(spark, block):
     # All hashes share all bands but one.
     hashes = [f"{'a' * 12}{k:04x}" for k in range(100)]
     own = frame(spark, hashes)
-    how = near.plan(16, 4, 100)
+    how = near.plan(16, 4, 100, hashes)
     met = near.candidates(own, own, how, 16, block)
     got = {(r["id"], r["other"]): r["distance"] for r in met.distinct().collect()}
     apart = distances(hashes)
@@ -91,14 +91,27 @@ def test_hot_keys_meet_in_blocks(spark, block):
 
 def test_plans(spark):
     for size, d, n in ((64, 16, 10**5), (64, 38, 1000), (64, 38, 10**8), (16, 1, 10**4), (64, 0, 10), (8, 7, 100)):
-        how = near.plan(size, d, n)
+        how = near.plan(size, d, n, hashes_of(100, size, 5))
         # Whatever d digits differ, one choice has none of them.
         draw = random.Random(size * d)
         for _ in range(200):
             wrong = set(draw.sample(range(size), d))
             assert any(not wrong & set(c) for c in how.choices)
-    assert len(near.plan(64, 38, 10**6).choices) > len(near.plan(64, 38, 1000).choices)
-    assert near.plan(64, 38, 1000).met < 1000 / 20
+    one, many = (near.plan(64, 38, n, hashes_of(200, 64, 5)) for n in (1000, 10**9))
+    assert len(many.choices) > len(one.choices) and one.met < 1000 / 20
+    # Where digits say nothing there is no better way than to compare all.
+    assert near.plan(8, 2, 50, ["0" * 8] * 50).choices == ((),)
+
+
+def test_digits_that_go_together(spark):
+    """Digits in fours, each four of one of twenty kinds: a twentieth of the pairs is looked at all the same."""
+    draw = random.Random(3)
+    fours = ["".join(draw.choices("0123456789abcdef", k=4)) for _ in range(20)]
+    hashes = ["".join(draw.choices(fours, k=16)) for _ in range(1000)]
+    how = near.plan(64, 38, 1000, hashes[:400])
+    own = frame(spark, hashes)
+    looked_at = near.candidates(own, own, how, 64).select("id", "other").distinct().count()
+    assert looked_at < 1000 * 999 / 20
 
 
 def test_odd_hashes(spark):
