@@ -4,6 +4,10 @@ A group is the tokens of both sides between two places where both end. Equal gro
 group is expanded once: a chunk interns its groups, the corpus interns those of all chunks, links are worked out and
 weighed for each distinct group, and a document multiplies them by how often it holds the group.
 
+Texts are encoded in pieces. No token of either side crosses from a character that isn't white space to a single space
+before another such character, so what lies between two such places is encoded alike wherever it stands, and a chunk
+encodes each distinct piece once. Where a vocabulary doesn't have this property, a text is one piece.
+
 How many documents hold an id pair linked is counted in two steps: distinct documents inside a chunk, then a sum over
 chunks. Only pairs and group keys move between tasks, each once for a chunk.
 
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .chunks import blob, cut, gathered, looked_up, sums
 from .common import discard, small_batches, written
+from .groups import whole
 
 #: Where the vocabularies are, and their names; the driver reads them and sends their bytes along.
 FOLDER, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -59,7 +64,8 @@ class Pair:
             self.a_bytes[k] = piece.encode() if k in special else bytes(bytes_of[c] for c in piece)
         ids = range(self.b.get_piece_size())
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in ((k, self.b.id_to_piece(k)) for k in ids)]
-        self.a_size, self.b_size = (np.array([len(x) for x in y], dtype=np.int64) for y in (self.a_bytes, self.b_bytes))
+        #: Bytes of each token.
+        self.sizes = [np.array([len(x) for x in y], dtype=np.int64) for y in (self.a_bytes, self.b_bytes)]
 
     @classmethod
     def of(cls, a: bytes, b: bytes) -> Pair:
@@ -69,35 +75,97 @@ class Pair:
             cls._loaded[key] = cls(a, b)
         return cls._loaded[key]
 
-    def encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides; none for a text that either side doesn't give back."""
-        full = [k for k, t in enumerate(texts) if t]
-        a, b = [[] for _ in texts], [[] for _ in texts]
-        left = (e.ids for e in self.a.encode_batch_fast([f" {texts[k]}" for k in full], add_special_tokens=False))
-        right = self.b.encode([texts[k] for k in full], out_type=int, num_threads=1) if full else []
-        for k, x, y in zip(full, left, right, strict=True):
-            raw = f" {texts[k]}".encode()
-            if b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y)):
-                a[k], b[k] = x, y
-        return a, b
+    def apart(self) -> bool:
+        """If texts may be encoded in pieces: side B has no token with a space behind something else, and changes no characters."""
+        plain = "ﬁ ①  x e\u0301 \t\uff21 "
+        return not any("▁" in self.b.id_to_piece(k).lstrip("▁") for k in range(self.b.get_piece_size())) and self._right([plain])[0] is not None
+
+    def _right(self, texts: list[str]) -> list[list[int] | None]:
+        """Ids of side B; None for a text that isn't given back."""
+        ids = self.b.encode(texts, out_type=int, num_threads=1)
+        return [x if b"".join(map(self.b_bytes.__getitem__, x)) == f" {t}".encode() else None for t, x in zip(texts, ids, strict=True)]
+
+    def encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of both sides for a space and each text; None for a text that either side doesn't give back."""
+        if not texts:
+            return []
+        left = (e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False))
+        return [(x, y) if y is not None and b"".join(map(self.a_bytes.__getitem__, x)) == f" {t}".encode() else None for t, x, y in zip(texts, left, self._right(texts), strict=True)]
+
+    def tokens(self, pieces: list[str], block: int = 2048) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Of both sides the ids of all pieces and their bounds by piece, and which pieces a side doesn't give back (they have none).
+
+        Pieces that begin and end with a visible character are encoded many at a time, as parts of one text.
+        """
+        plain = np.array([bool(t) and t[0] > " " and t[-1] > " " and (t[0] < "\x7f" or "À" <= t[0] <= "ÿ") and (t[-1] < "\x7f" or "À" <= t[-1] <= "ÿ") for t in pieces], dtype=bool)
+        lots = [x.tolist() for x in np.split(np.flatnonzero(plain), range(block, int(plain.sum()), block))]
+        joined = self.encoded([" ".join(pieces[k] for k in lot) for lot in lots if lot])
+        alone, ids, owner = np.flatnonzero(~plain).tolist(), ([], []), ([], [])
+        for lot, both in zip(lots, joined, strict=False):
+            if both is None:
+                alone += lot
+                continue
+            ends = np.cumsum([len(pieces[k].encode()) + 1 for k in lot])
+            for side in (0, 1):
+                own = np.array(both[side], dtype=np.int64)
+                ids[side].append(own)
+                owner[side].append(np.array(lot)[np.searchsorted(ends, np.cumsum(self.sizes[side][own]))])
+        broken = np.zeros(len(pieces), dtype=bool)
+        for k, both in zip(alone, self.encoded([pieces[k] for k in alone]), strict=True):
+            broken[k] = both is None
+            for side in (0, 1) if both else ():
+                ids[side].append(np.array(both[side], dtype=np.int64))
+                owner[side].append(np.full(len(both[side]), k))
+        out, bounds = [], []
+        for own, of in zip(ids, owner, strict=True):
+            own, of = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (own, of))
+            order = np.argsort(of, kind="stable")
+            out.append(own[order])
+            bounds.append(np.searchsorted(of[order], np.arange(len(pieces) + 1)))
+        return out, bounds, broken
 
     def links(self, key: str) -> list[tuple[int, int]]:
         """The id pairs of a group whose bytes overlap, as often as they do."""
         a, b = ([int(x) for x in side.split(",")] for side in key.split("|"))
-        out, i, j, end_a, end_b = [], 0, 0, self.a_size[a[0]], self.b_size[b[0]]
+        size_a, size_b = self.sizes
+        out, i, j, end_a, end_b = [], 0, 0, size_a[a[0]], size_b[b[0]]
         while True:
             out.append((a[i], b[j]))
             low = min(end_a, end_b)
             if end_a == low:
                 i += 1
-                end_a += self.a_size[a[i]] if i < len(a) else 0
+                end_a += size_a[a[i]] if i < len(a) else 0
             if end_b == low:
                 j += 1
-                end_b += self.b_size[b[j]] if j < len(b) else 0
+                end_b += size_b[b[j]] if j < len(b) else 0
             if i == len(a) or j == len(b):
                 return out
 
 
+def _pieces(texts: pa.Array, apart: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Bounds of each text's pieces, a code for each piece, and the distinct pieces without the space before them."""
+    raw, bounds = whole(texts)
+    size = np.diff(bounds)
+    size = size + (size > 0)
+    bounds = cut(size)
+    data = np.full(int(bounds[-1]), 0x20, dtype=np.uint8)
+    own = np.ones(len(data), dtype=bool)
+    first = bounds[:-1][size > 0]
+    own[first] = False
+    data[own] = raw
+    start = np.zeros(len(data), dtype=bool)
+    if apart and len(data) > 2:
+        # Next to white space beyond ASCII no cut is made: of other letters, those of two bytes from U+00C0 on will do.
+        visible = (data > 0x20) & (data < 0x7F)
+        latin = data == 0xC3
+        start[2:-1] = (data[2:-1] == 0x20) & (visible[1:-2] | latin[:-3]) & (visible[3:] | latin[3:])
+    start[first] = True
+    places = np.flatnonzero(start)
+    offsets = np.append(places, len(data)).astype(np.int32)
+    array = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return np.searchsorted(places, bounds), array.indices.to_numpy(), [x[1:] for x in array.dictionary.cast(pa.string()).to_pylist()]
+
+
 def _interned(a: np.ndarray, b: np.ndarray, bounds_a: np.ndarray, bounds_b: np.ndarray) -> tuple[np.ndarray, list[str]]:
     """A code for each group and the distinct groups' keys; group k has tokens bounds[k] to bounds[k + 1] of either side."""
     n_a, n_b = np.diff(bounds_a), np.diff(bounds_b)
@@ -121,37 +189,59 @@ def _interned(a: np.ndarray, b: np.ndarray, bounds_a: np.ndarray, bounds_b: np.n
     return codes, keys + list(longer)
 
 
-def _chunk(number: int, ids: pa.Array, texts: list[str], pair: Pair) -> pa.RecordBatch:
-    left, right = pair.encoded(texts)
-    tokens = [cut([len(x) for x in side]) for side in (left, right)]
-    a, b = (np.fromiter((i for x in side for i in x), dtype=np.int64, count=int(at[-1])) for side, at in ((left, tokens[0]), (right, tokens[1])))
-    # Both sides of a document have the same bytes, so ends in the whole chunk are common if they are in the document.
-    ends_a, ends_b = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
-    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    bounds_a, bounds_b = (np.concatenate([[0], np.searchsorted(x, common) + 1]) for x in (ends_a, ends_b))
-    codes, keys = _interned(a, b, bounds_a, bounds_b)
-    groups = np.searchsorted(bounds_a, tokens[0])
-    shas = [hashlib.sha256(";".join(map(keys.__getitem__, codes[x:y].tolist())).encode()).hexdigest() if x < y else "" for x, y in zip(groups[:-1], groups[1:], strict=True)]
-    # Each document's distinct groups with their frequencies.
-    doc = np.repeat(np.arange(len(texts)), np.diff(groups))
-    held, times = np.unique(doc * len(keys) + codes, return_counts=True)
-    doc, code = np.divmod(held, max(1, len(keys)))
-    # Links once for each distinct group, then the distinct pairs of each document.
+def _flat(bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members of the runs ``which``, one run after the other, and how many each has."""
+    size = np.diff(bounds)[which]
+    return np.repeat(bounds[which] - cut(size)[:-1], size) + np.arange(int(size.sum())), size
+
+
+def _chunk(number: int, ids: pa.Array, texts: pa.Array, pair: Pair, apart: bool) -> pa.RecordBatch:
+    bounds, codes, pieces = _pieces(texts, apart)
+    n = len(bounds) - 1
+    (a, b), (bounds_a, bounds_b), broken = pair.tokens(pieces)
+    # A text with a piece that isn't given back has no pieces.
+    fine = sums(broken.astype(np.int64)[codes], bounds) == 0
+    codes, bounds = codes[np.repeat(fine, np.diff(bounds))], cut(np.diff(bounds) * fine)
+    # Groups and their links, once for each distinct group of the distinct pieces: both sides of a piece have the same
+    # bytes, so ends in all pieces are common if they are in one.
+    ends = [np.cumsum(size[x]) for size, x in zip(pair.sizes, (a, b), strict=True)]
+    common = np.intersect1d(*ends, assume_unique=True)
+    cuts = [np.concatenate([[0], np.searchsorted(x, common) + 1]) for x in ends]
+    group_of, keys = _interned(a, b, *cuts)
+    group_bounds = np.searchsorted(cuts[0], bounds_a)
+    names = [keys[g] for g in group_of.tolist()]
+    strings = [";".join(names[x:y]) for x, y in zip(group_bounds[:-1].tolist(), group_bounds[1:].tolist(), strict=True)]
     links = [pair.links(x) for x in keys]
-    n_links = np.array([len(x) for x in links], dtype=np.int64)
-    starts = cut(n_links)
-    flat = np.array([x << 20 | y for z in links for x, y in z], dtype=np.int64)
-    pairs, which = np.unique(flat, return_inverse=True)
-    size = n_links[code]
-    inside = np.arange(int(size.sum())) - np.repeat(cut(size)[:-1], size)
-    in_doc = np.unique(np.repeat(doc, size) * max(1, len(pairs)) + which[np.repeat(starts[code], size) + inside])
+    pairs, which = np.unique(np.array([x << 20 | y for z in links for x, y in z], dtype=np.int64), return_inverse=True)
+    link_bounds = cut([len(x) for x in links])
+    n_a, n_b = np.diff(bounds_a), np.diff(bounds_b)
+    shas = [hashlib.sha256(";".join(map(strings.__getitem__, codes[x:y].tolist())).encode()).hexdigest() if x < y else "" for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    # Each document's distinct pieces, then its distinct groups, with their frequencies.
+    held, times = np.unique(np.repeat(np.arange(n), np.diff(bounds)) * len(pieces) + codes, return_counts=True)
+    doc, piece = np.divmod(held, max(1, len(pieces)))
+    at, size = _flat(group_bounds, piece)
+    held, inverse = np.unique(np.repeat(doc, size) * len(keys) + group_of[at], return_inverse=True)
+    times = np.bincount(inverse, weights=np.repeat(times, size), minlength=len(held)).astype(np.int64)
+    doc, code = np.divmod(held, max(1, len(keys)))
+    # The distinct pairs of each document, and in how many each one is.
+    at, size = _flat(link_bounds, code)
+    in_doc = np.unique(np.repeat(doc, size) * len(pairs) + which[at])
     n_docs = np.bincount(in_doc % max(1, len(pairs)), minlength=len(pairs))
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    row = {
-        "chunk": number, "doc_ids": ids.to_pylist(), "n_a": np.diff(tokens[0]).tolist(), "n_b": np.diff(tokens[1]).tolist(), "n_groups": np.diff(groups).tolist(), "n_links": sums(n_links[code] * times, bounds).tolist(), "shas": shas,
-        "bounds": blob(bounds, np.int64), "codes": blob(code, np.int32), "times": blob(times, np.int32), "keys": keys, "a": (pairs >> 20).tolist(), "b": (pairs & 0xFFFFF).tolist(), "n": n_docs.tolist(),
+    doc_bounds = np.searchsorted(doc, np.arange(n + 1))
+    lists = {
+        "doc_ids": ids, "n_a": sums(n_a[codes], bounds), "n_b": sums(n_b[codes], bounds), "n_groups": sums(np.diff(group_bounds)[codes], bounds), "n_links": sums(np.diff(link_bounds)[code] * times, doc_bounds),
+        "shas": shas, "keys": keys, "a": pairs >> 20, "b": pairs & 0xFFFFF, "n": n_docs,
     }
-    return pa.RecordBatch.from_pylist([row], schema=_ARROW)
+    blobs = {"bounds": blob(doc_bounds, np.int64), "codes": blob(code, np.int32), "times": blob(times, np.int32)}
+    columns = []
+    for field in _ARROW:
+        if field.name in lists:
+            values = lists[field.name]
+            values = values if isinstance(values, pa.Array) else pa.array(values, type=_LISTS[field.name])
+            columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), values))
+        else:
+            columns.append(pa.array([number if field.name == "chunk" else blobs[field.name]], type=field.type))
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
 _LISTS = {"doc_ids": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "shas": pa.string(), "keys": pa.string(), "a": pa.int32(), "b": pa.int32(), "n": pa.int32()}
@@ -168,8 +258,9 @@ def tokenized(docs: DataFrame, folder: str = FOLDER, a_file: str = A_FILE, b_fil
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair.of(*shared.value)
+        apart = pair.apart()
         for number, rows in gathered(batches):
-            yield _chunk(number, rows["doc_id"], rows["text"].to_pylist(), pair)
+            yield _chunk(number, rows["doc_id"].combine_chunks(), rows["text"].combine_chunks(), pair, apart)
 
     with small_batches(docs.sparkSession):
         return written(docs.select("doc_id", "text").mapInArrow(chunks, _CHUNK))

@@ -1,8 +1,10 @@
 """Links between two tokenizers, against a plain version."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from echotrace.llm import group_alignment
@@ -16,8 +18,7 @@ def plainly(rows):
     pair = group_alignment.Pair(*files)
     tokens, held, links = [], defaultdict(set), []
     for k, text in enumerate(rows):
-        a, b = pair.encoded([text])
-        a, b = a[0], b[0]
+        a, b = (pair.encoded([text])[0] if text else None) or ([], [])
         ends = []
         for ids, raw in ((a, pair.a_bytes), (b, pair.b_bytes)):
             at, out = 0, []
@@ -48,7 +49,7 @@ def plainly(rows):
 
 
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
-ODD = ["two  spaces", " leading", "\n\nlines\t", "日本語のテキスト", "é ﬁ   x", "<|endoftext|> and <s> </s> <0x41>", "▁▁ piece", "a\x00b", "😀😀", "tion tion tions"]
+ODD = ["two  spaces", " leading", "\n\nlines\t", "日本語のテキスト", "é ﬁ   x", "<|endoftext|> and <s> </s> <0x41>", "▁▁ piece", "a\x00b", "😀😀", "tion tion tions", "x\u00a0 y \u00a0z é à", "a \u3000 b", "don't 'tis '' 's", "x\u0085 y", "end ", "a b\n c\t d"]
 
 
 def test_alignment_against_all_pairs(spark):
@@ -93,3 +94,20 @@ def test_very_long_texts(spark):
 def test_unknown_folder(spark):
     with pytest.raises(FileNotFoundError):
         group_alignment.tokenized(empty(spark), folder="/nowhere")
+
+
+def test_pieces_are_encoded_as_in_the_whole():
+    files = [open(f"{group_alignment.FOLDER}/{f}", "rb").read() for f in (group_alignment.A_FILE, group_alignment.B_FILE)]
+    pair = group_alignment.Pair(*files)
+    assert pair.apart()
+    draw = random.Random(8)
+    texts = ["".join(draw.choices(["a", "the", "é", "ß", " ", " ", "  ", "\n", "\u00a0", "\u3000", "1", "'s", ".", "日", "×"], k=draw.randint(1, 60))) for _ in range(400)]
+    bounds, codes, pieces = group_alignment._pieces(pa.array(texts), True)
+    assert len(codes) > 2 * len(texts)
+    for k, text in enumerate(texts):
+        own = [pieces[c] for c in codes[bounds[k] : bounds[k + 1]]]
+        assert "".join(f" {x}" for x in own) == f" {text}"
+        (a, b), at, broken = pair.tokens(own, block=5)
+        assert (None if broken.any() else (a.tolist(), b.tolist())) == pair.encoded([text])[0], text
+        parts = pair.encoded(own)
+        assert [x.tolist() for x in at] == [[sum(len(p[side]) for p in parts[:k] if p) for k in range(len(own) + 1)] for side in (0, 1)]
