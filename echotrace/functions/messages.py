@@ -63,10 +63,10 @@ def file_stem(path: Column) -> Column:
 
 
 def body_json(body: Column) -> Column:
-    """The body if it is a JSON object, else what stands from its first opening to its first closing brace."""
-    whole = F.when(F.get_json_object(body, "$").isNotNull(), body)
-    inner = F.regexp_extract(body, r"(?s)^[^{]*(\{[^}]*\})", 1)
-    return F.coalesce(whole, F.when(inner != "", inner))
+    """The body if it is JSON, else what stands from its first opening to its first closing brace, if that is JSON; else null."""
+    as_json = lambda c: F.when(F.get_json_object(c, "$").isNotNull(), c)
+    low, high = F.locate("{", body), F.locate("}", body)
+    return F.coalesce(as_json(body), F.when((low > 0) & (high > low), as_json(F.substring(body, low, high - low + 1))))
 
 
 def gallery_links(media: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of a leaderboard in days; null is all time.
 RANGES = [1, 7, 14, 30, None]
+#: What stands for authors whose account is gone; they are never counted.
+DELETED = ["[deleted]"]
 #: Authors that leaderboards leave out.
 EXCLUDED = ["AutoModerator", "AutoNewspaperAdmin"]
 
@@ -17,9 +19,16 @@ def by_range(log: DataFrame, now: Column, at: str, ranges: list[int | None] = RA
     return log.withColumn("_r", F.explode(F.filter(inside, lambda x: x["ok"]))).withColumn("day_range", F.col("_r.day_range")).drop("_r")
 
 
-def leaderboard(log: DataFrame, now: Column, at: str, key: str, least: int, limit: int = 100_000, excluded: list | None = None, ranges: list[int | None] = RANGES) -> DataFrame:
-    """Counts by key, kind and range above ``least``, the highest ``limit`` of each; exclusions come after the limit."""
-    counts = by_range(log.where(F.col(key).isNotNull()), now, at, ranges).groupBy(key, "post_type", "day_range").agg(F.count("*").alias("repost_count"))
+def leaderboard(log: DataFrame, now: Column, at: str, key: str, least: int, limit: int = 100_000, excluded: list | None = None, ranges: list[int | None] = RANGES, left_out: list | None = None) -> DataFrame:
+    """Counts by key, kind and range above ``least``, the highest ``limit`` of each; ``left_out`` keys aren't counted, exclusions come after the limit."""
+    log = log.where(F.col(key).isNotNull())
+    log = log.where(~F.col(key).cast("string").isin(left_out)) if left_out else log
+    counts = by_range(log, now, at, ranges).groupBy(key, "post_type", "day_range").agg(F.count("*").alias("repost_count"))
+    return highest(counts, key, least, limit, excluded)
+
+
+def highest(counts: DataFrame, key: str, least: int, limit: int, excluded: list | None) -> DataFrame:
+    """Of the counts by key, kind and range those above ``least``, the highest ``limit`` of each kind and range."""
     counts = counts.where(F.col("repost_count") > least)
     # First within lots of keys, so that the last ranking sees ``limit`` rows of each lot at most.
     order = [F.col("repost_count").desc(), F.col(key)]

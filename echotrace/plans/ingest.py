@@ -6,13 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expr, messages
-from ..operators import filters
+from ..operators import filters, ingest
 from ..sources import views
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
 
-SUBMISSION = "id string, url string, permalink string, author string, selftext string, created_utc double, subreddit string, title string, crosspost_parent string, over_18 boolean, is_self boolean, post_hint string"
 SITE = "https://search.example/search"
 
 
@@ -20,26 +19,17 @@ def t(spark, sf_dir, name):
     return views.table(spark, sf_dir, name)
 
 
-def posts_of(raw):
-    """Posts from a column ``raw`` of submissions as JSON; an empty crosspost parent is none."""
-    s = raw.select(F.from_json("raw", SUBMISSION).alias("s")).select("s.*")
-    kind = expr.post_type(F.coalesce("is_self", F.lit(False)), F.col("url"), F.col("post_hint"))
-    return s.select(
-        F.col("id").alias("post_id"), "url", F.col("permalink").alias("perma_link"), "author", "selftext", F.timestamp_seconds("created_utc").alias("created_at"), "subreddit", "title",
-        (F.coalesce("crosspost_parent", F.lit("")) != "").alias("is_crosspost"), F.coalesce("over_18", F.lit(False)).alias("nsfw"), F.md5(F.col("url").cast("binary")).alias("url_hash"), expr.post_type_id(kind).alias("post_type_id"),
-    )
-
-
-@query("""SELECT CASE WHEN doc_id = 0 THEN '' ELSE lower(to_base(doc_id, 36)) END AS post_id, CAST(doc_id * 60 + 1700000000 AS BIGINT) AS created, source AS author, lang AS subreddit, n_chars > 1000 AS is_crosspost, n_chars < 200 AS nsfw,
-md5('https://host/' || doc_id || '.jpg') AS url_hash, CAST(CASE WHEN n_chars < 500 THEN 1 WHEN n_chars < 1500 THEN 3 ELSE 2 END AS INT) AS post_type_id FROM documents""")
+@query("""SELECT CASE WHEN doc_id = 0 THEN '' ELSE lower(to_base(doc_id, 36)) END AS post_id, CAST(doc_id * 60 + 1700000000 AS BIGINT) AS created, source AS author, lang AS subreddit, n_chars > 1000 AS is_crosspost, CASE WHEN n_chars < 2000 THEN n_chars < 200 END AS nsfw,
+md5('https://host/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.jpg' ELSE '' END) AS url_hash, CAST(CASE WHEN n_chars < 500 THEN 1 WHEN n_chars < 1500 THEN 3 WHEN doc_id % 3 = 0 THEN 2 WHEN doc_id % 3 = 1 THEN 7 WHEN n_chars < 3000 THEN 6 END AS INT) AS post_type_id FROM documents""")
 def submissions_as_posts(spark, sf_dir):
     """Submissions written as JSON and read back as posts."""
     n = F.col("n_chars")
     raw = t(spark, sf_dir, "documents").select(F.to_json(F.struct(
-        expr.base36(F.col("doc_id")).alias("id"), F.concat(F.lit("https://host/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("url"), F.col("source").alias("author"), (F.col("doc_id") * 60 + 1_700_000_000).cast("double").alias("created_utc"),
-        F.col("lang").alias("subreddit"), F.when(n > 1000, "t3_parent").otherwise("").alias("crosspost_parent"), (n < 200).alias("over_18"), (n < 500).alias("is_self"), F.when(n < 1500, "link").alias("post_hint"),
+        expr.base36(F.col("doc_id")).alias("id"), F.concat(F.lit("https://host/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".jpg").otherwise("")).alias("url"), F.col("source").alias("author"), (F.col("doc_id") * 60 + 1_700_000_000).cast("double").alias("created_utc"),
+        F.col("lang").alias("subreddit"), F.when(n > 1000, "t3_parent").otherwise("").alias("crosspost_parent"), F.when(n < 2000, n < 200).alias("over_18"), (n < 500).alias("is_self"), F.when(n < 1500, "link").alias("post_hint"),
+        F.when(F.col("doc_id") % 3 == 1, True).alias("is_video"), (n < 3000).alias("is_gallery"),
     )).alias("raw"))
-    return posts_of(raw).select("post_id", F.unix_seconds("created_at").alias("created"), "author", "subreddit", "is_crosspost", "nsfw", "url_hash", "post_type_id")
+    return ingest.posts_of(raw).select("post_id", F.unix_seconds("created_at").alias("created"), "author", "subreddit", "is_crosspost", "nsfw", "url_hash", "post_type_id")
 
 
 @query("""SELECT l_orderkey, coalesce(string_agg('https://i.redd.it/' || l_orderkey || '_' || l_linenumber || CASE l_returnflag WHEN 'A' THEN '.jpg' WHEN 'N' THEN '.png' ELSE '.gif' END, ' ' ORDER BY l_linenumber, CASE l_returnflag WHEN 'A' THEN 2 WHEN 'N' THEN 3 ELSE 1 END) FILTER (WHERE l_linestatus = 'O'), '') AS links FROM lineitem GROUP BY l_orderkey""")

@@ -98,7 +98,7 @@ def test_plans(spark):
             wrong = set(draw.sample(range(size), d))
             assert any(not wrong & set(c) for c in how.choices)
     one, many = (near.plan(64, 38, n, hashes_of(200, 64, 5)) for n in (1000, 10**9))
-    assert len(many.choices) > len(one.choices) and one.met < 1000 / 20
+    assert len(many.choices) >= len(one.choices) and one.met < 1000 / 20
     # Where digits say nothing there is no better way than to compare all.
     assert near.plan(8, 2, 50, ["0" * 8] * 50).choices == ((),)
 
