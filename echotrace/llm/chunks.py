@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .groups import whole
+from .groups import squeezed, unsqueezed, whole
 from .hashing import WORD, Words, lowered
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
@@ -44,6 +44,18 @@ def blob(values: np.ndarray, kind: type) -> bytes:
     return np.ascontiguousarray(values, dtype=kind).tobytes()
 
 
+def numbers(values: np.ndarray) -> bytes:
+    """Non-negative numbers in as few bytes each as the largest needs, byte plane by byte plane, compressed."""
+    wide = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(values) or int(values.max()) <= np.iinfo(t).max)
+    planes = np.ascontiguousarray(values.astype(wide).view(np.uint8).reshape(len(values), -1).T)
+    return np.dtype(wide).itemsize.to_bytes(1, "little") + squeezed(planes.tobytes())
+
+
+def numbers_of(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueezed(data[1:]), dtype=np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{data[0]}").ravel().astype(np.int64)
+
+
 def cut(lengths: np.ndarray) -> np.ndarray:
     """Bounds of neighbouring runs of these lengths."""
     return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
