@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import policy, stats
+from ..operators import policy, replies, stats
 from ..sources import views
 from .registry import registry
 
@@ -54,12 +54,37 @@ def config_changes(spark, sf_dir):
     return stats.changed_keys(old, new, "n_nationkey", ["name", "number"])
 
 
-@query("""WITH m AS (SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS oldest FROM documents GROUP BY 1)
-SELECT oldest AS id, CASE WHEN n = 1 THEN 'No copies found.' WHEN n = 2 THEN 'Seen 1 time before.' ELSE 'Seen ' || (n - 1) || ' times before.' END AS message FROM m""")
-def result_messages(spark, sf_dir):
-    m = views.posts(spark, sf_dir).groupBy("url_hash").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    times = F.concat(F.lit("Seen "), (F.col("n") - 1).cast("string"), F.when(F.col("n") == 2, " time before.").otherwise(" times before."))
-    return m.select("id", F.when(F.col("n") == 1, "No copies found.").otherwise(times).alias("message"))
+SITE = replies.Site("search.example", "https://search.example/search", "a_bot")
+
+
+@query(r"""WITH c AS (SELECT min(doc_id) AS id, max(doc_id) AS last_id, count(*) - 1 AS n FROM documents GROUP BY md5(text)), d AS (SELECT c.id, c.last_id, c.n, d.lang, d.n_chars FROM c JOIN documents d ON d.doc_id = c.id),
+own(lang, repost, oc, report) AS (VALUES ('fr', 'Seen {match_count} {times_word} in r/{this_subreddit}.', NULL, '{match_count} copies'), ('de', 'Seen {how_often}', 'New in r/{this_subreddit}', '{how_often}')),
+s AS (SELECT d.*, CASE WHEN d.n_chars % 2 = 0 THEN 'image' ELSE 'link' END AS kind, strftime(TIMESTAMP '2024-01-01' + to_minutes(id + 1), '%Y-%m-%d') AS first_day, strftime(TIMESTAMP '2024-01-01' + to_minutes(last_id), '%Y-%m-%d') AS last_day, repost, oc, report FROM d LEFT JOIN own USING (lang)),
+body AS (SELECT *, 'First Seen [Here](https://redd.it/' || (id + 1) || ') on ' || first_day AS first_seen, 'Last Seen [Here](https://redd.it/' || last_id || ') on ' || last_day AS last_seen FROM s)
+SELECT id, CASE WHEN n > 0 AND lang = 'fr' THEN 'Seen ' || n || CASE WHEN n > 1 THEN ' times' ELSE ' time' END || ' in r/fr.' WHEN n = 0 AND lang = 'de' THEN 'New in r/de'
+WHEN kind = 'link' THEN CASE WHEN n = 0 THEN 'Looks like this is the first time this link has been shared on Reddit' ELSE 'This link has been shared ' || n || CASE WHEN n > 1 THEN ' times' ELSE ' time' END || '.' || chr(10) || chr(10) || first_seen || '. ' || CASE WHEN n > 1 THEN last_seen ELSE '' END END
+WHEN n = 0 THEN 'I didn''t find any posts that meet the matching requirements for r/' || coalesce(lang, 'None') || '.' || chr(10) || chr(10) || 'It might be OC, it might not. Things such as JPEG artifacts and cropping may impact the results.'
+ELSE 'Looks like a repost. I''ve seen this image ' || n || CASE WHEN n > 1 THEN ' times' ELSE ' time' END || '.' || chr(10) || chr(10) || first_seen || ' 100.0% match.' || CASE WHEN n > 1 THEN ' ' || last_seen || ' 100.0% match' ELSE '' END END
+|| CASE WHEN kind = 'image' THEN chr(10) || chr(10) || '[View Search On search.example](https://search.example/search?postId=' || id || '&sameSub=false&filterOnlyOlder=true&memeFilter=false&filterDeadMatches=false&targetImageMatch=90&targetImageMemeMatch=97)' ELSE '' END
+|| chr(10) || chr(10) || '---' || chr(10) || chr(10) || CASE WHEN kind = 'image' THEN '**Scope:** Reddit | **Target Percent:** 90% | **Max Age:** 190 | **Searched Images:** ' ELSE '**Scope:** Reddit | **Check Title:** False | **Max Age:** 190 | **Searched Links:** ' END || format('{:,}', n_chars * 1000) || ' | **Search Time:** 1s' AS message,
+CASE WHEN lang = 'fr' THEN n || ' copies' ELSE 'a_bot-Repost' END AS report FROM body""")
+def replies_to_searches(spark, sf_dir):
+    """What is said about each content's first post: later copies are its matches; two communities have templates, one of them with a bad name."""
+    p = views.posts(spark, sf_dir)
+    groups = p.groupBy("url_hash").agg(F.min("id").alias("id"), F.max("id").alias("last_id"), (F.count("*") - 1).cast("int").alias("match_count"))
+    at = lambda m: F.timestamp_add("MINUTE", m.cast("int"), F.lit(views.START).cast("timestamp_ntz"))
+    match = lambda i: F.struct(i.cast("string").alias("post_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("community"), at(i).alias("created_at"), F.lit(100.0).alias("percent"))
+    some = lambda m: F.when(F.col("match_count") > 0, m)
+    settings = F.struct(
+        F.lit(90).alias("target_match_percent"), F.lit(0.077).alias("target_annoy_distance"), F.lit(97).alias("target_meme_match_percent"), F.lit(False).alias("meme_filter"), F.lit(4000).alias("max_depth"), F.lit(None).cast("int").alias("target_title_match"), F.lit(75).alias("max_matches"),
+        F.lit(False).alias("same_sub"), F.lit(190).alias("max_days_old"), *(F.lit(x not in ("filter_dead_matches", "filter_removed_matches")).alias(x) for x in ("filter_dead_matches", "filter_removed_matches", "only_older_matches", "filter_same_author", "filter_crossposts")),
+    )
+    results = p.join(groups, "id").select(
+        F.col("id").cast("string").alias("post_id"), "author", "community", F.when(F.col("n_chars") % 2 == 0, "image").otherwise("link").alias("post_type"), (F.col("n_chars") * 1000).alias("total_searched"), F.lit(1).alias("search_time"), F.lit(None).cast("bigint").alias("template_id"),
+        "match_count", some(match(F.col("id") + 1)).alias("oldest"), some(match(F.col("last_id"))).alias("newest"), F.lit(None).cast(replies.MATCH).alias("closest"), settings.alias("settings"),
+    )
+    own = spark.createDataFrame([("fr", "Seen {match_count} {times_word} in r/{this_subreddit}.", None, "{match_count} copies"), ("de", "Seen {how_often}", "New in r/{this_subreddit}", "{how_often}")], "community string, repost_response_template string, oc_response_template string, report_msg string")
+    return replies.replies(results, SITE, own).select(F.col("post_id").cast("bigint").alias("id"), "message", "report")
 
 
 @query("""SELECT c.c_custkey, CASE WHEN c_acctbal IS NULL OR c_acctbal = 0 THEN true ELSE c_acctbal > 1000 END AS keep, c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS monitored FROM customer c""")
