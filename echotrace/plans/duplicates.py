@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import filters, near, search
-from ..sources import views
+from ..operators import filters, near, search, two_stage
+from ..sources import tables, views
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -57,6 +57,37 @@ def closest_image_match(spark, sf_dir):
     return near.closest(views.signatures(spark, sf_dir, 4).select("id", "hash"), 64, 40)
 
 
+def _both_signed():
+    """Documents with the first and the second hash; the second can't be worked out for short texts, but is stored for those with a label."""
+    return f"""{_signed(1)}, long_ AS ({_signed(16).split("signed AS (")[1].rsplit(")", 1)[0].replace("FROM words", "FROM words")}),
+cached AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id IS NOT NULL),
+both_ AS (SELECT s.id, s.hash, CASE WHEN c.doc_id IS NOT NULL OR d.n_chars >= 300 THEN l.hash END AS second FROM signed s JOIN long_ l USING (id) JOIN documents d ON d.doc_id = s.id LEFT JOIN cached c ON c.doc_id = s.id)"""
+
+
+@query(f"""WITH {_both_signed()}, templates AS (SELECT hash, min(id) AS template_id FROM both_ GROUP BY hash HAVING count(*) > 1),
+near_ AS (SELECT id, template_id FROM (SELECT b.id, t.template_id, row_number() OVER (PARTITION BY b.id ORDER BY hamming(b.hash, t.hash), t.template_id) AS rn FROM both_ b JOIN templates t ON hamming(b.hash, t.hash) <= 1) WHERE rn = 1),
+classes AS (SELECT hash, second, min(id) AS match_id, count(*) AS members FROM both_ GROUP BY hash, second)
+SELECT q.id, c.match_id, CASE WHEN q.second IS NOT NULL THEN n.template_id END AS template_id, CAST(CASE WHEN q.second IS NULL THEN 0 ELSE hamming(q.second, c.second) END AS INT) AS distance, CAST(CASE WHEN q.second IS NULL THEN 16 ELSE 256 END AS INT) AS size, c.members
+FROM both_ q JOIN near_ n USING (id) JOIN classes c ON c.hash = q.hash AND c.match_id < q.id WHERE q.second IS NULL OR (c.second IS NOT NULL AND hamming(q.second, c.second) <= 64)""")
+def template_matches(spark, sf_dir):
+    """Pictures of a template (a first hash that several have) with earlier ones of the same first hash, judged by the second one.
+
+    Matches of one first and second hash are one, by the least id.
+    """
+    d = views.table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    labelled = views.table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("post_id")).distinct()
+    signed = tables.written(d.select(F.col("doc_id").alias("id"), "n_chars", expr.signature(F.col("text")).alias("hash"), expr.signature(F.col("text"), 16).alias("made")))
+    cache = labelled.join(signed, F.col("post_id") == F.col("id")).select("post_id", F.col("made").alias("hash"))
+    seconds = two_stage.second_hashes(signed.select("id", "made", "n_chars"), cache, F.when(F.col("n_chars") >= 300, F.col("made")))
+    popular = signed.groupBy("hash").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").select("id", "hash")
+    queries = two_stage.detected(signed.select("id", "hash"), popular, 16, 90)
+    both = signed.select("id", "hash").join(seconds, "id")
+    classes = both.groupBy("hash", "second").agg(F.min("id").alias("match_id"), F.count("*").alias("members"))
+    matches = queries.join(signed.select("id", "hash"), "id").join(classes, "hash").where(F.col("match_id") < F.col("id")).select("id", "match_id", F.lit(0).alias("distance"), F.lit(16).alias("size"), "members")
+    found = two_stage.judged(matches, queries, seconds, 256, 75)
+    return found.join(matches.select("id", "match_id", "members"), ["id", "match_id"]).select("id", "match_id", "template_id", "distance", "size", "members")
+
+
 #: Hits of two indexes whose entries' ids overlap: what starts with the same two digits.
 HITS = """queries AS (SELECT * FROM signed WHERE id % 100 = 0), hits AS (SELECT q.id, m.id AS match_id, hamming(q.hash, m.hash) / 16.0 AS annoy_distance FROM queries q JOIN signed m ON substring(q.hash, 1, 2) = substring(m.hash, 1, 2))"""
 IMAGE_SEARCH = f"""WITH {SIGNED}, {HITS}, kept AS (SELECT q.id, m.id AS match_id, CAST(hamming(q.hash, m.hash) AS INT) AS distance, m.minute FROM hits h JOIN queries q ON q.id = h.id JOIN signed m ON m.id = h.match_id
