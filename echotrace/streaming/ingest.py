@@ -11,6 +11,15 @@ def deduplicated(stream: DataFrame, key: str, at: str, horizon: str) -> DataFram
     return stream.withWatermark(at, horizon).dropDuplicatesWithinWatermark([key])
 
 
+def first_ever(stream: DataFrame, key: str) -> DataFrame:
+    """Each key once for all time.
+
+    The keys that came are state: with state stores of RocksDB (``echotrace.streaming.limits.PROVIDER``) a batch looks up
+    its own keys alone, whatever came before, and a restarted or replayed batch goes on from the state of the one before.
+    """
+    return stream.dropDuplicates([key])
+
+
 def new_only(batch: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Rows whose key ``existing`` doesn't hold, each key once. ``existing`` is what it was when it was read: ``append_new`` reads the table anew."""
     return batch.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
@@ -38,11 +47,12 @@ def against_history(stream: DataFrame, history: DataFrame, key: str, at: str) ->
 
 
 def watched(matches: DataFrame, watches: DataFrame, at: str | None = None) -> DataFrame:
-    """Notifications: matches whose original has an enabled watch that has not expired (``expires_at``, null: never) at the match's time."""
+    """Notifications: matches whose original has an enabled watch that has not expired (``expires_at``, null: never) at the match's time, or now where no time is named."""
     expires = F.col("expires_at") if "expires_at" in watches.columns else F.lit(None).cast("timestamp")
     active = watches.where(F.col("enabled")).select(F.col("post_id").alias("repost_of_id"), "user", expires.alias("_expires"))
     both = matches.join(active, "repost_of_id")
-    return (both if at is None else both.where(F.col("_expires").isNull() | (F.col(at) < F.col("_expires")))).drop("_expires")
+    when = F.current_timestamp() if at is None else F.col(at)
+    return both.where(F.col("_expires").isNull() | (when < F.col("_expires"))).drop("_expires")
 
 
 def with_last_detection(watches: DataFrame, notified: DataFrame, at: str) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from echotrace.streaming import ingest
+from echotrace.streaming import ingest, limits
 
 SCHEMA = "id bigint, post_id string, url_hash string, created_at timestamp, kind string"
 START = datetime(2024, 1, 1)
@@ -88,3 +88,46 @@ def test_watches_expire_and_remember(spark):
     assert sorted((r["id"], r["user"]) for r in told.collect()) == [(1, "u"), (3, "v")]
     after = {r["user"]: r["last_detection"] for r in ingest.with_last_detection(watches, told, "created_at").collect()}
     assert after == {"u": START, "v": START + timedelta(days=5), "w": None}
+
+
+def test_a_watch_that_expired_is_silent(spark):
+    matches = spark.createDataFrame([(1, 7)], "id bigint, repost_of_id bigint")
+    watches = spark.createDataFrame([(7, "u", True, START), (7, "v", True, None)], "post_id bigint, user string, enabled boolean, expires_at timestamp")
+    assert [r["user"] for r in ingest.watched(matches, watches).collect()] == ["v"]
+
+
+def test_first_ever_across_batches_restarts_and_replays(spark, tmp_path):
+    name, changes = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, limits.PROVIDER)
+    spark.conf.set(changes, "true")
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def arrive(k, ids):
+        (folder / f"{k}.json").write_text("\n".join(f'{{"key": "{i}", "n": {k}}}' for i in ids))
+
+    def run():
+        stream = spark.readStream.schema("key string, n bigint").option("maxFilesPerTrigger", 1).json(str(folder))
+        store = lambda batch, number: batch.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={number}"))
+        assert ingest.first_ever(stream, "key").writeStream.foreachBatch(store).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(240)
+        return sorted((r["key"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    def bytes_of(version):
+        return sum(f.stat().st_size for f in (tmp_path / "state" / "state").rglob(f"{version}.*changelog"))
+
+    try:
+        arrive(0, range(5000))
+        arrive(1, [*range(100), 5000, 5001])
+        want = [(str(k), 0) for k in range(5000)] + [("5000", 1), ("5001", 1)]
+        assert run() == sorted(want)
+        for f in (tmp_path / "state" / "commits").glob("*1*"):
+            f.unlink()
+        assert run() == sorted(want)
+        arrive(2, [1, 6000, 6000])
+        assert run() == sorted([*want, ("6000", 2)])
+        # What a batch adds to the state is its own keys, not the history.
+        assert 0 < bytes_of(3) < bytes_of(1) / 5
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset(changes)
