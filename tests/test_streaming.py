@@ -1,5 +1,6 @@
 """Streams over files, run to the end."""
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -106,6 +107,8 @@ def test_first_ever_across_batches_restarts_and_replays(spark, tmp_path):
 
     def arrive(k, ids):
         (folder / f"{k}.json").write_text("\n".join(f'{{"key": "{i}", "n": {k}}}' for i in ids))
+        # Files come in the order of their times.
+        os.utime(folder / f"{k}.json", (1_700_000_000 + k,) * 2)
 
     def run():
         stream = spark.readStream.schema("key string, n bigint").option("maxFilesPerTrigger", 1).json(str(folder))
