@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import filters, near, search, two_stage
+from ..operators import filters, near, search, two_stage, vectors
 from ..sources import tables, views
 from .registry import registry
 
@@ -127,6 +127,26 @@ def meme_template_of(spark, sf_dir):
     return search.nearest_template(h.select("id", "hash"), templates, 64, 65)
 
 
+@query(r"""WITH t AS (SELECT min(doc_id) AS id, text FROM documents WHERE text IS NOT NULL GROUP BY text), w AS (SELECT id, md5(unnest(list_distinct(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))) AS m FROM t),
+v AS (SELECT id, CAST('0x' || m[1:2] AS INT) // 4 AS k, sum(CASE WHEN m[3:3] >= '8' THEN 1 ELSE -1 END) AS x FROM w GROUP BY ALL), norms AS (SELECT id, sqrt(CAST(sum(x * x) AS DOUBLE)) AS n FROM v GROUP BY id HAVING sum(x * x) > 0),
+pairs AS (SELECT a.id, b.id AS match_id, CAST(sum(a.x * b.x) AS DOUBLE) AS dot FROM v a JOIN v b ON a.k = b.k AND a.id <> b.id GROUP BY ALL),
+s AS (SELECT p.id, match_id, round(dot / (x.n * y.n), 6) AS similarity FROM pairs p JOIN norms x ON x.id = p.id JOIN norms y ON y.id = p.match_id)
+SELECT id, match_id, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, match_id) AS rank FROM s WHERE similarity >= 0.91) WHERE rank <= 5""")
+def near_texts(spark, sf_dir):
+    """Each distinct text's five nearest of all that are alike by 0.91, from a stored index."""
+    own = tables.written(views.text_vectors(spark, sf_dir))
+    return vectors.Index.build(own, tables.shared_folder(spark)).within(own, 0.91, 5)
+
+
+@query("""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.id, b.id AS match_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON a.id <> b.id)
+SELECT id, match_id, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, match_id) AS rank FROM s) WHERE rank <= 3""")
+def nearest_vectors(spark, sf_dir):
+    """Every vector's three nearest of all, from a stored index of which all cells are read: these vectors are drawn at random, and no cell is further than another."""
+    own = views.hashes(spark, sf_dir).select("id", "embedding")
+    index = vectors.Index.build(own, tables.shared_folder(spark))
+    return index.nearest(own, 3, len(index.centres))
+
+
 @query("""WITH s AS (SELECT a.vec_id AS id, b.vec_id AS match_id, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS similarity
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
 SELECT id, match_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, match_id) AS rn FROM s) WHERE rn = 1""")

@@ -45,6 +45,16 @@ def signatures(spark: SparkSession, sf_dir: str, digits: int = 1) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("minute"), F.col("source").alias("author"), F.col("lang").alias("community"), expr.signature(F.col("text"), digits).alias("hash"))
 
 
+def text_vectors(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
+    """Each distinct text by its least id, as a vector: every distinct word adds or takes one at a place by its md5 sum."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("t"))
+    word = d.select(F.col("t.doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("t.text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).alias("w")).select("id", F.md5(F.col("w").cast("binary")).alias("m"))
+    place = F.floor(F.conv(F.substring("m", 1, 2), 16, 10).cast("int") * size / 256).cast("int")
+    sums = word.groupBy("id", place.alias("k")).agg(F.sum(F.when(F.substring("m", 3, 1) >= "8", 1).otherwise(-1)).alias("x"))
+    whole = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("at"))
+    return whole.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.element_at("at", k), F.lit(0)).cast("double")).alias("embedding"))
+
+
 def reposts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a log: who (author), what kind (post_type), of what (repost_of_id), when."""
     e = table(spark, sf_dir, "events")
