@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import writes
+from ..functions import expr
+from ..operators import promoters, writes
 from ..sources import views
 from .registry import registry
 
@@ -89,6 +90,23 @@ def enriched_communities(spark, sf_dir):
     return s.select("s_suppkey", F.coalesce("n_name", F.lit("none")).alias("name"), ((F.col("s_acctbal") > 5000) | F.col("s_acctbal").isNull()).alias("refresh"))
 
 
+@query(r"""WITH flagged AS (SELECT w AS word, min(doc_id) AS place FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{11,}')) AS w FROM documents) GROUP BY w), landing(word, place) AS (VALUES ('example.net', 0), ('/de', 1)),
+said AS (SELECT page_id AS u, 0 AS source, 0 AS pos, regexp_extract(html, '<title>([^<]*)', 1) AS text FROM pages UNION ALL SELECT page_id, 1, 0, url FROM pages
+UNION ALL SELECT page_id, 3, unnest(range(0, len(links))), unnest(links) FROM (SELECT page_id, list_distinct_ordered AS links FROM (SELECT page_id, list_reduce(regexp_extract_all(html, 'href=[''"]?([^''" >]+)', 1), lambda a, x: CASE WHEN list_contains(a, x) THEN a ELSE list_append(a, x) END, CAST([] AS VARCHAR[])) AS list_distinct_ordered FROM pages))),
+hits AS (SELECT u, source, word FROM (SELECT u, source, word, row_number() OVER (PARTITION BY u, source ORDER BY pos, place, word) AS rn FROM said JOIN flagged ON contains(said.text, flagged.word)) WHERE rn = 1),
+led AS (SELECT u, source, text AS url FROM (SELECT u, source, text, row_number() OVER (PARTITION BY u, source ORDER BY pos) AS rn FROM said JOIN landing ON contains(text, word) WHERE source > 0) WHERE rn = 1),
+guilty AS (SELECT url, word FROM (SELECT p.url, word, row_number() OVER (PARTITION BY p.url ORDER BY place, word) AS rn FROM (SELECT DISTINCT p.url, html FROM pages p JOIN led USING (url)) p JOIN flagged ON contains(html, word)) WHERE rn = 1),
+every AS (SELECT u, source, word FROM hits UNION ALL SELECT u, source + 1, word FROM led JOIN guilty USING (url))
+SELECT u AS "user", ['Bio', 'Profile', 'Profile landing', 'Comment', 'Comment landing'][arg_min(source, source) + 1] AS source, arg_min(word, source) AS url FROM every GROUP BY u""")
+def promoting_users(spark, sf_dir):
+    """Each page as a user: its title is the bio, its own address the profile's link, its links those in comments; long words are flagged."""
+    words = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{11,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.min("doc_id").alias("place"))
+    landing = spark.createDataFrame([("example.net", 0), ("/de", 1)], "word string, place bigint")
+    pages, user = t(spark, sf_dir, "pages"), F.col("page_id").alias("user")
+    bios = pages.select(user, F.regexp_extract("html", "<title>([^<]*)", 1).alias("bio"))
+    return promoters.promoters(bios, pages.select(user, F.array("url").alias("links")), pages.select(user, expr.hrefs(F.col("html")).alias("links")), words, landing, pages)
+
+
 @query("""SELECT doc_id, CASE WHEN contains(text, 'http') THEN 'bio' WHEN contains(text, '@') THEN 'profile' WHEN contains(text, 'password') THEN 'comment' END AS found_in FROM documents""")
 def promoter_links(spark, sf_dir):
     """The first source that hits names the finding."""
