@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gates, policy, writes
+from ..operators import configs, gates, policy, writes
 from ..sources import views
 from .registry import registry
 
@@ -133,3 +133,19 @@ def results_as_json(spark, sf_dir):
 def watches_with_posts(spark, sf_dir):
     w = views.reposts(spark, sf_dir).where(F.col("post_type") == "click").select("event_id", F.col("author").alias("user_id"), F.col("repost_of_id").alias("doc_id"))
     return w.join(t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("event_id", "user_id", F.col("doc_id").alias("post_id"), "source")
+
+
+@query("""WITH c AS (SELECT *, s_suppkey % 5 AS k, s_acctbal > 0 AS old_flag, s_acctbal > 5000 AS new_flag FROM supplier WHERE s_nationkey <> 3 AND s_suppkey % 5 > 0)
+SELECT CAST(s_suppkey AS VARCHAR) AS name, 'r' || s_suppkey AS revision_id, 'remove_repost' AS config_key, CASE WHEN old_flag THEN 'true' ELSE 'false' END AS old_value, CASE WHEN new_flag THEN 'true' ELSE 'false' END AS new_value FROM c WHERE old_flag <> new_flag
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'r' || s_suppkey, 'max_days_old', '190', CAST(s_nationkey AS VARCHAR) FROM c WHERE k <> 1 AND s_nationkey <> 190
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'r' || s_suppkey, 'title_ignore_keywords', 'old', CASE WHEN k <> 2 THEN s_name END FROM c""")
+def settings_changed_by_pages(spark, sf_dir):
+    """Each supplier as a community whose page says what it should do; a fifth of the pages can't be read, another has a number as text."""
+    s, k = t(spark, sf_dir, "supplier"), F.col("s_suppkey") % 5
+    name, revision = F.col("s_suppkey").cast("string").alias("name"), F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("revision_id")
+    yes = F.lit(True)
+    communities = s.select(name, yes.alias("active"), yes.alias("is_mod"), (F.col("s_nationkey") != 3).alias("wiki_permission"), (F.col("s_acctbal") > 0).alias("remove_repost"), F.lit(190).alias("max_days_old"), F.lit("old").alias("title_ignore_keywords"))
+    page = F.to_json(F.struct((F.col("s_acctbal") > 5000).alias("remove_repost"), F.when(k != 1, F.col("s_nationkey")).alias("max_days_old"), F.when(k == 1, F.col("s_nationkey").cast("string")).alias("_text"), F.when(k == 2, "").otherwise(F.col("s_name")).alias("title_ignore_keywords")))
+    content = F.when(k == 0, "{").otherwise(F.replace(page, F.lit("_text"), F.lit("max_days_old")))
+    done = configs.sync(communities, s.select(name, revision, content.alias("content")), s.select(revision).limit(0), {"remove_repost": "boolean", "max_days_old": "int", "title_ignore_keywords": "string"})
+    return done.audit
