@@ -31,47 +31,98 @@ def difference_hash(pixels: np.ndarray, size: int = 16, vertical: bool = False)
     return np.packbits(bits).tobytes().hex()
 
 
-def with_difference_hashes(images: DataFrame, pixels: str = "pixels", width: str = "width", size: int = 16) -> DataFrame:
-    """Add ``dhash_h`` and ``dhash_v``; a null or empty image has null hashes."""
+def average_hash(pixels: np.ndarray, size: int = 16) -> str:
+    """One bit for each cell that is brighter than the mean of all, as hex digits."""
+    small = resized(pixels, size, size)
+    return np.packbits((np.round(small - small.mean(), 9) > 0).ravel()).tobytes().hex()
 
-    def hasher(vertical: bool):
+
+#: The hashes of a picture by name.
+HASHES = {"dhash_h": difference_hash, "dhash_v": lambda p, size: difference_hash(p, size, True), "ahash": average_hash}
+
+
+def _picture(values, width) -> np.ndarray | None:
+    """The pixels as a matrix, or None if they make none."""
+    if values is None or len(values) == 0 or not width or width != width or len(values) % int(width):
+        return None
+    pixels = np.asarray(values, dtype=float)
+    return pixels.reshape(-1, int(width)) if np.isfinite(pixels).all() else None
+
+
+def with_hashes(images: DataFrame, pixels: str = "pixels", width: str = "width", size: int = 16, names: tuple[str, ...] = tuple(HASHES)) -> DataFrame:
+    """Add the hashes by name; a picture that can't be read (null, empty, ragged, not finite) has null ones."""
+
+    def hasher(make):
         @F.pandas_udf("string")
         def of(values: pd.Series, widths: pd.Series) -> pd.Series:
-            return pd.Series([None if v is None or len(v) == 0 or not w else difference_hash(np.asarray(v).reshape(-1, int(w)), size, vertical) for v, w in zip(values, widths, strict=True)])
+            return pd.Series([None if (p := _picture(v, w)) is None else make(p, size) for v, w in zip(values, widths, strict=True)], dtype=object)
 
         return of
 
-    return images.withColumn("dhash_h", hasher(False)(pixels, width)).withColumn("dhash_v", hasher(True)(pixels, width))
+    return images.withColumns({name: hasher(HASHES[name])(pixels, width) for name in names})
+
 
+def gallery_hashes(galleries: DataFrame, ident: str = "id", pictures: str = "pictures", size: int = 16) -> DataFrame:
+    """id, place, hash, hash_type_id: a row for each picture (pixels, width) of a gallery that can be read; others are skipped."""
+    each = galleries.select(ident, F.posexplode(pictures).alias("place", "_p")).select(ident, "place", "_p.pixels", "_p.width")
+    hashed = with_hashes(each, size=size, names=("dhash_h",)).where(F.col("dhash_h").isNotNull())
+    return hashed.select(ident, "place", F.col("dhash_h").alias("hash"), F.lit(1).alias("hash_type_id"))
 
-def spectral_peaks(samples: np.ndarray, window: int = 4096, reach: int = 20, least: float = 10.0) -> list[tuple[int, int]]:
-    """(time, frequency) of local maxima of the power spectrum in decibels."""
-    hop = window // 2
-    frames = [samples[k : k + window] * np.hanning(window) for k in range(0, len(samples) - window + 1, hop)]
-    if not frames:
+
+def power_spectrum(samples: np.ndarray, rate: int, window: int) -> np.ndarray:
+    """Power densities by (frequency, time) over windows that overlap by half, one-sided, scaled by rate and window."""
+    samples = np.concatenate([samples, np.zeros(max(0, window - len(samples)))])
+    shape = np.hanning(window)
+    frames = np.lib.stride_tricks.sliding_window_view(samples, window)[:: window // 2] * shape
+    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2 / (rate * (shape**2).sum())
+    power[:, 1 : -1 if window % 2 == 0 else None] *= 2
+    return power.T
+
+
+def diamond_maxima(level: np.ndarray, reach: int) -> np.ndarray:
+    """The largest value within ``reach`` steps along the axes, by as many steps of a cross."""
+    for _ in range(reach):
+        wide = level.copy()
+        np.maximum(wide[1:], level[:-1], out=wide[1:])
+        np.maximum(wide[:-1], level[1:], out=wide[:-1])
+        np.maximum(wide[:, 1:], level[:, :-1], out=wide[:, 1:])
+        np.maximum(wide[:, :-1], level[:, 1:], out=wide[:, :-1])
+        level = wide
+    return level
+
+
+def spectral_peaks(samples: np.ndarray, rate: int = 44_100, window: int = 4096, reach: int = 20, least: float = 10.0) -> list[tuple[int, int]]:
+    """(time, frequency) of the spectrum's local maxima above ``least`` decibels, in that order; no power counts as 0."""
+    if not len(samples):
         return []
-    power = np.abs(np.fft.rfft(np.stack(frames), axis=1)) ** 2
-    level = 10 * np.log10(np.maximum(power, 1e-10))
-    top = level
-    for axis in (0, 1):
-        wide = np.pad(top, [(reach, reach) if a == axis else (0, 0) for a in range(2)], mode="edge")
-        top = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1, axis=axis).max(axis=-1)
-    at = np.argwhere((level == top) & (level > least))
-    return [(int(a), int(b)) for a, b in at]
+    with np.errstate(divide="ignore"):
+        level = 10 * np.log10(power_spectrum(samples, rate, window))
+    level[np.isneginf(level)] = 0
+    frequency, time = np.nonzero((level == diamond_maxima(level, reach)) & (level > least))
+    return sorted(zip(time.tolist(), frequency.tolist(), strict=True))
+
+
+def fingerprints_of(samples: np.ndarray, rate: int, fan: int, apart: int) -> set[tuple[str, int]]:
+    """(hash, time) of each peak paired with each of the next ``fan`` that are at most ``apart`` later."""
+    peaks = spectral_peaks(samples, rate)
+    return {
+        (hashlib.sha1(f"{f1}|{f2}|{t2 - t1}".encode()).hexdigest()[:20], t1)
+        for k, (t1, f1) in enumerate(peaks) for t2, f2 in peaks[k + 1 : k + 1 + fan] if t2 - t1 <= apart
+    }
 
 
-def audio_fingerprints(clips: DataFrame, ident: str = "id", samples: str = "samples", fan: int = 14, apart: int = 200) -> DataFrame:
-    """One row (id, ``hash``, ``offset``) for each peak paired with one of the next ``fan``."""
+def audio_fingerprints(clips: DataFrame, ident: str = "id", channels: str = "channels", rate: int = 44_100, fan: int = 14, apart: int = 200) -> DataFrame:
+    """One row (id, ``hash``, ``offset``) for each fingerprint that any channel of a clip has; null clips and channels add none."""
 
     def of(batches):
         for pdf in batches:
             out = []
-            for ident_, clip in zip(pdf[ident], pdf[samples], strict=True):
-                peaks = sorted(spectral_peaks(np.asarray(clip, dtype=float))) if clip is not None else []
-                for k, (t1, f1) in enumerate(peaks):
-                    for t2, f2 in peaks[k + 1 : k + 1 + fan]:
-                        if 0 <= t2 - t1 <= apart:
-                            out.append((ident_, hashlib.sha1(f"{f1}|{f2}|{t2 - t1}".encode()).hexdigest()[:20], t1))
+            for ident_, clip in zip(pdf[ident], pdf[channels], strict=True):
+                found = set()
+                for channel in clip if clip is not None else []:
+                    if channel is not None:
+                        found |= fingerprints_of(np.asarray(channel, dtype=float), rate, fan, apart)
+                out += [(ident_, h, t) for h, t in sorted(found)]
             yield pd.DataFrame(out, columns=[ident, "hash", "offset"])
 
-    return clips.select(ident, samples).mapInPandas(of, f"{ident} {clips.schema[ident].dataType.simpleString()}, hash string, offset bigint")
+    return clips.select(ident, channels).mapInPandas(of, f"{ident} {clips.schema[ident].dataType.simpleString()}, hash string, offset bigint")

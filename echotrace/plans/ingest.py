@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import expr, messages
+from ..functions import expr, media, messages
 from ..operators import filters, ingest
 from ..sources import views
 from .registry import registry
@@ -172,3 +172,25 @@ def chunked_ids(spark, sf_dir):
 def trigonometry(spark, sf_dir):
     v = F.col("value")
     return t(spark, sf_dir, "events").select("event_id", F.round(F.sin(v), 9).alias("s"), F.round(F.cos(v), 9).alias("c"), F.round(10 * F.log10(v + 1), 9).alias("db"))
+
+
+#: Bits of a list of truths as hexadecimal digits, whole bytes.
+BITS = "array_to_string(list_transform(range(0, CAST(ceil(len(b) / 8.0) AS BIGINT) * 2), lambda k: format('{{:x}}', list_sum(list_transform(range(0, 4), lambda j: CASE WHEN coalesce(b[k * 4 + j + 1], false) THEN CAST(8 >> j AS INT) ELSE 0 END))::INT)), '')"
+
+
+@query(f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT id, list_transform(v, lambda x: round(x - list_avg(v), 9) > 0) AS b FROM e) SELECT id, {BITS.replace("{{", "{").replace("}}", "}")} AS ahash FROM p""")
+def average_hashes(spark, sf_dir):
+    """Each vector as a picture of eight by eight."""
+    e = t(spark, sf_dir, "embeddings")
+    pictures = e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("pixels"), F.lit(8).alias("width"))
+    return media.with_hashes(pictures, size=8, names=("ahash",)).select("id", "ahash")
+
+
+@query(f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, unnest(range(0, 5)) AS place FROM embeddings),
+p AS (SELECT id, place, list_transform(range(0, 9), lambda k: round(v[place * 12 + (k // 3) * 4 + k % 3 + 2], 6) > round(v[place * 12 + (k // 3) * 4 + k % 3 + 1], 6)) AS b FROM e) SELECT id, CAST(place AS INT) AS place, {BITS.replace("{{", "{").replace("}}", "}")} AS hash FROM p""")
+def gallery_hashes(spark, sf_dir):
+    """Each vector as a gallery of five pictures of three by four, and what is left over, which makes none."""
+    e = t(spark, sf_dir, "embeddings")
+    picture = lambda k: F.struct(F.transform(F.slice("embedding", 12 * k + 1, 12 if k < 5 else 3), lambda x: x.cast("double")).alias("pixels"), F.lit(4).alias("width"))
+    galleries = e.select(F.col("vec_id").alias("id"), F.array(*(picture(k) for k in range(6))).alias("pictures"))
+    return media.gallery_hashes(galleries, size=3).select("id", "place", "hash")
