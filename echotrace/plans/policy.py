@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import policy, replies, stats
+from ..operators import moderation, policy, replies, stats
 from ..sources import views
 from .registry import registry
 
@@ -99,3 +99,22 @@ def profile_joins(spark, sf_dir):
     seen = t("lineitem").select("l_suppkey", "l_orderkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("orders"))
     s = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return s.join(seen, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", "n_name", "r_name", F.coalesce("orders", F.lit(0).cast("bigint")).alias("orders"))
+
+
+COMMUNITIES = "c(community, least, remove, ban, mail, removal_reason, ban_reason) AS (VALUES ('en', 10, true, true, false, 'Spam', NULL), ('de', 12, false, true, true, NULL, 'Too many'), ('fr', 5, true, true, true, 'Spam', NULL), ('es', 10, false, false, false, NULL, NULL))"
+
+
+@query(f"""WITH {COMMUNITIES}, copies AS (SELECT 'src' || user_id AS author, count(*) AS repost_count FROM events WHERE ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY GROUP BY user_id),
+rows_ AS (SELECT d.doc_id AS post_id, d.source AS author, c.*, repost_count FROM documents d JOIN c ON c.community = d.lang JOIN copies ON copies.author = d.source WHERE least >= 10 AND repost_count >= least AND NOT (d.source = 'src1' AND d.lang = 'en'))
+SELECT post_id, 'remove_post' AS action, removal_reason AS reason, 'High volume of reposts detected' AS text FROM rows_ WHERE remove UNION ALL SELECT post_id, 'ban_user', coalesce(ban_reason, 'High volume of reposts detected'), NULL FROM rows_ WHERE ban
+UNION ALL SELECT post_id, 'mod_mail', NULL, 'User [u/' || author || '](https://reddit.com/u/' || author || ') has been flagged as a high volume reposter.' || chr(10) || chr(10) || 'They just created [this submission](https://redd.it/' || post_id || ') on [r/' || community || '](https://reddit.com/r/' || community || ') ' || chr(10) || chr(10) || 'In the last 7 days I have detected ' || repost_count || ' reposts created by them' FROM rows_ WHERE mail""")
+def actions_on_high_volume(spark, sf_dir):
+    """By each community's flags and threshold; one is too low to be meant, one user is spared in one community."""
+    p = views.posts(spark, sf_dir)
+    week = views.table(spark, sf_dir, "events").where(F.col("ts") > views.now() - F.expr("INTERVAL 7 DAY"))
+    counts = week.groupBy(F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("author")).agg(F.count("*").alias("repost_count"))
+    names = "community string, high_volume_reposter_threshold int, high_volume_reposter_remove_post boolean, high_volume_reposter_ban_user boolean, high_volume_reposter_notify_mod_mail boolean, high_volume_reposter_removal_reason string, high_volume_reposter_ban_reason string"
+    communities = spark.createDataFrame([("en", 10, True, True, False, "Spam", None), ("de", 12, False, True, True, None, "Too many"), ("fr", 5, True, True, True, "Spam", None), ("es", 10, False, False, False, None, None)], names)
+    whitelist = spark.createDataFrame([("src1", "en", True), ("src2", "en", False)], "author string, community string, ignore_high_volume_repost_detection boolean")
+    posts = p.select(F.col("id").alias("post_id"), "author", "community")
+    return moderation.high_volume(posts, communities, counts, whitelist).select("post_id", "action", "reason", "text")
