@@ -17,7 +17,7 @@ the 3e12 windows of 100 TB. Names are 64-bit hashes, whose collisions cost time
 
 Nulls: a null text has no words; a null id is set apart and takes no part in the comparison. Rows with equal ids count
 as one document: an equal window at an equal start is not earlier. Texts of fewer words than a window lose nothing; a very
-long one is a group of its own and needs some hundred bytes of memory for each of its bytes. An empty table gives an empty
+long one makes its group larger, which needs some hundred bytes of memory for each of its bytes. An empty table gives an empty
 result. Extra columns don't matter.
 """
 

@@ -15,8 +15,8 @@ they spread over all buckets. Memory is that of one bucket or one group of texts
 
 Strings are compared byte by byte; anchors are hashes, whose collisions cost time alone, and stretches are compared by
 128-bit digests. Nulls: a null text is an empty one; a null id is set apart and takes no part. Rows with equal ids count as
-one document. Texts of fewer bytes lose nothing; a very long one is a group of its own and needs some hundred bytes of
-memory for each of its bytes. Ties: of equal strings the least id's stays, at all its places. An empty table gives an
+one document. Texts of fewer bytes lose nothing; a very long one makes its group larger, which needs some hundred
+bytes of memory for each of its bytes. Ties: of equal strings the least id's stays, at all its places. An empty table gives an
 empty result. Extra columns don't matter.
 """
 

@@ -42,6 +42,22 @@ def test_quality_features(docs, rows):
         assert got[d] == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
 
 
+def test_the_base_rule(spark):
+    """Fewer than ten words, or more than a fifth of the words in five-word windows that come twice."""
+    ten = [f"w{k}" for k in range(10)]
+    texts = [None, "", " ".join(ten[:9]), " ".join(ten), " ".join(ten[:5] * 2), " ".join([f"u{k}" for k in range(40)] + ten[:5] * 2), " ".join([f"u{k}" for k in range(39)] + ten[:5] * 2), " ".join(["a"] * 5 + [f"u{k}" for k in range(30)])]
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], SCHEMA), labels).collect()}
+    for k, t in enumerate(texts):
+        words = WORD.findall(t or "")
+        windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        repeated = len({i + j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(5)})
+        assert got[k]["base_failed"] == (len(words) < 10 or 100 * repeated > 20 * len(words)), k
+        assert not (got[k]["base_failed"] and got[k]["kept"])
+    # Ten of fifty words are a fifth, not more.
+    assert [got[k]["base_failed"] for k in range(8)] == [True, True, True, False, True, False, True, False]
+
+
 def test_learned_rules_reject_junk_and_keep_the_rest(spark):
     draw = random.Random(2)
     vocabulary = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(300)]
