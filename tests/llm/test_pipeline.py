@@ -87,14 +87,15 @@ def test_run_on_odd_input(spark, tmp_path, table):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
-    assert sorted(ORACLES) == ["op1_jaccard_join", "op3_suffix_dedup", "op4_recompression"]
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+    assert sorted(ORACLES) == ["op11_block_max_wand", "op1_jaccard_join", "op3_suffix_dedup", "op4_recompression"]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert got.columns == want.columns
