@@ -67,12 +67,16 @@ def templates_due(spark, sf_dir):
 @query("""SELECT DISTINCT l_suppkey AS "user", lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS post_id FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_partkey IN (SELECT doc_id FROM documents)
 AND (l_suppkey, l_partkey) NOT IN (SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) FROM events WHERE props IS NOT NULL)""")
 def accepted_watch_offers(spark, sf_dir):
-    """Lines as offers by mail: only R lines are accepted, only F lines hold a link."""
+    """Lines as offers by mail: only R lines are accepted, only F lines hold a link.
+
+    A link shows six digits of the post's id, which several posts share from a million on; posts are told apart by the whole id.
+    """
     link = F.concat(F.lit("Watch https://redd.it/"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"), F.lit("?"))
-    offers = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user"), gates.offered_post(F.when(F.col("l_linestatus") == "F", link).otherwise("nothing"), F.when(F.col("l_returnflag") == "R", "Yes, please").otherwise("no")).alias("post_id"))
-    posts = t(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("post_id"))
-    watches = views.reposts(spark, sf_dir).select(F.col("author").alias("user"), F.lpad(F.col("repost_of_id").cast("string"), 6, "0").alias("post_id"))
-    return gates.new_watches(offers, posts, watches).select("user", "post_id")
+    shown = gates.offered_post(F.when(F.col("l_linestatus") == "F", link).otherwise("nothing"), F.when(F.col("l_returnflag") == "R", "Yes, please").otherwise("no"))
+    offers = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user"), F.when(shown.isNotNull(), F.col("l_partkey")).alias("post_id"), shown.alias("shown"))
+    posts = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"))
+    watches = views.reposts(spark, sf_dir).select(F.col("author").alias("user"), F.col("repost_of_id").alias("post_id"))
+    return gates.new_watches(offers, posts, watches).select("user", F.col("shown").alias("post_id")).distinct()
 
 
 @query("SELECT c_custkey, c_mktsegment IN ('BUILDING', 'FURNITURE') AS moderator, c_acctbal < 0 OR c_nationkey > 12 AS may_post FROM customer")
