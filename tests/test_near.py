@@ -114,6 +114,29 @@ def test_digits_that_go_together(spark):
     assert looked_at < 1000 * 999 / 20
 
 
+@pytest.mark.parametrize("size", [16, 64, 80, 300])
+def test_blocks_of_all_hashes(spark, size):
+    """Small blocks give what all pairs give, and a task holds two of them."""
+    hashes = sorted(set(hashes_of(120, size, 9)))
+    apart, own, d = distances(hashes), frame(spark, hashes), size * 6 // 10
+    want = {(a, b, int(apart[a, b])) for a in range(len(hashes)) for b in range(len(hashes)) if a != b and apart[a, b] <= d}
+    assert {tuple(r) for r in near.tiled(own, own, len(hashes), size, d, best=False, side=25).collect()} == want and len(want) > 30
+    best = {}
+    for r in near.tiled(own.where("id % 3 = 0"), own, len(hashes), size, d, best=True, side=25).collect():
+        best[r["id"]] = min(best.get(r["id"], (size, 0)), (r["distance"], r["other"]))
+    closest = {k: min((int(apart[k, m]), m) for m in range(len(hashes)) if m != k) for k in range(0, len(hashes), 3)}
+    assert best == {k: x for k, x in closest.items() if x[0] <= d}
+
+
+def test_few_keys_where_all_are_asked(spark):
+    """No hash is written under more keys than blocks of all hashes are worth."""
+    draw = random.Random(3)
+    fours = ["".join(draw.choices("0123456789abcdef", k=4)) for _ in range(20)]
+    sample = ["".join(draw.choices(fours, k=16)) for _ in range(400)]
+    assert near.plan(64, 38, 50_000, sample).costs() > 50_000
+    assert len(near.plan(64, 16, 3_000_000, sample, near.FEW_KEYS).choices) <= near.FEW_KEYS
+
+
 def test_odd_hashes(spark):
     rows = spark.createDataFrame([(1, None), (2, "abcd"), (3, "abce"), (4, "abcde"), (5, ""), (6, "abcd"), (None, "abcf")], "id bigint, hash string")
     assert {tuple(r) for r in near.closest(rows, 4, 40).collect() if r["id"]} == {(2, 6, 100.0), (6, 2, 100.0), (3, 2, 75.0)}
