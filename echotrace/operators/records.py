@@ -114,9 +114,14 @@ def cached(posts: DataFrame, cache: DataFrame, key: str, value: str, compute: Co
 
 
 def fingerprints_of_channels(rows: DataFrame, ident: str, channels: list[Column]) -> DataFrame:
-    """The distinct fingerprints of all channels (arrays) of each recording; a channel that is null adds none."""
-    each = [rows.select(ident, F.explode(c).alias("fingerprint")) for c in channels]
-    return reduce(DataFrame.unionByName, each).distinct()
+    """The distinct fingerprints of all channels (arrays) of each recording; a channel that is null adds none.
+
+    A row's fingerprints are one set before anything is shuffled, and recordings of several rows join their sets, so what
+    is shuffled is an id and a set for each row.
+    """
+    own = reduce(F.array_union, [F.coalesce(c, F.array().cast("array<string>")) for c in channels])
+    sets = rows.select(ident, own.alias("_own")).groupBy(ident).agg(F.array_distinct(F.flatten(F.collect_list("_own"))).alias("_own"))
+    return sets.select(ident, F.explode("_own").alias("fingerprint"))
 
 
 def right_wins(left: Column, right: Column) -> Column:

@@ -81,3 +81,12 @@ def test_right_map_wins_and_history_limits(spark):
     log = spark.range(1200).select("id", F.lit("s").alias("subreddit"), (F.col("id") % 2).alias("matches_found"))
     assert records.history(log, "s", "id").count() == 1000
     assert [r["id"] for r in records.history(log, "s", "id", only_reposts=True, limit=2).collect()] == [1199, 1197]
+
+
+def test_fingerprints_are_shuffled_as_sets(spark):
+    """Rows of one recording join their sets; a row's repeats are gone before the shuffle, and no fingerprint is a row in it."""
+    rows = spark.createDataFrame([(1, ["a", "b", "a"], ["c"]), (1, None, ["b", "d"]), (2, ["a"] * 50, None), (None, ["x"], ["x", None]), (3, [], None)], "id bigint, l array<string>, r array<string>")
+    found = records.fingerprints_of_channels(rows, "id", [F.col("l"), F.col("r")])
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, "a"), (1, "b"), (1, "c"), (1, "d"), (2, "a"), (None, "x"), (None, None)], key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
