@@ -18,11 +18,21 @@ from pyspark.sql import types as T
 
 from ..sources.tables import written
 
-#: Characters of words in one lot.
-LOT = 16 << 20
+#: Characters of words in one lot; an automaton takes some 36 bytes for each, in every Python worker.
+LOT = 4 << 20
 SOURCES = ["Bio", "Profile", "Profile landing", "Comment", "Comment landing"]
 
 
+def automaton_of(words: pa.Array):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for n, word in enumerate(words):
+        automaton.add_word(word.as_py(), n)
+    automaton.make_automaton()
+    return automaton
+
+
 def first_words(texts: DataFrame, words: DataFrame, lot: int = LOT) -> DataFrame:
     """``texts`` (with a string column ``text``) that hold a word of ``words`` (word, place), with the one of least place (then by itself) as ``word``.
 
@@ -38,22 +48,19 @@ def first_words(texts: DataFrame, words: DataFrame, lot: int = LOT) -> DataFrame
         rows = words.where(F.pmod(F.xxhash64("word"), F.lit(lots)) == k).orderBy("place", "word").collect()
         if not rows:
             continue
-        shared = spark.sparkContext.broadcast([(r["word"], r["place"]) for r in rows])
+        # As Arrow's arrays, which hold no object for each word.
+        shared = spark.sparkContext.broadcast((pa.array([r["word"] for r in rows]), pa.array([r["place"] for r in rows], type=pa.int64())))
 
         def of(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for n, (word, _) in enumerate(shared.value):
-                automaton.add_word(word, n)
-            automaton.make_automaton()
+            word, place = shared.value
+            automaton = automaton_of(word)
             for batch in batches:
                 at = batch.schema.get_field_index("text")
                 best = [min((n for _, n in automaton.iter(t)), default=None) if t else None for t in batch.column(at).to_pylist()]
                 keep = [i for i, n in enumerate(best) if n is not None]
-                hits = [shared.value[best[i]] for i in keep]
+                hits = pa.array([best[i] for i in keep], type=pa.int64())
                 part = batch.take(pa.array(keep, type=pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([p for _, p in hits], type=pa.int64()), pa.array([w for w, _ in hits], type=pa.string())], names=[*names, "_place", "word"])
+                yield pa.RecordBatch.from_arrays([*part.columns, place.take(hits), word.take(hits)], names=[*names, "_place", "word"])
 
         one = texts.mapInArrow(of, schema)
         found = one if found is None else found.unionByName(one)

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from echotrace.operators import promoters
@@ -27,6 +28,16 @@ def test_ten_thousand_words(spark, lot):
     assert "Cartesian" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
 
 
+def test_a_lot_fits_a_worker():
+    """Four workers of an executor hold an automaton each."""
+    draw = random.Random(4)
+    size, words = 0, set()
+    while size < promoters.LOT:
+        words.add("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=16)))
+        size += 24
+    assert promoters.automaton_of(pa.array(sorted(words))).get_stats()["total_size"] < 200 << 20
+
+
 FLAGGED = [("fans.example", 0), ("only.example", 1)]
 LANDING = [("links.example", 0), ("bio.example", 1)]
 PAGES = [("https://links.example/a", "<a href='https://only.example/x'> fans.example"), ("https://bio.example/b", "nothing"), ("https://links.example/c", "only.example")]
