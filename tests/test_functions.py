@@ -148,3 +148,12 @@ def test_match_filters(spark):
     df = spark.createDataFrame([(200, True, 5), (404, False, 101), (None, None, 1), (200, True, 101)], "status int, removed boolean, n int")
     got = [tuple(r) for r in df.select(filters.alive(F.col("status")), filters.not_removed(F.col("removed"), F.col("n"))).collect()]
     assert got == [(True, False), (False, True), (False, True), (True, True)]
+
+
+def test_hamming_by_numbers(spark):
+    """Numbers of a row, not strings of a pair; other strings are compared as before."""
+    from echotrace.operators import search
+
+    pairs = [("0123456789abcdef", "0123456789abcdef"), ("0123456789abcdef", "f123456789abcde0"), ("0" * 16, "f" * 16), ("xyz", "xya"), ("0" * 16, "0"), (None, "0" * 16), ("0" * 15 + "G", "0" * 16)]
+    df = spark.createDataFrame(pairs, "a string, b string").withColumns({f"{c}n": search.as_numbers(F.col(c), 16) for c in "ab"})
+    assert [r[0] for r in df.select(search.hamming_of(F.col("a"), F.col("b"), F.col("an"), F.col("bn"), 16)).collect()] == [0, 2, 16, 1, None, None, 1]
