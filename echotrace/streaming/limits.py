@@ -2,22 +2,27 @@
 
 State is keyed by user: the times of requests that may still count, and when a ban ends. A request in a ban is refused, but
 counts. Otherwise a user with more than the limit of requests in the trailing time, this one included and the far end
-excluded, is banned from then on for a fixed time. A timer ends the ban when the watermark passes its end, and another
-lets go of times that can't count any more, so a user who stays away leaves no state.
+excluded, is banned from then on for a fixed time. A timer ends the ban when the watermark passes its end and lets go of
+times that can't count any more, so a user who stays away leaves no state.
+
+A call of the state is a message to Spark and back, so a user has one value and one timer: for what is due next.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: ``outcome``: run, over_limit (the request that brings the ban), banned, released (no request; the ban's end).
 DECISION = "user string, id bigint, at timestamp, outcome string, ban_expires timestamp"
+#: The same with times in microseconds, as the processor has them.
+DECIDED = Row("user", "id", "at", "outcome", "ban_expires")
 
 
 class Limit(StatefulProcessor):
@@ -26,47 +31,58 @@ class Limit(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "at bigint")
-        self.until = handle.getValueState("until", "at bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows))
-        own = own.assign(micros=own["at"].astype("datetime64[us]").astype("int64")).sort_values(["micros", "id"])
-        until = self.until.get()[0] if self.until.exists() else None
-        seen = sorted(t for (t,) in self.times.get())
-        said = []
-        for ident, at in zip(own["id"].tolist(), own["micros"].tolist(), strict=True):
-            seen.append(at)
-            if until is not None and at < until and at >= until - self.ban:
-                said.append((ident, at, "banned", until))
-            elif sum(1 for t in seen if at - self.span < t <= at) > self.most:
+        self.state = handle.getValueState("held", "times binary, until bigint, due bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        own = sorted(((r["micros"], r["id"]) for r in rows), key=lambda x: (x[0], x[1] is None, x[1] or 0))
+        before, until, due = self._held()
+        times = array("q", (at for at, _ in own))
+        for k, (at, ident) in enumerate(own, 1):
+            if until is not None and until - self.ban <= at < until:
+                yield DECIDED(key[0], ident, at, "banned", until)
+            elif k - bisect_right(times, at - self.span, 0, k) + bisect_right(before, at) - bisect_right(before, at - self.span) > self.most:
                 until = at + self.ban
-                said.append((ident, at, "over_limit", until))
-                # Timers have milliseconds; one fires after its time.
-                self.handle.registerTimer(-(-until // 1000))
+                yield DECIDED(key[0], ident, at, "over_limit", until)
             else:
-                said.append((ident, at, "run", None))
-        if until is not None:
-            self.until.update((until,))
+                yield DECIDED(key[0], ident, at, "run", None)
         # What a late request may still ask for stays.
-        oldest = min(timerValues.getCurrentWatermarkInMs() * 1000, seen[-1]) - self.span
-        kept = [t for t in seen if t > oldest]
-        self.times.put([(t,) for t in kept])
-        self.handle.registerTimer(-(-(max(kept) + self.span) // 1000) + 1)
-        yield self._rows(key, said)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        if self.until.exists() and self.until.get()[0] <= now:
-            until = self.until.get()[0]
-            self.until.clear()
-            yield self._rows(key, [(None, until, "released", until)])
-        kept = [t for (t,) in self.times.get() if t > timerValues.getCurrentWatermarkInMs() * 1000 - self.span]
-        self.times.put([(t,) for t in kept]) if kept else self.times.clear()
-
-    def _rows(self, key, said: list[tuple]) -> pd.DataFrame:
-        ids, at, outcome, until = (list(x) for x in zip(*said, strict=True))
-        return pd.DataFrame({"user": [key[0]] * len(said), "id": pd.array(ids, dtype="Int64"), "at": pd.to_datetime(at, unit="us"), "outcome": outcome, "ban_expires": pd.to_datetime(pd.array(until, dtype="Int64"), unit="us")})
+        oldest = min(timerValues.getCurrentWatermarkInMs() * 1000, times[-1]) - self.span
+        seen = array("q", sorted(before + times)) if before else times
+        self._hold(seen[bisect_right(seen, oldest) :], until, due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        times, until, _ = self._held()
+        if until is not None and until <= max(watermark, expiredTimerInfo.getExpiryTimeInMs() * 1000):
+            yield DECIDED(key[0], None, until, "released", until)
+            until = None
+        kept = times[bisect_right(times, watermark - self.span) :]
+        if kept or until is not None:
+            self._hold(kept, until, None)
+        else:
+            self.state.clear()
+
+    def _held(self) -> tuple[array, int | None, int | None]:
+        """The times in order, the ban's end, the timer's time."""
+        times = array("q")
+        held = self.state.get()
+        if held is None:
+            return times, None, None
+        times.frombytes(bytes(held[0]))
+        return times, held[1], held[2]
+
+    def _hold(self, times: array, until: int | None, due: int | None) -> None:
+        # Timers have milliseconds; one fires after its time.
+        ends = [-(-(times[-1] + self.span) // 1000) + 1] if times else []
+        if until is not None:
+            ends.append(-(-until // 1000))
+        # A timer that fires too early is set anew then.
+        if due is None or min(ends) < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = min(ends)
+            self.handle.registerTimer(due)
+        self.state.update((times.tobytes(), until, due))
 
     def close(self) -> None:
         pass
@@ -78,4 +94,6 @@ def limited(stream: DataFrame, user: str, ident: str, at: str, *, most: int, sec
     The session needs state stores of PROVIDER.
     """
     rows = stream.select(F.col(user).cast("string").alias("user"), F.col(ident).cast("bigint").alias("id"), F.col(at).cast("timestamp").alias("at")).where("user IS NOT NULL AND at IS NOT NULL")
-    return rows.withWatermark("at", late).groupBy("user").transformWithStateInPandas(Limit(most, seconds, ban_seconds), outputStructType=DECISION, outputMode="Append", timeMode="EventTime")
+    rows = rows.withWatermark("at", late).withColumn("micros", F.unix_micros("at"))
+    decided = rows.groupBy("user").transformWithState(Limit(most, seconds, ban_seconds), outputStructType="user string, id bigint, at bigint, outcome string, ban_expires bigint", outputMode="Append", timeMode="EventTime")
+    return decided.withColumns({c: F.timestamp_micros(c) for c in ("at", "ban_expires")})

@@ -97,3 +97,84 @@ def test_ties_nulls_and_late_requests(session, tmp_path):
     got = [(r[1], r[3]) for r in stored(session, tmp_path) if r[3] != "released"]
     assert got[:2] == [(1, "run"), (2, "over_limit")] and sorted(x for x, _ in got) == [1, 2, 5, 7, 8]
     assert dict(got)[7] == "over_limit"
+
+
+class Store:
+    """A user's state outside Spark; it counts the messages that Spark would get."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers, self.watermark = 0, None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    getListState = getValueState
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.update(None)
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.remove(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+class Fired:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+def test_few_messages_for_a_user_of_many_requests():
+    draw = random.Random(9)
+    rows = [("a", k, START + timedelta(seconds=draw.randrange(20 * 86_400))) for k in range(30_000)]
+    rows.sort(key=lambda r: r[2])
+    micros = lambda at: (at - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    store, limit = Store(), limits.Limit(9, 600, 1200)
+    limit.init(store)
+    got = []
+    for part in (rows[:20_000], rows[20_000:]):
+        draw.shuffle(part)
+        got += limit.handleInputRows(("a",), iter([{"micros": micros(at), "id": k} for _, k, at in part]), store)
+    # A ban in a batch that has ended in it needs no timer, and nothing is compared with all others.
+    assert store.calls <= 6 and len(store.timers) == 1
+    want = plainly(rows[:2000], 9, timedelta(seconds=600), timedelta(seconds=1200))
+    assert [(r.id, r.outcome) for r in got[:2000]] == [(k, outcome) for _, k, _, outcome, _ in want]
+    assert {r.outcome for r in got} == {"run", "over_limit", "banned"}
+    # The one timer ends the last ban and lets go of all times, in as many steps as there are things to do.
+    until = max(r.ban_expires or 0 for r in got)
+    store.watermark, calls = max(store.timers) + 10**9, store.calls
+    fired = store.timers.pop()
+    assert [(r.id, r.at, r.outcome) for r in limit.handleExpiredTimer(("a",), store, Fired(fired))] == [(None, until, "released")]
+    assert store.value is None and not store.timers and store.calls - calls == 2
+
+
+def test_a_timer_that_is_too_early_is_set_anew():
+    store, limit = Store(), limits.Limit(1, 100, 10)
+    limit.init(store)
+    second = 1_000_000
+    list(limit.handleInputRows(("a",), iter([{"micros": 5 * second, "id": 1}]), store))
+    assert store.timers == {105_001}
+    # A ban that ends sooner takes the timer's place.
+    assert [r.outcome for r in limit.handleInputRows(("a",), iter([{"micros": 6 * second, "id": 3}, {"micros": 6 * second, "id": None}]), store)] == ["over_limit", "banned"]
+    assert store.timers == {16_000}
+    store.watermark = 16_000
+    assert [(r.at, r.outcome) for r in limit.handleExpiredTimer(("a",), store, Fired(store.timers.pop()))] == [(16 * second, "released")]
+    assert store.timers == {106_001}
+    store.watermark = 106_001
+    assert list(limit.handleExpiredTimer(("a",), store, Fired(store.timers.pop()))) == [] and store.value is None
