@@ -6,6 +6,8 @@ subset of the required overlap, so each set lists its subsets of that size for e
 meet. Larger sets are joined by scanning inverted lists: each set is listed under the rarest of its shingles, as many as
 make sure that linked sets meet; list by list, sizes, counting sketches and the places of the shared shingle rule pairs
 out, and what is left is verified on the whole sets. The boundary between small and large is the size up to which listing subsets costs less.
+Most of the rarest shingles are in one set only. Entries go once, packed by chunks of sets, to the range of their shingle,
+and only those that another set has too become rows.
 
 Long lists come from groups of near copies. They are first scanned against leaders, a few for each list and band of
 sizes, and linked sets need no further comparison with each other; only pairs across components are then scanned. No
@@ -30,8 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import numbers, numbers_of
 from .common import discard, small_batches, written
 from .components import components
+from .groups import by_part, power_of_two
 from .hashing import Words, lowered, mixed, runs, sequences
 
 #: Counters of the shingles' frequencies, one for so many bytes of text: 8 MB at least and 64 MB at most. They only order
@@ -47,6 +51,8 @@ SHORT, LEADER_ROUNDS = 32, 3
 LEADERS = 2
 #: Entries of a list in one block.
 BLOCK = 16_384
+#: Entries of a chunk of sets, and bytes of text for each range of shingles: some million entries. There are LEAST_RANGES at least.
+CHUNK_ENTRIES, RANGE_BYTES, LEAST_RANGES = 1 << 18, 1 << 25, 256
 #: A set's sketch: how many members fall into each of 8 buckets a word, one byte each, up to 255.
 SKETCH = 16
 #: Sets up to this size may be small.
@@ -121,7 +127,9 @@ def set_key(s: np.ndarray) -> tuple[np.ndarray, tuple[int, int]]:
 
 
 def _sketched(counts: np.ndarray, percent: int, width: int):
-    """Id, size, a 128-bit key of the set, its sketch, its rarest shingles, and all of them if it may be small."""
+    """Id, size, a 128-bit key of the set, its sketch, its rarest shingles, how many of these are in few sets, and all of them if it may be small."""
+    # A task counts to 255; what is above that and what counters share by chance may be in a great many sets.
+    many = 255 + 2 * float(counts.mean()) if len(counts) else 0
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,14 +139,69 @@ def _sketched(counts: np.ndarray, percent: int, width: int):
                     n = len(s)
                     again, key = set_key(s)
                     sketch = np.minimum(np.bincount((again & np.uint64(8 * SKETCH - 1)).astype(np.int64), minlength=8 * SKETCH), 255).astype(np.uint8).tobytes()
-                    rare = s[np.lexsort((s, counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]))][: n - -(-percent * n // 100) + 1] if n else s
-                    rows.append((n, *key, sketch, rare.view(np.int64), s.view(np.int64) if n <= MOST_SMALL else s[:0].view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds))], names=["id", "n", "k1", "k2", "sketch", "rare", "small"])
+                    often = counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]
+                    order = np.lexsort((s, often))[: n - -(-percent * n // 100) + 1] if n else np.zeros(0, dtype=np.int64)
+                    rows.append((n, *key, sketch, s[order].view(np.int64), int((often[order] <= many).sum()), s.view(np.int64) if n <= MOST_SMALL else s[:0].view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds))], names=["id", "n", "k1", "k2", "sketch", "rare", "few", "small"])
 
     return of
 
 
+def _packed(parts: int):
+    """The entries of chunks of sets (id, n, rare, few), a row for each range of shingles; without those after the first ``few``."""
+    cuts = np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - parts.bit_length() + 1)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            token, ident, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((ident, token))
+            bounds = np.concatenate([[0], np.searchsorted(token[order], cuts), [len(order)]])
+            part = np.flatnonzero(np.diff(bounds))
+            blocks = [[numbers(x[order[bounds[k] : bounds[k + 1]]]) for k in part] for x in (token, ident, n, at)]
+            return pa.RecordBatch.from_arrays([pa.array(part, type=pa.int32()), *(pa.array(x, type=pa.binary()) for x in blocks)], names=["part", "token", "id", "n", "at"])
+
+        for batch in batches:
+            ident, n, few = (batch.column(k).to_numpy() for k in (0, 1, 3))
+            length = batch.column(2).value_lengths().to_numpy()
+            at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            asks = at < np.repeat(few, length)
+            held.append([batch.column(2).flatten().to_numpy().view(np.uint64)[asks], np.repeat(ident, length)[asks], np.repeat(n, length)[asks], at[asks]])
+            if sum(len(x[0]) for x in held) >= CHUNK_ENTRIES:
+                yield packed()
+                held = []
+        if held:
+            yield packed()
+
+    return of
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries whose shingle is in two sets or more, of a partition sorted by range."""
+    for _, table in by_part(batches):
+        token, *others = (np.concatenate([numbers_of(x) for x in table[c].to_pylist()]) for c in ("token", "id", "n", "at"))
+        order = np.sort(token)
+        again = np.unique(order[1:][order[1:] == order[:-1]])
+        if len(again):
+            keep = again[np.minimum(np.searchsorted(again, token), len(again) - 1)] == token
+            ident, n, at = (x[keep] for x in others)
+            yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array(n), pa.array(at, type=pa.int32()), pa.array(token[keep])], names=["id", "n", "at", "token"])
+
+
+def _entries(classes: DataFrame, size: int) -> DataFrame:
+    """(id, n, at, token): the places of the rarest shingles in their sets, without those that are in no other set.
+
+    Shingles that are in a great many sets aren't asked for, so no range is much larger than others.
+    """
+    parts = power_of_two(LEAST_RANGES, size // RANGE_BYTES)
+    packed = classes.select("id", "n", "rare", "few").mapInArrow(_packed(parts), "part int, token binary, id binary, n binary, at binary")
+    met = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_met, "id bigint, n bigint, at int, token bigint")
+    others = classes.where(F.size("rare") > F.col("few")).select("id", "n", "few", F.posexplode("rare").alias("at", "token")).where(F.col("at") >= F.col("few"))
+    return met.unionByName(others.drop("few"))
+
+
 def small_bound(histogram: dict[int, tuple[int, float]], percent: int) -> int:
     """The largest size of small sets: subsets listed against entries scanned, summed up to each size.
 
@@ -329,24 +392,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per
     """Id, ``n_shingles`` and ``component_id`` of each row; sets of ``shingle`` words link from a similarity of ``percent`` / 100."""
     with small_batches(docs.sparkSession):
         # Written, as what runs later would run outside the block.
-        return written(_join(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), percent, shingle).withColumnRenamed("id", id_col))
+        out, *read = _join(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), percent, shingle)
+        out = written(out.withColumnRenamed("id", id_col))
+        discard(*read)
+        return out
 
 
-def _join(mine: DataFrame, percent: int, shingle: int) -> DataFrame:
+def _join(mine: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, ...]:
+    """The result and the written tables that it is read from."""
     size = mine.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     counters = LEAST_COUNTERS
     while counters < MOST_COUNTERS and counters * COUNTER_BYTES < size:
         counters *= 2
     counts = _merged(mine.select("text").mapInArrow(_counted(shingle, counters), "segment int, data binary"), np.uint8, np.uint16, _saturating)
-    sets = written(mine.mapInArrow(_sketched(counts, percent, shingle), "id bigint, n bigint, k1 bigint, k2 bigint, sketch binary, rare array<bigint>, small array<bigint>"))
+    sets = written(mine.mapInArrow(_sketched(counts, percent, shingle), "id bigint, n bigint, k1 bigint, k2 bigint, sketch binary, rare array<bigint>, few int, small array<bigint>"))
     key = ["k1", "k2", "n"]
     # Numbered as they are written, so a number stays with its class.
-    grouped = sets.where(F.col("n") > 0).groupBy(*key).agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("sketch", "rare", "small")))
+    grouped = sets.where(F.col("n") > 0).groupBy(*key).agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("sketch", "rare", "few", "small")))
     classes = written(grouped.where(F.col("rep").isNotNull()).withColumn("id", F.monotonically_increasing_id()))
+    last, sets = sets, written(sets.select("id", *key))
+    discard(last)
     # Lists of one entry tell nothing.
-    entries = classes.select("id", "n", F.posexplode("rare").alias("at", "token"))
+    entries = written(_entries(classes, size))
     lists = entries.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > 1)
     shared = written(entries.join(lists, "token"))
+    discard(entries)
     lengths = {r["n"]: r["mean"] for r in shared.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.avg("c").alias("mean")).collect()}
     histogram = {r["n"]: (r["count"], lengths.get(r["n"], 1.0)) for r in classes.where(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
     bound = small_bound(histogram, percent)
@@ -407,7 +477,8 @@ def _join(mine: DataFrame, percent: int, shingle: int) -> DataFrame:
     least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least_id, "component").select(*key, "component_id")
     out = sets.select("id", *key).join(named, key, "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out, sets, classes, labels
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, shingle: int = 5) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import hashlib
 import inspect
+import random
 import string
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -228,3 +230,31 @@ def test_prefix_ranks(letters):
 def test_cover_meets_every_difference():
     member = set(suffix_dedup.COVER)
     assert all(any((a + d) % 31 in member and (b + d) % 31 in member for d in range(31)) for a in range(31) for b in range(31))
+
+
+def shuffled_rows(spark):
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty()
+    none = gateway.jvm.java.util.ArrayList()
+    return sum(s.shuffleWriteRecords() for s in (lambda x: [x.apply(k) for k in range(x.size())])(sc.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)))
+
+
+def test_shingles_of_one_text_are_not_shuffled_as_rows(spark):
+    draw = random.Random(12)
+    texts = [" ".join(f"w{draw.randrange(10**9)}" for _ in range(400)) for _ in range(300)]
+    texts += [t + " end" for t in texts[:3]]
+    before = shuffled_rows(spark)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], SCHEMA)).collect()}
+    assert got == {k: k - 300 if k >= 300 else k for k in range(303)}
+    # Each set lists forty shingles.
+    assert shuffled_rows(spark) - before < 303 * 40
+
+
+def test_entries_of_shingles_that_sets_share(spark):
+    draw = random.Random(5)
+    rows = [(k << 33, 50 + k, draw.sample(range(-(2**63), 2**63 - 1, 2**54), 20), draw.choice([0, 7, 20])) for k in range(200)]
+    rows += [(1, 9, [], 0), (2, 9, [-(2**63), 2**63 - 1], 2), (3, 9, [2**63 - 1], 1)]
+    got = {tuple(r) for r in jaccard_join._entries(spark.createDataFrame(rows, "id bigint, n bigint, rare array<bigint>, few int").repartition(3), 0).select("id", "n", "at", "token").collect()}
+    asked = Counter(t for _, _, rare, few in rows for t in rare[:few])
+    want = {(i, n, at, t) for i, n, rare, few in rows for at, t in enumerate(rare) if at >= few or asked[t] > 1}
+    assert got == want and 0 < len(want) < sum(len(r[2]) for r in rows)
