@@ -6,13 +6,14 @@ subset of the required overlap, so each set lists its subsets of that size for e
 meet. Larger sets are joined by scanning inverted lists: each set is listed under the rarest of its shingles, as many as
 make sure that linked sets meet; list by list, sizes, counting sketches and the places of the shared shingle rule pairs
 out, and what is left is verified on the whole sets. The boundary between small and large is the size up to which listing subsets costs less.
-Most of the rarest shingles are in one set only. Entries go once, packed by chunks of sets, to the range of their shingle,
-and only those that another set has too become rows.
+Most of the rarest shingles are in one set only, and most others in two sets of unlike sizes or places. Entries go once,
+packed by chunks of sets, to the range of their shingle, and only those that can tell of a link become rows.
 
 Long lists come from groups of near copies. They are first scanned against leaders, a few for each list and band of
 sizes, and linked sets need no further comparison with each other; only pairs across components are then scanned. No
 list is in one task as a whole: a very long one is cut into blocks by a hash of the set, with leaders of their own, other
-blocks in each round, and in the last scan each two blocks meet as a list of their own.
+blocks in each round, and in the last scan each two blocks meet as a list of their own. Pairs in a group of near copies that
+don't quite link grow with the square of the group, so entries of long lists bring along what rules nearly all of them out (``PARITY``).
 
 Shingles stand as 64-bit hashes, so two sets could wrongly share a shingle with a chance of some 1e-14 for each pair
 that is compared. Nulls: a null text is an empty one; empty sets link with nothing and are their own component. A
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .chunks import numbers, numbers_of
 from .common import discard, small_batches, written
 from .components import components
-from .groups import by_part, power_of_two
+from .groups import by_part, power_of_two, squeezed, unsqueezed
 from .hashing import Words, lowered, mixed, runs, sequences
 
 #: Counters of the shingles' frequencies, one for so many bytes of text: 8 MB at least and 64 MB at most. They only order
@@ -55,6 +56,11 @@ BLOCK = 16_384
 CHUNK_ENTRIES, RANGE_BYTES, LEAST_RANGES = 1 << 18, 1 << 25, 256
 #: A set's sketch: how many members fall into each of 8 buckets a word, one byte each, up to 255.
 SKETCH = 16
+#: Of a set in a long list: whether the members that fall into a bucket are odd in number, 256 bytes. Two sets differ by as many members at least as
+#: buckets. Far more of unlike large sets are told apart than by a sketch, whose buckets are so few that differences cancel out.
+PARITY = 2048
+#: Rows of 64 bits that tell which rows of a table move to be compared with ids: 3 MB at most. A wrong hit only moves a row in vain.
+MARKS = 1 << 17
 #: Sets up to this size may be small.
 MOST_SMALL = 24
 
@@ -103,7 +109,7 @@ def _saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _segments(values: np.ndarray, parts: int = 16) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(range(parts), type=pa.int32()), pa.array([x.tobytes() for x in np.split(values, parts)], type=pa.binary())], names=["segment", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(range(parts), type=pa.int32()), pa.array([squeezed(x.tobytes()) for x in np.split(values, parts)], type=pa.binary())], names=["segment", "data"])
 
 
 def _merged(df: DataFrame, kind: type, wide: type, merge: Callable) -> np.ndarray:
@@ -112,7 +118,7 @@ def _merged(df: DataFrame, kind: type, wide: type, merge: Callable) -> np.ndarra
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data, dtype=kind)
+                x = np.frombuffer(unsqueezed(data), dtype=kind)
                 total[k] = merge(total[k], x) if k in total else x.astype(wide)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int32()), pa.array([x.tobytes() for x in total.values()], type=pa.binary())], names=["segment", "data"])
 
@@ -178,28 +184,59 @@ def _packed(parts: int):
     return of
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries whose shingle is in two sets or more, of a partition sorted by range."""
-    for _, table in by_part(batches):
-        token, *others = (np.concatenate([numbers_of(x) for x in table[c].to_pylist()]) for c in ("token", "id", "n", "at"))
-        order = np.sort(token)
-        again = np.unique(order[1:][order[1:] == order[:-1]])
-        if len(again):
+def _partnered(token: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries, sorted by token and size, may tell of a link: all of long lists; of others those that have another one in their list whose
+    size fits, where as many members can follow as a link needs. The first shingle that linked sets share has both entries among these."""
+    new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    length = np.diff(np.append(new, len(token)))
+    reach = np.repeat(new + length, length) - np.arange(len(token))
+    out = np.repeat(length > SHORT, length)
+    i = np.flatnonzero(~out)
+    for k in range(1, SHORT):
+        i = i[reach[i] > k]
+        i = i[100 * n[i] >= percent * n[i + k]]  # sizes rise, so no later one fits either
+        if not len(i):
+            break
+        ok = i[np.minimum(n[i] - at[i], n[i + k] - at[i + k]) >= -(-percent * (n[i] + n[i + k]) // (100 + percent))]
+        out[ok] = out[ok + k] = True
+    return out
+
+
+def _met(percent: int):
+    """The entries whose shingle is in two sets or more that may link, and their number by shingle, of a partition sorted by range."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in by_part(batches):
+            token, *others = (np.concatenate([numbers_of(x) for x in table[c].to_pylist()]) for c in ("token", "id", "n", "at"))
+            order = np.sort(token)
+            again = np.unique(order[1:][order[1:] == order[:-1]])
+            if not len(again):
+                continue
             keep = again[np.minimum(np.searchsorted(again, token), len(again) - 1)] == token
-            ident, n, at = (x[keep] for x in others)
-            yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array(n), pa.array(at, type=pa.int32()), pa.array(token[keep])], names=["id", "n", "at", "token"])
+            token, ident, n, at = (x[keep] for x in (token, *others))
+            order = np.lexsort((n, token))
+            token, ident, n, at = (x[order] for x in (token, ident, n, at))
+            keep = _partnered(token, n, at, percent)
+            if keep.any():
+                token, ident, n, at = (x[keep] for x in (token, ident, n, at))
+                _, c = np.unique(token, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array(n), pa.array(at, type=pa.int32()), pa.array(token), pa.array(np.repeat(c, c))], names=["id", "n", "at", "token", "c"])
+
+    return of
 
 
-def _entries(classes: DataFrame, size: int) -> DataFrame:
-    """(id, n, at, token): the places of the rarest shingles in their sets, without those that are in no other set.
+def _entries(classes: DataFrame, size: int, percent: int = 0) -> DataFrame:
+    """(id, n, at, token, c): the places of the rarest shingles in their sets, without those that are in no other set
+    that may link, and how many entries the shingle has.
 
     Shingles that are in a great many sets aren't asked for, so no range is much larger than others.
     """
     parts = power_of_two(LEAST_RANGES, size // RANGE_BYTES)
     packed = classes.select("id", "n", "rare", "few").mapInArrow(_packed(parts), "part int, token binary, id binary, n binary, at binary")
-    met = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_met, "id bigint, n bigint, at int, token bigint")
-    others = classes.where(F.size("rare") > F.col("few")).select("id", "n", "few", F.posexplode("rare").alias("at", "token")).where(F.col("at") >= F.col("few"))
-    return met.unionByName(others.drop("few"))
+    met = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_met(percent), "id bigint, n bigint, at int, token bigint, c bigint")
+    others = classes.where(F.size("rare") > F.col("few")).select("id", "n", "few", F.posexplode("rare").alias("at", "token")).where(F.col("at") >= F.col("few")).drop("few")
+    others = others.join(others.groupBy("token").agg(F.count("*").alias("c")), "token")
+    return met.unionByName(others)
 
 
 def small_bound(histogram: dict[int, tuple[int, float]], percent: int) -> int:
@@ -262,6 +299,12 @@ def _small_links(sets: DataFrame, bound: int, percent: int) -> DataFrame:
 POSTING = ["token", "id", "n", "at", "component", "c", "side", *(f"p{k}" for k in range(SKETCH))]
 
 
+def parity(again: np.ndarray) -> np.ndarray:
+    """The 64-bit words of a set's parities; ``again`` are its members hashed again."""
+    bucket = (again >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=PARITY) & 1).astype(np.uint8)).view(np.uint64)
+
+
 def _near(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of n <= m with sketches p, q may link: by size, and as bucket by bucket the sets differ by at least
     the difference of their counts."""
@@ -275,7 +318,7 @@ def _scan(mode: str, bound: int, percent: int, round_: int, short: int):
 
     ``all``: every pair of lists up to ``short`` entries (``c``), and pairs with leaders of longer ones; ``leaders``: only
     the latter; ``rest``: every pair of what is given, but of two blocks (``side`` 0 and 1) only those across; ``side`` is
-    2 elsewhere. Pairs of one component are passed over. Where all pairs are scanned, a
+    2 elsewhere. Pairs of one component are passed over, and where the entries have parities, those that these rule out. Where all pairs are scanned, a
     pair comes only from lists whose token may be the first that both sets hold, in the order of rarity: no more is
     shared than what follows it in either set.
     """
@@ -294,7 +337,12 @@ def _scan(mode: str, bound: int, percent: int, round_: int, short: int):
                 ok &= np.minimum(n[i] - t["at"][i], n[j] - t["at"][j]) >= -(-percent * (a + b) // (100 + percent))
             i, j, a, b = i[ok], j[ok], a[ok], b[ok]
             ok = _near(a, b, t["p"][i], t["p"][j], percent)
-            return np.stack([i[ok], j[ok]])
+            i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+            if "parity" in t:
+                apart = np.bitwise_count(t["parity"][i] ^ t["parity"][j]).sum(axis=1, dtype=np.int64)
+                ok = apart <= a + b - 2 * (-(-percent * (a + b) // (100 + percent)))
+                i, j = i[ok], j[ok]
+            return np.stack([i, j])
 
         def against(where: dict, at: np.ndarray, band: np.ndarray) -> Iterator[np.ndarray]:
             for by in (-2, -1, 0, 1, 2):
@@ -338,6 +386,8 @@ def _scan(mode: str, bound: int, percent: int, round_: int, short: int):
             if len(now):
                 t = {c: now[c].to_numpy() for c in ("token", "id", "n", "at", "component", "c", "side")}
                 t["p"] = np.stack([now[f"p{k}"].to_numpy() for k in range(SKETCH)], axis=1).view(np.uint64)
+                if "parity" in now.column_names:
+                    t["parity"] = np.frombuffer(b"".join(now["parity"].to_pylist()), dtype=np.uint64).reshape(len(now), -1)
                 for i, j in pairs_of(t):
                     u, v = np.minimum(t["id"][i], t["id"][j]), np.maximum(t["id"][i], t["id"][j])
                     if len(u):
@@ -369,8 +419,8 @@ def _whole_sets(bloom: np.ndarray, width: int):
             at = (mixed(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(BLOOM - 1)).astype(np.int64)
             batch = batch.filter(pa.array((bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
             if batch.num_rows:
-                sets = [(*set_key(s)[1], s.tobytes()) for _, _, data, bounds in runs(batch.column(1)) for s in shingle_sets(data, bounds, width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in sets], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["rep", "k1", "k2", "members"])
+                sets = [(*key, s.tobytes(), parity(again).tobytes()) for _, _, data, bounds in runs(batch.column(1)) for s in shingle_sets(data, bounds, width) for again, key in [set_key(s)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in sets], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary())))], names=["rep", "k1", "k2", "members", "parity"])
 
     return of
 
@@ -413,10 +463,7 @@ def _join(mine: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, ...]:
     last, sets = sets, written(sets.select("id", *key))
     discard(last)
     # Lists of one entry tell nothing.
-    entries = written(_entries(classes, size))
-    lists = entries.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > 1)
-    shared = written(entries.join(lists, "token"))
-    discard(entries)
+    shared = written(_entries(classes, size, percent).where(F.col("c") > 1))
     lengths = {r["n"]: r["mean"] for r in shared.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.avg("c").alias("mean")).collect()}
     histogram = {r["n"]: (r["count"], lengths.get(r["n"], 1.0)) for r in classes.where(F.col("n") <= MOST_SMALL).groupBy("n").count().collect()}
     bound = small_bound(histogram, percent)
@@ -438,7 +485,7 @@ def _join(mine: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, ...]:
             rows = listed.withColumn("token", F.xxhash64("token", "_pair.a", "_pair.b")).withColumn("side", F.col("_pair.side"))
         else:
             rows = listed.withColumn("token", F.xxhash64("token", mine)).withColumn("side", F.lit(2))
-        rows = rows.select(*POSTING).repartition("token").sortWithinPartitions("token", "n", "id")
+        rows = rows.select(*POSTING, *(["parity"] if "parity" in rows.columns else [])).repartition("token").sortWithinPartitions("token", "n", "id")
         return written(rows.mapInArrow(_scan(mode, bound, percent, round_, SHORT), "u bigint, v bigint").distinct())
 
     pairs = scanned(wanted.withColumn("component", F.col("id")), "all", 0)
@@ -448,8 +495,9 @@ def _join(mine: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, ...]:
     bloom = _merged(asked.select("rep").mapInArrow(_bloom, "segment int, data binary"), np.uint8, np.uint8, np.bitwise_or)
     whole = None
     if len(bloom):
-        members = mine.where(F.col("id").isNotNull()).mapInArrow(_whole_sets(bloom, shingle), "rep bigint, k1 bigint, k2 bigint, members binary")
-        whole = written(members.join(asked, ["rep", "k1", "k2"]).select("id", "members"))
+        members = mine.where(F.col("id").isNotNull()).mapInArrow(_whole_sets(bloom, shingle), "rep bigint, k1 bigint, k2 bigint, members binary, parity binary")
+        few = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
+        whole = written(members.join(few, ["rep", "k1", "k2"]).select("id", "members", "parity"))
     discard(shared, asked)
     long_lists = whole is not None and not wanted.where(F.col("c") > SHORT).isEmpty()
     for mode, round_ in (("all", 0), *(("leaders", k) for k in range(1, LEADER_ROUNDS)), ("rest", LEADER_ROUNDS)):
@@ -460,7 +508,9 @@ def _join(mine: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, ...]:
             listed = wanted.where(F.col("c") > SHORT).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
             # Only long lists that still hold more than one component.
             going = listed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(F.col("a") != F.col("b")).select("token")
-            pairs = scanned(listed.join(going, "token", "left_semi"), mode, round_)
+            # Rows of one id and text give their set more than once.
+            parities = whole.groupBy("id").agg(F.first("parity").alias("parity"))
+            pairs = scanned(listed.join(going, "token", "left_semi").join(parities, "id"), mode, round_)
             discard(labels)
         n = pairs.count()
         if n:
@@ -481,8 +531,23 @@ def _join(mine: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, ...]:
     return out, sets, classes, labels
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids`` (one bigint column of that name).
+
+    Rows are large and most of them stay, so only those move whose id falls on a bit that one of ``ids`` has set.
+    """
+    hashed = lambda: F.xxhash64(F.col(id_col).cast("bigint"))
+    row, bit = F.pmod(hashed(), F.lit(MARKS)).cast("int"), F.expr("cast(1 as bigint)")
+    place = F.shiftrightunsigned(hashed(), 58).cast("int")
+    marks = ids.groupBy(row.alias("_marks_row")).agg(F.bit_or(F.call_function("shiftleft", bit, place)).alias("_marks"))
+    marked = docs.withColumn("_marks_row", row).join(F.broadcast(marks), "_marks_row", "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col("_marks"), place).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    stay, asked = (marked.where(x).select(*docs.columns) for x in (~hit, hit))
+    return stay.unionByName(asked.join(ids, id_col, "left_anti").select(*docs.columns))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller id. Rows of one id are one document; rows with a null id stay."""
     groups = join(docs, id_col, text_col, percent=percent, shingle=shingle)
     later = groups.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(later, id_col, "left_anti").select(*docs.columns)
+    return without(docs, later, id_col)

@@ -7,6 +7,7 @@ import string
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from echotrace.llm import jaccard_join, recompression, suffix_dedup
@@ -258,3 +259,69 @@ def test_entries_of_shingles_that_sets_share(spark):
     asked = Counter(t for _, _, rare, few in rows for t in rare[:few])
     want = {(i, n, at, t) for i, n, rare, few in rows for at, t in enumerate(rare) if at >= few or asked[t] > 1}
     assert got == want and 0 < len(want) < sum(len(r[2]) for r in rows)
+
+
+def test_entries_without_a_partner_go(spark):
+    draw = random.Random(6)
+    tokens = draw.sample(range(-(2**63), 2**63 - 1, 2**54), 60)
+    rows = [(k, draw.choice([10, 11, 13, 40]), draw.sample(tokens, 3), 3) for k in range(60)] + [(100, 20, [7], 1), (101, 90, [7], 1), (102, 20, [8], 1), (103, 20, [8], 1)]
+    got = {tuple(r) for r in jaccard_join._entries(spark.createDataFrame(rows, "id bigint, n bigint, rare array<bigint>, few int").repartition(3), 0, 80).collect()}
+    lists = {}
+    for i, n, rare, _ in rows:
+        for at, t in enumerate(rare):
+            lists.setdefault(t, []).append((i, n, at))
+    want = set()
+    for t, entries in lists.items():
+        assert len(entries) <= jaccard_join.SHORT
+        fit = [(i, n, at) for i, n, at in entries if any(j != i and 100 * min(n, m) >= 80 * max(n, m) and min(n - at, m - bt) >= jaccard_join.required(n, m, 80) for j, m, bt in entries)]
+        want |= {(i, n, at, t, len(fit)) for i, n, at in fit}
+    # Of one size two sets meet, of sizes far apart they don't.
+    assert got == want and {e[0] for e in want if e[3] in (7, 8)} == {102, 103} and len(want) < len(rows) * 3
+
+
+def test_parities_tell_large_sets_apart():
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 1 << 63, 1000, dtype=np.uint64)
+    for other in (0, 20, 150, 400):
+        a, b = (np.unique(np.concatenate([base[other:], draw.integers(0, 1 << 63, other, dtype=np.uint64)])) for _ in range(2))
+        differ = len(np.setxor1d(a, b))
+        apart = int(np.bitwise_count(jaccard_join.parity(jaccard_join.set_key(a)[0]) ^ jaccard_join.parity(jaccard_join.set_key(b)[0])).sum())
+        # Never more than differ; of sets that share 850 of 1150 members enough to see that they don't share four fifths.
+        assert apart <= differ and (apart == 0) == (differ == 0)
+        assert (apart > len(a) + len(b) - 2 * jaccard_join.required(len(a), len(b), 80)) == (other >= 150)
+
+
+def test_pairs_that_do_not_quite_link_stay_in_the_scan(spark):
+    """A list of forty sets of which each two share 850 of 1150 members: none of the 780 pairs leaves it."""
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 1 << 63, 1000, dtype=np.uint64)
+    fields = {c: [] for c in jaccard_join.POSTING} | {"parity": []}
+    for k in range(40):
+        s = np.unique(np.concatenate([base[150:], draw.integers(0, 1 << 63, 150, dtype=np.uint64)]))
+        again, _ = jaccard_join.set_key(s)
+        sketch = np.bincount((again & np.uint64(8 * jaccard_join.SKETCH - 1)).astype(np.int64), minlength=8 * jaccard_join.SKETCH).astype(np.uint8).view(np.int64)
+        row = {"token": 5, "id": k, "n": len(s), "at": 0, "component": k, "c": 40, "side": 2, **{f"p{j}": int(x) for j, x in enumerate(sketch)}, "parity": jaccard_join.parity(again).tobytes()}
+        for c, x in row.items():
+            fields[c].append(x)
+    batch = pa.RecordBatch.from_pydict(fields)
+    found = lambda b: sum(x.num_rows for x in jaccard_join._scan("rest", 0, 80, 3, 32)(iter([b])))
+    assert found(batch) == 0 and found(batch.drop_columns(["parity"])) > 700
+
+
+@pytest.mark.parametrize("marks", [1 << 17, 1])
+def test_texts_that_stay_do_not_move(spark, monkeypatch, marks):
+    monkeypatch.setattr(jaccard_join, "MARKS", marks)
+    rows = [(k if k % 50 else None, f"text {k}") for k in range(2000)]
+    rows += rows[:300]
+    gone = list(range(1, 2000, 97))
+    docs, ids = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(k,) for k in gone], "doc_id bigint")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_rows(spark)
+        got = jaccard_join.without(docs, ids, "doc_id").collect()
+        moved = shuffled_rows(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert Counter(map(tuple, got)) == Counter(r for r in rows if r[0] not in gone)
+    assert marks == 1 or moved < 200
