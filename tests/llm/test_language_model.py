@@ -121,3 +121,28 @@ def test_very_long_texts(spark):
 def test_vocabulary_without_words(spark):
     empty_one = Vocabulary(spark.createDataFrame([], "key string, c bigint"))
     assert (empty_one.n, empty_one.v, empty_one.classes) == (0, 0, KINDS)
+
+
+def test_words_beyond_the_most_frequent_have_their_own_context(spark):
+    """240 nouns, each with its own verb: counts can't know the verb, nor can a model that gives only a few words a vector."""
+    draw = random.Random(4)
+    rows = [(k, " ".join(f"noun{n:03}a verb{n:03}b" for n in draw.choices(range(240), k=60))) for k in range(1500)]
+    got = log_bilinear.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)).collect()
+    held = [r for r in got if r["held_out"]]
+    mean, base = (sum(r[c] for r in held) / sum(r["n_tokens"] for r in held) for c in ("score", "base_score"))
+    assert base == pytest.approx(-math.log10(480), abs=0.1)
+    assert mean > base + 0.6
+
+
+def test_contexts_that_come_again_are_normalised_once():
+    draw = np.random.Generator(np.random.PCG64(2))
+    share = draw.random(40) + 0.1
+    model = Model(share / share.sum())
+    vectors, matrices, _, _ = model.parts
+    model.parts[2], bias = draw.normal(0, 0.5, model.parts[2].shape).astype(np.float32), model.parts[3]
+    classes, bounds = draw.integers(0, 40, 5000), np.array([0, 7, 7, 1200, 5000])
+    context = model.contexts(classes, bounds)
+    products = sum(vectors[b] @ m for b, m in zip(context, matrices, strict=True)) @ model.parts[2].T + bias
+    want = (products[np.arange(5000), classes] - np.log(np.exp(products).sum(axis=1))) / np.log(10)
+    assert np.allclose(model.log10(classes, context), want, atol=1e-5)
+    assert model.log10(classes[:0], context[:, :0]).shape == (0,)
