@@ -66,3 +66,37 @@ def test_empty_tables_of_words(spark):
     texts = spark.createDataFrame([(1, "a")], "id bigint, text string")
     assert first_words(texts, spark.createDataFrame([("", 1), (None, 2)], "word string, place bigint")).collect() == []
     assert first_words(texts.limit(0), spark.createDataFrame([("a", 1)], "word string, place bigint")).collect() == []
+
+
+def test_a_table_larger_than_a_lot_is_one_pass(spark, monkeypatch):
+    """However many lots the words would fill, texts are read once and the words are worked out once; odd texts and words are told right."""
+    draw = random.Random(5)
+    words = [("".join(draw.choices("abä中", k=draw.randint(1, 14))), draw.randrange(50)) for _ in range(400)] + [(None, 0), ("", 0)]
+    texts = [(k, k % 7, draw.choice([None, "", "".join(draw.choices("abä中 -", k=draw.randint(1, 60)))])) for k in range(200)] * 2
+    least = {}
+    for w, p in words:
+        if w:
+            least[w] = min(p, least.get(w, 99))
+    want = sorted((k, m, t, min((p, w) for w, p in least.items() if w in t)[1]) for k, m, t in texts if t and any(w in t for w in least))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    asked = spark.createDataFrame(texts, "id bigint, m bigint, text string").mapInArrow(counted, "id bigint, m bigint, text string")
+    monkeypatch.setattr(promoters, "PIECE", 100)
+    got = first_words(asked, spark.createDataFrame(words, "word string, place bigint"), lot=50)
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 100
+    assert read.value == len(texts)
+
+
+def test_pages_of_one_address_count_together(spark):
+    table = lambda rows: spark.createDataFrame(rows, "word string, place bigint")
+    pages = [("https://links.example/a", f"flagged{k:02}.example") for k in (7, 3, 12, 3)] + [("https://links.example/a", None)]
+    bios, none = spark.createDataFrame([("u", "hello")], "user string, bio string"), spark.createDataFrame([("u", [])], "user string, links array<string>")
+    profile = spark.createDataFrame([("u", ["https://links.example/a"])], "user string, links array<string>")
+    for order in (pages, pages[::-1]):
+        got = promoters.promoters(bios, profile, none, table([(f"flagged{k:02}.example", k) for k in range(20)]), table([("links.example", 0)]), spark.createDataFrame(order, "url string, html string"))
+        assert [tuple(r) for r in got.collect()] == [("u", "Profile landing", "flagged03.example")]
