@@ -141,3 +141,28 @@ def test_odd_hashes(spark):
     rows = spark.createDataFrame([(1, None), (2, "abcd"), (3, "abce"), (4, "abcde"), (5, ""), (6, "abcd"), (None, "abcf")], "id bigint, hash string")
     assert {tuple(r) for r in near.closest(rows, 4, 40).collect() if r["id"]} == {(2, 6, 100.0), (6, 2, 100.0), (3, 2, 75.0)}
     assert near.near_hashes(rows.limit(0), 4, 75).collect() == near.closest(rows.limit(0), 4, 40).collect() == []
+
+
+@pytest.mark.parametrize("size", [16, 64, 80, 300])
+def test_each_two_blocks_meet_once(spark, size):
+    """Both sides of a pair are answered where it meets, and every hash has the closest of all."""
+    hashes = sorted(set(hashes_of(120, size, 9)))
+    apart, own, d = distances(hashes), frame(spark, hashes), size * 6 // 10
+    for side in (25, 1000):
+        best = {}
+        for r in near.met_once(own, len(hashes), size, d, side=side).collect():
+            best[r["id"]] = min(best.get(r["id"], (size, 0)), (r["distance"], r["other"]))
+        closest = {k: min((int(apart[k, m]), m) for m in range(len(hashes)) if m != k) for k in range(len(hashes))}
+        assert best == {k: x for k, x in closest.items() if x[0] <= d} and len(best) > 20
+
+
+def test_hashes_are_worked_out_once(spark):
+    rows, worked = spark.createDataFrame(list(enumerate(hashes_of(200, 16, 3))), "id bigint, hash string"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            worked.add(len(batch))
+            yield batch
+
+    assert near.closest(rows.mapInArrow(counted, "id bigint, hash string"), 16, 40).count() > 10
+    assert worked.value == 200
